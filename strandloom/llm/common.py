@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,15 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package when the driver found it by its own path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import quality_rules
+from strandloom.llm import mixing, quality_rules, sharding
 
 QUERIES = {
+    "op4_hilbert_sharding": sharding.op4_hilbert_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, mixing, quality_rules, sharding
+from strandloom.llm import bpe, langid, media, mixing, quality_rules, sharding
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op5_language_id": langid.op5_language_id,
+    "op8_media_columns": media.op8_media_columns,
     "op4_hilbert_sharding": sharding.op4_hilbert_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_mixing": mixing.op10_mixing,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, langid, media, mixing, quality_rules, sharding
+from strandloom.llm import bpe, langid, media, minhash, mixing, quality_rules, sharding
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_language_id": langid.op5_language_id,
     "op8_media_columns": media.op8_media_columns,

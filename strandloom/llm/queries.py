@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, langid, media, minhash, mixing, quality_rules, secret_scan, sharding, suffix_dedup
+from strandloom.llm import bpe, langid, media, minhash, mixing, pii, quality_rules, secret_scan, sharding, suffix_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_language_id": langid.op5_language_id,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_media_columns": media.op8_media_columns,
     "op4_hilbert_sharding": sharding.op4_hilbert_sharding,

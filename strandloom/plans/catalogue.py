@@ -4,7 +4,366 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import text as tx
+from strandloom.operators import folds, seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+EVENT = ["ts", "event_id"]
+_DROP = "30.0"
+_WRAP = f"WITH e AS (SELECT *, lag(value) OVER w AS b FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+
+
+@query(_WRAP + f"SELECT user_id, event_id, value FROM e WHERE b IS NULL OR value < b - {_DROP}")
+def page_wraps(spark, d):
+    return seq.page_wraps(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).select("user_id", "event_id", "value")
+
+
+_PAGED = _WRAP.rstrip() + f""", p AS (SELECT *, sum(CASE WHEN b IS NULL OR value < b - {_DROP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, page ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id, page) AS size FROM p),
+g AS (SELECT *, CASE WHEN size - 2 >= 3 THEN i > 1 AND i < size ELSE true END AS contributes FROM r) """
+
+
+@query(_PAGED + "SELECT user_id, event_id, page::INT AS page, size, contributes FROM g")
+def page_groups(spark, d):
+    return seq.page_groups(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).select("user_id", "event_id", "page", "size", "contributes")
+
+
+@query(_PAGED + "SELECT user_id, page::INT AS page, count(*) AS n, CASE WHEN count(*) >= 3 THEN floor(median(value)) ELSE floor(max(value)) END AS level FROM g WHERE contributes GROUP BY user_id, page")
+def median_composite(spark, d):
+    g = seq.page_groups(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).filter("contributes")
+    level = F.when(F.count("*") >= 3, F.floor(F.median("value"))).otherwise(F.floor(F.max("value"))).cast("double")
+    return g.groupBy("user_id", "page").agg(F.count("*").alias("n"), level.alias("level"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, CASE WHEN least(7, n) = 1 THEN 0 ELSE (j * (n - 1)) // (least(7, n) - 1) END AS pos FROM (SELECT DISTINCT user_id, n FROM p), range(0, 7) t(j) WHERE j < least(7, n))
+SELECT p.user_id, p.event_id, p.pos::INT AS pos FROM p JOIN s ON p.user_id = s.user_id AND p.pos = s.pos""")
+def even_sample(spark, d):
+    return seq.even_sample(table(spark, d, "events"), ["user_id"], EVENT, 7).select("user_id", "event_id", "pos")
+
+
+@query("""WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
+SELECT user_id, event_id, (pos - 2)::INT AS pos, greatest(0, least(99, (SELECT count(*) FROM events e WHERE e.user_id = p.user_id) - 1)) AS clamped FROM p WHERE pos BETWEEN 2 AND 5""")
+def frame_slice(spark, d):
+    placed = seq.number(table(spark, d, "events"), ["user_id"], EVENT).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    return seq.slice_frames(placed, "pos", 2, 5).select("user_id", "event_id", "pos", seq.clamp_index(F.lit(99), F.col("n")).alias("clamped"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg((l_discount < 0.05 AND l_quantity > 20)::INT), 6) AS fraction FROM lineitem GROUP BY 1, 2")
+def paper_filter_fraction(spark, d):
+    f = seq.fraction_where(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], (F.col("l_discount") < 0.05) & (F.col("l_quantity") > 20))
+    return f.withColumn("fraction", F.round("fraction", 6))
+
+
+_FLAG = "WITH p AS (SELECT user_id, value > 40 AS flag, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events), i AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM p WHERE flag), r AS (SELECT user_id, min(pos)::INT AS \"start\", (max(pos) + 1)::INT AS \"end\" FROM i GROUP BY user_id, g) "
+
+
+def _flags(spark, d):
+    return table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") > 40).alias("flag"))
+
+
+@query(_FLAG + 'SELECT user_id, "start", "end" FROM r')
+def contiguous_runs(spark, d):
+    return seq.runs(_flags(spark, d), ["user_id"], EVENT, "flag")
+
+
+@query(_FLAG + 'SELECT user_id, "start", "end" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "end" - "start" DESC, "start") AS k FROM r) WHERE k = 1')
+def largest_run(spark, d):
+    return seq.largest_run(_flags(spark, d), ["user_id"], EVENT, "flag")
+
+
+@query(_FLAG + """, c AS (SELECT user_id, pos, flag, max(CASE WHEN flag THEN pos END) OVER (PARTITION BY user_id ORDER BY pos) AS a,
+min(CASE WHEN flag THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM p)
+SELECT user_id, pos::INT AS pos, flag OR coalesce(b - a - 1 <= 2, false) AS closed FROM c""")
+def close_short_gaps(spark, d):
+    return seq.close_short_gaps(_flags(spark, d), ["user_id"], EVENT, "flag", 2).select("user_id", "pos", "closed")
+
+
+_DAYS = "date_diff('day', TIMESTAMP '1990-01-01', o_orderdate)"
+
+
+def _order_days(spark, d):
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.datediff("o_orderdate", F.lit("1990-01-01")).alias("day"))
+
+
+@query(f"""WITH o AS (SELECT o_custkey, o_orderkey, {_DAYS} AS day, o_orderdate FROM orders),
+n AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 150 THEN 1 WHEN lag(day) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL THEN 1 ELSE 0 END AS f FROM o)
+SELECT o_custkey, o_orderkey, (sum(f) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS cluster FROM n""")
+def gap_clusters(spark, d):
+    return seq.gap_clusters(_order_days(spark, d), ["o_custkey"], ["o_orderdate", "o_orderkey"], "day", 150).select("o_custkey", "o_orderkey", "cluster")
+
+
+@query(f"""WITH o AS (SELECT DISTINCT o_custkey, {_DAYS} AS day FROM orders),
+l AS (SELECT o_custkey, day, sum(f) OVER (PARTITION BY o_custkey ORDER BY day) AS line FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) <= 30 THEN 0 ELSE 1 END AS f FROM o)),
+c AS (SELECT o_custkey, line, round_even(avg(day), 0)::BIGINT AS center, min(day) AS top, max(day) AS bottom FROM l GROUP BY 1, 2),
+s AS (SELECT *, sum(f) OVER (PARTITION BY o_custkey ORDER BY center, line) AS staff FROM (SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY o_custkey ORDER BY center, line) <= 200 THEN 0 ELSE 1 END AS f FROM c))
+SELECT o_custkey, staff::INT AS staff, min(top) AS top, max(bottom) AS bottom, count(*)::INT AS n_lines, string_agg(center::VARCHAR, ',' ORDER BY center) AS line_centers FROM s GROUP BY o_custkey, staff""")
+def two_level_clusters(spark, d):
+    days = _order_days(spark, d).select("o_custkey", F.col("day").cast("long").alias("day")).distinct()
+    out = seq.two_level_clusters(days, ["o_custkey"], "day", 30, 200)
+    return out.withColumn("line_centers", F.array_join(F.transform("line_centers", lambda c: c.cast("string")), ","))
+
+
+_EDGES = ["l_linenumber", "l_quantity", "l_discount", "l_extendedprice"]
+
+
+@query("SELECT l_suppkey, " + ", ".join(f"round_even(median({e}), 0)::DOUBLE AS {e}" for e in _EDGES) + " FROM lineitem GROUP BY l_suppkey")
+def median_box(spark, d):
+    return seq.median_box(table(spark, d, "lineitem"), ["l_suppkey"], _EDGES).select("l_suppkey", *(F.col(e).cast("double").alias(e) for e in _EDGES))
+
+
+@query("""WITH m AS (SELECT l_suppkey AS k, round_even(median(l_linenumber), 0) AS a, round_even(median(l_quantity), 0) AS b, round_even(median(l_tax * 100), 0) AS c, round_even(median(l_discount * 100), 0) AS e FROM lineitem GROUP BY 1)
+SELECT l_suppkey, round(sum((abs(l_linenumber - a) <= s AND abs(l_quantity - b) <= s AND abs(l_tax * 100 - c) <= s AND abs(l_discount * 100 - e) <= s)::INT) / count(*), 3) AS confidence, count(*) AS n
+FROM lineitem JOIN (SELECT *, greatest(b - a, e - c) * 0.25 AS s FROM m) ON l_suppkey = k GROUP BY l_suppkey""")
+def box_agreement(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("x0"), F.col("l_quantity").alias("x1"), (F.col("l_tax") * 100).alias("y0"), (F.col("l_discount") * 100).alias("y1"))
+    return seq.agreement(li, ["l_suppkey"], ["x0", "x1", "y0", "y1"], ("x0", "x1"), ("y0", "y1"), 0.25)
+
+
+@query("""WITH p AS (SELECT l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem),
+c AS (SELECT l_partkey, l_linenumber, count(*) AS votes, min(pos) AS f FROM p GROUP BY 1, 2)
+SELECT l_partkey, l_linenumber, votes FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, f) AS k FROM c) WHERE k = 1""")
+def modal_value(spark, d):
+    return seq.modal_value(table(spark, d, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"], "l_linenumber")
+
+
+@query("""WITH s AS (SELECT user_id, median(value) + greatest(2 * (stddev_pop(value) + 1e-6), 25) AS t FROM events GROUP BY 1)
+SELECT e.user_id, sum((value > t)::INT)::BIGINT AS anomalies FROM events e JOIN s ON e.user_id = s.user_id GROUP BY e.user_id""")
+def adaptive_anomaly(spark, d):
+    return seq.anomalies(table(spark, d, "events"), ["user_id"], "value", 2.0).groupBy("user_id").agg(F.sum(F.col("anomalous").cast("int")).alias("anomalies"))
+
+
+@query("SELECT event_type, CASE WHEN value > 0 THEN event_id END AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def argmax_first(spark, d):
+    return seq.argmax_first(table(spark, d, "events"), ["event_type"], "event_id", "value")
+
+
+def _motion(spark, d):
+    w = Window.partitionBy("user_id").orderBy(*EVENT)
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return e.select("user_id", "ts", "event_id", F.round(F.col("value") - F.lag("value").over(w), 4).alias("dx"), (F.col("k") - F.lag("k").over(w)).alias("dy"), "value", "k").filter("dx IS NOT NULL")
+
+
+_MOTION = """WITH m AS (SELECT * FROM (SELECT user_id, ts, event_id, value, k, round(value - lag(value) OVER w, 4) AS dx, k - lag(k) OVER w AS dy
+FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dx IS NOT NULL) """
+
+
+@query(_MOTION + """, s AS (SELECT user_id, CASE WHEN round(sum(abs(dx)), 3) >= round(sum(abs(dy)), 3) THEN 'x' ELSE 'y' END AS axis, median(abs(dx)) AS med_dx, median(abs(dy)) AS med_dy FROM m GROUP BY 1),
+c AS (SELECT s.user_id, axis, med_dx, med_dy, sum((d > 3)::INT) AS u, sum((d < -3)::INT) AS v FROM (SELECT m.user_id, CASE WHEN axis = 'x' THEN dx ELSE dy END AS d FROM m JOIN s ON m.user_id = s.user_id) q JOIN s ON q.user_id = s.user_id GROUP BY 1, 2, 3, 4)
+SELECT user_id, axis, (u + v)::BIGINT AS n_events, CASE WHEN u + v > 0 THEN round(greatest(u, v) / (u + v), 6) ELSE 0 END AS coherence, med_dx, med_dy,
+CASE WHEN med_dy > 2 AND med_dy >= med_dx THEN 'scroll_vertical' WHEN med_dx > 2 AND med_dx > med_dy THEN 'scroll_horizontal'
+WHEN u + v >= 4 AND greatest(u, v) * 100 >= (u + v) * 85 THEN CASE WHEN axis = 'y' THEN 'scroll_vertical' ELSE 'scroll_horizontal' END ELSE 'paginated' END AS mode FROM c""")
+def advance_mode(spark, d):
+    return seq.advance_mode(_motion(spark, d), ["user_id"], "dx", "dy", 150.0)
+
+
+@query(_MOTION + """, s AS (SELECT *, CASE WHEN abs(dx) > 20 THEN 'match' WHEN dy >= 0 AND dy < 50 THEN 'fallback' ELSE 'unresolved' END AS resolution FROM m)
+SELECT user_id, event_id, resolution, round(sum(CASE resolution WHEN 'match' THEN greatest(dx, 0) WHEN 'fallback' THEN dy ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 3) AS "offset" FROM s""")
+def conditional_offsets(spark, d):
+    out = seq.running_offsets(_motion(spark, d), ["user_id"], EVENT, F.col("dx"), F.abs("dx") > 20, F.col("dy"), F.lit(50.0))
+    return out.select("user_id", "event_id", "resolution", F.round("offset", 3).alias("offset"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS f, (l_orderkey % 5000)::INT AS off FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 11 = 0),
+b AS (SELECT r::INT AS b, (r * 200)::INT AS y0, (r * 200 + 200)::INT AS y1 FROM range(0, 26) t(r)),
+p AS (SELECT f, off, b, (off <= y0 AND off + 450 >= y1) AS inside, off < y1 AND off + 450 > y0 AS touch FROM f, b),
+n AS (SELECT *, sum(inside::INT) OVER (PARTITION BY b) AS k FROM p WHERE touch)
+SELECT b, f, inside, k < 3 AS fallback FROM n WHERE k < 3 OR inside""")
+def band_cover_join(spark, d):
+    frames = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 11 = 0").select(F.col("l_orderkey").alias("f"), (F.col("l_orderkey") % 5000).cast("int").alias("off"))
+    bands = spark.range(26).select(F.col("id").cast("int").alias("b"), (F.col("id") * 200).cast("int").alias("y0"), (F.col("id") * 200 + 200).cast("int").alias("y1"))
+    frames = frames.withColumn("off", F.col("off"))
+    out = seq.band_cover(frames, bands.withColumn("b", F.col("b").cast("long")), 450, 200)
+    return out.select(F.col("b").cast("int").alias("b"), "f", "inside", "fallback")
+
+
+_MAD = """WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1),
+a AS (SELECT e.event_type, median(abs(value - med)) AS mad FROM events e JOIN m ON e.event_type = m.event_type GROUP BY 1),
+z AS (SELECT e.event_type, event_id, abs(value - med) / (1.4826 * (mad + 1e-6)) AS z FROM events e JOIN m ON e.event_type = m.event_type JOIN a ON e.event_type = a.event_type) """
+
+
+@query(_MAD + "SELECT event_type, event_id, round(z, 4) AS z FROM z WHERE z > 3.5")
+def mad_outliers(spark, d):
+    return seq.mad_z(table(spark, d, "events"), ["event_type"], "value").filter("z > 3.5").select("event_type", "event_id", F.round("z", 4).alias("z"))
+
+
+@query(_MAD + """, o AS (SELECT *, sum(f) OVER (PARTITION BY event_type ORDER BY event_id) AS event FROM (SELECT *, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) <= 300 THEN 0 ELSE 1 END AS f FROM z WHERE z > 3.5))
+SELECT event_type, event::INT AS event, event_id + 1 AS "start", round(z, 4) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY event_type, event ORDER BY z DESC, event_id) AS k FROM o) WHERE k = 1""")
+def boundary_candidates(spark, d):
+    z = seq.mad_z(table(spark, d, "events"), ["event_type"], "value")
+    return seq.outlier_events(z, ["event_type"], "event_id", "z", 3.5, 300).select("event_type", "event", "start", F.round("peak", 4).alias("peak"))
+
+
+@query("""WITH p AS (SELECT label, vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+SELECT label, vec_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i]::DOUBLE - b[i]::DOUBLE) ** 2))), 4) AS distance FROM p WHERE b IS NOT NULL""")
+def adjacent_distance(spark, d):
+    out = seq.adjacent_distance(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding")
+    return out.filter("distance IS NOT NULL").select("label", "vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("""WITH s AS (SELECT p_brand AS k, count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), t AS (SELECT *, least(64, greatest(8, n)) AS bins FROM s),
+c AS (SELECT k, n, lo, hi, bins, least(floor((p_retailprice - lo) / (hi - lo) * bins), bins - 1) AS bin, count(*) AS c FROM part JOIN t ON p_brand = k WHERE n >= 2 AND lo < hi GROUP BY 1, 2, 3, 4, 5, 6),
+m AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / bins AS center FROM c),
+r AS (SELECT *, sum(c) OVER w AS w0, sum(c * center) OVER w AS s0, sum(c * center) OVER (PARTITION BY k) AS st FROM m WINDOW w AS (PARTITION BY k ORDER BY bin)),
+b AS (SELECT *, coalesce(round(w0 * (n - w0) * (s0 / w0 - (st - s0) / nullif(n - w0, 0)) ** 2 / (n * n), 6), 0) AS v FROM r)
+SELECT k AS p_brand, round(center, 4) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, bin) AS i FROM b) WHERE i = 1
+UNION ALL SELECT k, round(hi, 4) FROM t WHERE n < 2 OR lo = hi""")
+def otsu_threshold(spark, d):
+    return seq.otsu(table(spark, d, "part"), ["p_brand"], "p_retailprice").select("p_brand", F.round("threshold", 4).alias("threshold"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT p_brand, p_partkey, p_size AS h, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+f AS (SELECT p_brand, p_partkey, h, k, 0 AS sheet, 0 AS y FROM i WHERE k = 1 UNION ALL
+SELECT i.p_brand, i.p_partkey, i.h, i.k, CASE WHEN f.y + f.h + 3 + i.h <= 150 THEN f.sheet ELSE f.sheet + 1 END, CASE WHEN f.y + f.h + 3 + i.h <= 150 THEN f.y + f.h + 3 ELSE 0 END FROM f JOIN i ON i.p_brand = f.p_brand AND i.k = f.k + 1)
+SELECT p_brand, p_partkey, h AS p_size, sheet, y FROM f""")
+def page_packing(spark, d):
+    return seq.pack(table(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_size", 150, 3)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = m THEN 50.0 WHEN l_quantity * 100 < 50 * 55 THEN 50.0 ELSE 50.0 - l_quantity + 25 END AS kept, (l_linenumber = m) AS last, l_linenumber <> m AND l_quantity * 100 < 50 * 55 AS guarded
+FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
+def trim_guard(spark, d):
+    li = table(spark, d, "lineitem").withColumn("last", F.col("l_linenumber") == F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
+    guarded = ~F.col("last") & (F.col("l_quantity") * 100 < 50 * 55)
+    kept = F.when(F.col("last") | guarded, 50.0).otherwise(F.lit(50.0) - F.col("l_quantity") + 25)
+    return li.select("l_orderkey", "l_linenumber", kept.alias("kept"), "last", guarded.alias("guarded"))
+
+
+@query("SELECT p_brand, p_partkey, greatest(1, round_even(p_size * (2240.0 / max(p_size) OVER (PARTITION BY p_brand))::DOUBLE, 0))::INT AS width FROM part")
+def uniform_scale(spark, d):
+    scale = F.lit(2240.0) / F.max("p_size").over(Window.partitionBy("p_brand"))
+    return table(spark, d, "part").select("p_brand", "p_partkey", F.greatest(F.lit(1), F.bround(F.col("p_size") * scale, 0)).cast("int").alias("width"))
+
+
+@query("""WITH c AS (SELECT l_suppkey, sum((l_returnflag = 'R')::INT) AS issues, sum((l_discount = 0)::INT) AS low, max((l_tax > 0.07)::INT) AS overlap, sum((l_quantity > 49)::INT) AS cuts, sum(l_quantity) AS ink FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+SELECT l_suppkey, greatest(0.0, round(100.0 - 15 * issues - 10 * low - 25 * overlap - 20 * cuts - CASE WHEN ink > 3000 THEN 30 WHEN ink > 300 THEN 10 ELSE 0 END, 1))::DOUBLE AS score FROM c""")
+def report_score(spark, d):
+    c = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy("l_suppkey").agg(
+        F.sum((F.col("l_returnflag") == "R").cast("int")).alias("issues"), F.sum((F.col("l_discount") == 0).cast("int")).alias("low"), F.max((F.col("l_tax") > 0.07).cast("int")).alias("overlap"),
+        F.sum((F.col("l_quantity") > 49).cast("int")).alias("cuts"), F.sum("l_quantity").alias("ink"),
+    )
+    return c.select("l_suppkey", folds.penalty_score(*(F.col(x) for x in ("issues", "low", "overlap", "cuts", "ink"))).alias("score"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def history_recent(spark, d):
+    return seq.recent(table(spark, d, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("""WITH b AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(n.c_custkey, b.c_custkey) AS c_custkey, coalesce(n.c_name, b.c_name) AS c_name, round(coalesce(n.c_acctbal, b.c_acctbal), 2) AS c_acctbal, b.c_custkey IS NULL AS late FROM b FULL JOIN n ON b.c_custkey = n.c_custkey""")
+def history_upsert(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_custkey").alias("position"))
+    new = c.filter("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "position")
+    out = seq.upsert(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "position")
+    return out.select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), F.col("place.late").alias("late"))
+
+
+@query("SELECT c_custkey, c_name, c_custkey = 7 AS appended FROM customer")
+def profile_replace(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return seq.replace_to_end(c, c.filter("c_custkey = 7"), "c_custkey")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS encoded FROM events")
+def history_json(spark, d):
+    parsed = F.from_json("props", "k int")
+    return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("encoded"))
+
+
+@query("""SELECT p_brand, p_size, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_type <> 'none') WHERE k = 1""")
+def format_best(spark, d):
+    best = Window.partitionBy("p_brand", "p_size").orderBy(F.coalesce("p_retailprice", F.lit(0.0)).desc(), "p_partkey")
+    parts = table(spark, d, "part").filter(F.coalesce("p_type", F.lit("none")) != "none")
+    return parts.withColumn("k", F.row_number().over(best)).filter("k = 1").select("p_brand", "p_size", "p_partkey")
+
+
+@query("""WITH f AS (SELECT p_size, min(p_partkey) AS p FROM part GROUP BY p_size) SELECT l_orderkey, l_linenumber, p AS p_partkey FROM lineitem LEFT JOIN f ON l_quantity = p_size""")
+def profile_match(spark, d):
+    left = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("size"))
+    right = table(spark, d, "part").select(F.col("p_size").alias("size"), "p_partkey", F.col("p_partkey").alias("position"))
+    return seq.first_match(left, right, ["size"], "position").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN c <> '' THEN c ELSE 'song_' || p_partkey END AS name, printf('%02d - %s.pdf', (p_partkey % 100)::INT, c) AS numbered
+FROM (SELECT p_partkey, trim(regexp_replace(p_name || '/é½' || p_type || '. ', '[^\p{L}\p{N} _-]', '_', 'g'), ' .') AS c FROM part)""")
+def safe_name(spark, d):
+    raw = F.concat("p_name", F.lit("/é½"), "p_type", F.lit(". "))
+    name = tx.safe_file_name(raw, F.concat(F.lit("song_"), F.col("p_partkey").cast("string")))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), tx.numbered_name((F.col("p_partkey") % 100).cast("int"), name).alias("numbered"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(u, '^(?i)https?://[^/?#\s]+[^\s]*$') THEN u END AS url FROM (SELECT page_id, CASE WHEN contains(r, '://') THEN r ELSE 'https://' || r END AS u FROM (SELECT page_id, trim(CASE page_id % 3 WHEN 0 THEN replace(url, 'https://', ' ') WHEN 1 THEN replace(url, 'http', 'ftp') ELSE url END) AS r FROM pages))""")
+def normalise_url(spark, d):
+    raw = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("https://"), F.lit(" "))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", tx.normalise_url(raw).alias("url"))
+
+
+_RULES = [("stupid", "private"), ("license", "outdated"), ("the", "unavailable")]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{a}') THEN '{b}'" for a, b in _RULES) + " ELSE 'unknown' END AS kind FROM documents")
+def error_kind(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.first_rule(F.col("text"), _RULES, "unknown").alias("kind"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents)
+SELECT doc_id, left(array_to_string(l[greatest(1, len(l) - 3):], ' / '), 400) AS tail FROM l""")
+def stderr_tail(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.tail_lines(F.col("text")).alias("tail"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 4 THEN 'bass' WHEN 6 THEN 'guitar' WHEN 5 THEN 'staff' ELSE l_linenumber || ' lines' END AS label FROM lineitem")
+def instrument_label(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.instrument(F.col("l_linenumber")).alias("label"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE o_orderstatus END AS label FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def status_gate(spark, d):
+    return table(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", tx.mapped(F.col("o_orderstatus"), {"F": "finished"}, F.col("o_orderstatus")).alias("label"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 12")
+def progress_tail(spark, d):
+    return seq.last_rows(table(spark, d, "events"), ["user_id"], EVENT, 12).select("user_id", "event_id")
+
+
+@query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS probed, (value::BIGINT) AS dummy, CASE WHEN value >= 90 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS grade, printf('%d:%02d', (floor(value * 7) // 60)::INT, (floor(value * 7) % 60)::INT) AS clock FROM events".replace("(value::BIGINT) AS dummy, ", ""))
+def display_values(spark, d):
+    return table(spark, d, "events").select("event_id", tx.number_or_zero(F.col("event_type")).alias("probed"), tx.score_grade(F.col("value")).alias("grade"), tx.duration_text(F.col("value") * 7).alias("clock"))
+
+
+@query("""WITH n AS (SELECT user_id, count(*) AS k, sum((value > 50)::INT) AS hot FROM events GROUP BY 1) SELECT user_id, k, hot::BIGINT AS hot, k < 2 OR hot > 0 AS needs_review FROM n""")
+def overlap_flag(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("k"), F.sum((F.col("value") > 50).cast("int")).alias("hot")).withColumn("needs_review", (F.col("k") < 2) | (F.col("hot") > 0))
+
+
+@query()
+def measure_continuity(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise(F.col("o_orderkey")).cast("int").alias("number"))
+    return folds.continuity(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "number")
+
+
+@query()
+def segment_merge(spark, d):
+    return folds.segments(table(spark, d, "embeddings").withColumn("source", F.lit("v")), ["source"], ["vec_id"], "embedding", z_limit=2.0, floor=0.0)

@@ -348,7 +348,7 @@ def progress_tail(spark, d):
     return seq.last_rows(table(spark, d, "events"), ["user_id"], EVENT, 12).select("user_id", "event_id")
 
 
-@query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS probed, (value::BIGINT) AS dummy, CASE WHEN value >= 90 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS grade, printf('%d:%02d', (floor(value * 7) // 60)::INT, (floor(value * 7) % 60)::INT) AS clock FROM events".replace("(value::BIGINT) AS dummy, ", ""))
+@query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS probed, (value::BIGINT) AS dummy, CASE WHEN value >= 90 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS grade, printf('%d:%02d', floor(value * 7)::INT // 60, floor(value * 7)::INT % 60) AS clock FROM events".replace("(value::BIGINT) AS dummy, ", ""))
 def display_values(spark, d):
     return table(spark, d, "events").select("event_id", tx.number_or_zero(F.col("event_type")).alias("probed"), tx.score_grade(F.col("value")).alias("grade"), tx.duration_text(F.col("value") * 7).alias("clock"))
 

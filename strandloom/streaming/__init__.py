@@ -1 +1 @@
-
+"""Stateful streams: the ordered operators over rows that arrive in order for each key."""

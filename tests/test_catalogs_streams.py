@@ -64,3 +64,16 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.video, r.frame) for r in seq.page_wraps(batch, ["video"], ["frame"], "x", F.lit(30.0)).collect()}
     assert {(r.video, r.frame) for r in spark.table("w").collect()} == want
     assert spark.table("o").groupBy("video").agg(F.max("offset")).count() == 3 and abs(spark.table("o").agg(F.max("offset")).first()[0] - max(sum(x for v, _, x in rows if v == k) for k in ("v0", "v1", "v2"))) < 1e-6
+
+
+def test_decoder_metadata(spark):
+    import json
+
+    from strandloom.sources import decode
+
+    assert list(decode.progress(iter(["frame=1", "out_time_us=500000", "out_time_us=N/A", "out_time_us=9000000", "progress=end"]), 2.0)) == [0.25, 1.0, 1.0]
+    assert list(decode.progress(iter(["out_time_us=5", "progress=end"]), 0.0)) == [1.0]
+    formats = [("a", 720, 30.0, "avc"), ("b", 1080, 30.0, "avc"), ("c", 1080, 60.0, "vp9"), ("d", None, None, "avc"), ("e", None, None, "none"), ("f", 1080, 60.0, "av1"), ("g", 480, 30.0, None)]
+    text = json.dumps({"title": "t", "formats": [{"format_id": i, "height": h, "fps": f, "vcodec": v} for i, h, f, v in formats]})
+    got = decode.best_formats(spark.createDataFrame([("1", text)], "id string, json string")).orderBy("rank").collect()
+    assert [r.format_id for r in got] == ["c", "a", "d"] and got[0].duration == 0.0

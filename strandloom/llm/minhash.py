@@ -5,15 +5,16 @@
    combination, however many copies there are.
 2. Signatures are cut into bands; equal bands form buckets. Two sets of similarity 0.8 share no band
    with probability (1 - 0.8**4)**32 < 5e-8.
-3. In each bucket all members are verified against the smallest set, the pivot, on full sets.
+3. In each bucket all members are verified against a pivot, on full sets: the member that meets most
+   others over all its buckets, which for a family of copies is the one closest to its source.
    Verified links connect; a bucket whose members are connected is done.
-4. The members of small open buckets are verified in pairs. In larger ones no pair is enumerated:
-   if x and y are linked and one of them is not linked to the pivot p, then x and y share an element
-   that p lacks. (Otherwise the intersection lies in p, and since p is no larger than x and y, both
-   would be as similar to p as to each other.) So each member takes new buckets, one for each of
-   its elements outside p, of which a prefix in hash order suffices: at least
-   ceil(0.8 |x|) - |x n p| of them are shared. These buckets start again at 3.
-   They never hold p, so this ends, and no link within a bucket is lost.
+4. The members of open buckets of up to ``SMALL`` are verified in pairs. In larger ones no bucket is
+   enumerated. Let P be the pivot's set p and all elements that more than ``SMALL`` members of p's
+   buckets have besides. If x and y are linked, |x n y| >= 4/9 (|x| + |y|), and there are two cases.
+   They share an element outside P: such elements are held by few, whose pairs are verified. Or
+   x n y lies in P: then |x n P| and |y n P| both reach 4/9 (|x| + |y|). Members for which that is
+   possible are near; near ones in the pivot's component are connected already, and each other
+   near one meets the near ones of those sizes that its own overlap allows, which are verified.
 
 Work and rows grow with the documents and their buckets, not with pairs of a group.
 
@@ -35,7 +36,9 @@ from strandloom.llm.shingles import _PLACE, shingle_sets, super_minhash
 
 BANDS, ROWS = 32, 4
 #: Buckets of up to so many sets are verified in pairs, larger ones through pivots.
-SMALL = 6
+SMALL = 48
+#: Ratio of the size classes.
+CLASS = 1.005
 #: Links need PER * intersection >= LEAST * union.
 LEAST, PER = 80, 100
 
@@ -102,25 +105,66 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return _paired(pairs, texts).mapInArrow(run, T.StructType.fromDDL("a bigint, b bigint"))
 
 
-def refine(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """New buckets (key, rep, n) of members a under their pivot b: elements of a outside b, a prefix of them."""
+def outside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(b, element, a, n, inside) of each element that member a has and its pivot b lacks; one null element if none."""
 
     def run(batches):
         for batch in batches:
-            keys, reps, sizes = [], [], []
+            elements, members, pivots, sizes, common = [], [], [], [], []
             ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
             for (a, b), x, p in zip(ids, _sets(batch, "text_a", k), _sets(batch, "text_b", k), strict=True):
-                inside = _shared(x, p)
-                outside = x[~inside]
-                needed = max(1, -(-LEAST * len(x) // PER) - int(inside.sum()))
-                prefix = outside[: max(0, len(outside) - needed + 1)]
-                keys.append(mix64(prefix ^ mix64(np.array([b], np.int64).view(np.uint64))))
-                reps.append(np.full(len(prefix), a, np.int64))
-                sizes.append(np.full(len(prefix), len(x), np.int64))
-            keys, reps, sizes = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (keys, reps, sizes))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "rep": pa.array(reps), "n": pa.array(sizes)})
+                own = x[~_shared(x, p)]
+                inside, rows = len(x) - len(own), max(1, len(own))
+                elements.append(own.view(np.int64) if len(own) else np.zeros(1, np.int64))
+                for out, value in ((members, a), (pivots, b), (sizes, len(x)), (common, inside)):
+                    out.append(np.full(rows, value, np.int64))
+            columns = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (pivots, elements, members, sizes, common))
+            yield pa.RecordBatch.from_pydict(dict(zip(("b", "element", "a", "n", "inside"), map(pa.array, columns), strict=True)))
+
+    return _paired(pairs, texts).mapInArrow(run, T.StructType.fromDDL("b bigint, element bigint, a bigint, n bigint, inside bigint"))
+
+
+def _across(groups: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (a, b) of different components in groups of up to SMALL (rep, component)."""
+    gathered = groups.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rep", "component"))).alias("m"))
+    each = gathered.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+    return each.filter("x.rep < y.rep AND x.component <> y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def hot_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Pairs still to verify in open buckets of more than SMALL members (rep, pivot): step 4."""
+    named = lambda df, rep: df.join(labels.withColumnRenamed("component", "found"), F.col(rep) == F.col("node"), "left").select(*df.columns, F.coalesce("found", rep).alias("component"))
+    parts = materialise(outside(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), texts, k), "outside")
+    held = materialise(parts.groupBy("b", "element").agg(F.count("*").alias("held")).filter("held > 1"), "held")
+    few = parts.join(held.filter(F.col("held") <= SMALL), ["b", "element"]).select("b", "element", F.col("a").alias("rep"))
+    pairs = _across(named(few, "rep"), ["b", "element"])
+    many = held.filter(F.col("held") > SMALL).select("b", "element", F.lit(1).alias("many"))
+    inside = F.max("inside") + F.sum(F.when(F.col("inside") < F.col("n"), F.coalesce("many", F.lit(0))).otherwise(0))
+    each = parts.join(many, ["b", "element"], "left").groupBy("b", "a", "n").agg(inside.alias("inside"))
+    near = named(each.filter(F.col("inside") * PER >= F.col("n") * LEAST).withColumnRenamed("a", "rep"), "rep")
+    home = labels.select(F.col("node").alias("h"), F.col("component").alias("home"))
+    near = near.join(home, F.col("b") == F.col("h"), "left").select("b", "rep", "n", "inside", "component", F.coalesce("home", "b").alias("home"))
+    near = materialise(near, "near")
+    most = (F.col("inside") * (PER + LEAST) / LEAST - F.col("n")).alias("most")
+    size = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(CLASS))).cast("int")
+    lone = near.filter("component <> home").select("*", most).select(
+        "b", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "most",
+        F.explode(F.sequence(size(F.greatest(F.lit(1), F.floor(F.col("n") * LEAST / PER))), F.greatest(size(F.greatest(F.lit(1), F.col("most"))), size(F.greatest(F.lit(1), F.floor(F.col("n") * LEAST / PER)))))).alias("size"),
+    )
+    rest = near.select("b", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), most.alias("most_y"), size(F.col("n")).alias("size"))
+    allowed = (F.col("cx") != F.col("cy")) & (F.col("ny") <= F.col("most")) & (F.col("nx") <= F.col("most_y"))
+    met = lone.join(rest, ["b", "size"]).filter(allowed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(met).distinct()
+
 
-    return _paired(pairs, texts).mapInArrow(run, T.StructType.fromDDL("key bigint, rep bigint, n bigint"))
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """Members (key, rep, n, c, pivot) of the buckets of two or more."""
+    shared = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
+    members = materialise(rows.join(shared, "key"), "bucket-members")
+    met = members.groupBy(F.col("rep").alias("m_rep")).agg(F.sum("c").alias("met"))
+    best = members.join(met, F.col("rep") == F.col("m_rep")).groupBy("key").agg(F.max(F.struct("met", (-F.col("n")).alias("small"), (-F.col("rep")).alias("less"))).alias("best"))
+    best = materialise(best.select("key", (-F.col("best")["less"]).alias("pivot")), "pivots")
+    return materialise(members.join(best, "key"), "members")
 
 
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
@@ -130,31 +174,21 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     identity = ["n", "s1", "s2"]
     copies = materialise(sketches.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("rep")), "copies")
     rows = sketches.join(copies, [*identity]).filter("doc_id = rep").select(F.explode("bands").alias("key"), "rep", "n")
-    texts = links = labels = None
-    while True:
-        buckets = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("n", "rep")).alias("pivot")).filter("c > 1")
-        buckets = materialise(buckets.select("key", "c", F.col("pivot.rep").alias("pivot")), "buckets")
-        members = materialise(rows.join(buckets, "key"), "members")
-        if texts is None:
-            wanted = members.select(F.col("rep").alias("wanted")).distinct()
-            texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"]), "texts")
-        stars = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = materialise(verify(stars, texts, k), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = connect(links)
-        component = F.coalesce("component", "rep")
-        open_ = members.join(labels, members["rep"] == labels["node"], "left").select(*members.columns, component.alias("component"))
-        split = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        open_ = materialise(open_.join(split, "key"), "open")
-        gathered = open_.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "pivot", "component"))).alias("m"))
-        each = gathered.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        apart = "x.rep < y.rep AND x.component <> y.component AND x.rep <> x.pivot AND y.rep <> x.pivot"
-        pairs = each.filter(apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        links = links.unionByName(materialise(verify(pairs, texts, k), "links"))
-        large = open_.filter((F.col("c") > SMALL) & (F.col("rep") != F.col("pivot")))
-        if large.isEmpty():
-            break
-        rows = materialise(refine(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), texts, k).distinct(), "refined")
+    members = with_pivots(rows)
+    wanted = members.select(F.col("rep").alias("wanted")).distinct()
+    texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    stars = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = materialise(verify(stars, texts, k), "links")
+    labels = materialise(connect(links), "labels")
+    component = F.coalesce("component", "rep").alias("component")
+    labelled = members.join(labels, members["rep"] == labels["node"], "left").select(*members.columns, component)
+    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    open_ = materialise(labelled.join(split, "key"), "open")
+    pairs = _across(open_.filter(F.col("c") <= SMALL), ["key"]).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(materialise(verify(pairs, texts, k), "links"))
+    large = open_.filter((F.col("c") > SMALL) & (F.col("rep") != F.col("pivot")))
+    if not large.isEmpty():
+        links = links.unionByName(materialise(verify(hot_pairs(large, labels, texts, k), texts, k), "links"))
     labels = connect(links)
     named = copies.join(labels, copies["rep"] == labels["node"], "left").select(*identity, F.coalesce("component", "rep").alias("component"))
     named = materialise(named, "named")

@@ -50,7 +50,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("k", [4])
 def test_groups_equal_brute_force(spark, monkeypatch, k):
-    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "SMALL", 4)
     rows = corpus(k)
     docs = spark.createDataFrame([(i, t, None, None, None, "clash") for i, t in rows], SCHEMA).repartition(3)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, k).collect()}

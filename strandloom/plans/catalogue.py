@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import planes as pl
 from strandloom.functions import text as tx
 from strandloom.operators import folds, seq
+from strandloom.plans import transcribe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -367,3 +369,78 @@ def measure_continuity(spark, d):
 @query()
 def segment_merge(spark, d):
     return folds.segments(table(spark, d, "embeddings").withColumn("source", F.lit("v")), ["source"], ["vec_id"], "embedding", z_limit=2.0, floor=0.0)
+
+
+_BGR = "(l_partkey * 7 % 256)::INT AS b, (l_suppkey * 13 % 256)::INT AS g, (l_orderkey * 31 % 256)::INT AS r"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, {_BGR} FROM lineitem), h AS (SELECT *, greatest(b, g, r) AS v, least(b, g, r) AS low FROM p),
+s AS (SELECT *, round_even((b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE), 0)::INT AS grey, CASE WHEN v > 0 THEN round_even(((v - low) * 255.0::DOUBLE / v), 0)::INT ELSE 0 END AS s FROM h)
+SELECT l_orderkey, l_linenumber, grey, s, v, s < 40 AND v > 170 AS paper, grey < 200 AS ink, CASE WHEN grey > 195 THEN 255 ELSE 0 END AS bit, b >= 10 AND b < 200 AND g >= 20 AND g < 220 AS inside, CASE WHEN b >= 10 AND b < 200 AND g >= 20 AND g < 220 THEN 0 ELSE grey END AS masked, b BETWEEN 6 AND 34 AND g BETWEEN 3 AND 40 AS digit,
+CASE WHEN r <= 4 THEN 1 ELSE greatest(8, least(120, r // 6)) END::INT AS half FROM s""")
+def pixel_planes(spark, d):
+    c = lambda name, k: (F.col(name) * k % 256).cast("int")
+    px = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_partkey", 7).alias("b"), c("l_suppkey", 13).alias("g"), c("l_orderkey", 31).alias("r"))
+    bgr = (F.col("b"), F.col("g"), F.col("r"))
+    px = px.select("*", pl.luma(*bgr).alias("grey"), pl.saturation(*bgr).alias("s"), pl.value(*bgr).alias("v"), pl.inside(F.col("b"), F.col("g"), (10, 20, 200, 220)).alias("inside"))
+    return px.select(
+        "l_orderkey", "l_linenumber", "grey", "s", "v", pl.is_paper(F.col("s"), F.col("v")).alias("paper"), pl.is_ink(F.col("grey")).alias("ink"), pl.binarised(F.col("grey")).alias("bit"),
+        "inside", F.when(F.col("inside"), 0).otherwise(F.col("grey")).alias("masked"), pl.is_digit_sized(F.col("b"), F.col("g")).alias("digit"), pl.strip_half(F.col("r")).alias("half"),
+    )
+
+
+@query("""WITH c AS (SELECT l_suppkey, sum((l_partkey % 256 < 128)::INT) AS total, sum((l_partkey % 256 < 128 AND l_linenumber > 1)::INT) AS kept FROM lineitem GROUP BY 1)
+SELECT l_suppkey, total::BIGINT AS total, greatest(0, total - kept)::BIGINT AS discarded, CASE WHEN greatest(0, total - kept) > 3000 THEN 'error' WHEN greatest(0, total - kept) > 300 THEN 'warning' ELSE 'ok' END AS flag FROM c""")
+def ink_counts(spark, d):
+    ink = F.col("l_partkey") % 256 < 128
+    c = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(ink.cast("int")).alias("total"), F.sum((ink & (F.col("l_linenumber") > 1)).cast("int")).alias("kept"))
+    lost = F.greatest(F.lit(0), F.col("total") - F.col("kept"))
+    return c.select("l_suppkey", "total", lost.alias("discarded"), pl.ink_flag(lost).alias("flag"))
+
+
+@query(_WRAP + f""", s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, event_id FROM e WHERE b IS NULL OR value < b - {_DROP})
+SELECT user_id, event_id AS "start", lead(event_id, 1, 999999999) OVER (PARTITION BY user_id ORDER BY page) AS "next" FROM s""")
+def page_bounds(spark, d):
+    starts = seq.page_wraps(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP)))
+    w = Window.partitionBy("user_id").orderBy(*EVENT)
+    return starts.select("user_id", F.col("event_id").alias("start"), F.lead("event_id", 1, 999999999).over(w).alias("next"))
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'asked ' || p_partkey END, CASE WHEN p_partkey % 2 = 0 THEN p_name END, 'Song ' || (p_size + 1)) AS title FROM part""")
+def override_precedence(spark, d):
+    parts = table(spark, d, "part")
+    asked = parts.filter("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("asked "), F.col("p_partkey").cast("string")).alias("asked"))
+    stored = parts.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_name").alias("stored"))
+    told = parts.select("p_partkey", "p_size").join(asked, "p_partkey", "left").join(stored, "p_partkey", "left")
+    return told.select("p_partkey", F.coalesce("asked", "stored", F.format_string("Song %d", F.col("p_size") + 1)).alias("title"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN k = 1 THEN f || '.pdf' ELSE f || ' (' || k || ').pdf' END AS name FROM (SELECT s_suppkey, 'n' || s_nationkey AS f, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + (s_nationkey < 5)::INT AS k FROM supplier)")
+def free_file_names(spark, d):
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"), F.lit(".pdf"))
+    wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), name("s_nationkey").alias("name"))
+    return transcribe.free_names(wanted, table(spark, d, "nation").filter("n_nationkey < 5").select(name("n_nationkey").alias("name")))
+
+
+@query("""SELECT ordinal, id FROM (SELECT row_number() OVER (ORDER BY song, id) AS ordinal, id FROM (SELECT 0 AS song, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation))""")
+def ordered_concat(spark, d):
+    pages = table(spark, d, "supplier").select(F.lit(0).alias("song"), F.col("s_suppkey").alias("id")).unionByName(table(spark, d, "nation").select(F.lit(1).alias("song"), F.col("n_nationkey").cast("long").alias("id")))
+    # page numbers of one document: its pages are few
+    return pages.select(F.row_number().over(Window.orderBy("song", "id")).cast("long").alias("ordinal"), "id")
+
+
+@query("SELECT o_custkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS bounds FROM (SELECT DISTINCT o_custkey, o_orderkey % 7 AS k FROM orders) GROUP BY 1")
+def sorted_bounds(spark, d):
+    bounds = F.array_sort(F.array_distinct(F.collect_list(F.col("o_orderkey") % 7)))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(bounds.alias("b")).select("o_custkey", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("bounds"))
+
+
+@query("SELECT c_custkey, length(c_name) BETWEEN 1 AND 200 AND c_custkey > 0 AND c_acctbal IS NOT NULL AND c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AS ok FROM customer")
+def profile_checks(spark, d):
+    from strandloom.sources.frames import valid_profile
+
+    mode = F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "paginated").otherwise("other")
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("video_width"), F.lit(1).alias("video_height"), F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("region"), mode.alias("mode")
+    )
+    return rows.select("c_custkey", valid_profile().alias("ok"))

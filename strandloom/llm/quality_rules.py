@@ -144,8 +144,10 @@ def judge(measured: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass every rule, with the input's columns."""
-    judged = judge(measure(docs))
-    return judged.filter("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a filter over plain projections would be pushed below them, with every metric written out for
+    # each use; the row number, which is not deterministic, keeps it above
+    numbered = measure(docs).select("*", F.monotonically_increasing_id().alias("__q_row"))
+    return judge(numbered).filter("__q_kept AND __q_row >= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -9,7 +9,7 @@
    others over all its buckets, which for a family of copies is the one closest to its source.
    Verified links connect; a bucket whose members are connected is done.
 4. The members of open buckets of up to ``SMALL`` are verified in pairs. In larger ones no bucket is
-   enumerated. Let P be the pivot's set p and all elements that more than ``SMALL`` members of p's
+   enumerated. Buckets whose pivots are of one component share one pivot. Let P be its set p and all elements that more than ``SMALL`` members of p's
    buckets have besides. If x and y are linked, |x n y| >= 4/9 (|x| + |y|), and there are two cases.
    They share an element outside P: such elements are held by few, whose pairs are verified. Or
    x n y lies in P: then |x n P| and |y n P| both reach 4/9 (|x| + |y|). Members for which that is
@@ -18,7 +18,7 @@
 
 Work and rows grow with the documents and their buckets, not with pairs of a group.
 
-Defined results: a text without words has an empty set and links to nothing; null and empty texts
+Defined results: a null doc_id has no component, and ``keep_one`` keeps it; a text without words has an empty set and links to nothing; null and empty texts
 are alike; repeated rows stay separate rows of one component; other columns are ignored.
 """
 
@@ -134,7 +134,14 @@ def _across(groups: DataFrame, key: list[str]) -> DataFrame:
 def hot_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Pairs still to verify in open buckets of more than SMALL members (rep, pivot): step 4."""
     named = lambda df, rep: df.join(labels.withColumnRenamed("component", "found"), F.col(rep) == F.col("node"), "left").select(*df.columns, F.coalesce("found", rep).alias("component"))
-    parts = materialise(outside(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), texts, k), "outside")
+    # one pivot serves all buckets whose pivots are of one component: the one that meets most
+    pivots = large.select(F.col("pivot").alias("b"), "met").distinct()
+    pivots = pivots.join(labels, F.col("b") == F.col("node"), "left").select("b", "met", F.coalesce("component", "b").alias("home"))
+    roots = materialise(pivots.groupBy("home").agg(F.max_by("b", F.struct("met", (-F.col("b")).alias("less"))).alias("root")), "roots")
+    served = materialise(pivots.join(roots, "home").select(F.col("b").alias("pivot"), "root"), "served")
+    pairs = large.select("rep", "pivot").distinct().join(served, "pivot").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    pairs = pairs.unionByName(served.select(F.col("pivot").alias("a"), F.col("root").alias("b"))).distinct()
+    parts = materialise(outside(pairs, texts, k), "outside")
     held = materialise(parts.groupBy("b", "element").agg(F.count("*").alias("held")).filter("held > 1"), "held")
     few = parts.join(held.filter(F.col("held") <= SMALL), ["b", "element"]).select("b", "element", F.col("a").alias("rep"))
     pairs = _across(named(few, "rep"), ["b", "element"])
@@ -158,12 +165,12 @@ def hot_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, k: int) ->
 
 
 def with_pivots(rows: DataFrame) -> DataFrame:
-    """Members (key, rep, n, c, pivot) of the buckets of two or more."""
+    """Members (key, rep, n, c, pivot, met) of the buckets of two or more."""
     shared = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
     members = materialise(rows.join(shared, "key"), "bucket-members")
     met = members.groupBy(F.col("rep").alias("m_rep")).agg(F.sum("c").alias("met"))
     best = members.join(met, F.col("rep") == F.col("m_rep")).groupBy("key").agg(F.max(F.struct("met", (-F.col("n")).alias("small"), (-F.col("rep")).alias("less"))).alias("best"))
-    best = materialise(best.select("key", (-F.col("best")["less"]).alias("pivot")), "pivots")
+    best = materialise(best.select("key", (-F.col("best")["less"]).alias("pivot"), F.col("best")["met"].alias("met")), "pivots")
     return materialise(members.join(best, "key"), "members")
 
 
@@ -199,8 +206,10 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """One document of each group, the least doc_id, with the input's columns (one row of repeated rows)."""
-    kept = near_duplicates(docs, k).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.dropDuplicates(["doc_id"]).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = near_duplicates(named, k).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    alone = named.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    return alone.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

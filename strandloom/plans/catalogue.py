@@ -199,6 +199,18 @@ def band_cover_join(spark, d):
     return out.select(F.col("b").cast("int").alias("b"), "f", "inside", "fallback")
 
 
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 5000)::INT AS off FROM lineitem),
+b AS (SELECT r::INT AS b, (r * 200)::INT AS y0, (r * 200 + 200)::INT AS y1 FROM range(0, 26) t(r)),
+p AS (SELECT l_orderkey, l_linenumber, b, (off <= y0 AND off + 450 >= y1) AS inside FROM f JOIN b ON off < y1 AND off + 450 > y0),
+n AS (SELECT *, sum(inside::INT) OVER (PARTITION BY b) AS k FROM p)
+SELECT b, l_orderkey, l_linenumber, inside, k < 3 AS fallback FROM n WHERE k < 3 OR inside""")
+def band_cover_lines(spark, d):
+    """``band_cover_join`` where every line is a frame."""
+    frames = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("f"), (F.col("l_orderkey") % 5000).cast("int").alias("off"))
+    bands = spark.range(26).select(F.col("id").alias("b"), (F.col("id") * 200).cast("int").alias("y0"), (F.col("id") * 200 + 200).cast("int").alias("y1"))
+    return seq.band_cover(frames, bands, 450, 200).select(F.col("b").cast("int").alias("b"), "f.*", "inside", "fallback")
+
+
 _MAD = """WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1),
 a AS (SELECT e.event_type, median(abs(value - med)) AS mad FROM events e JOIN m ON e.event_type = m.event_type GROUP BY 1),
 z AS (SELECT e.event_type, event_id, abs(value - med) / (1.4826 * (mad + 1e-6)) AS z FROM events e JOIN m ON e.event_type = m.event_type JOIN a ON e.event_type = a.event_type) """

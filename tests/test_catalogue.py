@@ -41,3 +41,16 @@ def test_query_equals_sql(spark, duck, name):
 def test_queries_without_sql_run(spark):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_every_line_is_a_frame(spark):
+    lines = catalogue.table(spark, DATA, "lineitem").select("l_orderkey", "l_linenumber").collect()
+    frames = [(x.l_orderkey, x.l_linenumber, x.l_orderkey % 5000) for x in lines]
+    want = []
+    for b in range(26):
+        touch = [(b, k, n, off <= b * 200 and off + 450 >= b * 200 + 200) for k, n, off in frames if off < b * 200 + 200 and off + 450 > b * 200]
+        few = sum(x[3] for x in touch) < 3
+        want += [(*x, few) for x in touch if few or x[3]]
+    got = [tuple(x) for x in catalogue.QUERIES["band_cover_lines"](spark, DATA).collect()]
+    assert sorted(got) == sorted(want)
+    assert {x[1:3] for x in got} == {x[:2] for x in frames}

@@ -2,13 +2,15 @@
 
 Tokens are words of whole texts, labelled outside (0), begin (1) or inside (2) a secret. Features
 are hashed codes of a token's shape, its leading letters, the neighbouring words and their shapes,
-and the file's share of odd tokens. Plain words cannot be part of a secret, as a constraint of the
-model; the chain therefore falls into runs of other tokens between certain outsides, which Viterbi
-decodes exactly, all runs of a block side by side.
+the file's share of odd tokens, and whether a key-like word or a separator stands before or in it.
+Every token is scored, plain words too. Where the scores prove that the best labelling has an
+outside, whatever the neighbours are, the chain is split; Viterbi decodes the rest exactly, all runs
+of a block side by side.
 
 The field is trained here, on matches of the fixed patterns in at most ``TRAIN_DOCS`` documents
-chosen by hash of doc_id, and at most ``TRAIN_RUNS`` runs of them. Its spans are added where no
-pattern matched.
+chosen by hash of doc_id, and at most ``TRAIN_RUNS`` runs of them. Runs are pieces of whole texts;
+of those of plain words alone one in ``PLAIN`` is taken and counts ``PLAIN`` times. Its spans are
+added where no pattern matched.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; an
 untrained field (empty table) adds nothing; other columns are ignored.
@@ -37,9 +39,13 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
 TRAIN_DOCS, TRAIN_RUNS, TRAIN_RUN_LENGTH = 6000, 30_000, 64
+#: Tokens of a piece of text in training, and the share of plain pieces.
+PIECE, PLAIN = 16, 8
+#: Words that announce a secret, anywhere in a token.
+KEYS = re.compile(rb"pass|pwd|key|secret|token|cred|auth", re.IGNORECASE)
 BLOCK_BYTES = 1_000_000
 #: Codes of each feature.
-SIZES = (2048, 1024, 2048, 2048, 512, 512, 16)
+SIZES = (2048, 1024, 2048, 2048, 512, 512, 16, 32)
 
 _DIGIT, _UPPER, _LOWER, _SYMBOL, _HEX = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, np.uint8)
@@ -71,7 +77,7 @@ def _bucket(x: np.ndarray, edges: tuple) -> np.ndarray:
 
 
 class Tokens:
-    """Words of a block of rows with their byte spans, and features of those that may be secrets."""
+    """Words of a block of rows with their byte spans, and their features."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.words, self.at = word_hashes(data, bounds)
@@ -93,7 +99,13 @@ class Tokens:
         change[1:] = kind[1:] != kind[:-1]
         self.changes = count(change)
         mixed = (self.uppers > 1) & (self.lowers > 0)
-        self.active = (self.size >= 8) & ((self.digits > 0) | mixed | (self.symbols > 2))
+        self.odd = (self.size >= 8) & ((self.digits > 0) | mixed | (self.symbols > 2))
+        parts = (data == ord(":")) | (data == ord("="))
+        self.parted = parts[self.end - 1] if n else np.zeros(0, bool)
+        self.parts = count(parts) > self.parted
+        self.keys = np.zeros(n, bool)
+        at = np.array([m.start() for m in KEYS.finditer(data.tobytes())], np.int64)
+        self.keys[np.searchsorted(self.start, at, side="right") - 1] = True
 
     def shape(self) -> np.ndarray:
         present = sum((x > 0).astype(np.int64) << k for k, x in enumerate((self.digits, self.uppers, self.lowers, self.symbols)))
@@ -101,34 +113,37 @@ class Tokens:
         pure = (self.hexes == self.size - self.symbols).astype(np.int64)
         return ((present * 6 + share) * 2 + pure) * 8 + _bucket(self.size, (4, 8, 12, 16, 20, 32, 64))
 
-    def features(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of the active tokens, and their codes (active x features)."""
-        who = np.flatnonzero(self.active)
-        shape = self.shape()
+    def cue(self) -> np.ndarray:
+        """What announces a secret: a separator before the token, a key-like word before that, or both in the token."""
+        n = len(self.words)
+        back = lambda x, k: np.concatenate((np.zeros(min(k, n), x.dtype), x[: max(n - k, 0)]))
+        near, far = (np.concatenate((np.zeros(min(k, n), bool), self.row[k:] == self.row[: max(n - k, 0)])) for k in (1, 2))
+        bare = self.size == self.symbols
+        key = near & (back(self.keys, 1) | (far & back(bare, 1) & back(self.keys, 2)))
+        return ((near.astype(np.int64) + (near & back(self.parted, 1))) * 2 + key) * 4 + self.keys * 2 + self.parts
+
+    def features(self, data: np.ndarray) -> np.ndarray:
+        """Codes of all tokens (tokens x features)."""
         n = len(self.words)
+        who = np.arange(n)
+        shape = self.shape()
         before, after = np.maximum(who - 1, 0), np.minimum(who + 1, n - 1)
-        has_before = (who > 0) & (self.row[before] == self.row[who])
-        has_after = (who < n - 1) & (self.row[after] == self.row[who])
-        lead = np.zeros(len(who), np.int64)
+        has_before = (who > 0) & (self.row[before] == self.row)
+        has_after = (who < n - 1) & (self.row[after] == self.row)
+        lead = np.zeros(n, np.int64)
         for place in range(4):  # leading bytes stand for the token's name
-            at = np.minimum(self.start[who] + place, len(data) - 1)
-            lead = lead * 131 + np.where(place < self.size[who], np.where(_CLASS[data[at]] == _DIGIT, 48, data[at]), 0)
-        odd = np.bincount(self.row[who], minlength=self.row.max() + 1 if n else 1) / np.maximum(np.diff(self.at)[: self.row.max() + 1 if n else 1], 1)
-        changes = _bucket(self.changes[who] / self.size[who], (0.1, 0.2, 0.3, 0.45, 0.6))
-        codes = np.stack((
-            shape[who], lead % SIZES[1],
+            at = np.minimum(self.start + place, len(data) - 1)
+            lead = lead * 131 + np.where(place < self.size, np.where(_CLASS[data[at]] == _DIGIT, 48, data[at]), 0)
+        rows = len(self.at) - 1
+        odd = np.bincount(self.row[self.odd], minlength=rows) / np.maximum(np.diff(self.at), 1)
+        changes = _bucket(self.changes / self.size, (0.1, 0.2, 0.3, 0.45, 0.6))
+        return np.stack((
+            shape, lead % SIZES[1],
             np.where(has_before, (self.words[before] % np.uint64(SIZES[2] - 1)).astype(np.int64) + 1, 0),
             np.where(has_after, (self.words[after] % np.uint64(SIZES[3] - 1)).astype(np.int64) + 1, 0),
-            np.where(has_before, shape[before], 1) % SIZES[4], (shape[who] % 128) * 4 % SIZES[5] + np.minimum(changes, 3),
-            _bucket(odd[self.row[who]], (0.01, 0.03, 0.1, 0.3)),
+            np.where(has_before, shape[before], 1) % SIZES[4], (shape % 128) * 4 % SIZES[5] + np.minimum(changes, 3),
+            _bucket(odd, (0.01, 0.03, 0.1, 0.3))[self.row], self.cue(),
         ), axis=1)
-        return who, codes
-
-    def runs(self, who: np.ndarray) -> np.ndarray:
-        """Bounds of the runs of neighbouring active tokens of one row."""
-        fresh = np.ones(len(who), bool)
-        fresh[1:] = (np.diff(who) != 1) | (self.row[who[1:]] != self.row[who[:-1]])
-        return np.concatenate((np.flatnonzero(fresh), [len(who)]))
 
 
 class Field:
@@ -142,6 +157,25 @@ class Field:
     def scores(self, codes: np.ndarray) -> np.ndarray:
         return sum(t[codes[:, k]] for k, t in enumerate(self.tables))
 
+    def open_tokens(self, scores: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that are not certainly outside, and the bounds of their runs within a row.
+
+        A token of label y becomes an outside, and an inside after it a begin: if that gains for every y and all
+        neighbours, the best labelling has an outside there.
+        """
+        step, n = self.step, len(scores)
+        ahead = np.full(n, np.inf)  # what the token after gains as a begin, not an inside
+        next_row = row[1:] == row[:-1]
+        ahead[:-1][next_row] = (scores[1:, 1] - scores[1:, 2])[next_row] + (step[1] - step[2]).min()
+        sure = np.ones(n, bool)
+        for y in (1, 2):
+            gain = scores[:, 0] - scores[:, y] + (step[:, 0] - step[:, y]).min()
+            sure &= gain + np.minimum((step[0, :2] - step[y, :2]).min(), step[0, 1] - step[y, 2] + ahead) > 1e-6
+        who = np.flatnonzero(~sure)
+        fresh = np.ones(len(who), bool)
+        fresh[1:] = (np.diff(who) != 1) | (row[who[1:]] != row[who[:-1]])
+        return who, np.concatenate((np.flatnonzero(fresh), [len(who)]))
+
     def viterbi(self, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Best labels of every run, all runs step by step together."""
         labels = np.zeros(len(scores), np.int64)
@@ -166,57 +200,60 @@ class Field:
             label[:live] = back[at, label[:live]]
         return labels
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 0.02) -> Field:
-        """Maximum likelihood with a Gaussian prior: exact gradients by forward-backward, AdaGrad steps."""
+    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 0.02, weights: np.ndarray | None = None) -> Field:
+        """Maximum likelihood with a Gaussian prior: exact gradients by scaled forward-backward, AdaGrad steps; a run counts ``weights`` times."""
         size = np.diff(bounds)
         width, runs = int(size.max()), len(size)
+        often = np.ones(runs) if weights is None else weights
         at = np.minimum(bounds[:-1, None] + np.arange(width), len(codes) - 1)
         held = np.arange(width) < size[:, None]
         gold = np.where(held, labels[at], 0)
         seen = [np.full_like(t, 1e-8) for t in [*self.tables, self.step]]
-        truth = np.eye(3)[labels]
+        truth, each = np.eye(3)[labels], np.repeat(often, size)[:, None]
+        on = held[:, 1:]
+        known = np.bincount((gold[:, :-1] * 3 + gold[:, 1:])[on], weights=np.broadcast_to(often[:, None], on.shape)[on], minlength=9).reshape(3, 3)
         for _ in range(rounds):
-            score = np.where(held[..., None], self.scores(codes)[at], np.array([0.0, -1e9, -1e9]))
+            score = self.scores(codes)
+            emit = np.where(held[..., None], np.exp(score - score.max(axis=1, keepdims=True))[at], np.array([1.0, 0.0, 0.0])).transpose(1, 0, 2)
+            jump = np.exp(self.step)
             ahead, behind = np.zeros((width, runs, 3)), np.zeros((width, runs, 3))
-            ahead[0] = self.step[0] + score[:, 0]
+            ahead[0] = jump[0] * emit[0]
             for t in range(1, width):
-                ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, :, None] + self.step, axis=1) + score[:, t]
-            behind[-1] = self.step[:, 0]
+                ahead[t - 1] /= ahead[t - 1].sum(axis=1, keepdims=True)
+                ahead[t] = (ahead[t - 1] @ jump) * emit[t]
+            behind[-1] = jump[:, 0]
             for t in range(width - 2, -1, -1):
-                behind[t] = np.logaddexp.reduce(self.step + (score[:, t + 1] + behind[t + 1])[:, None, :], axis=2)
-            whole = np.logaddexp.reduce(ahead[-1] + behind[-1], axis=1)
-            chance = np.exp(ahead + behind - whole[None, :, None]).transpose(1, 0, 2)
+                behind[t] = (emit[t + 1] * behind[t + 1]) @ jump.T
+                behind[t] /= behind[t].sum(axis=1, keepdims=True)
+            chance = ahead * behind
+            chance /= chance.sum(axis=2, keepdims=True)
             flat = np.zeros((len(codes), 3))
-            flat[at[held]] = chance[held]
-            moves = np.zeros((3, 3))
-            for t in range(width - 1):
-                on = held[:, t + 1]
-                pair = np.exp(ahead[t][:, :, None] + self.step + (score[:, t + 1] + behind[t + 1])[:, None, :] - whole[:, None, None])[on].sum(axis=0)
-                np.add.at(moves, (gold[on, t], gold[on, t + 1]), 1)
-                moves -= pair
-            moves[0] += truth[bounds[:-1]].sum(axis=0) - flat[bounds[:-1]].sum(axis=0)
+            flat[at[held]] = chance.transpose(1, 0, 2)[held]
+            coming = emit[1:] * behind[1:]
+            share = often * on.T / ((ahead[:-1] @ jump) * coming).sum(axis=2)
+            moves = known - jump * ((ahead[:-1] * share[..., None]).reshape(-1, 3).T @ coming.reshape(-1, 3))
+            wrong = (truth - flat) * each
+            moves[0] += wrong[bounds[:-1]].sum(axis=0)
             slopes = []
             for k, table in enumerate(self.tables):
-                slope = np.zeros_like(table)
-                np.add.at(slope, codes[:, k], truth - flat)
+                slope = np.stack([np.bincount(codes[:, k], weights=wrong[:, y], minlength=len(table)) for y in range(3)], axis=1)
                 slopes.append(slope - decay * table)
             slopes.append(moves - decay * self.step)
-            for weights, slope, past in zip([*self.tables, self.step], slopes, seen, strict=True):
+            for own, slope, past in zip([*self.tables, self.step], slopes, seen, strict=True):
                 past += slope**2
-                weights += rate * slope / np.sqrt(past)
+                own += rate * slope / np.sqrt(past)
         self.step[0, 2] = -1e9
         return self
 
 
 def _rows(column: pa.Array):
-    """For each block: first row, data, bounds, tokens, active token numbers, codes and runs."""
+    """For each block: first and last row, data, bounds, tokens and codes."""
     data, offsets = utf8_view(column)
     for start, end in blocks(offsets, BLOCK_BYTES):
         own = offsets[start : end + 1]
         part, bounds = data[own[0] : own[-1]], own - own[0]
         tokens = Tokens(part, bounds)
-        who, codes = tokens.features(part)
-        yield start, end, part, bounds, tokens, who, codes, tokens.runs(who)
+        yield start, end, part, bounds, tokens, tokens.features(part)
 
 
 def _byte_spans(text: str, raw: bytes, spans) -> list[tuple[int, int]]:
@@ -230,6 +267,17 @@ def _byte_spans(text: str, raw: bytes, spans) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(tokens: Tokens, label: np.ndarray):
+    """Bounds of the pieces of every row; none ends within a secret."""
+    for a, end in zip(tokens.at.tolist(), tokens.at[1:].tolist(), strict=False):
+        while a < end:
+            b = min(a + PIECE, end)
+            while b < end and label[b] == 2:
+                b += 1
+            yield a, b
+            a = b
+
+
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
     """A field fitted to a bounded sample; None if the sample has no secret."""
     total = docs.count()
@@ -240,7 +288,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             draws = batch.column("draw").to_pylist()
-            for start, end, _, bounds, tokens, who, codes, runs in _rows(batch.column("text")):
+            for start, end, _, bounds, tokens, codes in _rows(batch.column("text")):
                 label = np.zeros(len(tokens.words), np.int64)
                 for r in range(start, end):
                     text = texts[r] or ""
@@ -249,21 +297,24 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
                         label[i:j] = 2
                         label[i] = 1
                 rows = []
-                for k, (a, b) in enumerate(zip(runs, runs[1:], strict=False)):
-                    if 0 < b - a <= TRAIN_RUN_LENGTH:
-                        rows.append((draws[start + tokens.row[who[a]]], k, codes[a:b].astype(np.int16).tobytes(), label[who[a:b]].astype(np.int8).tobytes()))
-                columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["draw", "k", "codes", "labels"])
+                odd = np.concatenate(([0], np.cumsum(tokens.odd | tokens.parts | tokens.parted | tokens.keys | (label > 0))))
+                for k, (a, b) in enumerate(_pieces(tokens, label)):
+                    plain = bool(odd[a] == odd[b])
+                    if b - a <= TRAIN_RUN_LENGTH and (not plain or int(tokens.words[a:b].sum()) % PLAIN == 0):
+                        rows.append((draws[start + tokens.row[a]], k, codes[a:b].astype(np.int16).tobytes(), label[a:b].astype(np.int8).tobytes(), plain))
+                columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["draw", "k", "codes", "labels", "plain"])
 
     sample = docs.select("text", draw.alias("draw")).filter(F.col("draw") < share)
-    runs = sample.mapInArrow(run, T.StructType.fromDDL("draw bigint, k bigint, codes binary, labels binary"))
+    runs = sample.mapInArrow(run, T.StructType.fromDDL("draw bigint, k bigint, codes binary, labels binary, plain boolean"))
     got = runs.orderBy("draw", "k", "codes").limit(TRAIN_RUNS).collect()
     codes = [np.frombuffer(x["codes"], np.int16).reshape(-1, len(SIZES)) for x in got]
     labels = [np.frombuffer(x["labels"], np.int8) for x in got]
     if not any(x.any() for x in labels):
         return None
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in labels])))
-    return Field().fit(np.concatenate(codes).astype(np.int64), np.concatenate(labels).astype(np.int64), bounds)
+    weights = np.where([x["plain"] for x in got], float(PLAIN), 1.0)
+    return Field().fit(np.concatenate(codes).astype(np.int64), np.concatenate(labels).astype(np.int64), bounds, weights=weights)
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -273,12 +324,14 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), []
-            for start, end, part, bounds, tokens, who, codes, runs in _rows(batch.column("text")):
+            for start, end, part, bounds, tokens, codes in _rows(batch.column("text")):
                 hexes = np.zeros(end - start, bool)
                 hexes[tokens.row[tokens.hexes >= LEAST["hex"][1]]] = True
                 found: dict[int, list[tuple[int, int]]] = {}
-                if field is not None and len(who):
-                    label = field.viterbi(field.scores(codes), runs)
+                if field is not None and len(codes):
+                    scores = field.scores(codes)
+                    who, runs = field.open_tokens(scores, tokens.row)
+                    label = field.viterbi(scores[who], runs)
                     opened = np.flatnonzero(label == 1)
                     for i in opened.tolist():
                         j = i + 1

@@ -79,3 +79,52 @@ def test_training_separates():
     bounds = np.arange(0, 2 * n + 1, 2)
     field = ss.Field().fit(codes, labels, bounds)
     assert (field.viterbi(field.scores(codes), bounds) == labels).mean() > 0.99
+
+
+def test_every_token_is_scored(spark):
+    r = random.Random(5)
+    letters = lambda n, s: "".join(r.choice(s) for _ in range(n))
+    low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = []
+    for i in range(600):
+        words = [letters(r.randint(2, 9), low) for _ in range(r.randint(10, 50))]
+        for _ in range(2):
+            value = letters(r.randint(14, 20), r.choice((low, high, low + "0123456789", low + high + "+/")))
+            words.insert(r.randint(0, len(words)), f"{r.choice(('password', 'Secret', 'TOKEN', 'api_key'))}{r.choice((' : ', ' = ', ': '))}{value}")
+        words.insert(r.randint(0, len(words)), r.choice(("note : and", "at 10.20.30.40 there", "x@mail5.example.com", "the key of it")))
+        texts.append(" ".join(words))
+    schema = "doc_id long, text string"
+    field = ss.train(spark.createDataFrame(list(enumerate(texts)), schema))
+    secrets = ("correcthorsebattery", "QWERTYUIOPASDFGH", "zq8$kd02#mv61@xp")
+    probes = [f"here the words stand pwd : {secrets[0]} and go on", f"here the words stand KEY: {secrets[1]} and go on", f"here the words stand Pwd = {secrets[2]} and go on", "here only the plain words stand and go on"]
+    rows = ss.scan(spark.createDataFrame(list(enumerate(probes)), schema), field).orderBy("doc_id").collect()
+    for x, text, secret in zip(rows, probes, secrets, strict=False):
+        assert x.n_assign == x.n_access == x.n_hex == 0
+        assert x.spans == f"crf:{text.index(secret)}:{text.index(secret) + len(secret)}"
+    assert rows[3].spans == ""
+
+
+def test_split_chain_keeps_the_best_labels():
+    r = np.random.default_rng(4)
+    split = 0
+    for seed in range(40):
+        field = ss.Field()
+        field.step = r.normal(size=(3, 3))
+        field.step[0, 2] = -1e9
+        row = np.sort(r.integers(0, 12, 200))
+        scores = r.normal(size=(200, 3)) * 3 + [4, 0, 0]
+        whole = field.viterbi(scores, np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1, [200])))
+        who, runs = field.open_tokens(scores, row)
+        labels = np.zeros(200, np.int64)
+        labels[who] = field.viterbi(scores[who], runs)
+        assert (labels == whole).all()
+        split += 200 - len(who)
+    assert split > 1000
+
+
+def test_pieces_hold_every_token():
+    data = ("plain words " * 40 + "password = abcdefghijklmnop end").encode()
+    tokens = ss.Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    pieces = list(ss._pieces(tokens, np.zeros(len(tokens.words), np.int64)))
+    assert [i for a, b in pieces for i in range(a, b)] == list(range(len(tokens.words)))
+    assert len(tokens.features(np.frombuffer(data, np.uint8))) == len(tokens.words)

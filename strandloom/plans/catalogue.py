@@ -279,6 +279,17 @@ def report_score(spark, d):
     return c.select("l_suppkey", folds.penalty_score(*(F.col(x) for x in ("issues", "low", "overlap", "cuts", "ink"))).alias("score"))
 
 
+@query("""WITH c AS (SELECT l_suppkey, l_orderkey, sum((l_returnflag = 'R')::INT) AS issues, sum((l_discount = 0)::INT) AS low, max((l_tax > 0.07)::INT) AS overlap, sum((l_quantity > 49)::INT) AS cuts, sum(l_quantity) AS ink FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_orderkey, greatest(0.0, round(100.0 - 15 * issues - 10 * low - 25 * overlap - 20 * cuts - CASE WHEN ink > 3000 THEN 30 WHEN ink > 300 THEN 10 ELSE 0 END, 1))::DOUBLE AS score FROM c""")
+def report_score_orders(spark, d):
+    """``report_score`` over every line, by supplier and order."""
+    c = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(
+        F.sum((F.col("l_returnflag") == "R").cast("int")).alias("issues"), F.sum((F.col("l_discount") == 0).cast("int")).alias("low"), F.max((F.col("l_tax") > 0.07).cast("int")).alias("overlap"),
+        F.sum((F.col("l_quantity") > 49).cast("int")).alias("cuts"), F.sum("l_quantity").alias("ink"),
+    )
+    return c.select("l_suppkey", "l_orderkey", folds.penalty_score(*(F.col(x) for x in ("issues", "low", "overlap", "cuts", "ink"))).alias("score"))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def history_recent(spark, d):
     return seq.recent(table(spark, d, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -293,6 +304,16 @@ def history_upsert(spark, d):
     return out.select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), F.col("place.late").alias("late"))
 
 
+@query("""WITH b AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)
+SELECT coalesce(n.c_custkey, b.c_custkey) AS c_custkey, coalesce(n.c_name, b.c_name) AS c_name, round(coalesce(n.c_acctbal, b.c_acctbal), 2) AS c_acctbal, b.c_custkey IS NULL AS late FROM b FULL JOIN n ON b.c_custkey = n.c_custkey""")
+def history_upsert_all(spark, d):
+    """``history_upsert`` where every customer is in at least one input."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_custkey").alias("position"))
+    new = c.filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "position")
+    out = seq.upsert(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "position")
+    return out.select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), F.col("place.late").alias("late"))
+
+
 @query("SELECT c_custkey, c_name, c_custkey = 7 AS appended FROM customer")
 def profile_replace(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name")

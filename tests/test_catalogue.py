@@ -54,3 +54,12 @@ def test_every_line_is_a_frame(spark):
     got = [tuple(x) for x in catalogue.QUERIES["band_cover_lines"](spark, DATA).collect()]
     assert sorted(got) == sorted(want)
     assert {x[1:3] for x in got} == {x[:2] for x in frames}
+
+
+def test_every_line_counts_and_every_customer_is_kept(spark, duck):
+    score = catalogue.QUERIES["report_score_orders"](spark, DATA).toPandas()
+    assert len(score) == duck.sql("SELECT count(DISTINCT (l_suppkey, l_orderkey)) FROM lineitem").fetchall()[0][0]
+    assert score.score.nunique() > 2
+    kept = catalogue.QUERIES["history_upsert_all"](spark, DATA).toPandas()
+    assert sorted(kept.c_custkey) == [k for k, in duck.sql("SELECT c_custkey FROM customer ORDER BY 1").fetchall()]
+    assert kept.late.any() and not kept.late.all()

@@ -12,6 +12,8 @@ take separate slots; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,8 +66,8 @@ def _label(column: str) -> Column:
     return F.pmod(F.coalesce(F.crc32(F.col(column)), F.lit(0)), F.lit(1 << BITS)).cast("int")
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, curve and the global rank of each row in curve order.
+def ranked(docs: DataFrame, carried: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, curve, the global rank of each row in curve order, and the ``carried`` columns.
 
     The rank needs no single-task window: the rows are range-partitioned and sorted once, kept as a
     table, and each partition's first rank is the sum of the counts before it. The joined counts
@@ -76,9 +78,10 @@ def ranked(docs: DataFrame) -> DataFrame:
     by_size = F.least(F.floor(F.log2(size.cast("double")) * 1.5), F.lit((1 << BITS) - 1)).cast("int")
     rows = docs.select(
         "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
-        by_size.alias("q_size"), _label("lang").alias("q_lang"), _label("source").alias("q_source"),
+        by_size.alias("q_size"), _label("lang").alias("q_lang"), _label("source").alias("q_source"), *carried,
     )
-    rows = rows.select("doc_id", "size", "text_crc32", "text_hash", _curve("q_size", "q_lang", "q_source").alias("curve"))
+    more = rows.columns[len(rows.columns) - len(carried) :]
+    rows = rows.select("doc_id", "size", "text_crc32", "text_hash", _curve("q_size", "q_lang", "q_source").alias("curve"), *more)
     order = ["curve", "text_hash", "doc_id", "size"]
     placed = materialise(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("place")), "shard-order"
@@ -92,21 +95,23 @@ def ranked(docs: DataFrame) -> DataFrame:
     )
     local = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(F.broadcast(starts), part == F.col("part")).select(
-        "doc_id", "size", "text_crc32", "curve", (F.col("start") + local).alias("rank"), "total"
+        "doc_id", "size", "text_crc32", "curve", (F.col("start") + local).alias("rank"), "total", *more
     )
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, carried: Sequence[Column] = ()) -> DataFrame:
     """Add shard and slot by cutting the order into runs of equal counts."""
-    rows = ranked(docs).select("*", F.expr(f"cast(rank * {shards} div total as int)").alias("shard"))
+    rows = ranked(docs, carried)
+    more = rows.columns[len(rows.columns) - len(carried) :]
+    rows = rows.select("*", F.expr(f"cast(rank * {shards} div total as int)").alias("shard"))
     first = F.expr(f"(shard * total + {shards} - 1) div {shards}")
-    return rows.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"))
+    return rows.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - first).alias("slot"), *more)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents as one sorted run per shard (doc_id must be unique)."""
-    placed = assign(docs, shards).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    docs.join(placed, F.col("doc_id") == F.col("__id")).drop("__id").repartitionByRange("shard", "slot").sortWithinPartitions(
+    """Write whole documents as one sorted run per shard: every row once, also of a null or repeated doc_id."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot"))).alias("document")
+    assign(docs, shards, [whole]).select("document.*", "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions(
         "shard", "slot"
     ).write.partitionBy("shard").parquet(path)
 

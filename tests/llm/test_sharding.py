@@ -46,3 +46,12 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+def test_written_rows_are_whole(spark, tmp_path):
+    rows = [(None, "a", "en", "s", 1), (None, "b", "de", "s", 1), (7, "same", "en", "s", 1), (7, "same", "en", "s", 1), (7, "other", None, "s", 2), (8, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sharding.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in back) == Counter(rows)
+    assert len({(x.shard, x.slot) for x in back}) == len(rows)

@@ -64,6 +64,14 @@ def even_sample(spark, d):
     return seq.even_sample(table(spark, d, "events"), ["user_id"], EVENT, 7).select("user_id", "event_id", "pos")
 
 
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, CASE WHEN least(40, n) = 1 THEN 0 ELSE (j * (n - 1)) // (least(40, n) - 1) END AS pos FROM (SELECT DISTINCT user_id, n FROM p), range(0, 40) t(j) WHERE j < least(40, n))
+SELECT p.user_id, p.event_id, p.pos::INT AS pos FROM p JOIN s ON p.user_id = s.user_id AND p.pos = s.pos""")
+def even_sample_40(spark, d):
+    """``even_sample`` with the survey's k."""
+    return seq.even_sample(table(spark, d, "events"), ["user_id"], EVENT, 40).select("user_id", "event_id", "pos")
+
+
 @query("""WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)
 SELECT user_id, event_id, (pos - 2)::INT AS pos, greatest(0, least(99, (SELECT count(*) FROM events e WHERE e.user_id = p.user_id) - 1)) AS clamped FROM p WHERE pos BETWEEN 2 AND 5""")
 def frame_slice(spark, d):

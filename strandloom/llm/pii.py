@@ -31,6 +31,7 @@ ATTEMPTS = 60
 
 #: Forms of address by gender.
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
 _ADDRESS = rf"(?:{MALE}|{FEMALE})\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -38,11 +39,18 @@ IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\dA-Za-z.])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
-PHONE = r"(?<![\dA-Za-z.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\dA-Za-z])"
-NAME = rf"(?<!\p{{L}}){_ADDRESS} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+#: Three, three and four digits; after "+" 7 to 15 digits in any groups; ten digits, of which the first is not 1.
+PHONE = (
+    r"(?<![\dA-Za-z.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    rf"|\+(?!{_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))[1-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?\d){{6,14}}|[02-9]\d{{9}}(?!\.\d))(?![\dA-Za-z])"
+)
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+_CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?![\p{L}\d])"
+_PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|das|do|du|la|le|las|los|bin|ibn|ter|ten) |d['’]){0,3}"
+NAME = rf"(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
 ENTITY = "|".join((EMAIL, IP, IBAN, SSN, CARD, PHONE, NAME))
 #: What every entity contains.
-HINT = rf"[0-9@]|{_ADDRESS} \p{{Lu}}"
+HINT = rf"[0-9@]|{_ADDRESS} \p{{L}}"
 
 TYPES = ("email", "ip", "iban", "ssn", "card", "phone", "name")
 
@@ -78,10 +86,12 @@ def type_of(entity: Column) -> Column:
 
 def canonical(kind: Column, entity: Column) -> Column:
     """What forms of one entity have in common. A name keeps its gender and loses its form of address."""
+    called = F.regexp_replace(entity, rf"^{_ADDRESS} ", "")
+    plain = F.array_join(F.transform(F.split(F.lower(called), "(?<=[ '’-])"), F.initcap), "")
     gender = F.when(entity.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
     return (
         F.when(kind == "email", F.lower(entity))
-        .when(kind == "name", F.concat(gender, F.regexp_replace(entity, rf"^{_ADDRESS} ", "")))
+        .when(kind == "name", F.concat(gender, F.when(called == F.upper(called), plain).otherwise(called)))
         .when(kind.isin("ip", "iban"), entity)
         .otherwise(F.regexp_replace(entity, "[^0-9+]", ""))
     )
@@ -154,7 +164,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _scramble(F.substring(canon, F.lit(3), size), h)))
             .when(kind == "ssn", digits(h, F.lit(0), F.lit(1)))
             .when(kind == "card", card(h))
-            .when(kind == "phone", digits(h, F.greatest(F.lit(0), size - 10), F.lit(2)))
+            .when(kind == "phone", digits(h, F.greatest(F.when(canon.rlike(r"^\+[2-9]"), 3).otherwise(0), size - 10), F.lit(2)))
             .when(kind == "name", name(h))
         )
 
@@ -165,10 +175,11 @@ def written(kind: Column, entity: Column, made: Column) -> Column:
     """A canonical surrogate in the form of one occurrence."""
     figures = F.regexp_replace(made, r"\D", "")
     nth = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", ""))
+    called, named = F.regexp_replace(entity, rf"^{_ADDRESS} ", ""), F.substring(made, F.lit(2), F.length(made))
     filled = F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(figures, nth(i + 1), F.lit(1))).otherwise(c)), "")
     return (
         F.when(kind == "email", F.when(entity == F.upper(entity), F.upper(made)).otherwise(made))
-        .when(kind == "name", F.concat(F.regexp_extract(entity, rf"^{_ADDRESS} ", 0), F.substring(made, F.lit(2), F.length(made))))
+        .when(kind == "name", F.concat(F.regexp_extract(entity, rf"^{_ADDRESS} ", 0), F.when(called == F.upper(called), F.upper(named)).otherwise(named)))
         .when(kind.isin("ip", "iban"), made)
         .otherwise(filled)
     )

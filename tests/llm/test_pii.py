@@ -53,3 +53,19 @@ def test_collisions_are_resolved(spark, monkeypatch):
         made = [t.split()[1] for t in new[:160]]
         assert len(set(made)) == 160 and not set(made) & {t.split()[1] for t in texts[:160]}
         assert set(new[160:]) == {f"{new[0]} and {new[1].removeprefix('to ')}"}
+
+
+def test_other_phones_and_names(spark):
+    texts = ["call +44 20 7946 0958 now", "call +49 30 901820, please", "call 6655558922.", "from +10.20.30.40 at 1700000000", "+44 (0)20 7946 0958"]
+    names = ["Mr McDonald came", "Mr O'Brien came", "Herr von der Leyen kam", "Señora de la Cruz vino", "MR SMITH, BOSS", "Mr Smith came", "MRS. O'BRIEN, BOSS", "Mr Jan van Dyke came"]
+    docs = make(spark, texts + names)
+    new = [x.text for x in pii.pseudonymise(docs).orderBy("doc_id").collect()]
+    kinds = [[e.kind for e in x["__p_found"]] for x in pii.detect(docs).orderBy("doc_id").collect()]
+    assert kinds == [["phone"], ["phone"], ["phone"], ["ip"], ["phone"]] + [["name"]] * 8
+    assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4} now", new[0]) and new[0] != texts[0]
+    assert re.fullmatch(r"call \+49 \d\d \d{6}, please", new[1]) and new[1] != texts[1]
+    assert re.fullmatch(r"call \d{10}\.", new[2]) and new[2] != texts[2] and new[3].endswith("at 1700000000")
+    for was, now in zip(names, new[5:], strict=True):
+        assert not any(part in now for part in ("Donald", "Brien", "BRIEN", "Leyen", "Cruz", "SMITH", "Smith", "Dyke")), (was, now)
+    assert new[9].split()[1].rstrip(",") == new[10].split()[1].upper()
+    assert new[11].endswith(", BOSS") and new[12].startswith("Mr ") and new[12].endswith(" came")

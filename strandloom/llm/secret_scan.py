@@ -1,24 +1,29 @@
 """Secret scanning: fixed patterns, and a linear-chain conditional random field over tokens.
 
 Tokens are words of whole texts, labelled outside (0), begin (1) or inside (2) a secret. Features
-are hashed codes of a token's shape, its leading letters, the neighbouring words and their shapes,
-the file's share of odd tokens, and whether a key-like word or a separator stands before or in it.
-Every token is scored, plain words too. Where the scores prove that the best labelling has an
-outside, whatever the neighbours are, the chain is split; Viterbi decodes the rest exactly, all runs
-of a block side by side.
-
-The field is trained here, on matches of the fixed patterns in at most ``TRAIN_DOCS`` documents
-chosen by hash of doc_id, and at most ``TRAIN_RUNS`` runs of them. Runs are pieces of whole texts;
-of those of plain words alone one in ``PLAIN`` is taken and counts ``PLAIN`` times. Its spans are
-added where no pattern matched.
+are codes of a token's shape, its make-up (class changes, consonants in a row, twins, joints), the
+word before, the shapes on both sides, the file's share of odd tokens, and whether a key-like word
+or a separator stands before or in it. Every token is scored, plain words too. Where the scores
+prove that the best labelling has an outside, whatever the neighbours are, the chain is split;
+Viterbi decodes the rest exactly, all runs of a block side by side.
+
+The field is trained here, on at most ``TRAIN_DOCS`` documents chosen by hash of doc_id, and at most
+``TRAIN_RUNS`` pieces of them. A document counts ``WAYS`` times: as it is, with the matches of the fixed
+patterns as labels, and then with drawn secrets of other forms and drawn look-alikes that are none
+(:mod:`strandloom.llm.secret_forms`) between its words, so that the field learns shape and
+surroundings instead of the patterns. Pieces that hold a doubtful token (long, letters and digits in
+many changes) without a label teach nothing: it may be a secret. Of pieces of plain words alone one in ``PLAIN`` is taken and
+counts ``PLAIN`` times. Spans of the field are added where no pattern matched; a span of one token
+leaves out a name before a separator, quotes, and closing punctuation.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; an
-untrained field (empty table) adds nothing; other columns are ignored.
+untrained field (a table without words) adds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm import secret_forms
 from strandloom.llm.common import blocks, documents, utf8_view
 from strandloom.llm.shingles import _BREAK, word_hashes
 
@@ -38,14 +44,16 @@ LEAST = {"assign": (2, 12), "access": (0, 18), "hex": (0, 16)}
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-TRAIN_DOCS, TRAIN_RUNS, TRAIN_RUN_LENGTH = 6000, 30_000, 64
-#: Tokens of a piece of text in training, and the share of plain pieces.
-PIECE, PLAIN = 16, 8
+TRAIN_DOCS, TRAIN_RUNS = 1500, 15_000
+#: Tokens of a piece of text in training, the share of plain pieces, and how often a document counts.
+PIECE, PLAIN, WAYS = 16, 8, 3
 #: Words that announce a secret, anywhere in a token.
-KEYS = re.compile(rb"pass|pwd|key|secret|token|cred|auth", re.IGNORECASE)
+KEYS = re.compile(rb"pass|pwd|key|secret|token|cred|auth|bearer|priv", re.IGNORECASE)
+#: A token's value: without a name and separator before it, quotes, and closing punctuation.
+VALUE = re.compile(r"""(?:\S{1,120}["']?[:=]+["']?(?=.{6}))?["'(\[{<]*(.+?)["',;.)\]}>!?]*$""", re.DOTALL)
 BLOCK_BYTES = 1_000_000
 #: Codes of each feature.
-SIZES = (2048, 1024, 2048, 2048, 512, 512, 16, 32)
+SIZES = (2048, 1024, 2048, 512, 512, 256, 16, 256)
 
 _DIGIT, _UPPER, _LOWER, _SYMBOL, _HEX = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, np.uint8)
@@ -54,6 +62,9 @@ _CLASS[ord("A") : ord("Z") + 1] = _UPPER
 _CLASS[ord("a") : ord("z") + 1] = _LOWER
 for _c in b"+/_=-:.\"'@#$%&|<>(){}[]":
     _CLASS[_c] = _SYMBOL
+_CONSONANT = np.zeros(256, bool)
+for _c in b"bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ":
+    _CONSONANT[_c] = True
 _IS_HEX = np.zeros(256, bool)
 for _c in b"0123456789abcdef":
     _IS_HEX[_c] = True
@@ -95,9 +106,13 @@ class Tokens:
         self.size = self.end - self.start
         self.digits, self.uppers, self.lowers = count(kind == _DIGIT), count(kind == _UPPER), count(kind == _LOWER)
         self.symbols, self.hexes = count(kind == _SYMBOL), count(_IS_HEX[data])
-        change = np.zeros(len(data), bool)
+        change, clash, twin = (np.zeros(len(data), bool) for _ in range(3))
         change[1:] = kind[1:] != kind[:-1]
-        self.changes = count(change)
+        clash[1:] = _CONSONANT[data[1:]] & _CONSONANT[data[:-1]]
+        twin[1:] = data[1:] == data[:-1]
+        self.changes, self.clashes, self.twins = count(change), count(clash), count(twin)
+        self.joints, self.dots, self.ats, self.slashes = (count(np.isin(data, list(c))) for c in (b"_-", b".", b"@", b"/"))
+        self.filled = (data == ord("="))[self.end - 1] if n else np.zeros(0, bool)
         mixed = (self.uppers > 1) & (self.lowers > 0)
         self.odd = (self.size >= 8) & ((self.digits > 0) | mixed | (self.symbols > 2))
         parts = (data == ord(":")) | (data == ord("="))
@@ -113,6 +128,10 @@ class Tokens:
         pure = (self.hexes == self.size - self.symbols).astype(np.int64)
         return ((present * 6 + share) * 2 + pure) * 8 + _bucket(self.size, (4, 8, 12, 16, 20, 32, 64))
 
+    def doubtful(self) -> np.ndarray:
+        """Tokens that may be secrets which no pattern knows: long, of letters and digits in many changes."""
+        return (self.size >= 16) & (self.digits > 1) & (self.uppers + self.lowers > 3) & (self.changes >= 0.2 * self.size)
+
     def cue(self) -> np.ndarray:
         """What announces a secret: a separator before the token, a key-like word before that, or both in the token."""
         n = len(self.words)
@@ -122,7 +141,7 @@ class Tokens:
         key = near & (back(self.keys, 1) | (far & back(bare, 1) & back(self.keys, 2)))
         return ((near.astype(np.int64) + (near & back(self.parted, 1))) * 2 + key) * 4 + self.keys * 2 + self.parts
 
-    def features(self, data: np.ndarray) -> np.ndarray:
+    def features(self) -> np.ndarray:
         """Codes of all tokens (tokens x features)."""
         n = len(self.words)
         who = np.arange(n)
@@ -130,19 +149,17 @@ class Tokens:
         before, after = np.maximum(who - 1, 0), np.minimum(who + 1, n - 1)
         has_before = (who > 0) & (self.row[before] == self.row)
         has_after = (who < n - 1) & (self.row[after] == self.row)
-        lead = np.zeros(n, np.int64)
-        for place in range(4):  # leading bytes stand for the token's name
-            at = np.minimum(self.start + place, len(data) - 1)
-            lead = lead * 131 + np.where(place < self.size, np.where(_CLASS[data[at]] == _DIGIT, 48, data[at]), 0)
+        share = lambda x, edges: _bucket(x / self.size, edges)
+        length = _bucket(self.size, (6, 12, 20))
+        make = ((share(self.clashes, (0.2, 0.35, 0.5, 0.65)) * 6 + share(self.changes, (0.1, 0.2, 0.3, 0.45, 0.6))) * 2 + share(self.twins, (0.3,))) * 4 + length
+        joined = ((np.minimum(self.joints, 3) * 4 + np.minimum(self.dots, 3)) * 2 + (self.ats > 0)) * 3 + np.minimum(self.slashes, 2)
         rows = len(self.at) - 1
         odd = np.bincount(self.row[self.odd], minlength=rows) / np.maximum(np.diff(self.at), 1)
-        changes = _bucket(self.changes / self.size, (0.1, 0.2, 0.3, 0.45, 0.6))
         return np.stack((
-            shape, lead % SIZES[1],
+            shape, make,
             np.where(has_before, (self.words[before] % np.uint64(SIZES[2] - 1)).astype(np.int64) + 1, 0),
-            np.where(has_after, (self.words[after] % np.uint64(SIZES[3] - 1)).astype(np.int64) + 1, 0),
-            np.where(has_before, shape[before], 1) % SIZES[4], (shape % 128) * 4 % SIZES[5] + np.minimum(changes, 3),
-            _bucket(odd, (0.01, 0.03, 0.1, 0.3))[self.row], self.cue(),
+            np.where(has_before, shape[before], 1) % SIZES[3], np.where(has_after, shape[after], 1) % SIZES[4],
+            joined * 2 + self.filled, _bucket(odd, (0.01, 0.03, 0.1, 0.3))[self.row], self.cue() * 4 + length,
         ), axis=1)
 
 
@@ -200,7 +217,7 @@ class Field:
             label[:live] = back[at, label[:live]]
         return labels
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 0.02, weights: np.ndarray | None = None) -> Field:
+    def fit(self, codes: np.ndarray, labels: np.ndarray, bounds: np.ndarray, rounds: int = 50, rate: float = 0.5, decay: float = 0.02, weights: np.ndarray | None = None) -> Field:
         """Maximum likelihood with a Gaussian prior: exact gradients by scaled forward-backward, AdaGrad steps; a run counts ``weights`` times."""
         size = np.diff(bounds)
         width, runs = int(size.max()), len(size)
@@ -253,7 +270,7 @@ def _rows(column: pa.Array):
         own = offsets[start : end + 1]
         part, bounds = data[own[0] : own[-1]], own - own[0]
         tokens = Tokens(part, bounds)
-        yield start, end, part, bounds, tokens, tokens.features(part)
+        yield start, end, part, bounds, tokens, tokens.features()
 
 
 def _byte_spans(text: str, raw: bytes, spans) -> list[tuple[int, int]]:
@@ -278,32 +295,51 @@ def _pieces(tokens: Tokens, label: np.ndarray):
             a = b
 
 
+def _labels(tokens: Tokens, bounds: np.ndarray, spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Labels of all tokens from the byte spans of each row."""
+    label = np.zeros(len(tokens.words), np.int64)
+    for zero, own in zip(bounds.tolist(), spans, strict=False):
+        for a, b in own:
+            i, j = np.searchsorted(tokens.end, zero + a, side="right"), np.searchsorted(tokens.start, zero + b, side="left")
+            label[i:j] = 2
+            label[i] = 1
+    return label
+
+
+def _lessons(texts: list[str], draws: list[int]):
+    """(draw, piece, codes, labels, plain) of the pieces of each text as it is, and of those that hold drawn forms."""
+    natural = [_byte_spans(t, t.encode(), base_spans(t)) for t in texts]
+    ways = [(texts, natural, None)]
+    for way in range(1, WAYS):
+        mixed = [secret_forms.sprinkle(t, random.Random(d * WAYS + way)) for t, d in zip(texts, draws, strict=True)]
+        ways.append(([m[0] for m in mixed], [_byte_spans(t, t.encode(), base_spans(t)) + spans for t, spans, _ in mixed], [m[2] for m in mixed]))
+    for kind, (shown, spans, forms) in enumerate(ways):
+        for start, end, _, bounds, tokens, codes in _rows(pa.array(shown, pa.string())):
+            label = _labels(tokens, bounds, spans[start:end])
+            odd = np.concatenate(([0], np.cumsum(tokens.odd | tokens.parts | tokens.parted | tokens.keys | (label > 0))))
+            told = _labels(tokens, bounds, forms[start:end]) > 0 if kind else np.zeros(len(label), bool)
+            drawn = np.concatenate(([0], np.cumsum(told)))
+            doubt = np.concatenate(([0], np.cumsum(tokens.doubtful() & (label == 0) & ~told)))
+            for k, (a, b) in enumerate(_pieces(tokens, label)):
+                if doubt[a] < doubt[b]:
+                    continue
+                plain = not kind and bool(odd[a] == odd[b])
+                if drawn[a] < drawn[b] if kind else not plain or int(tokens.words[a:b].sum()) % PLAIN == 0:
+                    yield draws[start + tokens.row[a]], WAYS * k + kind, codes[a:b].astype(np.int16).tobytes(), label[a:b].astype(np.int8).tobytes(), plain
+
+
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
-    """A field fitted to a bounded sample; None if the sample has no secret."""
+    """A field fitted to a bounded sample; None if the sample has no words."""
     total = docs.count()
     share = min(1 << 30, (1 << 30) * most // max(total, 1) + 1)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            draws = batch.column("draw").to_pylist()
-            for start, end, _, bounds, tokens, codes in _rows(batch.column("text")):
-                label = np.zeros(len(tokens.words), np.int64)
-                for r in range(start, end):
-                    text = texts[r] or ""
-                    for a, b in _byte_spans(text, text.encode(), base_spans(text)):
-                        i, j = np.searchsorted(tokens.end, bounds[r - start] + a, side="right"), np.searchsorted(tokens.start, bounds[r - start] + b, side="left")
-                        label[i:j] = 2
-                        label[i] = 1
-                rows = []
-                odd = np.concatenate(([0], np.cumsum(tokens.odd | tokens.parts | tokens.parted | tokens.keys | (label > 0))))
-                for k, (a, b) in enumerate(_pieces(tokens, label)):
-                    plain = bool(odd[a] == odd[b])
-                    if b - a <= TRAIN_RUN_LENGTH and (not plain or int(tokens.words[a:b].sum()) % PLAIN == 0):
-                        rows.append((draws[start + tokens.row[a]], k, codes[a:b].astype(np.int16).tobytes(), label[a:b].astype(np.int8).tobytes(), plain))
-                columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["draw", "k", "codes", "labels", "plain"])
+            rows = list(_lessons([t or "" for t in batch.column("text").to_pylist()], batch.column("draw").to_pylist()))
+            columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["draw", "k", "codes", "labels", "plain"])
 
     sample = docs.select("text", draw.alias("draw")).filter(F.col("draw") < share)
     runs = sample.mapInArrow(run, T.StructType.fromDDL("draw bigint, k bigint, codes binary, labels binary, plain boolean"))
@@ -317,6 +353,39 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
     return Field().fit(np.concatenate(codes).astype(np.int64), np.concatenate(labels).astype(np.int64), bounds, weights=weights)
 
 
+def _apart(base: list[tuple[int, int, int]], added: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The added spans (in order) that meet no base span."""
+    out, at, reach = [], 0, -1
+    for s, e in added:
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s:
+            out.append((s, KINDS.index("crf"), e))
+    return out
+
+
+def _found(field: Field, part: np.ndarray, bounds: np.ndarray, tokens: Tokens, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Spans of the field in code points, by row of the block."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    scores = field.scores(codes)
+    who, runs = field.open_tokens(scores, tokens.row)
+    label = field.viterbi(scores[who], runs)
+    opened = np.flatnonzero(label == 1)
+    if not len(opened):
+        return found
+    signs = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))  # code points before each byte
+    for i in opened.tolist():
+        j = i + 1
+        while j < len(label) and label[j] == 2 and who[j] == who[j - 1] + 1:
+            j += 1
+        first, last = int(who[i]), int(who[j - 1])
+        row, a, b = int(tokens.row[first]), int(tokens.start[first]), int(tokens.end[last])
+        zero, value = int(signs[bounds[row]]), VALUE.match(part[a:b].tobytes().decode())
+        found.setdefault(row, []).append((int(signs[a]) - zero + value.start(1), int(signs[a]) - zero + value.end(1)))
+    return found
+
+
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text."""
     schema = T.StructType.fromDDL("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
@@ -327,27 +396,10 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
             for start, end, part, bounds, tokens, codes in _rows(batch.column("text")):
                 hexes = np.zeros(end - start, bool)
                 hexes[tokens.row[tokens.hexes >= LEAST["hex"][1]]] = True
-                found: dict[int, list[tuple[int, int]]] = {}
-                if field is not None and len(codes):
-                    scores = field.scores(codes)
-                    who, runs = field.open_tokens(scores, tokens.row)
-                    label = field.viterbi(scores[who], runs)
-                    opened = np.flatnonzero(label == 1)
-                    for i in opened.tolist():
-                        j = i + 1
-                        while j < len(label) and label[j] == 2 and who[j] == who[j - 1] + 1:
-                            j += 1
-                        found.setdefault(int(tokens.row[who[i]]), []).append((int(tokens.start[who[i]]), int(tokens.end[who[j - 1]])))
+                found = _found(field, part, bounds, tokens, codes) if field is not None and len(codes) else {}
                 for r in range(start, end):
-                    text = texts[r] or ""
-                    base = base_spans(text, bool(hexes[r - start]))
-                    spans = list(base)
-                    for a, b in found.get(r - start, ()):
-                        raw, zero = part, int(bounds[r - start])
-                        s = len(raw[zero:a].tobytes().decode())
-                        e = s + len(raw[a:b].tobytes().decode())
-                        if not any(x[0] < e and s < x[2] for x in base):
-                            spans.append((s, 3, e))
+                    base = base_spans(texts[r] or "", bool(hexes[r - start]))
+                    spans = base + _apart(base, found.get(r - start, []))
                     said = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(x)) for x in (base, spans)]
                     out.append((*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(said[0].encode()).hexdigest(), said[1]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5

@@ -49,8 +49,8 @@ def test_base_and_added_spans(spark):
         assert {tuple(told.split(":")) for told in told.split(",") if told} <= {tuple(s) for s in spans}
         assert all(0 <= int(a) < int(b) <= len(text or "") for _, a, b in spans)
     # a secret of a shape that no pattern knows, and plain words around it
-    probe = spark.createDataFrame([(1, "here the words stand 9f8e7d6c5b4a39281 and AKIAZ9 end", None, None, None, None)], SCHEMA)
-    assert ss.scan(probe, field).count() == 1
+    probe = spark.createDataFrame([(1, "here the words stand Zk3_vQ9xT7mB2nL8wR5cY1 and AKIAZ9 end", None, None, None, None)], SCHEMA)
+    assert ss.scan(probe, field).first().spans == "crf:21:43"
     assert ss.train(docs.limit(0)) is None and ss.scan(docs.limit(0), None).count() == 0
 
 
@@ -127,4 +127,60 @@ def test_pieces_hold_every_token():
     tokens = ss.Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     pieces = list(ss._pieces(tokens, np.zeros(len(tokens.words), np.int64)))
     assert [i for a, b in pieces for i in range(a, b)] == list(range(len(tokens.words)))
-    assert len(tokens.features(np.frombuffer(data, np.uint8))) == len(tokens.words)
+    assert len(tokens.features()) == len(tokens.words)
+
+
+def planted(kind, r):
+    """A name before it, and a secret of an issuer's format that neither the patterns nor the drawn forms hold."""
+    some = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choices(letters, k=n))
+    return {
+        "forge": ("", "ghp_" + some(36)), "payments": ("", "sk_live_" + some(24)), "chat": ("", f"xoxb-{some(11, '0123456789')}-{some(12, '0123456789')}-{some(24)}"),
+        "web": ("Bearer ", f"eyJ{some(17)}.eyJ{some(60)}.{some(43)}"), "maps": ("", "AIza" + some(35)), "cloud": ("aws_secret_access_key = ", some(39) + "/"),
+        "letters": ("pwd : ", some(16, "abcdefghijklmnopqrstuvwxyz")), "capitals": ("KEY: ", some(16, "QWERTYUIOPASDFGHJKL")), "signs": ("Pwd = ", some(13) + "$"),
+    }[kind]
+
+
+KINDS = ("forge", "payments", "chat", "web", "maps", "cloud", "letters", "capitals", "signs")
+
+
+def prose(r):
+    syllable = lambda: r.choice("bcdfghlmnprst") + r.choice("aeiou") + r.choice(("", "", "n", "r", "st"))
+    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
+    return " ".join(r.choice((word(), word(), word(), word().capitalize() + ".", word() + ",")) for _ in range(r.randint(40, 120)))
+
+
+def test_unseen_kinds_are_found_and_clean_texts_left_alone(spark):
+    r = random.Random(11)
+    plain = lambda: prose(r)
+    learn = [plain() for _ in range(300)] + [f"{plain()} token = \"{r.randbytes(20).hex()}\" {plain()}" for _ in range(40)]
+    field = ss.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"))
+    texts, truth = [plain() for _ in range(400)], {}
+    for i in range(270):
+        kind = KINDS[i % len(KINDS)]
+        name, value = planted(kind, r)
+        before = plain()
+        truth[400 + i] = (kind, len(before) + 1 + len(name), value)
+        texts.append(f"{before} {name}{value} {plain()}")
+    got = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in ss.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()}
+    hits = dict.fromkeys(KINDS, 0)
+    for i, (kind, at, value) in truth.items():
+        hits[kind] += any(int(a) == at and int(b) == at + len(value) for _, a, b in got[i])
+    assert sum(hits.values()) >= 0.9 * 270 and min(hits.values()) >= 0.6 * 30, hits
+    assert sum(bool(got[i]) for i in range(400)) <= 8
+
+
+def test_added_spans_of_long_and_non_ascii_texts(spark):
+    r = random.Random(3)
+    secrets = [planted("forge", r)[1] for _ in range(300)]
+    text = "".join(f"é ñandú plain words here {s} token = \"{'0a' * 20}\" " for s in secrets) * 3
+    docs = spark.createDataFrame([(100 + i, prose(r)) for i in range(300)] + [(99, text)], "doc_id long, text string")
+    row = ss.scan(docs, ss.train(docs)).filter("doc_id = 99").first()
+    spans = [s.split(":") for s in row.spans.split(",")]
+    found = [text[int(a) : int(b)] for k, a, b in spans if k == "crf"]
+    assert len(found) >= 0.9 * 900 and set(found) <= set(secrets) and [int(a) for _, a, _ in spans] == sorted(int(a) for _, a, _ in spans)
+    assert row.n_assign == 900 and row.n_hex == 900
+
+
+def test_apart_keeps_only_new_spans():
+    base = [(5, 0, 30), (8, 2, 20), (40, 2, 60)]
+    assert ss._apart(base, [(0, 5), (4, 6), (22, 25), (30, 40), (59, 61), (60, 70)]) == [(0, 3, 5), (30, 3, 40), (60, 3, 70)]

@@ -42,16 +42,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a stored table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialise(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` as Parquet to the shared folder and read it back, so that lineage ends there.
 
     A lost executor then costs a re-read of files, not a recomputation, and every
-    later reader sees the same rows.
+    later reader sees the same rows. The table goes with :func:`discard`, or when the session's
+    process ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no later step reads."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path is not None:
+            files, where = _files(table.sparkSession, path)
+            files.delete(where, True)
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -65,6 +65,60 @@ def test_repeated_rows_and_empty(spark):
     assert minhash.near_duplicates(docs.limit(0), 4).count() == 0
 
 
+def test_one_id_with_unlike_texts_and_null_ids(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("abcdefghij") * r.randint(1, 6) for _ in range(80))
+    one, two, three = text(), text(), text()
+    near = " ".join(three.split()[:-1])
+    rows = [(1, one), (1, two), (1, two), (2, three), (3, near), (None, near), (None, one), (4, None), (4, " "), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "clash") for i, t in rows], SCHEMA)
+    kept = minhash.keep_one(docs).collect()
+    assert sorted(str((x.doc_id, x.text)) for x in kept) == sorted(str(x) for x in [(1, one), (1, two), (2, three), (4, None), (4, " "), (None, "")])
+    got = sorted(str((x.doc_id, x.component_id)) for x in minhash.near_duplicates(docs, 4).collect())
+    assert got == sorted(str(x) for x in [(1, 1), (1, 1), (1, 1), (2, 2), (3, 2), (None, 2), (None, 1), (4, 4), (4, 4), (None, None)])
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_passage_tables_emit_few_pairs(spark, monkeypatch, n):
+    """Documents of 15 of 20 shared passages: nearly all share bands, few are linked."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(25)) for _ in range(20)]
+    rows = [(i, " ".join(passages[j] for j in sorted(r.sample(range(20), 15)))) for i in range(n)]
+    shipped, verify = [], minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, texts, k: (shipped.append(pairs.count()), verify(pairs, texts, k))[1])
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, 4).collect()}
+    assert got == brute(rows, 4)
+    # one pair a band and longer piece at most; of the pairs of small buckets and of hot ones only those that bitmaps allow
+    stars, small, pieces, hot = shipped
+    assert stars <= 32 * n and pieces <= 16 * n and small + hot <= n, shipped
+
+
+def test_bitmaps_never_refuse_a_link(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    texts, links = [], 0
+    for _ in range(60):
+        base = [word() for _ in range(r.choice((5, 12, 60, 130, 400)))]
+        texts += [" ".join(base), " ".join(w if r.random() > r.choice((0.0, 0.02, 0.06)) else word() for w in base), " ".join(base[: int(len(base) * r.uniform(0.75, 1))])]
+    table = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    drawn = {(x.rep, x.width): x.bits for x in minhash.bitmaps(table, 4).collect()}
+    sets = [e for _, elements, bounds in shingles.shingle_sets(pa.array(texts), 4) for e in np.split(elements, bounds[1:-1])]
+    for i in range(0, len(texts), 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                links += 1
+                shared = [w for rep, w in drawn if rep == a and (b, w) in drawn]
+                assert shared
+                for w in shared:
+                    differing = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(drawn[a, w], drawn[b, w]))
+                    assert 180 * differing <= 20 * (len(x) + len(y))
+    assert links > 40
+
+
 def test_signature_matches_follow_similarity():
     r = np.random.default_rng(1)
     for j in (0.3, 0.8):

@@ -4,7 +4,10 @@ The symbols of many words lie in one flat array. In each round every adjacent pa
 binary search in the sorted pair keys, each word takes its lowest rank, and all occurrences of
 that pair merge at once, leftmost first where they overlap; words without a known pair leave the
 array. A merge can only create pairs of a later rank, so rounds give the same result as merging
-one pair at a time. Encoded words are remembered in a bounded table.
+one pair at a time. Words of over ``LONG`` bytes would need a round over the whole word for every
+rank that occurs in them; they are merged in rounds over an index from ranks to places instead, in
+which a round touches only the places that it merges and their neighbours. Encoded words are
+remembered in a bounded table, long ones only while their text is encoded.
 
 Normalisation, splitting and special tokens follow the vocabulary file. Defined results: a null or
 blank text has no tokens and decodes to the empty text; special token strings in a text become
@@ -14,6 +17,7 @@ their single ids; repeated rows are encoded alike; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -30,6 +34,8 @@ from strandloom.llm.common import documents
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose encodings a worker remembers before it forgets all of them.
 REMEMBERED = 250_000
+#: Bytes over which a word is merged by the index of ranks.
+LONG = 512
 #: Words that are merged together.
 FLAT_WORDS = 20_000
 
@@ -51,6 +57,9 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+_NONE = np.iinfo(np.int64).max
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -94,6 +103,63 @@ class Codec:
         # spaces only separate words, so that collapsing them changes nothing
         return self.words.findall(part.lower())
 
+    def _ranks_of(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (the greatest number if it is none), and its place in the table."""
+        pair = first * self.width + second
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], _NONE), at
+
+    def merge_long(self, word: bytes) -> tuple[np.ndarray, int]:
+        """Ids of one word, and the number of places that all rounds touched: in proportion to the word."""
+        flat = np.frombuffer(word, np.uint8)
+        n = len(flat)
+        symbols = self.inner[flat]
+        symbols[-1] = self.final[flat[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+        rank, made, alive = np.full(n, _NONE), np.zeros(n, np.int64), np.ones(n, bool)
+        waiting: list[int] = []
+        index: dict[int, list[np.ndarray]] = {}
+
+        def look_up(at: np.ndarray) -> None:
+            """Set the ranks of the pairs that start at these places, and file them."""
+            at = at[after[at] < n]
+            found, place = self._ranks_of(symbols[at], symbols[after[at]])
+            rank[at], made[at] = found, self.results[place]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            for part in np.split(at, np.flatnonzero(np.diff(found)) + 1):
+                r = int(rank[part[0]]) if len(part) else _NONE
+                if r != _NONE:
+                    if r not in index:
+                        heapq.heappush(waiting, r)
+                    index.setdefault(r, []).append(part)
+
+        look_up(np.arange(n))
+        touched = n
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(index.pop(r)))
+            touched += len(at)
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of overlapping occurrences every other one merges, from the left
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = after[at[:-1]] != at[1:]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+            gone = after[at]
+            symbols[at] = made[at]
+            after[at] = after[gone]
+            follows = after[at] < n
+            before[after[at][follows]] = at[follows]
+            rank[gone], alive[gone] = _NONE, False
+            again = np.unique(np.concatenate((at, before[at][before[at] >= 0])))
+            rank[again] = _NONE
+            touched += len(again)
+            look_up(again)
+        return symbols[alive], touched
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the n+1 bounds of each word's."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -137,6 +203,10 @@ class Codec:
         """Encode words that are not remembered yet."""
         fresh = []
         for word in wanted:
+            if len(word) > LONG and word[0] != "\0":
+                own = self.merge_long(word.encode())[0].tolist()
+                self.ids_of[word], self.shown_as[word] = " ".join(map(str, own)).encode(), self.decode(own)
+                continue
             if word[0] == "\0" and word[1:] in self.specials:
                 i = self.specials[word[1:]]
                 self.ids_of[word], self.shown_as[word] = b"%d" % i, self.token[i]
@@ -171,7 +241,10 @@ class Codec:
             wanted = set().union(*group)
         self.learn(wanted)
         ids_of, shown_as = self.ids_of.__getitem__, self.shown_as.__getitem__
-        return [(b" ".join(map(ids_of, words)), " ".join(map(shown_as, words))) for words in group]
+        rows = [(b" ".join(map(ids_of, words)), " ".join(map(shown_as, words))) for words in group]
+        for word in [w for w in wanted if len(w) > LONG]:
+            del self.ids_of[word], self.shown_as[word]
+        return rows
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.encode_batch([text])[0][0].split()]

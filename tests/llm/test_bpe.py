@@ -56,3 +56,17 @@ def test_frames(spark, library):
             assert x.text == library.decode(library.encode(text[x.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.encode(docs.limit(0)).count() == 0
     assert sorted(bpe.digests(docs).collect()) == sorted(encoded.drop("ids").collect())
+
+
+def test_very_long_words_equal_the_library_at_bounded_work(library):
+    r = random.Random(9)
+    some = lambda n, letters: "".join(r.choices(letters, k=n))
+    syllables = "".join(r.choice(("the", "ing", "tion", "er", "re", "un", "a", "schen")) for _ in range(3000))
+    words = [some(6000, "etaoinshrdlu"), syllables, "a" * 5001, "ab" * 2000 + "a", "!?" * 1500 + "!!!", "ñé" * 900, "x" * (bpe.LONG + 1), some(40_000, "abcdefghijklmnopqrstuvwxyz")]
+    own = bpe.codec()
+    for word in words:
+        ids, touched = own.merge_long(word.encode())
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+        assert touched <= 6 * len(word.encode())  # places touched in all rounds, whatever the word
+    text = f"short {words[0]} and {words[2]} end"
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids and words[0] not in own.ids_of

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strandloom.llm.common import documents, utf8_view
+from strandloom.llm.common import blocks, documents, utf8_view
 
 UNIT, PAD = 192, 32
 RATE, UP, DOWN = 16_000, 2, 5
@@ -34,6 +34,8 @@ TAPS = 16
 #: Frame energy in dB over the file's median that opens a segment, and that keeps it open.
 OPEN_DB, KEEP_DB = 1.0, -1.0
 BLOCK = 8192
+#: Bytes of texts or files that are held together.
+TOGETHER = 4_000_000
 
 
 def padded(data: bytes) -> bytes:
@@ -132,9 +134,47 @@ def analyse(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return rounded, segments(rounded.mean(axis=1) / 4)
 
 
-def feature_text(mel: np.ndarray, runs: list[tuple[int, int]]) -> str:
-    digest = hashlib.sha256(mel.tobytes()).hexdigest()[:32]
-    return f"mel={len(mel)}x{BANDS}:{digest};segments={len(runs)}:{sum(b - a for a, b in runs)}"
+TENSOR = pa.fixed_shape_tensor(pa.int16(), (SPAN, BANDS))
+
+
+def tensor_rows(media: list[bytes | None], keys: pa.Array) -> tuple[pa.RecordBatch, list[list[tuple[int, int]]]]:
+    """The features of stored files as rows of one fixed-shape tensor each, with time spans, and each file's segments.
+
+    Columns: row (which file), doc_id, part, start_s, end_s, frames, tensor. The last tensor of a file is padded with
+    zeros; a null file has no rows.
+    """
+    tables, runs, files, parts, counts = [], [], [], [], []
+    for k, stored in enumerate(media):
+        mel, found = (np.zeros((0, BANDS), np.int16), []) if stored is None else analyse(stored)
+        n = -(-len(mel) // SPAN)
+        full = np.zeros((n * SPAN, BANDS), np.int16)
+        full[: len(mel)] = mel
+        tables.append(full)
+        runs.append(found)
+        files.append(np.full(n, k, np.int32))
+        parts.append(np.arange(n, dtype=np.int32))
+        counts.append(np.minimum(len(mel) - np.arange(n) * SPAN, SPAN).astype(np.int32))
+    file, part, frames = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (files, parts, counts))
+    start = part.astype(np.int64) * SPAN * HOP
+    flat = pa.array(np.concatenate([*tables, np.zeros((0, BANDS), np.int16)]).reshape(-1))
+    tensor = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, SPAN * BANDS))
+    columns = [
+        pa.array(file), keys.take(pa.array(file)), pa.array(part), pa.array(start / OUT_RATE), pa.array((start + (frames - 1) * HOP + WINDOW) / OUT_RATE), pa.array(frames), tensor,
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "part", "start_s", "end_s", "frames", "tensor"]), runs
+
+
+def feature_texts(rows: pa.RecordBatch, runs: list[list[tuple[int, int]]]) -> list[str]:
+    """Of each file: its number of frames, a digest of what its tensors hold, its time span, and its segments; read from the rows."""
+    values = rows.column("tensor").to_numpy_ndarray() if len(rows) else np.zeros((0, SPAN, BANDS), np.int16)
+    frames, ends = rows.column("frames").to_numpy(), rows.column("end_s").to_numpy()
+    at = np.searchsorted(rows.column("row").to_numpy(), np.arange(len(runs) + 1)).tolist()
+    out = []
+    for a, b, found in zip(at, at[1:], runs, strict=False):
+        n = int(frames[a:b].sum())
+        digest = hashlib.sha256(np.ascontiguousarray(values[a:b]).reshape(-1, BANDS)[:n].tobytes()).hexdigest()[:32]
+        out.append(f"mel={n}x{BANDS}:{digest};tensors={b - a}x{SPAN}x{BANDS};end={ends[b - 1] if b > a else 0:.4f};segments={len(found)}:{sum(y - x for x, y in found)}")
+    return out
 
 
 def _payloads(column: pa.Array):
@@ -158,53 +198,48 @@ def to_audio(docs: DataFrame) -> DataFrame:
 def tensors(media: DataFrame) -> DataFrame:
     """Rows of SPAN x BANDS quarter-dB values (the last padded with zeros) with their time spans in seconds.
 
-    ``tensor`` always holds SPAN * BANDS values in row order, so it casts to an Arrow fixed-shape tensor.
+    ``tensor`` always holds SPAN * BANDS values in row order: :func:`fixed_shape` makes it Arrow's tensor type again.
     """
     schema = T.StructType.fromDDL("doc_id bigint, part int, start_s double, end_s double, frames int, tensor array<smallint>")
 
     def run(batches):
         for batch in batches:
-            for doc, stored in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                if stored is None:
-                    continue
-                mel, _ = analyse(stored)
-                for part, start in enumerate(range(0, len(mel), SPAN)):
-                    cut = mel[start : start + SPAN]
-                    full = np.zeros((SPAN, BANDS), np.int16)
-                    full[: len(cut)] = cut
-                    values = pa.ListArray.from_arrays(pa.array([0, full.size], pa.int32()), pa.array(full.reshape(-1)))
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([doc], pa.int64()), "part": pa.array([part], pa.int32()),
-                        "start_s": pa.array([start * HOP / OUT_RATE]), "end_s": pa.array([((start + len(cut) - 1) * HOP + WINDOW) / OUT_RATE]),
-                        "frames": pa.array([len(cut)], pa.int32()), "tensor": values,
-                    })
+            sizes = [len(m or b"") for m in batch.column("media").to_pylist()]
+            for a, b in blocks(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), TOGETHER):
+                part = batch.slice(a, b - a)
+                rows, _ = tensor_rows(part.column("media").to_pylist(), part.column("doc_id"))
+                flat = rows.column("tensor").storage.cast(pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in schema.names[:-1]), flat], schema.names)
 
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
 def fixed_shape(column: pa.Array) -> pa.Array:
     """The tensor column as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.int16(), (SPAN, BANDS))
     flat = pa.FixedSizeListArray.from_arrays(column.flatten(), SPAN * BANDS)
-    return pa.ExtensionArray.from_storage(kind, flat)
+    return pa.ExtensionArray.from_storage(TENSOR, flat)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Digests of payload, stored file and features of each whole text."""
-    schema = T.StructType.fromDDL(
-        "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    )
+    """Digests of payload and stored file of each whole text, and of the features that its fixed-shape tensors hold."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for n, payload in _payloads(batch.column("text")):
-                media = store(payload)
-                _, back = read_back(media)
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(*analyse(media))))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_ARROW)[1:], strict=True)] if rows else [pa.array([], f.type) for f in list(_ARROW)[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=_ARROW)
+            for a, b in blocks(utf8_view(batch.column("text"))[1], TOGETHER):
+                yield described(batch.slice(a, b - a))
+
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, media = [], []
+        for n, payload in _payloads(batch.column("text")):
+            media.append(store(payload))
+            _, back = read_back(media[-1])
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media[-1]), hashlib.sha256(media[-1]).hexdigest()))
+        columns = [*zip(*rows, strict=True), feature_texts(*tensor_rows(media, batch.column("doc_id")))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
+    schema = T.StructType.fromDDL(
+        "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    )
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -3,6 +3,10 @@
 Every metric is an integer built from whole texts with built-in expressions, every rule is an
 integer comparison, so the verdict is exact and the same in any engine.
 
+The stop-word rule reads the document's language from its column ``lang`` and has lists for English,
+German, French and Spanish; documents of other languages, of none, and tables without the column get
+no verdict from it, all other rules hold for them.
+
 Defined results: a null or blank text has no words and fails ``min_words``; repeated rows are
 judged one by one; columns of the input whose names start with ``__q_`` are not supported, any
 other extra column passes through untouched.
@@ -19,13 +23,13 @@ from strandloom.llm.common import WORD_BREAK, documents
 
 SYMBOLS = "#*$%&|<>"
 
-#: Frequent function words of the corpus languages (en, de, fr, es).
-STOP_WORDS = (
-    "the of and to in that a is was it for on with as be at by are this from or an not "
-    "der die das und zu den von ein eine ist im nicht mit es sich auf "
-    "le la les de des du et un une que en est pour dans qui sur au "
-    "el los las y por con para se del su lo como"
-).split()
+#: Frequent function words by language. A document of another language, or of none, gets no verdict from them.
+STOP_WORDS = {
+    "en": "the of and to in that a is was it for on with as be at by are this from or an not".split(),
+    "de": "der die das und zu den von ein eine ist im nicht mit es sich auf in an".split(),
+    "fr": "le la les de des du et un une que en est pour dans qui sur au a".split(),
+    "es": "el los las la y de en que por con para se del un una su lo como es a".split(),
+}
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", low=15, high=120, per="n_words", scale=10),
     Rule("symbol_ratio", "n_symbols", high=25, per="n_words", scale=100),
     Rule("alphabetic_words", "n_alpha_words", low=60, per="n_words", scale=100),
-    Rule("stop_words", "n_stop_words", low=1, per="n_words", scale=200),
+    Rule("stop_words", "n_stop_words", low=1, per="n_listed_words", scale=200),
     Rule("duplicate_lines", "n_dup_lines", high=50, per="n_lines", scale=100),
     Rule("ellipsis_lines", "n_ellipsis_lines", high=50, per="n_lines", scale=100),
 )
@@ -84,6 +88,10 @@ def _count(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
+def _listed(words: Column, wanted: list[str]) -> Column:
+    return _count(F.filter(words, lambda w: F.lower(w).isin(*wanted)))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the struct column ``__q_metrics`` with every metric of the rule tables.
 
@@ -91,6 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     reads is referenced more than once there, and Spark keeps such projections apart.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
+    lang = F.lower("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     staged = docs.select(
         "*",
         F.filter(F.split(whole, WORD_BREAK), lambda w: w != "").alias("__q_words"),
@@ -121,6 +130,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda total, n: total + n,
     )
     lines = F.col("__q_lines")
+    common = F.lit(0).cast("long")
+    for name, listed in STOP_WORDS.items():
+        common = F.when(lang == name, _listed(words, listed)).otherwise(common)
     metrics = F.struct(
         _count(words).alias("n_words"),
         F.col("__q_chars").alias("word_chars"),
@@ -129,7 +141,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (_count(lines) - _count(F.array_distinct(lines))).alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         _count(F.filter(words, lambda w: w.rlike(r"\p{L}"))).alias("n_alpha_words"),
-        _count(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop_words"),
+        common.alias("n_stop_words"),
+        F.when(lang.isin(*STOP_WORDS), _count(words)).otherwise(F.lit(0).cast("long")).alias("n_listed_words"),
         _count(F.filter(lines, lambda s: s.rlike(r"(\.\.\.|…)$"))).alias("n_ellipsis_lines"),
     )
     return staged.select(*(F.col(f"`{c}`") for c in docs.columns), metrics.alias("__q_metrics"))
@@ -154,7 +167,7 @@ OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(measure(documents(spark, sf_dir).select("doc_id", "text")))
+    judged = judge(measure(documents(spark, sf_dir).select("doc_id", "text", "lang")))
     return judged.select(
         "doc_id",
         *(F.col("__q_metrics")[name].alias(name) for name in OUTPUT),
@@ -163,11 +176,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_LISTED = " ".join(
+    f"WHEN '{name}' THEN len(list_filter(w, lambda x: lower(x) IN ({', '.join(repr(x) for x in listed)})))" for name, listed in STOP_WORDS.items()
+)
+_NAMED = ", ".join(f"'{name}'" for name in STOP_WORDS)
 
 ORACLE = rf"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT doc_id, lower(lang) AS lang, coalesce(text, '') AS t,
          list_filter(string_split_regex(coalesce(text, ''), '{WORD_BREAK}'), lambda w: w <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
@@ -182,7 +198,7 @@ metrics AS (
          length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(l) AS n_lines,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
-         len(list_filter(w, lambda x: lower(x) IN ({_WORDS}))) AS n_stop_words,
+         CASE lang {_LISTED} ELSE 0 END AS n_stop_words, CASE WHEN lang IN ({_NAMED}) THEN len(w) ELSE 0 END AS n_listed_words,
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})$'))) AS n_ellipsis_lines
   FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

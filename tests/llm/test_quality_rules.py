@@ -52,10 +52,18 @@ def test_empty_table_and_repeated_rows(spark):
 
 @pytest.mark.parametrize("rule", q.RULES, ids=lambda r: r.name)
 def test_each_rule_has_both_sides(spark, rule):
-    base = dict(n_words=100, word_chars=500, n_symbols=0, n_lines=10, n_dup_lines=0, n_alpha_words=100, n_stop_words=20, n_ellipsis_lines=0)
+    base = dict(n_words=100, word_chars=500, n_symbols=0, n_lines=10, n_dup_lines=0, n_alpha_words=100, n_stop_words=20, n_listed_words=100, n_ellipsis_lines=0)
     bad = dict(base)
     unit = base[rule.per] if rule.per else 1
     bad[rule.metric] = (rule.low * unit // rule.scale) - 1 if rule.high is None else (rule.high * unit // rule.scale) + 1
     schema = T.StructType([T.StructField(k, T.LongType()) for k in base])
     got = spark.createDataFrame([tuple(base.values()), tuple(bad.values())], schema).select(q.compile_rules((rule,)).alias("ok"))
     assert [r.ok for r in got.collect()] == [True, False]
+
+
+def test_languages_without_a_list_get_no_verdict_from_it(spark):
+    text = " ".join(f"sana{i} talo{i}." for i in range(60))
+    rows = [(i, text, lang, None, None, None) for i, lang in enumerate(("fi", "ru", None, "", "EN", "de"))]
+    kept = {x.lang for x in q.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {"fi", "ru", None, ""}
+    assert q.keep_good(spark.createDataFrame(rows, SCHEMA).drop("lang")).count() == 6

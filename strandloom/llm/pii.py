@@ -1,19 +1,28 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are e-mail addresses, phone numbers, IP addresses, account and card numbers, social
-security numbers, IBANs, and names after a form of address. Each distinct entity gets a surrogate
-that a secret key and the entity's canonical form decide: of the same type and format (digit
-counts, punctuation, letter case, country code, Luhn validity), and for names of the same script,
-number of words and gender. Forms of one entity ("+1 (665) 555-8922", "+1 665-555-8922") share a
-surrogate, written in each form, and addresses of one mail domain keep sharing a domain.
+Entities are the two parts of e-mail addresses (local part and domain), phone numbers, IP addresses
+of both versions, account and card numbers, social security numbers, IBANs, and the words of names.
+A name is known by a form of address before it; from there on each of its words is an entity
+wherever it stands in the document, alone, in another order or in capitals, so that coreference
+holds. The last word of a name is a family name, the others are given names of the gender that the
+form of address tells.
+
+Each distinct entity gets a surrogate that a secret key and the entity's canonical form decide: of
+the same type and format (digit counts, punctuation, letter case, country code, Luhn validity), and
+for names of the same script and gender. Forms of one entity ("+1 (665) 555-8922", "+1 665-555-8922";
+"Schmidt", "SCHMIDT") share a surrogate, written in each form. Parts are kept apart one by one, so
+addresses and full names are distinct if and only if they were, and those of one domain or family
+keep sharing it.
 
 Collision checks run over all distinct entities: a surrogate that equals another one, or an entity
-that really occurs, is drawn again until every entity has one of its own. Only entities that were
-drawn again travel back to documents, by a join; all others are computed in place.
+that really occurs, is drawn again until every entity has one of its own; formats with little room
+grow with the attempts. Of entities that want one surrogate the least canonical form keeps it. Only
+entities that were drawn again travel back to documents, by a join; all others are computed in place.
 
 Defined results: a null text stays null; a text without entities stays as it is; repeated rows get
 the same text; an empty table stays empty; all other columns pass through (names starting with
-``__p_`` are not supported).
+``__p_`` are not supported). Not found: names without a form of address in their document, dates,
+postal addresses, national phone numbers in groups other than 3-3-4.
 """
 
 from __future__ import annotations
@@ -23,18 +32,26 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import documents, materialise
 
-#: Stands in for the secret key; production passes its own.
+#: Stands in for the secret key; production passes its own, or sets ``KEY_SETTING`` in the session.
 KEY = "strandloom demonstration key"
+KEY_SETTING = "spark.strandloom.pii.key"
 #: Redrawn entities up to this number are sent to all executors, more are joined by shuffle.
 SENT = 2_000
 ATTEMPTS = 60
+#: Attempts after which a format with little room grows.
+ROOMY = 3
 
 #: Forms of address by gender.
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
-_ADDRESS = rf"(?:{MALE}|{FEMALE})\.?"
+TITLES = "Dr|Prof|Doctor|Professor|Доктор|Профессор|DR|PROF"
+_ADDRESS = rf"(?:{MALE}|{FEMALE}|{TITLES})\.?(?: (?:{TITLES})\.?)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_HOST = r"[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+"
+LOCAL = rf"(?<![\p{{L}}0-9._%+-])[\p{{L}}0-9._%+-]++@(?={_HOST})"
+DOMAIN = rf"(?<=[\p{{L}}0-9._%+-]@){_HOST}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)"
 IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -48,11 +65,14 @@ _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
 _CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?![\p{L}\d])"
 _PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|das|do|du|la|le|las|los|bin|ibn|ter|ten) |d['’]){0,3}"
 NAME = rf"(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
-ENTITY = "|".join((EMAIL, IP, IBAN, SSN, CARD, PHONE, NAME))
-#: What every entity contains.
-HINT = rf"[0-9@]|{_ADDRESS} \p{{L}}"
+ENTITY = "|".join((LOCAL, DOMAIN, IP, IP6, IBAN, SSN, CARD, PHONE))
+#: What every entity but a name contains, and what a name does.
+HINT, CALLED = r"[0-9@]", rf"{_ADDRESS} \p{{L}}"
 
-TYPES = ("email", "ip", "iban", "ssn", "card", "phone", "name")
+NAMES = ("family", "given_f", "given_m", "given_n")
+KINDS = ("local", "domain", "ip", "ip6", "iban", "ssn", "card", "phone", *NAMES)
+#: Columns of the query and the kinds that they count.
+TYPES = {"email": ("local",), "ip": ("ip", "ip6"), "iban": ("iban",), "ssn": ("ssn",), "card": ("card",), "phone": ("phone",), "name": NAMES}
 
 _SYLLABLES = {
     "Latin": "ba be bo da de do fa ga go ka ke ko la le lo ma me mo na no pa ra re ro sa so ta te to va vo za".split(),
@@ -71,13 +91,17 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def type_of(entity: Column) -> Column:
+def type_of(entity: Column, words: Column) -> Column:
+    """The kind of a match; ``words`` are the document's name words (word in capitals, role)."""
     digits = F.length(F.regexp_replace(entity, r"\D", ""))
+    role = F.get(F.filter(words, lambda w: w["word"] == F.upper(entity)), F.lit(0))["role"]
     return (
-        F.when(F.contains(entity, F.lit("@")), "email")
-        .when(entity.rlike(rf"^{_ADDRESS} "), "name")
+        F.when(entity.endswith("@"), "local")
+        .when(F.contains(entity, F.lit(":")), "ip6")
         .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
-        .when(entity.rlike("^[A-Z]{2}"), "iban")
+        .when(entity.rlike(r"\p{L}.*\.|\..*\p{L}"), "domain")
+        .when(entity.rlike(r"^[A-Z]{2}\d"), "iban")
+        .when(role.isNotNull(), role)
         .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when((digits >= 13) & ~entity.startswith("+"), "card")
         .otherwise("phone")
@@ -85,13 +109,11 @@ def type_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What forms of one entity have in common. A name keeps its gender and loses its form of address."""
-    called = F.regexp_replace(entity, rf"^{_ADDRESS} ", "")
-    plain = F.array_join(F.transform(F.split(F.lower(called), "(?<=[ '’-])"), F.initcap), "")
-    gender = F.when(entity.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
+    """What forms of one entity have in common."""
     return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind == "name", F.concat(gender, F.when(called == F.upper(called), plain).otherwise(called)))
+        F.when(kind == "local", F.lower(F.regexp_replace(entity, "@$", "")))
+        .when(kind.isin("domain", "ip6"), F.lower(entity))
+        .when(kind.isin(*NAMES), F.upper(entity))
         .when(kind.isin("ip", "iban"), entity)
         .otherwise(F.regexp_replace(entity, "[^0-9+]", ""))
     )
@@ -106,24 +128,40 @@ def _chars(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
 
 
+#: Letters to draw from, by script; all scripts that are not listed get Latin ones.
+_ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Latin": "abcdefghijklmnopqrstuvwxyz"}
+
+
 def _scramble(text: Column, h: Column) -> Column:
-    """Letters become letters, digits digits, all else stays."""
-    letters = lambda base: lambda i: F.char(F.lit(base) + _number(h, i, 26))
-    one = lambda c, i: F.when(c.rlike("[a-z]"), letters(97)(i)).when(c.rlike("[A-Z]"), letters(65)(i)).when(c.rlike("[0-9]"), _number(h, i, 10).cast("string")).otherwise(c)
+    """Letters become letters, digits digits, all else stays; capitals only of A to Z."""
+
+    def one(c: Column, i: Column) -> Column:
+        small = None
+        for script, letters in _ALPHABETS.items():
+            pick = F.substring(F.lit(letters), _number(h, i, len(letters)) + 1, F.lit(1))
+            small = F.when(c.rlike(rf"\p{{Is{script}}}"), pick) if small is None else small.when(c.rlike(rf"\p{{Is{script}}}"), pick)
+        latin = F.substring(F.lit(_ALPHABETS["Latin"]), _number(h, i, 26) + 1, F.lit(1))
+        return F.when(c.rlike("[0-9]"), _number(h, i, 10).cast("string")).when(c.rlike("[A-Z]"), F.upper(latin)).when(c.rlike(r"\p{L}"), small.otherwise(latin)).otherwise(c)
+
     return F.array_join(F.transform(_chars(text), one), "")
 
 
+def _recased(made: Column, like: Column) -> Column:
+    """``made`` with capitals where ``like`` has them."""
+    return F.array_join(F.transform(_chars(made), lambda c, i: F.when(F.substring(like, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical surrogate of a canonical entity."""
     digest = lambda *parts: F.sha2(F.concat_ws("\x1f", F.lit(key), *parts, attempt.cast("string")), 256)
     size = F.length(canon)
 
-    def email(h: Column) -> Column:
-        local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-        end = F.substring_index(domain, ".", -1)
-        host = F.substring(domain, F.lit(1), F.length(domain) - F.length(end) - 1)
-        shared = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256)
-        return F.concat(_scramble(local, h), F.lit("@"), _bind(shared, lambda d: _scramble(host, d)), F.lit("."), end)
+    more = lambda h, after: F.when(attempt > after, F.substring(h, 1, 2)).otherwise("")
+
+    def domain(h: Column) -> Column:
+        end = F.substring_index(canon, ".", -1)
+        host = F.substring(canon, F.lit(1), size - F.length(end) - 1)
+        return F.concat(_scramble(host, h), more(h, ROOMY), F.lit("."), end)
 
     def digits(h: Column, kept: Column, lead: Column) -> Column:
         """Digits after the first ``kept`` are drawn; the one after them is ``lead`` or more."""
@@ -139,33 +177,34 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     def ip(h: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i, 254) + 1).cast("string")), ".")
 
+    def ip6(h: Column) -> Column:
+        hexes = F.lit("0123456789abcdef")
+        drawn = F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.substring(hexes, _number(h, i, 16) + 1, F.lit(1))))
+        return F.concat(F.array_join(drawn, ""), F.when(F.contains(canon, F.lit("::")) & (attempt > ROOMY), F.concat(F.lit(":"), F.substring(h, 1, 4))).otherwise(""))
+
     def name(h: Column) -> Column:
-        female, words = canon.startswith("f"), F.split(F.substring(canon, F.lit(2), size), "(?<=[ -])")
         script = F.when(canon.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(canon.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
-
-        def word(w: Column, i: Column) -> Column:
-            out = None
-            for s, syllables in _SYLLABLES.items():
-                pick = lambda k, syllables=syllables: F.element_at(F.array(*map(F.lit, syllables)), _number(h, i * 4 + k, len(syllables)) + 1)
-                # later attempts draw longer names, so that there is always room
-                body = F.concat(pick(0), pick(1), F.when(attempt > 3, pick(2)).otherwise(""), F.when(attempt > 12, pick(3)).otherwise(""), F.when(attempt > 24, F.concat(pick(5), pick(6))).otherwise(""))
-                given = (i == 0) & (F.size(words) > 1)
-                end = F.when(given, F.when(female, _ENDINGS[s][1]).otherwise(_ENDINGS[s][0])).otherwise(pick(7))
-                made = F.initcap(F.concat(body, end))
-                out = F.when(script == s, made) if out is None else out.when(script == s, made)
-            return F.concat(out, F.regexp_extract(w, "[ -]$", 0))
-
-        return F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(words, word), ""))
+        out = None
+        for s, syllables in _SYLLABLES.items():
+            pick = lambda k, syllables=syllables: F.element_at(F.array(*map(F.lit, syllables)), _number(h, F.lit(k), len(syllables)) + 1)
+            # later attempts draw longer names, so that there is always room
+            body = F.concat(pick(0), pick(1), F.when(attempt > 3, pick(2)).otherwise(""), F.when(attempt > 12, pick(3)).otherwise(""), F.when(attempt > 24, F.concat(pick(5), pick(6))).otherwise(""))
+            end = F.when(kind == "given_f", _ENDINGS[s][1]).when(kind == "given_m", _ENDINGS[s][0]).otherwise(pick(7))
+            made = F.upper(F.concat(body, end))
+            out = F.when(script == s, made) if out is None else out.when(script == s, made)
+        return out
 
     def all_types(h: Column) -> Column:
         return (
-            F.when(kind == "email", email(h))
+            F.when(kind == "local", F.concat(_scramble(canon, h), more(h, ROOMY)))
+            .when(kind == "domain", domain(h))
             .when(kind == "ip", ip(h))
+            .when(kind == "ip6", ip6(h))
             .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _scramble(F.substring(canon, F.lit(3), size), h)))
             .when(kind == "ssn", digits(h, F.lit(0), F.lit(1)))
             .when(kind == "card", card(h))
             .when(kind == "phone", digits(h, F.greatest(F.when(canon.rlike(r"^\+[2-9]"), 3).otherwise(0), size - 10), F.lit(2)))
-            .when(kind == "name", name(h))
+            .when(kind.isin(*NAMES), name(h))
         )
 
     return _bind(digest(kind, canon), all_types)
@@ -175,24 +214,44 @@ def written(kind: Column, entity: Column, made: Column) -> Column:
     """A canonical surrogate in the form of one occurrence."""
     figures = F.regexp_replace(made, r"\D", "")
     nth = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", ""))
-    called, named = F.regexp_replace(entity, rf"^{_ADDRESS} ", ""), F.substring(made, F.lit(2), F.length(made))
     filled = F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(figures, nth(i + 1), F.lit(1))).otherwise(c)), "")
     return (
-        F.when(kind == "email", F.when(entity == F.upper(entity), F.upper(made)).otherwise(made))
-        .when(kind == "name", F.concat(F.regexp_extract(entity, rf"^{_ADDRESS} ", 0), F.when(called == F.upper(called), F.upper(named)).otherwise(named)))
+        F.when(kind == "local", F.concat(_recased(made, entity), F.lit("@")))
+        .when(kind == "domain", _recased(made, entity))
+        .when(kind == "ip6", F.when(entity == F.upper(entity), F.upper(made)).otherwise(made))
+        .when(kind.isin(*NAMES), F.when(entity == F.upper(entity), made).otherwise(F.initcap(made)))
         .when(kind.isin("ip", "iban"), made)
         .otherwise(filled)
     )
 
 
+def _name_words(text: Column) -> Column:
+    """The words of all names after a form of address, in capitals, with their roles."""
+
+    def roles(name: Column) -> Column:
+        gender = F.when(name.rlike(rf"^(?:{FEMALE})\.? "), "given_f").when(name.rlike(rf"^(?:{MALE})\.? "), "given_m").otherwise("given_n")
+        words = F.regexp_extract_all(F.regexp_replace(name, rf"^{_ADDRESS} ", ""), F.lit(rf"{_CAPITALS}|{_WORD}"), F.lit(0))
+        return _bind(words, lambda w: F.transform(w, lambda x, i: F.struct(F.upper(x).alias("word"), F.when(i == F.size(w) - 1, "family").otherwise(gender).alias("role"))))
+
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0))), roles)
+    return F.when(text.rlike(CALLED), F.array_distinct(F.flatten(found)))
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """Add ``__p_found``: the entities of each whole text in order, as structs (entity, kind, canon)."""
-    text = F.col("text")
-    staged = docs.select("*", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).alias("__p_raw"))
-    typed = F.transform("__p_raw", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind")))
+    """Add ``__p_found``, the entities of each whole text in order, as structs (entity, kind, canon), and ``__p_pattern``, which finds them."""
+    text, words = F.col("text"), F.col("__p_words")
+    staged = docs.select("*", _name_words(text).alias("__p_words"))
+    forms = F.flatten(F.transform(words, lambda w: F.array(w["word"], F.initcap(w["word"]))))
+    seen = F.array_distinct(F.concat(forms, F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?:{_CAPITALS}|{_WORD})"), F.lit(0))))
+    # every written form of a name word: in capitals, capitalised, or as it stands with inner capitals
+    own = F.filter(seen, lambda x: F.exists(words, lambda w: w["word"] == F.upper(x)))
+    named = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:"), F.array_join(own, "|"), F.lit(r")(?=['’]?s?(?!\p{L}))"))
+    staged = staged.select("*", F.when(F.size(words) > 0, named).when(text.rlike(HINT), F.lit(ENTITY)).alias("__p_pattern"))
+    staged = staged.select("*", F.when(F.col("__p_pattern").isNotNull(), F.regexp_extract_all(text, F.col("__p_pattern"), F.lit(0))).alias("__p_raw"))
+    typed = F.transform("__p_raw", lambda e: F.struct(e.alias("entity"), type_of(e, words).alias("kind")))
     staged = staged.select("*", typed.alias("__p_typed"))
     found = F.transform("__p_typed", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), canonical(x["kind"], x["entity"]).alias("canon")))
-    return staged.select(*(F.col(f"`{c}`") for c in docs.columns), found.alias("__p_found"))
+    return staged.select(*(F.col(f"`{c}`") for c in docs.columns), found.alias("__p_found"), "__p_pattern")
 
 
 def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -241,17 +300,22 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     pieces = F.transform("__p_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("__p_new", i), F.lit(""))))
     some = F.size("__p_found") > 0
     rows = found.select("*", F.when(some, told).alias("__p_told"))
-    rows = rows.select("*", F.when(some, new).alias("__p_new"), F.when(some, F.split("text", ENTITY, -1)).alias("__p_gaps"))
+    rows = rows.select("*", F.when(some, new).alias("__p_new"), F.when(some, F.split("text", F.col("__p_pattern"), -1)).alias("__p_gaps"))
     text = F.when(some, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text")
     return rows.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__p_found")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates for personal data in ``text``."""
-    return replace(docs, key).select(*(F.col(f"`{c}`") for c in docs.columns))
+def key_of(spark: SparkSession) -> str:
+    """The session's key."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with surrogates for personal data in ``text``; the key is the session's if none is given."""
+    return replace(docs, key or key_of(docs.sparkSession)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replace(documents(spark, sf_dir).select("doc_id", "text"))
-    count = lambda kind: F.coalesce(F.size(F.filter("__p_found", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
-    return rows.select("doc_id", "text", *(count(k).alias(f"n_{k}") for k in TYPES))
+    rows = replace(documents(spark, sf_dir).select("doc_id", "text"), key_of(spark))
+    count = lambda kinds: F.coalesce(F.size(F.filter("__p_found", lambda x: x["kind"].isin(*kinds))), F.lit(0)).cast("long")
+    return rows.select("doc_id", "text", *(count(kinds).alias(f"n_{name}") for name, kinds in TYPES.items()))

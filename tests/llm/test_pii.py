@@ -33,7 +33,7 @@ def test_formats_coreference_and_clean_texts(spark):
     assert luhn(b) and "4539 1488 0343 6467" != b and "4521342398783744" != a
     assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} iban DE\d{20}", new[9]) and "123-45-6789" not in new[9]
     name = re.fullmatch(r"Mrs\. (\w+ra \w+) met Mr\. (\w+) and Mrs\. (\w+ \w+)", new[10])
-    assert name[1] == name[3] and "Schmidt" not in new[10] and name[1].split()[1] != name[2]
+    assert name[1] == name[3] and "Schmidt" not in new[10] and name[1].split()[1] == name[2]
     assert re.fullmatch(r"Госпожа [А-Я][а-я]+ и Господин [А-Я][а-я]+н [А-Я][а-я]+", new[11])
     hidden = new[15].removeprefix("ends with ")
     assert new[12] == "x" * 50_000 + f" {hidden} " + "a.b" * 5000 and new[14].startswith("é😀 ")
@@ -61,7 +61,7 @@ def test_other_phones_and_names(spark):
     docs = make(spark, texts + names)
     new = [x.text for x in pii.pseudonymise(docs).orderBy("doc_id").collect()]
     kinds = [[e.kind for e in x["__p_found"]] for x in pii.detect(docs).orderBy("doc_id").collect()]
-    assert kinds == [["phone"], ["phone"], ["phone"], ["ip"], ["phone"]] + [["name"]] * 8
+    assert kinds == [["phone"], ["phone"], ["phone"], ["ip"], ["phone"]] + [["family"]] * 7 + [["given_m", "family"]]
     assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4} now", new[0]) and new[0] != texts[0]
     assert re.fullmatch(r"call \+49 \d\d \d{6}, please", new[1]) and new[1] != texts[1]
     assert re.fullmatch(r"call \d{10}\.", new[2]) and new[2] != texts[2] and new[3].endswith("at 1700000000")
@@ -69,3 +69,72 @@ def test_other_phones_and_names(spark):
         assert not any(part in now for part in ("Donald", "Brien", "BRIEN", "Leyen", "Cruz", "SMITH", "Smith", "Dyke")), (was, now)
     assert new[9].split()[1].rstrip(",") == new[10].split()[1].upper()
     assert new[11].endswith(", BOSS") and new[12].startswith("Mr ") and new[12].endswith(" came")
+
+
+def test_names_go_wherever_they_stand(spark):
+    texts = [
+        "Mrs. Anna Schmidt called. Anna Schmidt said Schmidt would come. Mrs. Schmidt left, SCHMIDT's bag stayed, and Annas too; Schmidtke was elsewhere.",
+        "Mr. McDonald, Mr. O'Brien and Mr. van Beethoven met Dr. Eva Braun. McDonald and MCDONALD, Eva, Beethoven, O'BRIEN.",
+        "Frau Dr. Eva Braun und Herr Prof. Karl Schmidt", "no names: Anna Schmidt alone",
+    ]
+    new = [x.text for x in pii.pseudonymise(make(spark, texts)).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mrs\. (\w+ra) (\w+) called\. (\w+) (\w+) said (\w+) would come\. Mrs\. (\w+) left, (\w+)'s bag stayed, and (\w+)s too; Schmidtke was elsewhere\.", new[0])
+    assert m[1] == m[3] == m[8] and m[2] == m[4] == m[5] == m[6] and m[7] == m[2].upper() and "Schmidt " not in new[0]
+    m = re.fullmatch(r"Mr\. (\w+), Mr\. (\w+) and Mr\. van (\w+) met Dr\. (\w+) (\w+)\. (\w+) and (\w+), (\w+), (\w+), (\w+)\.", new[1])
+    assert m[1] == m[6] and m[7] == m[1].upper() and m[4] == m[8] and m[3] == m[9] and m[10] == m[2].upper() and len({m[i] for i in range(1, 6)}) == 5
+    n = re.fullmatch(r"Frau Dr\. (\w+ra) (\w+) und Herr Prof\. (\w+n) (\w+)", new[2])
+    assert n[2] == m[5] and n[4] == re.match(r"Mrs\. \w+ (\w+)", new[0])[1] and new[3] == texts[3]
+
+
+def test_domains_and_locals_stay_distinct(spark):
+    hosts = [f"{c}.co" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"to {p}@{h}" for h in hosts for p in "xyz"] + ["Mixed.Case@Example.Org", "mixed.case@example.org", "почта@пример.рф é@ü.de"]
+    new = [x.text for x in pii.pseudonymise(make(spark, texts)).orderBy("doc_id").collect()]
+    made = [t.removeprefix("to ").split("@") for t in new[:78]]
+    assert len({tuple(m) for m in made}) == 78 and len({m[1] for m in made}) == 26 and not {m[1] for m in made} & set(hosts)
+    assert [len({m[1] for m in made[i : i + 3]}) for i in range(0, 78, 3)] == [1] * 26 and len({m[0] for m in made}) == 3
+    assert new[78].lower() == new[79] and re.fullmatch(r"[A-Z][a-z]{4}\.[A-Z][a-z]{3}@[A-Z][a-z]{6}\.Org", new[78])
+    assert re.fullmatch(r"[а-я]{5}@[а-я]{6}\.рф [a-z]@[a-z]\.de", new[80]) and "почта" not in new[80]
+
+
+def test_addresses_of_version_six(spark):
+    texts = ["at fe80::1ff:fe23:4567:890a, or 2001:0DB8:85A3:0000:0000:8A2E:0370:7334.", "std::string a::b 12:30:45 and ::1"] + [f"::{i:x}" for i in range(16)]
+    rows = pii.replace(make(spark, texts)).orderBy("doc_id").collect()
+    new = [x.text for x in rows]
+    assert re.fullmatch(r"at [0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}, or (?:[0-9A-F]{4}:){7}[0-9A-F]{4}\.", new[0]) and new[0] != texts[0]
+    assert new[1].startswith("std::string a::b 12:30:45 and ::") and new[1].split()[-1] == new[3]
+    digits = [t for t in new[2:12]]
+    assert len(set(digits)) == 10 and all(t.startswith("::") for t in digits)
+
+
+def test_planted_entities_against_brute_force(spark):
+    """Each planted entity is replaced everywhere, by one surrogate, and no two share one."""
+    import random
+
+    r = random.Random(6)
+    some = lambda n, s: "".join(r.choices(s, k=n))
+    word = lambda: some(r.randint(3, 8), "abcdefghiklmnoprstu")
+    makers = {
+        "email": lambda: f"{word()}.{some(2, '0123456789')}@{word()}.{r.choice(('com', 'org'))}", "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)),
+        "ssn": lambda: f"{some(3, '123456789')}-{some(2, '0123456789')}-{some(4, '0123456789')}", "card": lambda: "4" + some(15, "0123456789"),
+        "phone": lambda: f"+44 {some(2, '23456789')} {some(4, '123456789')} {some(4, '0123456789')}", "iban": lambda: "DE" + some(20, "0123456789"),
+    }
+    planted = {kind: sorted({make_one() for _ in range(60)}) for kind, make_one in makers.items()}
+    texts, told = [], []
+    for _ in range(300):
+        parts, own = [word()], []
+        for kind in r.choices(sorted(planted), k=r.randint(1, 5)):
+            own.append((kind, r.choice(planted[kind])))
+            parts += [own[-1][1], word() + r.choice(("", ".", ","))]
+        told.append(own)
+        texts.append(" ".join(parts))
+    table, of = {}, {}
+    for x in pii.pseudonymise(make(spark, texts)).collect():
+        was, now = texts[x.doc_id], x.text
+        gaps = re.split("|".join(sorted((re.escape(e) for _, e in told[x.doc_id]), key=len, reverse=True)), was)
+        got = re.fullmatch("(.+?)".join(map(re.escape, gaps)), now)
+        assert got, (was, now)
+        for (kind, entity), made in zip(told[x.doc_id], got.groups(), strict=True):
+            assert table.setdefault(entity, made) == made and of.setdefault(made, entity) == entity
+            assert made not in planted[kind] and len(made) == len(entity) or kind == "ip"
+    assert len(table) > 300

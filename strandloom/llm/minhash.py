@@ -91,10 +91,11 @@ def _parts(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) with both whole texts; the rows of a hot b are dealt over parts."""
+    pairs = pairs if hasattr(pairs, "stored_at") else materialise(pairs, "pairs")
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    parts = _parts(pairs, ["b"])
-    second = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = pairs.join(parts.filter("parts > 1"), "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    parts = _parts(pairs, ["b"]).filter("parts > 1")
+    second = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(parts, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = pairs.join(parts, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     return dealt.join(first, "a").join(second, ["b", "part"]).select("a", "b", "text_a", "text_b")
 
 
@@ -242,7 +243,7 @@ def hot_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, drawn: Data
 def near_pairs(near: DataFrame, drawn: DataFrame) -> DataFrame:
     """Candidates (a, b) among near members (b, rep, n, inside, component) that join components: the second case of step 5."""
     homes = near.groupBy("b", "component").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("component", F.struct("c", "component")).alias("home"))
-    near = near.join(homes, "b")
+    near = materialise(near.join(homes, "b"), "near-homes")
     most = (F.col("inside") * (PER + LEAST) / LEAST - F.col("n")).alias("most")
     size = lambda n: F.floor(F.log(F.greatest(F.lit(1), n).cast("double")) / float(np.log(CLASS))).cast("int")
     width = _width(F.pow(F.lit(CLASS), F.col("size") + 1)).alias("width")
@@ -252,8 +253,8 @@ def near_pairs(near: DataFrame, drawn: DataFrame) -> DataFrame:
     )
     rest = near.select("b", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), most.alias("most_y"), size(F.col("n")).alias("size"))
     shared = rest.select("b", "size").distinct()
-    lone = lone.join(shared, ["b", "size"], "left_semi")
-    parts = _parts(lone, ["b", "size"])
+    lone = materialise(lone.join(shared, ["b", "size"], "left_semi"), "lone")
+    parts = materialise(_parts(lone, ["b", "size"]), "parts")
     lone = lone.join(parts, ["b", "size"]).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).select("*", width)
     rest = rest.join(parts, ["b", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("*", width).drop("parts")
     lone, rest = _with_bits(lone, drawn, "x", "bits_x").drop("width", "parts"), _with_bits(rest, drawn, "y", "bits_y").drop("width")

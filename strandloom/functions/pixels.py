@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Thresholds that decide what counts as ink, paper, a gap and a barline.
 INK, PAPER_S, PAPER_V, PAPER_GREY = 200, 40, 170, 170
-GAP_INK, BARLINE_SHARE = 128, 0.85
+GAP_INK, BARLINE_SHARE, BLOCK_INK = 128, 0.85, 300
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
@@ -174,16 +175,26 @@ def bridged(gap: np.ndarray) -> bool:
     return bool(((gap < GAP_INK).mean(axis=0) >= 0.9).sum() >= 2) if gap.shape[0] else False
 
 
+def wide_gaps(ink: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Blank row runs, margins too, that are no shorter than the threshold of all runs; ``ink`` counts each row's inked pixels."""
+    gaps = runs(ink < max(3, int(0.02 * width)))
+    limit = otsu(gaps[:, 1] - gaps[:, 0]) if len(gaps) > 1 else 0
+    return [(a, b) for a, b in gaps.tolist() if b - a >= limit]
+
+
+def blocks_between(ink: np.ndarray, gaps: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Row ranges of enough ink, cut in the middle of each gap, and the rows of the cuts between those that are kept."""
+    h = len(ink)
+    total = np.concatenate(([0], np.cumsum(ink)))
+    cuts = sorted({0, h, *((a + b) // 2 for a, b in gaps)})
+    kept = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if total[b] - total[a] > BLOCK_INK] or [(0, h)]
+    return kept, [(x[1] + y[0]) // 2 for x, y in zip(kept, kept[1:], strict=False)]
+
+
 def blocks(canvas: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     """System blocks of a canvas as row ranges, and the rows of the cuts between them."""
-    h, w = canvas.shape
     ink = (canvas < GAP_INK).sum(axis=1)
-    gaps = runs(ink < max(3, int(0.02 * w)))
-    inner = [(a, b) for a, b in gaps.tolist() if a > 0 and b < h]
-    limit = otsu([b - a for a, b in inner])
-    cuts = sorted({0, h, *((a + b) // 2 for a, b in inner if b - a >= limit and not bridged(canvas[a:b]))})
-    kept = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if ink[a:b].sum() > 300] or [(0, h)]
-    return kept, [c for c in cuts[1:-1] if kept[0][1] <= c <= kept[-1][0]]
+    return blocks_between(ink, [(a, b) for a, b in wide_gaps(ink, canvas.shape[1]) if not bridged(canvas[a:b])])
 
 
 def staff_of(canvas: np.ndarray) -> tuple[int, int] | None:
@@ -212,8 +223,15 @@ def trim(canvas: np.ndarray, last: bool) -> tuple[np.ndarray, bool]:
     return canvas[:, : bars[-1] + 1], False
 
 
+def _cubic(distance: np.ndarray) -> np.ndarray:
+    """Kernel of cubic convolution with the usual slope of -0.75."""
+    d, a = np.abs(distance), -0.75
+    near, far = ((a + 2) * d - (a + 3)) * d * d + 1, ((d - 5) * d + 8) * d * a - 4 * a
+    return np.where(d <= 1, near, np.where(d < 2, far, 0.0))
+
+
 def scaled(canvas: np.ndarray, factor: float) -> np.ndarray:
-    """Resized by linear interpolation after an unsharp mask; sizes round half to even, 1 at least."""
+    """Resized by cubic interpolation after an unsharp mask; sizes round half to even, 1 at least."""
     x = canvas.astype(np.float64)
     taps = np.exp(-0.5 * (np.arange(-4, 5) / 1.2) ** 2)
     taps /= taps.sum()
@@ -221,13 +239,16 @@ def scaled(canvas: np.ndarray, factor: float) -> np.ndarray:
     for axis in (0, 1):
         padded = np.pad(soft, [(4, 4) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
         soft = sum(t * np.take(padded, np.arange(k, k + x.shape[axis]), axis) for k, t in enumerate(taps))
-    x = np.clip(1.5 * x - 0.5 * soft, 0, 255)
+    x = np.clip(np.rint(1.5 * x - 0.5 * soft), 0, 255)
     for axis in (0, 1):
         n = max(1, int(np.rint(x.shape[axis] * factor)))
-        at = np.clip((np.arange(n) + 0.5) / factor - 0.5, 0, x.shape[axis] - 1)
+        at = (np.arange(n) + 0.5) / factor - 0.5
         low = np.floor(at).astype(int)
-        part = (at - low).reshape(-1, 1) if axis == 0 else (at - low).reshape(1, -1)
-        x = np.take(x, low, axis) * (1 - part) + np.take(x, np.minimum(low + 1, x.shape[axis] - 1), axis) * part
+        out = 0.0
+        for k in (-1, 0, 1, 2):
+            weight = _cubic(at - low - k).reshape((-1, 1) if axis == 0 else (1, -1))
+            out = out + weight * np.take(x, np.clip(low + k, 0, x.shape[axis] - 1), axis)
+        x = out
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
 

@@ -33,16 +33,19 @@ def clamp_index(wanted: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(wanted, n - 1))
 
 
+def is_sample(pos: Column, n: Column, k: int) -> Column:
+    """Whether a position is one of the at most k evenly spaced ones of 0..n-1, both ends included; only 0 if k or n is 1."""
+    taken = F.least(F.lit(k), n)
+    # a sample point is floor(j * (n - 1) / (taken - 1)) for some j; the least such j is a ceiling
+    j = F.floor((pos * (taken - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))
+    hit = (j < taken) & (F.floor(j * (n - 1) / F.greatest(taken - 1, F.lit(1))) == pos)
+    return (pos >= 0) & (pos < n) & F.when(taken <= 1, pos == 0).otherwise(hit)
+
+
 def even_sample(df: DataFrame, key: Names, order: Names, k: int) -> DataFrame:
     """At most k rows of each sequence, evenly spaced with both ends; one row if k is 1."""
-    each = Window.partitionBy(*key)
-    placed = number(df, key, order).withColumn("n", F.count("*").over(each))
-    taken = F.least(F.lit(k), F.col("n"))
-    # pos is a sample point if floor(j * (n - 1) / (taken - 1)) hits it for some j; the least such j is a ceiling
-    j = F.expr(f"(pos * (least({k}, n) - 1) + n - 2) div greatest(n - 1, 1)")
-    hit = (j < taken) & (F.expr("div_j * (n - 1) div greatest(taken - 1, 1)") == F.col("pos"))
-    marked = placed.withColumn("taken", taken).withColumn("div_j", j)
-    return marked.filter(F.when(F.col("taken") <= 1, F.col("pos") == 0).otherwise(hit)).drop("taken", "div_j", "n")
+    placed = number(df, key, order).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
+    return placed.filter(is_sample(F.col("pos"), F.col("n"), k)).drop("n")
 
 
 def page_wraps(df: DataFrame, key: Names, order: Names, x: str, drop: Column) -> DataFrame:
@@ -176,12 +179,15 @@ def running_offsets(df: DataFrame, key: Names, order: Names, match: Column, conf
     return df.withColumn("resolution", kind).withColumn("step", step).withColumn("offset", F.sum("step").over(w))
 
 
-def advance_mode(df: DataFrame, key: Names, dx: str, dy: str, size: float, static: float = 2.0) -> DataFrame:
-    """Kind of motion from adjacent displacements: the medians decide, else the coherence of larger events."""
+def advance_mode(df: DataFrame, key: Names, dx: str, dy: str, size: float | str, static: float = 2.0) -> DataFrame:
+    """Kind of motion from adjacent displacements: the medians decide, else the coherence of larger events.
+
+    ``size`` is the height of what moves, one for all sequences or a column.
+    """
     axis = F.when(F.col("sum_x") >= F.col("sum_y"), "x").otherwise("y")
     sums = df.groupBy(*key).agg(F.sum(F.abs(F.col(dx))).alias("sum_x"), F.sum(F.abs(F.col(dy))).alias("sum_y"), F.median(F.abs(F.col(dx))).alias("med_dx"), F.median(F.abs(F.col(dy))).alias("med_dy"))
     moved = df.join(sums.withColumn("axis", axis), list(key)).withColumn("d", F.when(F.col("axis") == "x", F.col(dx)).otherwise(F.col(dy)))
-    big = F.abs(F.col("d")) > F.greatest(F.lit(2.0), F.lit(0.02 * size))
+    big = F.abs(F.col("d")) > F.greatest(F.lit(2.0), 0.02 * (F.col(size) if isinstance(size, str) else F.lit(size)))
     told = moved.groupBy(*key, "axis", "med_dx", "med_dy").agg(F.sum((big & (F.col("d") > 0)).cast("int")).alias("up"), F.sum((big & (F.col("d") < 0)).cast("int")).alias("down"))
     n = F.col("up") + F.col("down")
     told = told.withColumn("n_events", n).withColumn("coherence", F.when(n > 0, F.round(F.greatest("up", "down") / n, 6)).otherwise(F.lit(0.0)))
@@ -279,3 +285,67 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, position: str) -> Data
 def replace_to_end(base: DataFrame, row: DataFrame, key: str) -> DataFrame:
     """Drop rows of the same key and append; callers order by what they keep."""
     return base.join(row, key, "left_anti").withColumn("appended", F.lit(False)).unionByName(row.withColumn("appended", F.lit(True)))
+
+
+def best_first(df: DataFrame, key: Names, group: Names, order: Sequence[Column]) -> DataFrame:
+    """The first row in ``order`` of each group of a key, with its ``rank`` from 0 among the key's; a null group is a group."""
+    first = F.row_number().over(Window.partitionBy(*key, *group).orderBy(*order))
+    kept = df.withColumn("__first", first).filter("__first = 1").drop("__first")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+
+
+def next_start(df: DataFrame, key: Names, order: Names, start: str, last, name: str = "next") -> DataFrame:
+    """Each boundary with the one after it; ``last`` for the last."""
+    return df.withColumn(name, F.lead(start, 1, last).over(_window(key, order)))
+
+
+def precedence(base: DataFrame, key: str, column: str, layers: Sequence[DataFrame], default: Column) -> DataFrame:
+    """``column`` of the first layer (key, column) that has the key with a value, else the default."""
+    out, names = base, []
+    for i, layer in enumerate(layers):
+        names.append(f"__layer_{i}")
+        out = out.join(layer.select(key, F.col(column).alias(names[-1])), key, "left")
+    return out.withColumn(column, F.coalesce(*names, default)).drop(*names)
+
+
+def concat_ordered(rows: DataFrame, key: Names, part: str, order: Names, name: str = "ordinal") -> DataFrame:
+    """Rows of a key's ordered parts numbered from 1 as one sequence; windows over whole keys see one row a part only."""
+    sizes = rows.groupBy(*key, part).agg(F.count("*").alias("n"))
+    sizes = sizes.select(*key, part, (F.sum("n").over(Window.partitionBy(*key).orderBy(part)) - F.col("n")).alias("__before"))
+    placed = number(rows, [*key, part], order, "__pos").join(sizes, [*key, part])
+    return placed.withColumn(name, (F.col("__before") + F.col("__pos") + 1).cast("long")).drop("__before", "__pos")
+
+
+def sorted_bounds(df: DataFrame, key: Names, value: Column, name: str = "bounds") -> DataFrame:
+    """The distinct values of each key in order."""
+    return df.select(*key, value.alias("__v")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("__v")).alias(name))
+
+
+def common_scale(df: DataFrame, key: Names, width: str, target: float, name: str = "factor") -> DataFrame:
+    """The factor that makes the widest row of a key ``target`` wide."""
+    return df.withColumn(name, F.lit(float(target)) / F.max(width).over(Window.partitionBy(*key)))
+
+
+def scaled_size(size: Column, factor: Column) -> Column:
+    """A size times a factor, rounded half to even, 1 at least."""
+    return F.greatest(F.lit(1), F.bround(size * factor, 0)).cast("int")
+
+
+def step_check(df: DataFrame, key: Names, order: Names, offset: str, unresolved: Column, window: Column) -> DataFrame:
+    """Largest step and number of unresolved ones of each sequence; ``ok`` is null for under two offsets, else no step
+    reaches the window and none is unresolved."""
+    jumps = df.withColumn("__jump", F.col(offset) - F.lag(offset).over(_window(key, order))).withColumn("__window", window)
+    out = jumps.groupBy(*key).agg(F.count("*").alias("n"), F.max("__jump").alias("max_jump"), F.sum(unresolved.cast("int")).alias("unresolved"), F.max("__window").alias("window"))
+    return out.withColumn("ok", F.when(F.col("n") >= 2, (F.col("max_jump") < F.col("window")) & (F.col("unresolved") == 0)))
+
+
+def free_numbers(wanted: DataFrame, taken: DataFrame, key: Names, order: Names, name: str = "k") -> DataFrame:
+    """The least numbers from 1 that no row of ``taken`` (key, number) has, one for each wanted row of a key, in order.
+
+    Of the sorted taken numbers t1 < t2 < ..., ti lies before the r-th free one if ti - i < r.
+    """
+    used = taken.select(*key, "number").distinct().groupBy(*key).agg(F.sort_array(F.collect_list("number")).alias("__used"))
+    placed = number(wanted, key, order, "__rank").join(used, list(key), "left")
+    before = F.transform("__used", lambda t, i: t - i - 1)
+    passed = F.coalesce(F.size(F.filter(before, lambda d: d < F.col("__rank") + 1)), F.lit(0))
+    return placed.withColumn(name, F.col("__rank") + 1 + passed).drop("__rank", "__used")

@@ -11,16 +11,28 @@ from strandloom.functions import pixels as px
 from strandloom.operators import seq
 
 BAND, LEAST = 200, 3
-Region = tuple[int, int, int, int]
+EDGES = ("x0", "y0", "x1", "y1")
+#: One box for all videos, or a table (video_id, x0, y0, x1, y1).
+Region = tuple[int, int, int, int] | DataFrame
 
 
 def array_of(height: int, width: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, -1)
 
 
-def _cut(row, region: Region | None) -> np.ndarray:
-    image = array_of(row.height, row.width, row.data)
-    return image if region is None else image[region[1] : region[3], region[0] : region[2]]
+def on_region(frames: DataFrame, region: Region) -> DataFrame:
+    """Frames with the edges of their video's region; one row a video is joined, no frame is collected."""
+    if isinstance(region, DataFrame):
+        return frames.join(region.select("video_id", *EDGES), "video_id")
+    return frames.select("*", *(F.lit(int(v)).alias(e) for v, e in zip(region, EDGES, strict=True)))
+
+
+def _cut(row) -> np.ndarray:
+    return array_of(row.height, row.width, row.data)[row.y0 : row.y1, row.x0 : row.x1]
+
+
+def _grey(row) -> np.ndarray:
+    return np.frombuffer(row.grey, np.uint8).reshape(row.y1 - row.y0, row.x1 - row.x0)
 
 
 def _per_frame(frames: DataFrame, schema: str, use) -> DataFrame:
@@ -34,6 +46,14 @@ def _per_frame(frames: DataFrame, schema: str, use) -> DataFrame:
     return frames.mapInPandas(run, schema)
 
 
+def crops(frames: DataFrame, region: Region, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(video_id, frame_idx, edges, grey) of the region of each frame, with the columns ``keep``: what later shuffles move."""
+    on = on_region(frames, region).select("video_id", "frame_idx", *EDGES, "height", "width", "data", *keep)
+    kinds = dict(on.dtypes)
+    schema = f"video_id {kinds['video_id']}, frame_idx int, x0 int, y0 int, x1 int, y1 int, grey binary" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return _per_frame(on, schema, lambda row: [(row.video_id, row.frame_idx, row.x0, row.y0, row.x1, row.y1, px.grey(_cut(row)).tobytes(), *(getattr(row, c) for c in keep))])
+
+
 def region_candidates(frames: DataFrame) -> DataFrame:
     """Region and line count of up to 40 evenly spaced frames of each video; frames without one are null."""
     sample = seq.even_sample(frames, ["video_id"], ["frame_idx"], 40)
@@ -63,54 +83,65 @@ def detect_region(frames: DataFrame) -> DataFrame:
 
 
 def displacements(frames: DataFrame, region: Region, pairs: int = 200) -> DataFrame:
-    """(dx, dy) between evenly sampled neighbouring frames of each video."""
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    paired = frames.withColumn("after", F.lead("data").over(w)).filter("after IS NOT NULL")
-    sample = seq.even_sample(paired, ["video_id"], ["frame_idx"], pairs)
+    """(dx, dy) between evenly sampled neighbouring frames of each video, whose frame_idx count from 0; ``size`` is the region's height.
 
-    def one(row):
-        a, b = px.grey(_cut(row, region)), px.grey(array_of(row.height, row.width, row.after)[region[1] : region[3], region[0] : region[2]])
-        return [(row.video_id, row.frame_idx, *(round(v, 3) for v in px.phase_shift(a, b)))]
+    Pairs are chosen from frame numbers, so that only grey crops of chosen frames are shuffled.
+    """
+    n = frames.groupBy("video_id").agg((F.count("*") - 1).alias("n_pairs"))
+    at = F.col("frame_idx")
+    chosen = lambda pos: seq.is_sample(pos, F.col("n_pairs"), pairs)
+    members = F.filter(F.array(F.when(chosen(at), at), F.when(chosen(at - 1), at - 1)), lambda p: p.isNotNull())
+    wanted = frames.join(n, "video_id").withColumn("members", members).filter(F.size("members") > 0)
+    both = crops(wanted, region, ("members",)).select("video_id", "frame_idx", *EDGES, "grey", F.explode("members").alias("pair"))
 
-    return _per_frame(sample, "video_id string, frame_idx int, dx double, dy double", one)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf.sort_values("frame_idx").itertuples(index=False)
+        shift = px.phase_shift(_grey(first), _grey(second))
+        return pd.DataFrame([(first.video_id, first.pair, *(round(v, 3) for v in shift), first.y1 - first.y0)], columns=["video_id", "frame_idx", "dx", "dy", "size"])
+
+    return both.groupBy("video_id", "pair").applyInPandas(one, "video_id string, frame_idx int, dx double, dy double, size int")
 
 
 def classify_advance(frames: DataFrame, region: Region) -> DataFrame:
-    return seq.advance_mode(displacements(frames, region), ["video_id"], "dx", "dy", float(region[3] - region[1]))
+    return seq.advance_mode(displacements(frames, region), ["video_id"], "dx", "dy", "size")
 
 
 def cursor_track(frames: DataFrame, region: Region) -> DataFrame:
-    """(video_id, frame_idx, x, strength) of the frames with a cursor."""
+    """(video_id, frame_idx, x, strength, width of the region) of the frames with a cursor."""
 
     def one(row):
-        found = px.cursor_column(_cut(row, region))
-        return [(row.video_id, row.frame_idx, *found)] if found else []
+        found = px.cursor_column(_cut(row))
+        return [(row.video_id, row.frame_idx, *found, row.x1 - row.x0)] if found else []
 
-    return _per_frame(frames.select("video_id", "frame_idx", "height", "width", "data"), "video_id string, frame_idx int, x int, strength int", one)
+    return _per_frame(on_region(frames, region).select("video_id", "frame_idx", "height", "width", "data", *EDGES), "video_id string, frame_idx int, x int, strength int, width int", one)
 
 
 def signatures(frames: DataFrame, region: Region) -> DataFrame:
     """Signature of what lies outside the region."""
-    return _per_frame(frames, "video_id string, frame_idx int, sig array<float>", lambda row: [(row.video_id, row.frame_idx, px.signature(array_of(row.height, row.width, row.data), region))])
+    one = lambda row: [(row.video_id, row.frame_idx, px.signature(array_of(row.height, row.width, row.data), (row.x0, row.y0, row.x1, row.y1)))]
+    return _per_frame(on_region(frames, region), "video_id string, frame_idx int, sig array<float>", one)
 
 
-def page_starts(track: DataFrame, width: int) -> DataFrame:
-    """Page boundaries of a cursor track."""
-    return seq.page_wraps(track, ["video_id"], ["frame_idx"], "x", F.lit(0.3 * width)).select("video_id", "frame_idx")
+def page_starts(track: DataFrame, width: int | None = None) -> DataFrame:
+    """Page boundaries of a cursor track; the width is the track's own if none is given."""
+    drop = 0.3 * (F.col("width") if width is None else F.lit(width))
+    return seq.page_wraps(track, ["video_id"], ["frame_idx"], "x", drop).select("video_id", "frame_idx")
 
 
 def page_frames(frames: DataFrame, starts: DataFrame) -> DataFrame:
     """Frames with their page, and whether they contribute. Without any start all frames are page 0;
-    frames before the first start belong to none."""
+    frames before the first start belong to none. Windows run over frame numbers, not over images."""
     w = Window.partitionBy("video_id").orderBy("frame_idx")
-    marked = frames.join(starts.withColumn("start", F.lit(1)), ["video_id", "frame_idx"], "left")
+    numbers = frames.select("video_id", "frame_idx")
+    marked = numbers.join(starts.withColumn("start", F.lit(1)), ["video_id", "frame_idx"], "left")
     page = (F.sum(F.coalesce("start", F.lit(0))).over(w) - 1).cast("int")
     any_start = F.max("start").over(Window.partitionBy("video_id"))
     paged = marked.withColumn("page", F.when(any_start.isNull(), 0).otherwise(page)).filter("page >= 0").drop("start")
     each = Window.partitionBy("video_id", "page")
     size, place = F.count("*").over(each), F.row_number().over(each.orderBy("frame_idx"))
     paged = paged.withColumn("size", size).withColumn("place", place)
-    return paged.withColumn("contributes", F.when(F.col("size") >= LEAST + 2, (F.col("place") > 1) & (F.col("place") < F.col("size"))).otherwise(F.lit(True)))
+    paged = paged.withColumn("contributes", F.when(F.col("size") >= LEAST + 2, (F.col("place") > 1) & (F.col("place") < F.col("size"))).otherwise(F.lit(True)))
+    return frames.join(paged, ["video_id", "frame_idx"])
 
 
 def compose_pages(paged: DataFrame, region: Region) -> DataFrame:
@@ -119,27 +150,28 @@ def compose_pages(paged: DataFrame, region: Region) -> DataFrame:
     A page is cut to row chunks first, so that what one group holds is bounded by a chunk's pixels
     times the page's frames.
     """
-    x0, y0, x1, y1 = region
 
     def chunks(row):
-        g = px.grey(_cut(row, region))
-        return [(row.video_id, row.page, row.frame_idx, c, g[c : c + BAND].tobytes()) for c in range(0, y1 - y0, BAND)]
+        g = px.grey(_cut(row))
+        return [(row.video_id, row.page, row.frame_idx, c, row.x1 - row.x0, g[c : c + BAND].tobytes()) for c in range(0, row.y1 - row.y0, BAND)]
 
-    cut = _per_frame(paged.filter("contributes"), "video_id string, page int, frame_idx int, chunk int, rows binary", chunks)
+    on = on_region(paged.filter("contributes"), region).select("video_id", "page", "frame_idx", "height", "width", "data", *EDGES)
+    cut = _per_frame(on, "video_id string, page int, frame_idx int, chunk int, across int, rows binary", chunks)
 
     def middle(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = np.stack([np.frombuffer(r, np.uint8) for r in pdf["rows"]]).reshape(len(pdf), -1, x1 - x0)
-        canvas = px.composite(stack, LEAST)
         first = pdf.iloc[0]
-        return pd.DataFrame([(first.video_id, first.page, first.chunk, len(pdf), int((canvas > px.PAPER_GREY).sum()), canvas.tobytes())], columns=["video_id", "page", "chunk", "n", "paper", "rows"])
+        stack = np.stack([np.frombuffer(r, np.uint8) for r in pdf["rows"]]).reshape(len(pdf), -1, first.across)
+        canvas = px.composite(stack, LEAST)
+        told = (first.video_id, first.page, first.chunk, len(pdf), int((canvas > px.PAPER_GREY).sum()), *canvas.shape, canvas.tobytes())
+        return pd.DataFrame([told], columns=["video_id", "page", "chunk", "n", "paper", "height", "width", "rows"])
 
-    done = cut.groupBy("video_id", "page", "chunk").applyInPandas(middle, "video_id string, page int, chunk int, n int, paper long, rows binary")
+    done = cut.groupBy("video_id", "page", "chunk").applyInPandas(middle, "video_id string, page int, chunk int, n int, paper long, height int, width int, rows binary")
     joined = done.groupBy("video_id", "page").agg(
-        F.max("n").alias("contributors"), F.sum("paper").alias("paper"), F.transform(F.array_sort(F.collect_list(F.struct("chunk", "rows"))), lambda c: c["rows"]).alias("chunks")
+        F.sum("height").cast("int").alias("height"), F.max("width").alias("width"), F.max("n").alias("contributors"), F.sum("paper").alias("paper"), F.transform(F.array_sort(F.collect_list(F.struct("chunk", "rows"))), lambda c: c["rows"]).alias("chunks")
     )
-    share = F.col("paper") / F.lit((y1 - y0) * (x1 - x0))
+    share = F.col("paper") / (F.col("height") * F.col("width"))
     return joined.select(
-        "video_id", "page", "contributors", F.aggregate("chunks", F.lit(b""), lambda a, b: F.concat(a, b)).alias("canvas"), F.lit(y1 - y0).alias("height"), F.lit(x1 - x0).alias("width"),
+        "video_id", "page", "contributors", F.aggregate("chunks", F.lit(b""), lambda a, b: F.concat(a, b)).alias("canvas"), "height", "width",
         (share < 0.5).alias("transition"), (F.col("contributors") < LEAST).alias("low_confidence"),
     )
 
@@ -150,22 +182,23 @@ def scroll_offsets(frames: DataFrame, region: Region, horizontal: bool = False)
     The strip match runs on every pair; the costlier phase correlation only where it is unsure.
     """
     w = Window.partitionBy("video_id").orderBy("frame_idx")
-    paired = frames.withColumn("before", F.lag("data").over(w)).select("video_id", "frame_idx", "height", "width", "data", "before")
+    paired = crops(frames, region).withColumn("before", F.lag("grey").over(w))
 
     def one(row):
+        length = row.x1 - row.x0 if horizontal else row.y1 - row.y0
         if row.before is None:
-            return [(row.video_id, row.frame_idx, 0.0, 1.0, 0.0)]
-        a, b = (px.grey(array_of(row.height, row.width, d)[region[1] : region[3], region[0] : region[2]]) for d in (row.before, row.data))
+            return [(row.video_id, row.frame_idx, 0.0, 1.0, 0.0, length)]
+        b = _grey(row)
+        a = np.frombuffer(row.before, np.uint8).reshape(b.shape)
         if horizontal:
             a, b = a.T, b.T
         d, score = px.strip_match(a, b)
         shift = 0.0 if score >= 0.6 else float(np.rint(-px.phase_shift(a, b)[1]))
-        return [(row.video_id, row.frame_idx, float(d), score, shift)]
+        return [(row.video_id, row.frame_idx, float(d), score, shift, length)]
 
-    steps = _per_frame(paired, "video_id string, frame_idx int, d double, score double, shift double", one)
-    length = float(region[2] - region[0] if horizontal else region[3] - region[1])
-    return seq.running_offsets(steps, ["video_id"], ["frame_idx"], F.col("d"), F.col("score") >= 0.6, F.col("shift"), F.lit(length)).select(
-        "video_id", "frame_idx", F.col("offset").cast("int").alias("offset"), "resolution"
+    steps = _per_frame(paired, "video_id string, frame_idx int, d double, score double, shift double, length int", one)
+    return seq.running_offsets(steps, ["video_id"], ["frame_idx"], F.col("d"), F.col("score") >= 0.6, F.col("shift"), F.col("length")).select(
+        "video_id", "frame_idx", F.col("offset").cast("int").alias("offset"), "resolution", "length"
     )
 
 
@@ -175,14 +208,12 @@ def compose_scroll(frames: DataFrame, offsets: DataFrame, region: Region, horizo
     Interval cover as an equi-join: each frame is cut to the bands it touches, white where it does
     not reach. Frames that contain a band count; where they are too few, all that touch it do.
     """
-    length = region[2] - region[0] if horizontal else region[3] - region[1]
-    total = offsets.groupBy("video_id").agg((F.max("offset") + length).alias("total"))
-    placed = frames.join(offsets, ["video_id", "frame_idx"]).join(total, "video_id")
+    total = offsets.groupBy("video_id").agg(F.max(F.col("offset") + F.col("length")).alias("total"))
+    placed = crops(frames, region).join(offsets.select("video_id", "frame_idx", "offset"), ["video_id", "frame_idx"]).join(total, "video_id")
 
     def cut(row):
-        g = px.grey(_cut(row, region))
-        g = g.T if horizontal else g
-        out = []
+        g = _grey(row).T if horizontal else _grey(row)
+        out, length = [], g.shape[0]
         for band in range(row.offset // BAND, (row.offset + length - 1) // BAND + 1):
             y0, y1 = band * BAND, min((band + 1) * BAND, row.total)
             piece = np.full((y1 - y0, g.shape[1]), 255, np.uint8)
@@ -218,33 +249,58 @@ def page_systems(pages: DataFrame) -> DataFrame:
 
 
 def scroll_systems(bands: DataFrame, carry_confidence: bool = False) -> DataFrame:
-    """System blocks of scroll canvases. ``carry_confidence`` marks blocks that touch a band of few frames."""
+    """System blocks of scroll canvases. ``carry_confidence`` marks blocks that touch a band of few frames.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("band")
-        width = int(pdf["width"].iloc[0])
-        canvas = np.concatenate([np.frombuffer(r, np.uint8).reshape(-1, width) for r in pdf["rows"]])
-        weak = np.repeat(pdf["low_confidence"].to_numpy(), [len(r) // width for r in pdf["rows"]])
-        kept, cuts = px.blocks(canvas)
-        on_ink = sum(int((canvas[c] < px.GAP_INK).sum() > 0.01 * width) for c in cuts)
-        lost = max(0, int((canvas < px.GAP_INK).sum()) - sum(int((canvas[a:b] < px.GAP_INK).sum()) for a, b in kept))
-        rows = [(pdf["video_id"].iloc[0], i, b - a, width, canvas[a:b].tobytes(), bool(carry_confidence and weak[a:b].any()), on_ink, lost) for i, (a, b) in enumerate(kept)]
-        return pd.DataFrame(rows, columns=["video_id", "pos", "height", "width", "canvas", "low_confidence", "cuts_on_ink", "discarded_ink"])
+    No task holds a canvas: each band tells its rows' ink; cuts are found from these counts of a
+    video, after the wide gaps are looked at for bridges band by band; then bands are cut to blocks.
+    """
+    inked = lambda row: np.frombuffer(row.rows, np.uint8).reshape(-1, row.width) < px.GAP_INK
+    counts = _per_frame(bands, "video_id string, band int, width int, ink array<int>", lambda row: [(row.video_id, row.band, row.width, inked(row).sum(axis=1).tolist())])
+    rows = counts.groupBy("video_id").agg(F.max("width").alias("width"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("band", "ink"))), lambda b: b["ink"])).alias("ink"))
 
-    return bands.groupBy("video_id").applyInPandas(one, "video_id string, pos int, height int, width int, canvas binary, low_confidence boolean, cuts_on_ink int, discarded_ink long")
+    def wide(row):
+        return [(row.video_id, a, b) for a, b in px.wide_gaps(np.asarray(row.ink), row.width)]
 
+    gaps = _per_frame(rows, "video_id string, a int, b int", wide)
+    touched = gaps.withColumn("band", F.explode(F.sequence(F.expr(f"a div {BAND}"), F.expr(f"(b - 1) div {BAND}"))))
 
-def offset_check(offsets: DataFrame, window: int) -> DataFrame:
-    """Largest step and unresolved pairs; ok is null for under two offsets."""
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    jumps = offsets.withColumn("jump", F.col("offset") - F.lag("offset").over(w))
-    out = jumps.groupBy("video_id").agg(F.count("*").alias("n"), F.max("jump").alias("max_jump"), F.sum((F.col("resolution") == "unresolved").cast("int")).alias("unresolved"))
-    return out.withColumn("ok", F.when(F.col("n") >= 2, (F.col("max_jump") < window) & (F.col("unresolved") == 0)))
+    def crossing(row):
+        at = row.band * BAND
+        return [(row.video_id, row.a, row.b, inked(row)[max(0, row.a - at) : row.b - at].sum(axis=0).tolist())]
+
+    parts = _per_frame(touched.join(bands.select("video_id", "band", "width", "rows"), ["video_id", "band"]), "video_id string, a int, b int, columns array<int>", crossing)
+    column = parts.select("video_id", "a", "b", F.posexplode("columns").alias("x", "c")).groupBy("video_id", "a", "b", "x").agg(F.sum("c").alias("c"))
+    bridges = column.groupBy("video_id", "a", "b").agg(F.sum((F.col("c") * 10 >= (F.col("b") - F.col("a")) * 9).cast("int")).alias("columns"))
+    clear = bridges.filter("columns < 2").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gaps"))
+
+    def cut(row):
+        ink = np.asarray(row.ink)
+        kept, cuts = px.blocks_between(ink, [(g["a"], g["b"]) for g in (row.gaps if row.gaps is not None else [])])
+        on_ink = sum(int(ink[c] > 0.01 * row.width) for c in cuts)
+        lost = max(0, int(ink.sum()) - sum(int(ink[a:b].sum()) for a, b in kept))
+        return [(row.video_id, i, a, b, on_ink, lost) for i, (a, b) in enumerate(kept)]
+
+    blocks = _per_frame(rows.join(clear, "video_id", "left"), "video_id string, pos int, a int, b int, cuts_on_ink int, discarded_ink long", cut)
+    pieces = blocks.withColumn("band", F.explode(F.sequence(F.expr(f"a div {BAND}"), F.expr(f"(b - 1) div {BAND}")))).join(bands, ["video_id", "band"])
+    at = F.col("band") * BAND
+    first, end = F.greatest(F.lit(0), F.col("a") - at), F.least(F.lit(BAND), F.col("b") - at)
+    piece = F.substring("rows", first * F.col("width") + 1, (end - first) * F.col("width"))
+    sliced = pieces.select("video_id", "pos", "a", "b", "width", "cuts_on_ink", "discarded_ink", "low_confidence", F.struct("band", piece.alias("rows")).alias("piece"))
+    canvas = F.aggregate(F.array_sort(F.collect_list("piece")), F.lit(b""), lambda whole, p: F.concat(whole, p["rows"]))
+    weak = F.max("low_confidence") if carry_confidence else F.lit(False)
+    whole = sliced.groupBy("video_id", "pos", "a", "b", "width", "cuts_on_ink", "discarded_ink").agg(canvas.alias("canvas"), weak.alias("low_confidence"))
+    return whole.select("video_id", "pos", (F.col("b") - F.col("a")).alias("height"), "width", "canvas", "low_confidence", "cuts_on_ink", "discarded_ink")
+
+
+def offset_check(offsets: DataFrame, window: int | None = None) -> DataFrame:
+    """Largest step and unresolved pairs; ok is null for under two offsets. The window is the offsets' own length if none is given."""
+    width = F.col("length") if window is None else F.lit(window)
+    return seq.step_check(offsets, ["video_id"], ["frame_idx"], "offset", F.col("resolution") == "unresolved", width)
 
 
 def layout(systems: DataFrame, width: int = 2240, capacity: int = 3158, gap: int = 30) -> DataFrame:
     """Systems scaled by their song's common factor and packed: adds sheet and y; ``canvas`` is the scaled image."""
-    common = systems.withColumn("factor", F.lit(float(width)) / F.max("width").over(Window.partitionBy("video_id")))
+    common = seq.common_scale(systems, ["video_id"], "width", width)
 
     def one(row):
         image = px.scaled(np.frombuffer(row.canvas, np.uint8).reshape(row.height, row.width), row.factor)

@@ -7,9 +7,11 @@ import subprocess
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators import seq
+
 RATE, MOST_HEIGHT = 2, 1080
 PROGRAMS = ("ffmpeg", "ffprobe", "tesseract")
 FORMATS = "title string, duration double, formats array<struct<format_id:string,ext:string,height:int,fps:double,vcodec:string,filesize:long,filesize_approx:long>>"
@@ -33,7 +35,7 @@ def seconds(path: str) -> float:
     """Duration; 0 where it cannot be read."""
     try:
         return float(_probe(path, "format=duration"))
-    except ValueError:
+    except (ValueError, OSError, subprocess.CalledProcessError):
         return 0.0
 
 
@@ -77,14 +79,17 @@ def decode_all(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame
     return jobs.mapInPandas(run, "video_id string, frames long")
 
 
+def with_video(codec: Column) -> Column:
+    """Whether a format has a picture: its codec is told and is not none."""
+    return F.coalesce(codec, F.lit("none")) != "none"
+
+
 def best_formats(metadata: DataFrame, column: str = "json") -> DataFrame:
     """One video format per height from downloader JSON, best first: no audio-only ones, by height and rate, ties in listed order."""
     info = metadata.withColumn("info", F.from_json(column, FORMATS))
     each = info.select("id", "info.title", F.coalesce("info.duration", F.lit(0.0)).alias("duration"), F.posexplode("info.formats").alias("pos", "f"))
-    video = each.filter(F.coalesce("f.vcodec", F.lit("none")) != "none")
+    video = each.filter(with_video(F.col("f.vcodec")))
     order: list[Column] = [F.coalesce("f.height", F.lit(0)).desc(), F.coalesce("f.fps", F.lit(0.0)).desc(), F.col("pos")]
-    first = F.row_number().over(Window.partitionBy("id", "f.height").orderBy(*order))
-    kept = video.withColumn("first", first).filter("first = 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(*order)) - 1
+    kept = seq.best_first(video, ["id"], ["f.height"], order)
     size = F.coalesce("f.filesize", "f.filesize_approx").alias("size")
-    return kept.select("id", "title", "duration", rank.alias("rank"), "f.format_id", "f.ext", "f.height", "f.fps", size)
+    return kept.select("id", "title", "duration", "rank", "f.format_id", "f.ext", "f.height", "f.fps", size)

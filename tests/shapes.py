@@ -2,17 +2,17 @@
 
 import numpy as np
 
-REGION = (60, 150, 900, 330)
+REGION = (48, 132, 912, 318)
 
 
-def staff(width, height, seed=0, lines=4, gap=30, top=20, bars=6):
+def staff(width, height, seed=0, lines=4, gap=28, top=24, bars=7):
     """A grey strip with lines, barlines and random marks."""
     g = np.full((height, width), 255, np.uint8)
     r = np.random.default_rng(seed)
     for k in range(lines):
-        g[top + k * gap : top + k * gap + 2] = 180
+        g[top + k * gap : top + k * gap + 2] = 170
     for x in np.linspace(10, width - 12, bars).astype(int):
-        g[top : top + (lines - 1) * gap + 2, x : x + 3] = 0
+        g[top : top + (lines - 1) * gap + 2, x : x + 4] = 0
     for _ in range(40):
         x, y = r.integers(0, width - 12), top + gap * r.integers(0, lines) + r.integers(-6, 0)
         g[max(0, y) : y + 9, x : x + 6] = 0

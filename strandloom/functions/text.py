@@ -25,10 +25,10 @@ def numbered_name(number: Column, title: Column) -> Column:
 
 
 def normalise_url(url: Column) -> Column:
-    """Trimmed, with https:// where no scheme is given; null unless http or https with a host."""
-    whole = F.trim(url)
+    """Without white space at both ends, with https:// where no scheme is given; null unless http or https with a host."""
+    whole = F.regexp_replace(url, r"^\s+|\s+$", "")
     whole = F.when(F.contains(whole, F.lit("://")), whole).otherwise(F.concat(F.lit("https://"), whole))
-    return F.when(whole.rlike(r"^(?i)https?://[^/?#\s]+[^\s]*$"), whole)
+    return F.when(whole.rlike(r"^(?i)https?://[^/?#]+"), whole)
 
 
 def has_video_suffix(path: Column) -> Column:
@@ -75,6 +75,30 @@ def duration_text(seconds: Column) -> Column:
     return F.format_string("%d:%02d", (whole / 60).cast("int"), whole % 60)
 
 
+def size_text(size: Column) -> Column:
+    """Whole megabytes of a number of bytes; null or zero is unknown."""
+    return F.when(size > 0, F.format_string("%.0f MB", size / 1e6)).otherwise("unknown size")
+
+
+def display_time(seconds: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch seconds as text in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), form)
+
+
+def epoch_seconds(time: Column) -> Column:
+    """The inverse of :func:`display_time` for timestamps."""
+    return F.unix_micros(time) / 1e6
+
+
+def handshake(line: Column, prefix: str) -> Column:
+    """(port, token) of a line that starts with the prefix and goes on with JSON of a number and a text; else null."""
+    body = F.when(line.startswith(prefix), F.substring(line, F.lit(len(prefix) + 1), F.length(line)))
+    port, token = F.get_json_object(body, "$.port"), F.from_json(body, "token string", {"mode": "PERMISSIVE"})["token"]
+    number = F.from_json(body, "port double", {"mode": "PERMISSIVE"})["port"]
+    whole = number.isNotNull() & token.isNotNull() & ~body.rlike(r'"port"\s*:\s*"') & body.rlike(r'"token"\s*:\s*"')
+    return F.when(whole & port.isNotNull(), F.struct(number.cast("int").alias("port"), token.alias("token")))
+
+
 def score_grade(score: Column) -> Column:
     return F.when(score >= 90, "good").when(score >= 60, "fair").otherwise("poor")
 
@@ -114,3 +138,23 @@ def region_of(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """A region with ordered, half-up rounded edges."""
     up = lambda c: F.floor(c + 0.5).cast("int")
     return F.struct(up(F.least(x0, x1)).alias("x0"), up(F.least(y0, y1)).alias("y0"), up(F.greatest(x0, x1)).alias("x1"), up(F.greatest(y0, y1)).alias("y1"))
+
+
+#: Which edges of a region each handle moves.
+HANDLES = {"nw": ("x0", "y0"), "ne": ("x1", "y0"), "sw": ("x0", "y1"), "se": ("x1", "y1"), "move": ("x0", "y0", "x1", "y1")}
+
+
+def dragged(region: Column, handle: Column, dx: Column, dy: Column) -> Column:
+    """A region whose handle moved by (dx, dy), with ordered, rounded edges; an unknown handle moves nothing."""
+    edge = lambda e: region[e] + F.when(handle.isin(*(h for h, moved in HANDLES.items() if e in moved)), dx if e[0] == "x" else dy).otherwise(0)
+    return region_of(*(edge(e) for e in ("x0", "y0", "x1", "y1")))
+
+
+def handle_at(region: Column, x: Column, y: Column, reach: float) -> Column:
+    """The handle under a point: a corner closer than ``reach`` in both directions, else the inside, else null."""
+    near = lambda ex, ey: (F.abs(x - region[ex]) < reach) & (F.abs(y - region[ey]) < reach)
+    inside = (x > region["x0"]) & (x < region["x1"]) & (y > region["y0"]) & (y < region["y1"])
+    out = None
+    for corner in ("nw", "ne", "sw", "se"):
+        out = F.when(near(*HANDLES[corner]), corner) if out is None else out.when(near(*HANDLES[corner]), corner)
+    return out.when(inside, "move")

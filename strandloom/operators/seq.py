@@ -149,6 +149,11 @@ def argmax_first(df: DataFrame, key: Names, position: str, value: str) -> DataFr
     return out.select(*key, F.when(F.col(f"best.{value}") > 0, F.col(f"best.{position}")).alias(position))
 
 
+def composite_level(value: str, least: int = 3) -> Column:
+    """Aggregate of a pixel's values: the median, cut to a whole number, or of under ``least`` the largest."""
+    return F.floor(F.when(F.count(value) >= least, F.median(value)).otherwise(F.max(value))).cast("double")
+
+
 def mad_z(df: DataFrame, key: Names, value: str, name: str = "z") -> DataFrame:
     """Absolute robust z-score: |v - median| / (1.4826 * (MAD + 1e-6))."""
     whole = Window.partitionBy(*key)

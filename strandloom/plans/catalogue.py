@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from strandloom.functions import planes as pl
 from strandloom.functions import text as tx
 from strandloom.operators import folds, seq
-from strandloom.plans import transcribe
+from strandloom.plans import generated, transcribe
+from strandloom.sources import decode
+from strandloom.sources import frames as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,8 +55,7 @@ def page_groups(spark, d):
 @query(_PAGED + "SELECT user_id, page::INT AS page, count(*) AS n, CASE WHEN count(*) >= 3 THEN floor(median(value)) ELSE floor(max(value)) END AS level FROM g WHERE contributes GROUP BY user_id, page")
 def median_composite(spark, d):
     g = seq.page_groups(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).filter("contributes")
-    level = F.when(F.count("*") >= 3, F.floor(F.median("value"))).otherwise(F.floor(F.max("value"))).cast("double")
-    return g.groupBy("user_id", "page").agg(F.count("*").alias("n"), level.alias("level"))
+    return g.groupBy("user_id", "page").agg(F.count("*").alias("n"), seq.composite_level("value").alias("level"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -194,17 +195,16 @@ def conditional_offsets(spark, d):
     return out.select("user_id", "event_id", "resolution", F.round("offset", 3).alias("offset"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS f, (l_orderkey % 5000)::INT AS off FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 11 = 0),
+@query("""WITH f AS (SELECT o_orderkey AS f, (o_orderkey % 5000)::INT AS off FROM orders),
 b AS (SELECT r::INT AS b, (r * 200)::INT AS y0, (r * 200 + 200)::INT AS y1 FROM range(0, 26) t(r)),
-p AS (SELECT f, off, b, (off <= y0 AND off + 450 >= y1) AS inside, off < y1 AND off + 450 > y0 AS touch FROM f, b),
-n AS (SELECT *, sum(inside::INT) OVER (PARTITION BY b) AS k FROM p WHERE touch)
+p AS (SELECT f, b, (off <= y0 AND off + 450 >= y1) AS inside FROM f JOIN b ON off < y1 AND off + 450 > y0),
+n AS (SELECT *, sum(inside::INT) OVER (PARTITION BY b) AS k FROM p)
 SELECT b, f, inside, k < 3 AS fallback FROM n WHERE k < 3 OR inside""")
 def band_cover_join(spark, d):
-    frames = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 11 = 0").select(F.col("l_orderkey").alias("f"), (F.col("l_orderkey") % 5000).cast("int").alias("off"))
-    bands = spark.range(26).select(F.col("id").cast("int").alias("b"), (F.col("id") * 200).cast("int").alias("y0"), (F.col("id") * 200 + 200).cast("int").alias("y1"))
-    frames = frames.withColumn("off", F.col("off"))
-    out = seq.band_cover(frames, bands.withColumn("b", F.col("b").cast("long")), 450, 200)
-    return out.select(F.col("b").cast("int").alias("b"), "f", "inside", "fallback")
+    """Every order is a frame."""
+    frames = table(spark, d, "orders").select(F.col("o_orderkey").alias("f"), (F.col("o_orderkey") % 5000).cast("int").alias("off"))
+    bands = spark.range(26).select(F.col("id").alias("b"), (F.col("id") * 200).cast("int").alias("y0"), (F.col("id") * 200 + 200).cast("int").alias("y1"))
+    return seq.band_cover(frames, bands, 450, 200).select(F.col("b").cast("int").alias("b"), "f", "inside", "fallback")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 5000)::INT AS off FROM lineitem),
@@ -262,29 +262,28 @@ def page_packing(spark, d):
     return seq.pack(table(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_size", 150, 3)
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = m THEN 50.0 WHEN l_quantity * 100 < 50 * 55 THEN 50.0 ELSE 50.0 - l_quantity + 25 END AS kept, (l_linenumber = m) AS last, l_linenumber <> m AND l_quantity * 100 < 50 * 55 AS guarded
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = m OR l_quantity * 100 < 50 * 55 THEN 50.0 ELSE l_quantity + 1 END AS kept, l_linenumber = m AS last, l_linenumber <> m AND l_quantity * 100 < 50 * 55 AS guarded
 FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
 def trim_guard(spark, d):
     li = table(spark, d, "lineitem").withColumn("last", F.col("l_linenumber") == F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
-    guarded = ~F.col("last") & (F.col("l_quantity") * 100 < 50 * 55)
-    kept = F.when(F.col("last") | guarded, 50.0).otherwise(F.lit(50.0) - F.col("l_quantity") + 25)
-    return li.select("l_orderkey", "l_linenumber", kept.alias("kept"), "last", guarded.alias("guarded"))
+    cut = pl.trimmed(F.lit(50.0), F.col("l_quantity"), F.col("last"))
+    return li.select("l_orderkey", "l_linenumber", cut["kept"].alias("kept"), "last", cut["guarded"].alias("guarded"))
 
 
 @query("SELECT p_brand, p_partkey, greatest(1, round_even(p_size * (2240.0 / max(p_size) OVER (PARTITION BY p_brand))::DOUBLE, 0))::INT AS width FROM part")
 def uniform_scale(spark, d):
-    scale = F.lit(2240.0) / F.max("p_size").over(Window.partitionBy("p_brand"))
-    return table(spark, d, "part").select("p_brand", "p_partkey", F.greatest(F.lit(1), F.bround(F.col("p_size") * scale, 0)).cast("int").alias("width"))
+    return seq.common_scale(table(spark, d, "part"), ["p_brand"], "p_size", 2240).select("p_brand", "p_partkey", seq.scaled_size(F.col("p_size"), F.col("factor")).alias("width"))
 
 
-@query("""WITH c AS (SELECT l_suppkey, sum((l_returnflag = 'R')::INT) AS issues, sum((l_discount = 0)::INT) AS low, max((l_tax > 0.07)::INT) AS overlap, sum((l_quantity > 49)::INT) AS cuts, sum(l_quantity) AS ink FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
-SELECT l_suppkey, greatest(0.0, round(100.0 - 15 * issues - 10 * low - 25 * overlap - 20 * cuts - CASE WHEN ink > 3000 THEN 30 WHEN ink > 300 THEN 10 ELSE 0 END, 1))::DOUBLE AS score FROM c""")
+@query("""WITH c AS (SELECT l_orderkey, sum((l_returnflag = 'R')::INT) AS issues, sum((l_discount = 0)::INT) AS low, max((l_tax > 0.07)::INT) AS overlap, sum((l_quantity > 49)::INT) AS cuts, sum(l_quantity) * 3 AS ink FROM lineitem GROUP BY 1)
+SELECT l_orderkey, greatest(0.0, round(100.0 - 15 * issues - 10 * low - 25 * overlap - 20 * cuts - CASE WHEN ink > 3000 THEN 30 WHEN ink > 300 THEN 10 ELSE 0 END, 1))::DOUBLE AS score FROM c""")
 def report_score(spark, d):
-    c = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy("l_suppkey").agg(
+    """A score an order, from all of its lines."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.sum((F.col("l_returnflag") == "R").cast("int")).alias("issues"), F.sum((F.col("l_discount") == 0).cast("int")).alias("low"), F.max((F.col("l_tax") > 0.07).cast("int")).alias("overlap"),
-        F.sum((F.col("l_quantity") > 49).cast("int")).alias("cuts"), F.sum("l_quantity").alias("ink"),
+        F.sum((F.col("l_quantity") > 49).cast("int")).alias("cuts"), (F.sum("l_quantity") * 3).alias("ink"),
     )
-    return c.select("l_suppkey", folds.penalty_score(*(F.col(x) for x in ("issues", "low", "overlap", "cuts", "ink"))).alias("score"))
+    return c.select("l_orderkey", folds.penalty_score(*(F.col(x) for x in ("issues", "low", "overlap", "cuts", "ink"))).alias("score"))
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_orderkey, sum((l_returnflag = 'R')::INT) AS issues, sum((l_discount = 0)::INT) AS low, max((l_tax > 0.07)::INT) AS overlap, sum((l_quantity > 49)::INT) AS cuts, sum(l_quantity) AS ink FROM lineitem GROUP BY 1, 2)
@@ -303,12 +302,13 @@ def history_recent(spark, d):
     return seq.recent(table(spark, d, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("""WITH b AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
-SELECT coalesce(n.c_custkey, b.c_custkey) AS c_custkey, coalesce(n.c_name, b.c_name) AS c_name, round(coalesce(n.c_acctbal, b.c_acctbal), 2) AS c_acctbal, b.c_custkey IS NULL AS late FROM b FULL JOIN n ON b.c_custkey = n.c_custkey""")
+@query("""WITH n AS (SELECT s_suppkey * 3 AS c_custkey, upper(s_name) AS c_name, s_acctbal AS c_acctbal FROM supplier)
+SELECT coalesce(n.c_custkey, b.c_custkey) AS c_custkey, coalesce(n.c_name, b.c_name) AS c_name, round(coalesce(n.c_acctbal, b.c_acctbal), 2) AS c_acctbal, b.c_custkey IS NULL AS late FROM customer b FULL JOIN n ON b.c_custkey = n.c_custkey""")
 def history_upsert(spark, d):
+    """All customers, changed by all suppliers under other keys."""
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_custkey").alias("position"))
-    new = c.filter("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "position")
-    out = seq.upsert(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "position")
+    new = table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("c_custkey"), F.upper("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"), F.col("s_suppkey").alias("position"))
+    out = seq.upsert(c, new, "c_custkey", "position")
     return out.select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), F.col("place.late").alias("late"))
 
 
@@ -330,15 +330,16 @@ def profile_replace(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS encoded FROM events")
 def history_json(spark, d):
-    parsed = F.from_json("props", "k int")
-    return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("encoded"))
+    e = table(spark, d, "events").select("event_id", "props", F.col("props").alias("encoded"))
+    return src.decoded(e, {"props": "k int"}).select("event_id", F.col("props.k").alias("k"), src.encode_json(F.col("encoded"), "k int").alias("encoded"))
 
 
-@query("""SELECT p_brand, p_size, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_type <> 'none') WHERE k = 1""")
+@query("""SELECT p_brand, p_size, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_type <> 'none') WHERE k = 1""")
 def format_best(spark, d):
-    best = Window.partitionBy("p_brand", "p_size").orderBy(F.coalesce("p_retailprice", F.lit(0.0)).desc(), "p_partkey")
-    parts = table(spark, d, "part").filter(F.coalesce("p_type", F.lit("none")) != "none")
-    return parts.withColumn("k", F.row_number().over(best)).filter("k = 1").select("p_brand", "p_size", "p_partkey")
+    parts = table(spark, d, "part").filter(decode.with_video(F.col("p_type")))
+    best = seq.best_first(parts, ["p_brand"], ["p_size"], [F.coalesce("p_retailprice", F.lit(0.0)).desc(), F.col("p_partkey")])
+    return best.select("p_brand", "p_size", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH f AS (SELECT p_size, min(p_partkey) AS p FROM part GROUP BY p_size) SELECT l_orderkey, l_linenumber, p AS p_partkey FROM lineitem LEFT JOIN f ON l_quantity = p_size""")
@@ -396,20 +397,38 @@ def display_values(spark, d):
     return table(spark, d, "events").select("event_id", tx.number_or_zero(F.col("event_type")).alias("probed"), tx.score_grade(F.col("value")).alias("grade"), tx.duration_text(F.col("value") * 7).alias("clock"))
 
 
-@query("""WITH n AS (SELECT user_id, count(*) AS k, sum((value > 50)::INT) AS hot FROM events GROUP BY 1) SELECT user_id, k, hot::BIGINT AS hot, k < 2 OR hot > 0 AS needs_review FROM n""")
+@query("""WITH j AS (SELECT user_id, event_type, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS jump FROM events)
+SELECT user_id, count(*) AS n, round(max(jump), 4) AS max_jump, sum((event_type = 'view')::INT)::BIGINT AS unresolved, CASE WHEN count(*) >= 2 THEN max(jump) < 90 AND sum((event_type = 'view')::INT) = 0 END AS ok FROM j GROUP BY 1""")
 def overlap_flag(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("k"), F.sum((F.col("value") > 50).cast("int")).alias("hot")).withColumn("needs_review", (F.col("k") < 2) | (F.col("hot") > 0))
-
-
-@query()
+    out = seq.step_check(table(spark, d, "events"), ["user_id"], EVENT, "value", F.col("event_type") == "view", F.lit(90))
+    return out.select("user_id", "n", F.round("max_jump", 4).alias("max_jump"), "unresolved", "ok")
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS v FROM orders),
+n AS (SELECT c, count(*) AS n, count(v) AS r FROM p GROUP BY c),
+k AS (SELECT *, row_number() OVER w - 1 AS i, lead(pos) OVER w AS npl, lead(v) OVER w AS nv FROM p WHERE v IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY pos)),
+t AS (SELECT c, greatest(2 * t, t + 4) AS tol FROM (SELECT n.c, coalesce(median((nv - v) / (npl - pos)) FILTER (WHERE nv > v), 1.0) AS t FROM n LEFT JOIN k ON n.c = k.c GROUP BY n.c)),
+s AS (SELECT k.c, coalesce(min(i) FILTER (WHERE nv >= v AND nv - v <= tol * (npl - pos)), 0) AS s FROM k JOIN t ON k.c = t.c GROUP BY k.c),
+j AS (SELECT k.*, tol FROM k JOIN t ON k.c = t.c),
+f AS (SELECT k.c, i, pos, v AS value, 1 AS kept, v AS first, '' AS issues FROM k JOIN s ON k.c = s.c AND i = s
+UNION ALL SELECT c, i, CASE WHEN skip THEN pos ELSE kpl END, CASE WHEN skip THEN value ELSE v END, CASE WHEN skip THEN kept ELSE kept + 1 END, first,
+CASE WHEN skip OR good THEN issues ELSE issues || kpl || ':' || CASE WHEN v < value THEN 'backwards' ELSE 'gap' END || ':' || value || ':' || v || ';' END
+FROM (SELECT *, NOT good AND (coalesce(nv >= value AND nv - value <= tol * greatest(1, npl - pos), false) OR v - value > 20 * tol * greatest(1, kpl - pos)) AS skip
+FROM (SELECT f.*, j.i AS ki, j.pos AS kpl, j.v, j.npl, j.nv, j.tol, j.v - value >= 0 AND j.v - value <= j.tol * greatest(1, j.pos - f.pos) AS good FROM f JOIN j ON j.c = f.c AND j.i = f.i + 1)) AS q(c, i0, pos, value, kept, first, issues, i, kpl, v, npl, nv, tol, good, skip))
+SELECT n.c AS o_custkey, n.n, r AS n_read, round(tol, 6) AS tolerance, r * 2 >= n.n AS reliable, f.first, f.value AS last, kept AS n_kept, CASE WHEN r * 2 >= n.n THEN coalesce(issues, '') ELSE '' END AS issues
+FROM n JOIN t ON n.c = t.c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS z FROM f) f ON n.c = f.c AND z = 1""")
 def measure_continuity(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise(F.col("o_orderkey")).cast("int").alias("number"))
-    return folds.continuity(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "number")
+    out = folds.continuity(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "number")
+    told = F.transform("issues", lambda i: F.concat(i["at"].cast("string"), F.lit(":"), i["kind"], F.lit(":"), i["before"].cast("string"), F.lit(":"), i["after"].cast("string"), F.lit(";")))
+    return out.withColumn("issues", F.array_join(told, ""))
 
 
 @query()
 def segment_merge(spark, d):
-    return folds.segments(table(spark, d, "embeddings").withColumn("source", F.lit("v")), ["source"], ["vec_id"], "embedding", z_limit=2.0, floor=0.0)
+    """Segments of the vectors of each label: cuts at outliers, merged neighbours, absorbed short ones."""
+    return folds.segments(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding", z_limit=1.5, floor=0.0, merge=1.2, near=1, least=5)
+
 
 
 _BGR = "(l_partkey * 7 % 256)::INT AS b, (l_suppkey * 13 % 256)::INT AS g, (l_orderkey * 31 % 256)::INT AS r"
@@ -433,9 +452,9 @@ def pixel_planes(spark, d):
 @query("""WITH c AS (SELECT l_suppkey, sum((l_partkey % 256 < 128)::INT) AS total, sum((l_partkey % 256 < 128 AND l_linenumber > 1)::INT) AS kept FROM lineitem GROUP BY 1)
 SELECT l_suppkey, total::BIGINT AS total, greatest(0, total - kept)::BIGINT AS discarded, CASE WHEN greatest(0, total - kept) > 3000 THEN 'error' WHEN greatest(0, total - kept) > 300 THEN 'warning' ELSE 'ok' END AS flag FROM c""")
 def ink_counts(spark, d):
-    ink = F.col("l_partkey") % 256 < 128
+    ink = pl.is_gap_ink(F.col("l_partkey") % 256)
     c = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(ink.cast("int")).alias("total"), F.sum((ink & (F.col("l_linenumber") > 1)).cast("int")).alias("kept"))
-    lost = F.greatest(F.lit(0), F.col("total") - F.col("kept"))
+    lost = pl.discarded(F.col("total"), F.col("kept"))
     return c.select("l_suppkey", "total", lost.alias("discarded"), pl.ink_flag(lost).alias("flag"))
 
 
@@ -443,45 +462,107 @@ def ink_counts(spark, d):
 SELECT user_id, event_id AS "start", lead(event_id, 1, 999999999) OVER (PARTITION BY user_id ORDER BY page) AS "next" FROM s""")
 def page_bounds(spark, d):
     starts = seq.page_wraps(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP)))
-    w = Window.partitionBy("user_id").orderBy(*EVENT)
-    return starts.select("user_id", F.col("event_id").alias("start"), F.lead("event_id", 1, 999999999).over(w).alias("next"))
+    return seq.next_start(starts, ["user_id"], EVENT, "event_id", 999999999).select("user_id", F.col("event_id").alias("start"), "next")
 
 
 @query("""SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'asked ' || p_partkey END, CASE WHEN p_partkey % 2 = 0 THEN p_name END, 'Song ' || (p_size + 1)) AS title FROM part""")
 def override_precedence(spark, d):
     parts = table(spark, d, "part")
-    asked = parts.filter("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("asked "), F.col("p_partkey").cast("string")).alias("asked"))
-    stored = parts.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_name").alias("stored"))
-    told = parts.select("p_partkey", "p_size").join(asked, "p_partkey", "left").join(stored, "p_partkey", "left")
-    return told.select("p_partkey", F.coalesce("asked", "stored", F.format_string("Song %d", F.col("p_size") + 1)).alias("title"))
+    asked = parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("asked "), F.col("p_partkey").cast("string"))).alias("title"))
+    stored = parts.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"))
+    told = seq.precedence(parts.select("p_partkey", "p_size"), "p_partkey", "title", [asked, stored], F.format_string("Song %d", F.col("p_size") + 1))
+    return told.select("p_partkey", "title")
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN k = 1 THEN f || '.pdf' ELSE f || ' (' || k || ').pdf' END AS name FROM (SELECT s_suppkey, 'n' || s_nationkey AS f, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + (s_nationkey < 5)::INT AS k FROM supplier)")
+@query("""WITH w AS (SELECT s_suppkey AS id, 'n' || s_nationkey AS f, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+t AS (SELECT DISTINCT 'n' || n_nationkey AS f, unnest(CASE WHEN n_nationkey % 3 = 0 THEN [1, 2, 4] WHEN n_nationkey % 3 = 1 THEN [2] ELSE [3, 4] END) AS k FROM nation WHERE n_nationkey < 15),
+c AS (SELECT f, g AS k, row_number() OVER (PARTITION BY f ORDER BY g) AS r FROM (SELECT DISTINCT f FROM w) x, range(1, (SELECT count(*) FROM supplier) + 9) y(g) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.f = x.f AND t.k = g))
+SELECT id, CASE WHEN k = 1 THEN w.f || '.pdf' ELSE w.f || ' (' || k || ').pdf' END AS name FROM w JOIN c ON w.f = c.f AND w.r = c.r""")
 def free_file_names(spark, d):
-    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"), F.lit(".pdf"))
-    wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), name("s_nationkey").alias("name"))
-    return transcribe.free_names(wanted, table(spark, d, "nation").filter("n_nationkey < 5").select(name("n_nationkey").alias("name")))
+    """Names of suppliers by nation, where files of some nations are taken, with and without numbers."""
+    wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.format_string("n%d.pdf", "s_nationkey").alias("name"))
+    key = F.col("n_nationkey")
+    numbers = F.when(key % 3 == 0, F.array(*map(F.lit, (1, 2, 4)))).when(key % 3 == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(3), F.lit(4)))
+    there = table(spark, d, "nation").filter("n_nationkey < 15").select(key, F.explode(numbers).alias("k"))
+    name = F.when(F.col("k") == 1, F.format_string("n%d.pdf", key)).otherwise(F.format_string("n%d (%d).pdf", key, "k"))
+    return transcribe.free_names(wanted, there.select(name.alias("name")))
 
 
 @query("""SELECT ordinal, id FROM (SELECT row_number() OVER (ORDER BY song, id) AS ordinal, id FROM (SELECT 0 AS song, s_suppkey AS id FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation))""")
 def ordered_concat(spark, d):
     pages = table(spark, d, "supplier").select(F.lit(0).alias("song"), F.col("s_suppkey").alias("id")).unionByName(table(spark, d, "nation").select(F.lit(1).alias("song"), F.col("n_nationkey").cast("long").alias("id")))
-    # page numbers of one document: its pages are few
-    return pages.select(F.row_number().over(Window.orderBy("song", "id")).cast("long").alias("ordinal"), "id")
+    return seq.concat_ordered(pages.withColumn("document", F.lit("d")), ["document"], "song", ["id"]).select("ordinal", "id")
 
 
 @query("SELECT o_custkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS bounds FROM (SELECT DISTINCT o_custkey, o_orderkey % 7 AS k FROM orders) GROUP BY 1")
 def sorted_bounds(spark, d):
-    bounds = F.array_sort(F.array_distinct(F.collect_list(F.col("o_orderkey") % 7)))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(bounds.alias("b")).select("o_custkey", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("bounds"))
+    bounds = seq.sorted_bounds(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderkey") % 7)
+    return bounds.select("o_custkey", F.array_join(F.transform("bounds", lambda x: x.cast("string")), ",").alias("bounds"))
 
 
 @query("SELECT c_custkey, length(c_name) BETWEEN 1 AND 200 AND c_custkey > 0 AND c_acctbal IS NOT NULL AND c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AS ok FROM customer")
 def profile_checks(spark, d):
-    from strandloom.sources.frames import valid_profile
-
     mode = F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "paginated").otherwise("other")
     rows = table(spark, d, "customer").select(
         "c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("video_width"), F.lit(1).alias("video_height"), F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("region"), mode.alias("mode")
     )
-    return rows.select("c_custkey", valid_profile().alias("ok"))
+    return rows.select("c_custkey", src.valid_profile().alias("ok"))
+
+
+#: Queries over drawn frames: what they must find is known by construction.
+_N = "(SELECT n_nationkey AS n, 'v' || n_nationkey AS video_id FROM nation)"
+DRAWN = {
+    "frame_regions": (generated.regions, f"SELECT video_id, (20 + n)::INT AS x0, (16 + n)::INT AS y0, (140 + n)::INT AS x1, (106 + n)::INT AS y1, 1.0::DOUBLE AS confidence, (4 + n % 3)::INT AS n_lines, true AS low_res_warning FROM {_N}"),
+    "frame_cursors": (generated.cursors, f"SELECT video_id, k::INT AS frame_idx, (12 + n + 25 * k)::INT AS x FROM {_N}, range(0, 4) t(k)"),
+    "frame_offsets": (generated.offsets, f"SELECT video_id, k::INT AS frame_idx, (k * (6 + n % 5))::INT AS \"offset\", 'match' AS resolution FROM {_N}, range(0, 6) t(k)"),
+    "frame_motions": (generated.motions, f"SELECT video_id, 'scroll_vertical' AS mode, 'y' AS axis, (6 + n % 5)::INT AS med_dy FROM {_N}"),
+    "frame_pages": (generated.pages, f"SELECT video_id, k::INT AS page, 4 AS contributors, k = 2 AS transition, false AS low_confidence, CASE WHEN k = 2 THEN 0 ELSE 8 + k END::INT AS top FROM {_N}, range(0, 3) t(k)"),
+    "system_blocks": (generated.blocks, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom FROM (SELECT n, 0 AS pos, 5 AS top, 120 + n // 2 AS bottom FROM {_N} UNION ALL SELECT n, 1, 120 + n // 2, 235 + n FROM {_N})"),
+    "scroll_blocks": (generated.scroll_blocks, f"SELECT video_id, pos, height::INT AS height, 100 AS width, 0 AS cuts_on_ink, 0::BIGINT AS discarded_ink, (100 * height)::INT AS pixels FROM (SELECT video_id, 0 AS pos, CASE WHEN n % 2 = 1 THEN 230 + n ELSE 115 + n // 2 END AS height FROM {_N} UNION ALL SELECT video_id, 1, 115 + n - n // 2 FROM {_N} WHERE n % 2 = 0)"),
+    "page_barlines": (generated.barlines, f"SELECT n::INT AS n, pos::INT AS pos, x::INT AS x FROM (SELECT n, 0 AS pos, 31 + n AS x FROM {_N} UNION ALL SELECT n, 1, 131 + 2 * n FROM {_N} UNION ALL SELECT n, 2, 251 + n FROM {_N})"),
+    "page_trims": (generated.trims, f"SELECT n::INT AS n, CASE WHEN n % 4 = 0 THEN 300 ELSE 252 + n END::INT AS width, false AS guarded FROM {_N}"),
+    "number_boxes": (generated.numbers, f"SELECT n::INT AS n, (5 + n)::INT AS x0, 10 AS y0, (30 + n)::INT AS x1, 32 AS y1 FROM {_N}"),
+    "line_staves": (generated.staves, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom, n_lines FROM (SELECT n, 0 AS pos, 10 AS top, 47 AS bottom, 4 AS n_lines FROM {_N} UNION ALL SELECT n, 1, 130 + n, 191 + n, 6 FROM {_N})"),
+    "sheet_layout": (generated.layout, f"""WITH RECURSIVE h AS (SELECT video_id, ((100 + n) * 4)::INT AS h FROM {_N}), f AS (SELECT video_id, h, 0 AS pos, 0 AS sheet, 0 AS y FROM h UNION ALL
+SELECT video_id, h, pos + 1, CASE WHEN y + 2 * h + 30 <= 3158 THEN sheet ELSE sheet + 1 END, CASE WHEN y + 2 * h + 30 <= 3158 THEN y + h + 30 ELSE 0 END FROM f WHERE pos < 11)
+SELECT video_id, pos, h AS height, 2240 AS width, sheet, y FROM f"""),
+    "song_segments": (generated.songs, f"SELECT video_id, k::INT AS \"index\", CASE WHEN k = 0 THEN 0 ELSE 30 + n END::INT AS start, CASE WHEN k = 0 THEN 29 + n ELSE 72 + n END::INT AS \"end\" FROM {_N}, range(0, 2) t(k)"),
+}
+for _name, (_run, _sql) in DRAWN.items():
+    QUERIES[_name], ORACLES[_name] = _run, _sql
+
+
+@query("""SELECT event_id, strftime(make_timestamp(((event_id * 1000.25) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS shown, CASE WHEN value > 0 THEN printf('%.0f MB', value * 100000 / 1e6) ELSE 'unknown size' END AS size FROM events""")
+def display_times(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", tx.display_time(F.col("event_id") * 1000.25).alias("shown"), tx.size_text(F.col("value") * 100000).alias("size"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, floor(least(x0, x1) + 0.5)::INT AS x0, floor(least(y0, y1) + 0.5)::INT AS y0, floor(greatest(x0, x1) + 0.5)::INT AS x1, floor(greatest(y0, y1) + 0.5)::INT AS y1
+FROM (SELECT l_orderkey, l_linenumber, 10 + CASE WHEN h IN (0, 2, 4) THEN dx ELSE 0 END AS x0, 20 + CASE WHEN h IN (0, 1, 4) THEN dy ELSE 0 END AS y0, 60 + CASE WHEN h IN (1, 3, 4) THEN dx ELSE 0 END AS x1, 50 + CASE WHEN h IN (2, 3, 4) THEN dy ELSE 0 END AS y1
+FROM (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS h, l_quantity * 2.5 AS dx, l_quantity * -0.75 AS dy FROM lineitem))""")
+def region_drags(spark, d):
+    handle = F.element_at(F.array(*map(F.lit, ("nw", "ne", "sw", "se", "move"))), F.col("l_linenumber") % 5 + 1)
+    start = F.struct(F.lit(10).alias("x0"), F.lit(20).alias("y0"), F.lit(60).alias("x1"), F.lit(50).alias("y1"))
+    moved = tx.dragged(start, handle, F.col("l_quantity") * 2.5, F.col("l_quantity") * -0.75)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(moved[e].alias(e) for e in ("x0", "y0", "x1", "y1")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 60000)::INT ELSE -1 END AS port, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS token FROM orders""")
+def handshake_lines(spark, d):
+    """A third of the lines is whole, a third lacks the token, a third lacks the prefix."""
+    body = F.to_json(F.struct((F.col("o_orderkey") % 60000).alias("port"), F.when(F.col("o_orderkey") % 3 != 1, F.col("o_orderpriority")).alias("token")))
+    line = F.concat(F.when(F.col("o_orderkey") % 3 == 2, "").otherwise("READY "), body)
+    found = tx.handshake(line, "READY ")
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(found["port"], F.lit(-1)).alias("port"), found["token"].alias("token"))
+
+
+@query("""SELECT user_id, event_id, max(round(CASE event_type WHEN 'view' THEN 0.5 * v WHEN 'click' THEN 0.5 + 0.1 * v ELSE 0.6 + 0.15 * v END, 6)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pct
+FROM (SELECT *, greatest(0.0, least(1.0, value / 100))::DOUBLE AS v FROM events)""")
+def progress_bands(spark, d):
+    """Share of the whole, which never goes back."""
+    from strandloom.streaming import progress
+
+    stage = F.when(F.col("event_type") == "view", "sample").when(F.col("event_type") == "click", "region").otherwise("advance")
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("ts"), progress.overall(stage, F.col("value") / 100).alias("pct"))
+    return progress.never_back(e).select(F.col("job_id").alias("user_id"), F.col("ts.event_id").alias("event_id"), "pct")

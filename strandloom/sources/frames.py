@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from pathlib import Path
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.text import VIDEO_SUFFIXES, has_video_suffix
 
+# Field names of jobs and profiles, kinds of motion, statuses and their changes, preferences.
 SCHEMA = "video_id string, frame_idx int, height int, width int, data binary"
 JOB = "id string, source string, source_kind string, title string, status string, created_at double, updated_at double, error string, analysis string, render string, overrides string, output_dir string, local_path string"
 PROFILE = "name string, video_width int, video_height int, region array<int>, mode string, created_at double"
 MODES = ("paginated", "scroll_vertical", "scroll_horizontal")
 STATUSES = ("new", "ready", "downloading", "queued", "analyzing", "analyzed", "queued_render", "rendering", "rendered", "cancelled", "failed")
+JSON_FIELDS = ("analysis", "render", "overrides")
 #: Status changes of a job.
 TRANSITIONS = {
     "new": {"ready", "downloading", "cancelled"}, "downloading": {"ready", "failed", "cancelled"}, "ready": {"queued", "cancelled"}, "queued": {"analyzing", "cancelled"},
@@ -43,16 +46,58 @@ def write_png(path: Path, bgr: np.ndarray) -> None:
     path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b""))
 
 
-def admitted(sources: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
-    """Local sources with a known video suffix, and those turned away."""
+def admitted(sources: DataFrame, path: str = "path", exists: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Local sources with a known video suffix, and those turned away; ``exists`` names a column that tells whether the file is there."""
     good = F.coalesce(has_video_suffix(F.col(path)), F.lit(False))
+    if exists is not None:
+        good = good & F.coalesce(F.col(exists), F.lit(False))
     return sources.filter(good), sources.filter(~good)
 
 
+def with_existence(sources: DataFrame, path: str = "path", name: str = "exists") -> DataFrame:
+    """Adds whether each path is a file on the machines that will decode it."""
+
+    def run(batches):
+        for rows in batches:
+            rows[name] = [bool(p) and Path(p).expanduser().is_file() for p in rows[path]]
+            yield rows
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema)
+    return sources.mapInPandas(run, f"{fields}, `{name}` boolean")
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a JSON list in file order; malformed content raises."""
-    rows = spark.read.schema(PROFILE).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    return rows.withColumn("position", F.monotonically_increasing_id())
+    """Profiles of a JSON list in file order; malformed content raises, a missing file is an empty list."""
+    if not Path(path).exists():
+        return spark.createDataFrame([], f"{PROFILE}, position long")
+    texts = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in PROFILE.split(', '))}>>", {"mode": "FAILFAST"})
+    return texts.select(F.posexplode(listed).alias("position", "p")).select("p.*", F.col("position").cast("long").alias("position"))
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """Store a profile list in its order as one JSON list; the file is replaced as a whole. Profiles are few: one writer."""
+    fields = [c for c in profiles.columns if c != "position"]
+    one = profiles.groupBy().agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("p")))).alias("l"))
+    text = one.select(F.to_json(F.transform("l", lambda x: x["p"]))).first()[0]
+    _replace_file(path, text or "[]")
+
+
+def save_profile(spark: SparkSession, path: str, profile: DataFrame) -> None:
+    """Replace a profile by name at the end of the stored list."""
+    from strandloom.operators.seq import replace_to_end
+
+    stored = read_profiles(spark, path)
+    last = stored.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("position"))
+    new = profile.drop("position").withColumn("position", F.lit(last.first()[0]).cast("long"))
+    write_profiles(replace_to_end(stored, new.select(*stored.columns), "name").drop("appended"), path)
+
+
+def _replace_file(path: str, text: str) -> None:
+    draft = Path(f"{path}.draft")
+    draft.parent.mkdir(parents=True, exist_ok=True)
+    draft.write_text(text, encoding="utf-8")
+    draft.replace(path)
 
 
 def valid_profile() -> Column:
@@ -76,6 +121,51 @@ def preferences(stored: dict, defaults: dict) -> dict:
     return {k: stored.get(k, v) for k, v in defaults.items()}
 
 
+def read_preferences(path: str, defaults: dict) -> dict:
+    """Stored preferences over the defaults; a missing or corrupt file counts as empty."""
+    try:
+        stored = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        stored = {}
+    return preferences(stored if isinstance(stored, dict) else {}, defaults)
+
+
+def save_preferences(path: str, changes: dict, defaults: dict) -> dict:
+    """Overlay known keys, store and return the result; a corrupt file is written anew."""
+    now = read_preferences(path, defaults) | {k: v for k, v in changes.items() if k in defaults}
+    _replace_file(path, json.dumps(now, indent=2))
+    return now
+
+
+def encode_json(column: Column, kind: str) -> Column:
+    """A stored JSON text, normalised to its fields; null stays null."""
+    return F.to_json(F.from_json(column, kind))
+
+
+def decoded(jobs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Jobs with their JSON fields as structs of the given schemas; null stays null."""
+    return jobs.select(*(F.from_json(c, kinds[c]).alias(c) if c in kinds else F.col(c) for c in jobs.columns))
+
+
+def create_jobs(jobs: DataFrame, new: DataFrame, now: float) -> DataFrame:
+    """Jobs with new rows (source, source_kind, title, status, local_path; those that are missing get defaults), each under an id of its own."""
+    given = {f.name for f in new.schema}
+    fresh = {"id": F.replace(F.uuid(), F.lit("-"), F.lit("")), "created_at": F.lit(now), "updated_at": F.lit(now), "status": F.lit("new")}
+    kinds = dict(jobs.dtypes)
+    pick = lambda c: F.col(c) if c in given else fresh.get(c, F.lit(None))
+    return jobs.unionByName(new.select(*(pick(c).cast(kinds[c]).alias(c) for c in jobs.columns)))
+
+
+def delete_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs without those of the given ids; unknown ids change nothing."""
+    return jobs.join(ids.select("id"), "id", "left_anti").select(*jobs.columns)
+
+
+def job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """The job of an id, or no row."""
+    return jobs.filter(F.col("id") == job_id)
+
+
 def update_jobs(jobs: DataFrame, changes: DataFrame, now: float) -> DataFrame:
     """Partial update by id: null fields of a change leave the job's; updated_at is refreshed; a forbidden status change raises."""
     names = [c for c in jobs.columns if c not in ("id", "updated_at")]
@@ -90,4 +180,7 @@ def update_jobs(jobs: DataFrame, changes: DataFrame, now: float) -> DataFrame:
     return old.join(new, F.col("o.id") == F.col("n.id"), "left").select("o.id", *fields, touched.alias("updated_at")).select(*jobs.columns)
 
 
-__all__ = ["VIDEO_SUFFIXES", "admitted", "import_profiles", "preferences", "read_frames", "read_profiles", "update_jobs", "valid_profile", "write_png"]
+__all__ = [
+    "VIDEO_SUFFIXES", "admitted", "create_jobs", "decoded", "delete_jobs", "encode_json", "import_profiles", "job", "preferences", "read_frames", "read_preferences", "read_profiles",
+    "save_preferences", "save_profile", "update_jobs", "valid_profile", "with_existence", "write_png", "write_profiles",
+]

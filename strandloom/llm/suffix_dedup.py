@@ -12,6 +12,13 @@ dictionary. What remains are different phrases around one trigger. Their suffixe
 prefix doubling up to ``length`` bytes, on bytes, not hashes; the starts that tie there are
 neighbours in corpus order with a common prefix of ``length`` or more: repeated strings.
 
+A text that occurs more than once loses all of its strings; one copy of it takes part in the parse
+for the sake of other texts, and equal texts share one key of 128 bits of hash.
+
+As a phrase spans ``length`` bytes or more, the parse's suffixes need no more than their first phrase
+to be told apart at that depth: their order is that of the phrases, and neighbours of one phrase are
+its occurrences. Which phrases are equal is decided by the two 64-bit hashes of trigger and phrase.
+
 The dictionary is partitioned by the middle of the strings, which equal strings have in common.
 Should more than ``CROWD`` phrases share one middle, they are not ranked in one task; their starts
 are grouped by 128 bits of hash instead.
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import blocks, documents, materialise, mix64, utf8_view
+from strandloom.llm.common import blocks, discard, documents, materialise, mix64, utf8_view
 from strandloom.llm.shingles import _BYTE, _powers
 
 LENGTH = 200
@@ -96,18 +103,28 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int):
     return np.searchsorted(bounds, lo, side="right") - 1, lo, hi, trigger, grams[trigger], mix64(hashes.of(lo, hi + length) ^ shape)
 
 
+_KEY = ["r1", "r2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """One key for a document, also where ids repeat or are null."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    """One key for a text, wherever it stands and also where ids repeat or are null."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("r1"), F.xxhash64(F.lit("another seed"), "text").alias("r2"))
+
+
+def copies_of(keyed: DataFrame, length: int) -> DataFrame:
+    """Key, size, and least doc_id of the texts of ``length`` bytes or more that occur more than once."""
+    size = F.octet_length("text")
+    long = keyed.filter(size >= length).groupBy(*_KEY).agg(F.count("*").alias("c"), F.max(size).alias("size"), F.min("doc_id").alias("keeper"))
+    return materialise(long.filter("c > 1").select(*_KEY, "size", "keeper"), "copies")
 
 
 def parse(keyed: DataFrame, length: int) -> DataFrame:
-    """rid, lo, hi, place (of the trigger), trigger, phrase: the parse of every whole text."""
-    schema = T.StructType.fromDDL("rid bigint, lo int, hi int, place int, trigger bigint, phrase bigint")
+    """Key, lo, hi, place (of the trigger), trigger, phrase: the parse of every whole text."""
+    schema = T.StructType.fromDDL("r1 bigint, r2 bigint, lo int, hi int, place int, trigger bigint, phrase bigint")
 
     def run(batches):
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            keys = [batch.column(c).to_numpy() for c in _KEY]
             data, offsets = utf8_view(batch.column("text"))
             for start, end in blocks(offsets, BLOCK_BYTES):
                 own = offsets[start : end + 1]
@@ -115,26 +132,26 @@ def parse(keyed: DataFrame, length: int) -> DataFrame:
                 row, lo, hi, place, trigger, phrase = phrases(data[own[0] : own[-1]], bounds, length)
                 base = bounds[row] if len(row) else row
                 yield pa.RecordBatch.from_pydict({
-                    "rid": pa.array(rid[start:end][row]), "lo": pa.array((lo - base).astype(np.int32)), "hi": pa.array((hi - base).astype(np.int32)),
+                    **{c: pa.array(k[start:end][row]) for c, k in zip(_KEY, keys, strict=True)}, "lo": pa.array((lo - base).astype(np.int32)), "hi": pa.array((hi - base).astype(np.int32)),
                     "place": pa.array((place - base).astype(np.int32)), "trigger": pa.array(trigger.view(np.int64)), "phrase": pa.array(phrase.view(np.int64)),
                 })
 
-    return keyed.select("rid", "text").mapInArrow(run, schema)
+    return keyed.select(*_KEY, "text").mapInArrow(run, schema)
 
 
 def dictionary(told: DataFrame, length: int) -> DataFrame:
-    """Parts of dictionary phrases: middle, rid, first (start in the text), body (bytes), single (occurs once).
+    """Parts of dictionary phrases: middle, key, first (start in the text), body (bytes), single (occurs once).
 
     ``told`` holds each document once, with the list ``units`` of its dictionary phrases.
     """
-    schema = T.StructType.fromDDL("middle bigint, rid bigint, first int, body binary, single boolean")
+    schema = T.StructType.fromDDL("middle bigint, r1 bigint, r2 bigint, first int, body binary, single boolean")
     reach = length - TRIGGER + 1
     cuts = [reach * i // PARTS for i in range(PARTS + 1)]
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
-            for rid, text, units in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "units")), strict=True):
+            out = ([], [], [], [], [], [])
+            for r1, r2, text, units in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "text", "units")), strict=True):
                 raw = text.encode()
                 data = np.frombuffer(raw, np.uint8)
                 hashes = Hashes(data)
@@ -147,17 +164,18 @@ def dictionary(told: DataFrame, length: int) -> DataFrame:
                         continue
                     middle = hashes.of(place[held] - near, place[held] - far + 1 + length) + np.uint64(near)
                     out[0].append(mix64(middle).view(np.int64))
-                    out[1].append(np.full(len(held), rid, np.int64))
-                    out[2].append(first[held].astype(np.int32))
-                    out[3].extend(raw[a : b + length] for a, b in zip(first[held].tolist(), last[held].tolist(), strict=True))
-                    out[4].append(single[held].astype(bool))
-            flat = [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out[:3], (np.int64, np.int64, np.int32), strict=True)]
+                    out[1].append(np.full(len(held), r1, np.int64))
+                    out[2].append(np.full(len(held), r2, np.int64))
+                    out[3].append(first[held].astype(np.int32))
+                    out[4].extend(raw[a : b + length] for a, b in zip(first[held].tolist(), last[held].tolist(), strict=True))
+                    out[5].append(single[held].astype(bool))
+            flat = [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out[:4], (np.int64, np.int64, np.int64, np.int32), strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "middle": pa.array(flat[0]), "rid": pa.array(flat[1]), "first": pa.array(flat[2]), "body": pa.array(out[3], pa.binary()),
-                "single": pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, bool)),
+                "middle": pa.array(flat[0]), "r1": pa.array(flat[1]), "r2": pa.array(flat[2]), "first": pa.array(flat[3]), "body": pa.array(out[4], pa.binary()),
+                "single": pa.array(np.concatenate(out[5]) if out[5] else np.zeros(0, bool)),
             })
 
-    return told.select("rid", "text", "units").mapInArrow(run, schema)
+    return told.select(*_KEY, "text", "units").mapInArrow(run, schema)
 
 
 def depth_ranks(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -193,37 +211,37 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))).reshape(-1, 2)
 
 
-def _intervals(rids, firsts, flags, length: int) -> pa.RecordBatch:
-    rows = [(r, f + a, f + b - 1 + length) for r, f, t in zip(rids, firsts, flags, strict=True) for a, b in _runs(t).tolist()]
-    rid, start, end = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["rid", "start", "end"])
+def _intervals(keys, firsts, flags, length: int) -> pa.RecordBatch:
+    rows = [(*r, f + a, f + b - 1 + length) for r, f, t in zip(keys, firsts, flags, strict=True) for a, b in _runs(t).tolist()]
+    r1, r2, start, end = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [*_KEY, "start", "end"])
 
 
-_SPANS = "rid bigint, start int, end int"
+_SPANS = "r1 bigint, r2 bigint, start int, end int"
 
 
 def rank_dictionary(parts: DataFrame, length: int) -> DataFrame:
-    """Intervals (rid, start, end) of repeated strings in single phrases; whole groups of a middle meet in a task."""
+    """Intervals (key, start, end) of repeated strings in single phrases; whole groups of a middle meet in a task."""
 
     def run(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("middle", "rid", "first", "body", "single")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("middle", *_KEY, "first", "body", "single")), strict=True):
                 if size >= RANK_BYTES and row[0] != held[-1][0]:
                     yield ranked(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield ranked(held)
 
     def ranked(rows: list[tuple]) -> pa.RecordBatch:
-        flags = _tied([r[3] for r in rows], length)
-        told = [(r[1], r[2], f) for r, f in zip(rows, flags, strict=True) if r[4]]
+        flags = _tied([r[4] for r in rows], length)
+        told = [(r[1:3], r[3], f) for r, f in zip(rows, flags, strict=True) if r[5]]
         return _intervals(*(zip(*told, strict=True) if told else ((), (), ())), length)
 
-    return parts.repartition("middle").sortWithinPartitions("middle").select("middle", "rid", "first", "body", "single").mapInArrow(run, T.StructType.fromDDL(_SPANS))
+    return parts.repartition("middle").sortWithinPartitions("middle").select("middle", *_KEY, "first", "body", "single").mapInArrow(run, T.StructType.fromDDL(_SPANS))
 
 
 def group_crowded(parts: DataFrame, length: int) -> DataFrame:
@@ -231,36 +249,35 @@ def group_crowded(parts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for body, rid, first, single in zip(*(batch.column(c).to_pylist() for c in ("body", "rid", "first", "single")), strict=True):
+            for body, r1, r2, first, single in zip(*(batch.column(c).to_pylist() for c in ("body", *_KEY, "first", "single")), strict=True):
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(len(data) - length + 1)
                 one, two = (Hashes(data, t).of(at, at + length).view(np.int64) for t in (_BYTE, _OTHER))
                 yield pa.RecordBatch.from_pydict({
-                    "h1": pa.array(one), "h2": pa.array(two), "rid": pa.array(np.full(len(at), rid)), "start": pa.array((first + at).astype(np.int32)),
+                    "h1": pa.array(one), "h2": pa.array(two), "r1": pa.array(np.full(len(at), r1)), "r2": pa.array(np.full(len(at), r2)), "start": pa.array((first + at).astype(np.int32)),
                     "single": pa.array(np.full(len(at), single)),
                 })
 
-    schema = T.StructType.fromDDL("h1 bigint, h2 bigint, rid bigint, start int, single boolean")
-    starts = materialise(parts.select("body", "rid", "first", "single").mapInArrow(run, schema), "crowded")
+    schema = T.StructType.fromDDL("h1 bigint, h2 bigint, r1 bigint, r2 bigint, start int, single boolean")
+    starts = materialise(parts.select("body", *_KEY, "first", "single").mapInArrow(run, schema), "crowded")
     twice = materialise(starts.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2"), "crowded-twice")
-    return starts.filter("single").join(twice, ["h1", "h2"]).select("rid", "start", (F.col("start") + length).alias("end"))
+    return starts.filter("single").join(twice, ["h1", "h2"]).select(*_KEY, "start", (F.col("start") + length).alias("end"))
 
 
 def repeated(keyed: DataFrame, length: int) -> DataFrame:
-    """Intervals (rid, start, end) that cover every byte of a repeated string; they may overlap."""
+    """Intervals (key, start, end) that cover every byte of a repeated string; they may overlap. ``keyed`` holds each text once."""
     parsed = parse(keyed, length)
     twice = materialise(parsed.groupBy("trigger").agg(F.count("*").alias("c")).filter("c > 1").select("trigger"), "triggers")
     hits = materialise(parsed.join(twice, "trigger"), "hits")
-    entries = hits.groupBy("trigger", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "hi", "place")).alias("at"))
+    entries = hits.groupBy("trigger", "phrase").agg(F.count("*").alias("c"), F.min(F.struct(*_KEY, "lo", "hi", "place")).alias("at"))
     entries = materialise(entries, "entries")
     whole = hits.join(entries.filter("c > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select(
-        "rid", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")
+        *_KEY, F.col("lo").alias("start"), (F.col("hi") + length).alias("end")
     )
     several = materialise(entries.groupBy("trigger").agg(F.count("*").alias("d")).filter("d > 1").select("trigger"), "several")
     units = entries.join(several, "trigger").select("at.*", (F.col("c") == 1).alias("single"))
-    listed = units.groupBy(F.col("rid").alias("u_rid")).agg(F.collect_list(F.struct("lo", "hi", "place", "single")).alias("units"))
-    told = keyed.dropDuplicates(["rid"]).join(listed, F.col("rid") == F.col("u_rid")).select("rid", "text", "units")
-    parts = materialise(dictionary(told, length), "dictionary")
+    listed = units.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi", "place", "single")).alias("units"))
+    parts = materialise(dictionary(keyed.join(listed, _KEY), length), "dictionary")
     counts = parts.groupBy("middle").agg(F.count("*").alias("m")).filter("m > 1")
     counts = materialise(counts, "middles")
     shared = parts.join(counts.filter(F.col("m") <= CROWD).select("middle"), "middle")
@@ -268,6 +285,8 @@ def repeated(keyed: DataFrame, length: int) -> DataFrame:
     crowded = counts.filter(F.col("m") > CROWD).select("middle")
     if not crowded.isEmpty():
         spans = spans.unionByName(group_crowded(parts.join(crowded, "middle"), length))
+    spans = materialise(spans, "spans")
+    discard(twice, hits, entries, several, parts, counts)
     return spans
 
 
@@ -284,9 +303,13 @@ def merge(starts, ends) -> np.ndarray:
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text and spans: the maximal runs of bytes to remove, as arrays ``starts`` and ``ends``."""
     keyed = _keyed(docs)
-    spans = materialise(repeated(keyed, length), "spans")
-    listed = spans.groupBy(F.col("rid").alias("s_rid")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = keyed.join(listed, F.col("rid") == F.col("s_rid"), "left")
+    copies = copies_of(keyed, length)
+    kept = copies.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "keeper", F.lit(True).alias("copied"))
+    once = keyed.join(kept, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2")), "left").filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("keeper")))
+    spans = repeated(once.select(*_KEY, "text"), length)
+    spans = spans.unionByName(copies.select(*_KEY, F.lit(0).alias("start"), F.col("size").alias("end")))
+    listed = spans.groupBy(F.col("r1").alias("s1"), F.col("r2").alias("s2")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = keyed.join(listed, (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2")), "left")
     return joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 

@@ -47,9 +47,11 @@ MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
 TITLES = "Dr|Prof|Doctor|Professor|Доктор|Профессор|DR|PROF"
 _ADDRESS = rf"(?:{MALE}|{FEMALE}|{TITLES})\.?(?: (?:{TITLES})\.?)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_HOST = r"[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+"
-LOCAL = rf"(?<![\p{{L}}0-9._%+-])[\p{{L}}0-9._%+-]++@(?={_HOST})"
-DOMAIN = rf"(?<=[\p{{L}}0-9._%+-]@){_HOST}"
+#: Letters of mail addresses: of A to Z and of other scripts, as ranges.
+_MAIL = r"A-Za-z\u00C0-\u1FFF\u2C00-\uD7FF0-9"
+_HOST = rf"[{_MAIL}-]++(?:\.[{_MAIL}-]++)+"
+LOCAL = rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]++@(?={_HOST})"
+DOMAIN = rf"(?<=[{_MAIL}._%+-]@){_HOST}"
 _HEX = "[0-9A-Fa-f]{1,4}"
 IP6 = rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)"
 IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
@@ -65,9 +67,11 @@ _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
 _CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?![\p{L}\d])"
 _PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|das|do|du|la|le|las|los|bin|ibn|ter|ten) |d['’]){0,3}"
 NAME = rf"(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
-ENTITY = "|".join((LOCAL, DOMAIN, IP, IP6, IBAN, SSN, CARD, PHONE))
-#: What every entity but a name contains, and what a name does.
-HINT, CALLED = r"[0-9@]", rf"{_ADDRESS} \p{{L}}"
+#: What to look for in a text that has an at sign, in one with colons as of version 6, and in one with a digit.
+MAIL, NUMBERS = f"{LOCAL}|{DOMAIN}", "|".join((IP, IBAN, SSN, CARD, PHONE))
+COLONS = rf"::|(?:{_HEX}:){{7}}"
+#: What a name after its form of address begins with.
+CALLED = rf"{_ADDRESS} \p{{L}}"
 
 NAMES = ("family", "given_f", "given_m", "given_n")
 KINDS = ("local", "domain", "ip", "ip6", "iban", "ssn", "card", "phone", *NAMES)
@@ -245,8 +249,10 @@ def detect(docs: DataFrame) -> DataFrame:
     seen = F.array_distinct(F.concat(forms, F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?:{_CAPITALS}|{_WORD})"), F.lit(0))))
     # every written form of a name word: in capitals, capitalised, or as it stands with inner capitals
     own = F.filter(seen, lambda x: F.exists(words, lambda w: w["word"] == F.upper(x)))
-    named = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:"), F.array_join(own, "|"), F.lit(r")(?=['’]?s?(?!\p{L}))"))
-    staged = staged.select("*", F.when(F.size(words) > 0, named).when(text.rlike(HINT), F.lit(ENTITY)).alias("__p_pattern"))
+    named = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?=['’]?s?(?!\p{L}))"))
+    # only what a text can hold is looked for
+    wanted = F.array(F.when(F.contains(text, F.lit("@")), MAIL), F.when(text.rlike(COLONS), IP6), F.when(text.rlike("[0-9]"), NUMBERS), F.when(F.size(words) > 0, named))
+    staged = staged.select("*", F.nullif(F.array_join(wanted, "|"), F.lit("")).alias("__p_pattern"))
     staged = staged.select("*", F.when(F.col("__p_pattern").isNotNull(), F.regexp_extract_all(text, F.col("__p_pattern"), F.lit(0))).alias("__p_raw"))
     typed = F.transform("__p_raw", lambda e: F.struct(e.alias("entity"), type_of(e, words).alias("kind")))
     staged = staged.select("*", typed.alias("__p_typed"))

@@ -415,13 +415,14 @@ UNION ALL SELECT c, i, CASE WHEN skip THEN pos ELSE kpl END, CASE WHEN skip THEN
 CASE WHEN skip OR good THEN issues ELSE issues || kpl || ':' || CASE WHEN v < value THEN 'backwards' ELSE 'gap' END || ':' || value || ':' || v || ';' END
 FROM (SELECT *, NOT good AND (coalesce(nv >= value AND nv - value <= tol * greatest(1, npl - pos), false) OR v - value > 20 * tol * greatest(1, kpl - pos)) AS skip
 FROM (SELECT f.*, j.i AS ki, j.pos AS kpl, j.v, j.npl, j.nv, j.tol, j.v - value >= 0 AND j.v - value <= j.tol * greatest(1, j.pos - f.pos) AS good FROM f JOIN j ON j.c = f.c AND j.i = f.i + 1)) AS q(c, i0, pos, value, kept, first, issues, i, kpl, v, npl, nv, tol, good, skip))
-SELECT n.c AS o_custkey, n.n, r AS n_read, round(tol, 6) AS tolerance, r * 2 >= n.n AS reliable, f.first, f.value AS last, kept AS n_kept, CASE WHEN r * 2 >= n.n THEN coalesce(issues, '') ELSE '' END AS issues
+SELECT n.c AS o_custkey, n.n::INT AS n, r::INT AS n_read, round(tol, 6) AS tolerance, r * 2 >= n.n AS reliable, coalesce(f.first, -1)::INT AS first, coalesce(f.value, -1)::INT AS last, coalesce(kept, 0)::INT AS n_kept, CASE WHEN r * 2 >= n.n THEN coalesce(issues, '') ELSE '' END AS issues
 FROM n JOIN t ON n.c = t.c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS z FROM f) f ON n.c = f.c AND z = 1""")
 def measure_continuity(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise(F.col("o_orderkey")).cast("int").alias("number"))
     out = folds.continuity(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "number")
     told = F.transform("issues", lambda i: F.concat(i["at"].cast("string"), F.lit(":"), i["kind"], F.lit(":"), i["before"].cast("string"), F.lit(":"), i["after"].cast("string"), F.lit(";")))
-    return out.withColumn("issues", F.array_join(told, ""))
+    none = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return out.select("o_custkey", "n", "n_read", "tolerance", "reliable", none("first", -1), none("last", -1), none("n_kept", 0), F.array_join(told, "").alias("issues"))
 
 
 @query()
@@ -523,8 +524,8 @@ DRAWN = {
     "page_trims": (generated.trims, f"SELECT n::INT AS n, CASE WHEN n % 4 = 0 THEN 300 ELSE 252 + n END::INT AS width, false AS guarded FROM {_N}"),
     "number_boxes": (generated.numbers, f"SELECT n::INT AS n, (5 + n)::INT AS x0, 10 AS y0, (30 + n)::INT AS x1, 32 AS y1 FROM {_N}"),
     "line_staves": (generated.staves, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom, n_lines FROM (SELECT n, 0 AS pos, 10 AS top, 47 AS bottom, 4 AS n_lines FROM {_N} UNION ALL SELECT n, 1, 130 + n, 191 + n, 6 FROM {_N})"),
-    "sheet_layout": (generated.layout, f"""WITH RECURSIVE h AS (SELECT video_id, ((100 + n) * 4)::INT AS h FROM {_N}), f AS (SELECT video_id, h, 0 AS pos, 0 AS sheet, 0 AS y FROM h UNION ALL
-SELECT video_id, h, pos + 1, CASE WHEN y + 2 * h + 30 <= 3158 THEN sheet ELSE sheet + 1 END, CASE WHEN y + 2 * h + 30 <= 3158 THEN y + h + 30 ELSE 0 END FROM f WHERE pos < 11)
+    "sheet_layout": (generated.layout, f"""WITH RECURSIVE h AS (SELECT video_id, ((40 + n) * 4)::INT AS h FROM {_N}), f AS (SELECT video_id, h, 0 AS pos, 0 AS sheet, 0 AS y FROM h UNION ALL
+SELECT video_id, h, pos + 1, CASE WHEN y + 2 * h + 30 <= 900 THEN sheet ELSE sheet + 1 END, CASE WHEN y + 2 * h + 30 <= 900 THEN y + h + 30 ELSE 0 END FROM f WHERE pos < 7)
 SELECT video_id, pos, h AS height, 2240 AS width, sheet, y FROM f"""),
     "song_segments": (generated.songs, f"SELECT video_id, k::INT AS \"index\", CASE WHEN k = 0 THEN 0 ELSE 30 + n END::INT AS start, CASE WHEN k = 0 THEN 29 + n ELSE 72 + n END::INT AS \"end\" FROM {_N}, range(0, 2) t(k)"),
 }
@@ -532,7 +533,7 @@ for _name, (_run, _sql) in DRAWN.items():
     QUERIES[_name], ORACLES[_name] = _run, _sql
 
 
-@query("""SELECT event_id, strftime(make_timestamp(((event_id * 1000.25) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS shown, CASE WHEN value > 0 THEN printf('%.0f MB', value * 100000 / 1e6) ELSE 'unknown size' END AS size FROM events""")
+@query("""SELECT event_id, strftime(make_timestamp(((event_id * 1000.25) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS shown, CASE WHEN value > 0 THEN floor(value * 100000 / 1e6 + 0.5)::BIGINT || ' MB' ELSE 'unknown size' END AS size FROM events""")
 def display_times(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", tx.display_time(F.col("event_id") * 1000.25).alias("shown"), tx.size_text(F.col("value") * 100000).alias("size"))

@@ -184,9 +184,10 @@ def staves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layout(spark: SparkSession, folder: str) -> DataFrame:
-    """Sheet and place of twelve systems of 560 columns and 100 + n rows, scaled four times."""
-    rows = canvases(keys(spark, folder), "n int, video_id string, pos int, height int, width int, canvas binary, low_confidence boolean", lambda n: [(f"v{n}", k, 100 + n, 560, bytes([255]) * (560 * (100 + n)), False) for k in range(12)])
-    return video.layout(rows.drop("n")).select("video_id", "pos", "height", "width", "sheet", "y")
+    """Sheet and place of eight systems of 560 columns and 40 + n rows, scaled four times, on low sheets."""
+    look = lambda n: [(f"v{n}", k, 40 + n, 560, bytes([255]) * (560 * (40 + n)), False) for k in range(8)]
+    rows = canvases(keys(spark, folder), "n int, video_id string, pos int, height int, width int, canvas binary, low_confidence boolean", look)
+    return video.layout(rows.drop("n"), capacity=900).select("video_id", "pos", "height", "width", "sheet", "y")
 
 
 def songs(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,3 +67,10 @@ def test_languages_without_a_list_get_no_verdict_from_it(spark):
     kept = {x.lang for x in q.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == {"fi", "ru", None, ""}
     assert q.keep_good(spark.createDataFrame(rows, SCHEMA).drop("lang")).count() == 6
+
+
+def test_the_filter_stays_above_the_metrics(spark):
+    """Pushed below the projections, it would write every metric out again for each of its uses."""
+    docs = spark.createDataFrame([(1, "a b c", "en", None, None, None)], SCHEMA)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(q.keep_good(docs)).count("xxhash64(") == plan(q.judge(q.measure(docs))).count("xxhash64(") == 1

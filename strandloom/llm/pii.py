@@ -45,6 +45,8 @@ ROOMY = 3
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
 TITLES = "Dr|Prof|Doctor|Professor|Доктор|Профессор|DR|PROF"
+#: First letters of all forms, so that a search need not try them elsewhere.
+_INITIAL = f"(?=[{''.join(sorted({w[0] for w in f'{MALE}|{FEMALE}|{TITLES}'.split('|')}))}])"
 _ADDRESS = rf"(?:{MALE}|{FEMALE}|{TITLES})\.?(?: (?:{TITLES})\.?)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Letters of mail addresses: of A to Z and of other scripts, as ranges.
@@ -66,12 +68,12 @@ PHONE = (
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
 _CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?![\p{L}\d])"
 _PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|das|do|du|la|le|las|los|bin|ibn|ter|ten) |d['’]){0,3}"
-NAME = rf"(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
+NAME = rf"{_INITIAL}(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
 #: What to look for in a text that has an at sign, in one with colons as of version 6, and in one with a digit.
-MAIL, NUMBERS = f"{LOCAL}|{DOMAIN}", "|".join((IP, IBAN, SSN, CARD, PHONE))
+MAIL, NUMBERS = f"{LOCAL}|{DOMAIN}", f"(?=[0-9A-Z(+])(?:{'|'.join((IP, IBAN, SSN, CARD, PHONE))})"
 COLONS = rf"::|(?:{_HEX}:){{7}}"
 #: What a name after its form of address begins with.
-CALLED = rf"{_ADDRESS} \p{{L}}"
+CALLED = rf"{_INITIAL}{_ADDRESS} \p{{L}}"
 
 NAMES = ("family", "given_f", "given_m", "given_n")
 KINDS = ("local", "domain", "ip", "ip6", "iban", "ssn", "card", "phone", *NAMES)

@@ -35,12 +35,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word, and the n+1 bounds of each row's words."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, fold: np.ndarray = _LOWER, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, lower-cased unless ``fold`` says otherwise, and the n+1 bounds of each row's words."""
     rows = len(bounds) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    text = _LOWER[data]
+    text = fold[data]
     inside = ~_BREAK[text]
     full = bounds[1:] > bounds[:-1]
     first, last = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -51,7 +51,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[text] * power[: len(data)], out=total[1:])
+    np.cumsum(table[text] * power[: len(data)], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, bounds)
 

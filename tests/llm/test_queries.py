@@ -16,6 +16,13 @@ COLUMNS = {
     "op8_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
     "op9_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op12_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+}
+
+#: Queries whose rows are not documents.
+OTHERS = {
+    "op11_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13_divergence_audit": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
@@ -27,6 +34,7 @@ def folder(spark, tmp_path_factory):
     rows += [(100, None, None, None, None), (101, "", "en", "src0", 0), (102, rows[0][1], "en", "src1", 1)]
     where = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(1, rows[0][1]), (2, "maison ville"), (3, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
     return where
 
 
@@ -41,5 +49,12 @@ def test_registered_query_keeps_its_contract(spark, folder, name):
     assert sorted(x.doc_id for x in rows) == [*range(36), 100, 101, 102]
 
 
+@pytest.mark.parametrize("name", sorted(OTHERS))
+def test_registered_query_of_other_rows_keeps_its_contract(spark, folder, name):
+    out = queries.QUERIES[name](spark, folder)
+    assert ", ".join(f"{c} {kind}" for c, kind in out.dtypes) == OTHERS[name]
+    assert out.count() > 0
+
+
 def test_every_registered_operator_is_named_here():
-    assert set(queries.QUERIES) == set(COLUMNS)
+    assert set(queries.QUERIES) == set(COLUMNS) | set(OTHERS)

@@ -7,9 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 
-# Thresholds that decide what counts as ink, paper, a gap and a barline.
+# Thresholds that decide what counts as ink, paper, a staff, a gap, a barline and a number.
 INK, PAPER_S, PAPER_V, PAPER_GREY = 200, 40, 170, 170
 GAP_INK, BARLINE_SHARE, BLOCK_INK = 128, 0.85, 300
+REGION_LINE_SHARE, LINE_SHARE = 0.5, 0.6
+STAFF_GAP, LEAST_STAFF, STAFF_MARGIN, BRIDGE_SHARE = 40, 25, 16, 0.9
+MOST_TRIM = 0.45
+NUMBER_ABOVE, NUMBER_LEFT, NUMBER_RIGHT, GLYPH_GAP = 70, 30, 300, 30
+GLYPH_HEIGHTS, GLYPH_WIDTHS = (6, 34), (3, 40)
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
@@ -65,18 +70,17 @@ def line_rows(g: np.ndarray, share: float) -> np.ndarray:
     return np.array(hits, np.int64)
 
 
-def staves(g: np.ndarray, share: float = 0.6) -> list[dict]:
-    """Groups of long horizontal lines: line centres within 40 rows of each other."""
-    lines = [(c[0], c[-1], int(np.rint(np.mean(c)))) for c in clusters(line_rows(g, share), 3)]
-    out = []
-    for group in clusters([x[2] for x in lines], 40):
-        members = [x for x in lines if x[2] in group]
-        out.append({"top": members[0][0], "bottom": members[-1][1], "n_lines": len(members), "line_centers": [x[2] for x in members]})
-    return out
+def staves(g: np.ndarray, share: float = LINE_SHARE) -> list[dict]:
+    """Groups of long horizontal lines, from first to last centre: neighbouring centres lie within 40 rows of each other."""
+    centres = [int(np.rint(np.mean(c))) for c in clusters(line_rows(g, share), 3)]
+    return [{"top": c[0], "bottom": c[-1], "n_lines": len(c), "line_centers": c} for c in clusters(centres, STAFF_GAP)]
 
 
 def region_candidate(bgr: np.ndarray) -> tuple[tuple[int, int, int, int], int] | None:
-    """(x0, y0, x1, y1) of the paper and its most lines in a staff; None without paper or lines."""
+    """(x0, y0, x1, y1) of the paper and its most lines in a staff; None without paper or lines.
+
+    Lines are looked for in paper alone: what is darker or coloured counts as white.
+    """
     mask = paper(bgr)
     h, w = mask.shape
     rows = longest(close_gaps(mask.mean(axis=1) > 0.5, max(10, round(0.015 * h))))
@@ -86,10 +90,8 @@ def region_candidate(bgr: np.ndarray) -> tuple[tuple[int, int, int, int], int] |
     if columns is None or columns[1] - columns[0] < 20:
         return None
     (y0, y1), (x0, x1) = rows, columns
-    crop = bgr[y0:y1, x0:x1]
-    s, _ = saturation_value(crop)
-    g = np.where(s < PAPER_S, grey(crop), 255)
-    found = staves(g, 0.4)
+    g = np.where(mask[y0:y1, x0:x1], grey(bgr[y0:y1, x0:x1]), 255)
+    found = staves(g, REGION_LINE_SHARE)
     return ((x0, y0, x1, y1), max(f["n_lines"] for f in found)) if found else None
 
 
@@ -152,11 +154,6 @@ def signature(bgr: np.ndarray, region: tuple[int, int, int, int] | None, size: t
     return x.reshape(-1).astype(np.float32)
 
 
-def composite(stack: np.ndarray, least: int = 3) -> np.ndarray:
-    """Per-pixel median of a stack, cut to bytes; the maximum if there are under ``least``."""
-    return (np.median(stack, axis=0) if len(stack) >= least else stack.max(axis=0)).astype(np.uint8)
-
-
 def otsu(values) -> float:
     """Threshold of largest between-class variance as a bin centre."""
     v = np.asarray(values, np.float64)
@@ -172,7 +169,7 @@ def otsu(values) -> float:
 
 def bridged(gap: np.ndarray) -> bool:
     """Two or more columns inked through nearly the whole gap."""
-    return bool(((gap < GAP_INK).mean(axis=0) >= 0.9).sum() >= 2) if gap.shape[0] else False
+    return bool(((gap < GAP_INK).mean(axis=0) >= BRIDGE_SHARE).sum() >= 2) if gap.shape[0] else False
 
 
 def wide_gaps(ink: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -199,8 +196,8 @@ def blocks(canvas: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
 
 def staff_of(canvas: np.ndarray) -> tuple[int, int] | None:
     """Top and bottom line of the lowest staff."""
-    rows = [y for y in line_rows(canvas, 0.6) if y < canvas.shape[0] - 16]
-    groups = [c for c in clusters(rows, 40) if c[-1] - c[0] >= 25]
+    rows = [y for y in line_rows(canvas, LINE_SHARE) if y < canvas.shape[0] - STAFF_MARGIN]
+    groups = [c for c in clusters(rows, STAFF_GAP) if c[-1] - c[0] >= LEAST_STAFF]
     return (groups[-1][0], groups[-1][-1]) if groups else None
 
 
@@ -214,13 +211,13 @@ def barlines(canvas: np.ndarray) -> list[int]:
 
 
 def trim(canvas: np.ndarray, last: bool) -> tuple[np.ndarray, bool]:
-    """A page cut at its last barline, and low confidence if that would take too much (then it stays whole)."""
+    """A page cut before its last barline, and low confidence if that would take too much (then it stays whole)."""
     bars = [] if last else barlines(canvas)
     if not bars:
         return canvas, False
-    if (canvas.shape[1] - bars[-1]) / canvas.shape[1] > 0.45:
+    if (canvas.shape[1] - bars[-1]) / canvas.shape[1] > MOST_TRIM:
         return canvas, True
-    return canvas[:, : bars[-1] + 1], False
+    return canvas[:, : bars[-1]], False
 
 
 def _cubic(distance: np.ndarray) -> np.ndarray:
@@ -282,14 +279,25 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     return [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in out.values()]
 
 
+def number_strip(g: np.ndarray) -> np.ndarray | None:
+    """The strip above the topmost line, from a little left of the line's first ink; None without a line or without room."""
+    rows = line_rows(g, LINE_SHARE)
+    if not len(rows):
+        return None
+    top = int(rows[0])
+    left = int(np.argmax(g[top] < INK))
+    strip = g[max(0, top - NUMBER_ABOVE) : top, max(0, left - NUMBER_LEFT) : left + NUMBER_RIGHT]
+    return strip if strip.size else None
+
+
 def first_number_box(g: np.ndarray) -> tuple[int, int, int, int] | None:
     """Box of the leftmost cluster of digit-sized glyphs."""
-    glyphs = sorted(c for c in components(g < INK) if 6 <= c[3] <= 34 and 3 <= c[2] <= 40)
+    glyphs = sorted(c for c in components(g < INK) if GLYPH_HEIGHTS[0] <= c[3] <= GLYPH_HEIGHTS[1] and GLYPH_WIDTHS[0] <= c[2] <= GLYPH_WIDTHS[1])
     if not glyphs:
         return None
     taken = [glyphs[0]]
     for c in glyphs[1:]:
-        if c[0] - (taken[-1][0] + taken[-1][2]) > 30:
+        if c[0] - (taken[-1][0] + taken[-1][2]) > GLYPH_GAP:
             break
         taken.append(c)
     return min(c[0] for c in taken), min(c[1] for c in taken), max(c[0] + c[2] for c in taken), max(c[1] + c[3] for c in taken)

@@ -45,7 +45,7 @@ def strip_half(length: Column) -> Column:
 
 
 def ink_flag(lost: Column) -> Column:
-    return F.when(lost > 3000, "error").when(lost > 300, "warning").otherwise("ok")
+    return F.when(lost > 3000, "error").when(lost > 300, "warn").otherwise("ok")
 
 
 def is_gap_ink(grey: Column) -> Column:
@@ -59,8 +59,8 @@ def discarded(total: Column, kept: Column) -> Column:
 
 
 def trimmed(width: Column, bar: Column, last: Column) -> Column:
-    """(kept, guarded): a page keeps what lies before its last barline's end, but the last page, one without a barline, and
+    """(kept, guarded): a page keeps the columns before its last barline, but the last page, one without a barline, and
     one that would lose over 45 % stay whole; the latter is guarded."""
     whole = last | bar.isNull()
     guarded = ~whole & ((width - bar) * 100 > width * 45)
-    return F.struct(F.when(whole | guarded, width).otherwise(bar + 1).alias("kept"), F.coalesce(guarded, F.lit(False)).alias("guarded"))
+    return F.struct(F.when(whole | guarded, width).otherwise(bar).alias("kept"), F.coalesce(guarded, F.lit(False)).alias("guarded"))

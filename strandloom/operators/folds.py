@@ -72,10 +72,12 @@ def continuity(df: DataFrame, key: Sequence[str], order: Sequence[str], number:
 
 def continuity_text(row: Column) -> Column:
     """The audit in words."""
+    dropped = row["n_read"] - row["n_kept"]
+    extra = F.when(dropped > 0, F.format_string(" (%d readings left out)", dropped)).otherwise("")
     said = F.array_join(F.transform(row["issues"], lambda i: F.concat(F.when(i["kind"] == "gap", "gap").otherwise("step back"), F.lit(" at "), i["before"].cast("string"), F.lit(" to "), i["after"].cast("string"))), ", ")
     return (
         F.when(row["n_read"] == 0, "nothing was read").when(~row["reliable"], F.format_string("unreliable: %d of %d places were read", row["n_read"], row["n"]))
-        .when(F.size(row["issues"]) > 0, said).otherwise(F.format_string("%d to %d without a gap", row["first"], row["last"]))
+        .when(F.size(row["issues"]) > 0, said).otherwise(F.concat(F.format_string("%d to %d without a gap", row["first"], row["last"]), extra))
     )
 
 

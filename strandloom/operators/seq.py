@@ -58,14 +58,14 @@ def page_wraps(df: DataFrame, key: Names, order: Names, x: str, drop: Column) ->
 def page_groups(df: DataFrame, key: Names, order: Names, x: str, drop: Column) -> DataFrame:
     """Each row with its page, the page's size, and whether it contributes.
 
-    Pages of more than two rows lose their first and last; if under three are left, all rows count.
+    Pages of more than two rows lose their first and last; if under three are left, all rows count (:func:`few_inside`).
     """
     w = _window(key, order)
     paged = df.withColumn("page", F.sum(F.when(F.lag(x).over(w).isNull() | (F.col(x) < F.lag(x).over(w) - drop), 1).otherwise(0)).over(w).cast("int"))
     page = Window.partitionBy(*key, "page")
     ranked = paged.withColumn("in_page", F.row_number().over(page.orderBy(*order))).withColumn("size", F.count("*").over(page))
     interior = (F.col("in_page") > 1) & (F.col("in_page") < F.col("size"))
-    return ranked.withColumn("contributes", F.when(F.col("size") - 2 >= 3, interior).otherwise(F.lit(True)))
+    return ranked.withColumn("contributes", F.when(few_inside(F.col("size")), F.lit(True)).otherwise(interior))
 
 
 def runs(df: DataFrame, key: Names, order: Names, flag: str) -> DataFrame:
@@ -102,10 +102,10 @@ def gap_clusters(df: DataFrame, key: Names, order: Names, value: str | Column, m
 
 
 def two_level_clusters(df: DataFrame, key: Names, value: str, near: float, far: float) -> DataFrame:
-    """Values to lines (gap near), line centres by banker's rounding, lines to groups (gap far)."""
-    lines = gap_clusters(df, key, [value], value, near, "line").groupBy(*key, "line").agg(F.bround(F.avg(value), 0).cast("long").alias("center"), F.min(value).alias("top"), F.max(value).alias("bottom"))
+    """Values to lines (gap near), line centres by banker's rounding, lines to groups (gap far) from first to last centre."""
+    lines = gap_clusters(df, key, [value], value, near, "line").groupBy(*key, "line").agg(F.bround(F.avg(value), 0).cast("long").alias("center"))
     grouped = gap_clusters(lines, key, ["center", "line"], "center", far, "staff")
-    return grouped.groupBy(*key, "staff").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count("*").cast("int").alias("n_lines"), F.array_sort(F.collect_list("center")).alias("line_centers"))
+    return grouped.groupBy(*key, "staff").agg(F.min("center").alias("top"), F.max("center").alias("bottom"), F.count("*").cast("int").alias("n_lines"), F.array_sort(F.collect_list("center")).alias("line_centers"))
 
 
 def fraction_where(df: DataFrame, key: Names, condition: Column, name: str = "fraction") -> DataFrame:
@@ -117,16 +117,17 @@ def median_box(df: DataFrame, key: Names, edges: Names) -> DataFrame:
     return df.groupBy(*key).agg(*(F.bround(F.median(e), 0).alias(e) for e in edges))
 
 
-def agreement(df: DataFrame, key: Names, edges: Names, width: tuple[str, str], height: tuple[str, str], tolerance: float = 0.03) -> DataFrame:
-    """Share of samples whose every edge lies within tolerance * larger side of the median box."""
-    box = median_box(df, key, edges)
-    for e in edges:
-        box = box.withColumnRenamed(e, f"box_{e}")
-    side = F.greatest(F.col(f"box_{width[1]}") - F.col(f"box_{width[0]}"), F.col(f"box_{height[1]}") - F.col(f"box_{height[0]}"))
+def agreement(df: DataFrame, key: Names, edges: Names, side: str, tolerance: float = 0.03) -> DataFrame:
+    """Share of all samples, boxes or null, whose every edge lies within tolerance * ``side`` of the unrounded median box.
+
+    ``side`` is the larger side of what the boxes lie in, to three places by banker's rounding.
+    """
+    middle = df.groupBy(*key).agg(*(F.median(e).alias(f"box_{e}") for e in edges))
     near = F.lit(True)
     for e in edges:
-        near = near & (F.abs(F.col(e) - F.col(f"box_{e}")) <= side * tolerance)
-    return df.join(box, list(key)).groupBy(*key).agg(F.round(F.sum(near.cast("int")) / F.count("*"), 3).alias("confidence"), F.count("*").alias("n"))
+        near = near & (F.abs(F.col(e) - F.col(f"box_{e}")) <= F.col(side) * tolerance)
+    agreed = F.sum(F.coalesce(near, F.lit(False)).cast("int"))
+    return df.join(middle, list(key)).groupBy(*key).agg(F.bround(agreed / F.count("*"), 3).alias("confidence"), F.count("*").alias("n"))
 
 
 def modal_value(df: DataFrame, key: Names, order: Names, value: str) -> DataFrame:
@@ -149,9 +150,14 @@ def argmax_first(df: DataFrame, key: Names, position: str, value: str) -> DataFr
     return out.select(*key, F.when(F.col(f"best.{value}") > 0, F.col(f"best.{position}")).alias(position))
 
 
-def composite_level(value: str, least: int = 3) -> Column:
-    """Aggregate of a pixel's values: the median, cut to a whole number, or of under ``least`` the largest."""
-    return F.floor(F.when(F.count(value) >= least, F.median(value)).otherwise(F.max(value))).cast("double")
+def few_inside(size: Column, least: int = 3) -> Column:
+    """Whether a page has under ``least`` rows between its first and last (its only ones, if it has two at most)."""
+    return F.when(size > 2, size - 2).otherwise(size) < least
+
+
+def composite_level(value: str, few: Column) -> Column:
+    """Aggregate of a pixel's values: the median, cut to a whole number, or on a page of ``few`` rows the largest."""
+    return F.floor(F.when(F.max(few), F.max(value)).otherwise(F.median(value))).cast("double")
 
 
 def mad_z(df: DataFrame, key: Names, value: str, name: str = "z") -> DataFrame:
@@ -184,18 +190,21 @@ def running_offsets(df: DataFrame, key: Names, order: Names, match: Column, conf
     return df.withColumn("resolution", kind).withColumn("step", step).withColumn("offset", F.sum("step").over(w))
 
 
-def advance_mode(df: DataFrame, key: Names, dx: str, dy: str, size: float | str, static: float = 2.0) -> DataFrame:
+def advance_mode(df: DataFrame, key: Names, dx: str, dy: str, width: float | str, height: float | str, static: float = 2.0) -> DataFrame:
     """Kind of motion from adjacent displacements: the medians decide, else the coherence of larger events.
 
-    ``size`` is the height of what moves, one for all sequences or a column.
+    ``width`` and ``height`` are those of what moves, numbers for all sequences or columns; an event covers 2 % of the side
+    along its axis. Under four events tell nothing: their coherence is 0.
     """
+    side = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
     axis = F.when(F.col("sum_x") >= F.col("sum_y"), "x").otherwise("y")
     sums = df.groupBy(*key).agg(F.sum(F.abs(F.col(dx))).alias("sum_x"), F.sum(F.abs(F.col(dy))).alias("sum_y"), F.median(F.abs(F.col(dx))).alias("med_dx"), F.median(F.abs(F.col(dy))).alias("med_dy"))
-    moved = df.join(sums.withColumn("axis", axis), list(key)).withColumn("d", F.when(F.col("axis") == "x", F.col(dx)).otherwise(F.col(dy)))
-    big = F.abs(F.col("d")) > F.greatest(F.lit(2.0), 0.02 * (F.col(size) if isinstance(size, str) else F.lit(size)))
+    along = F.col("axis") == "x"
+    moved = df.join(sums.withColumn("axis", axis), list(key)).withColumn("d", F.when(along, F.col(dx)).otherwise(F.col(dy)))
+    big = F.abs(F.col("d")) > F.greatest(F.lit(2.0), 0.02 * F.when(along, side(width)).otherwise(side(height)))
     told = moved.groupBy(*key, "axis", "med_dx", "med_dy").agg(F.sum((big & (F.col("d") > 0)).cast("int")).alias("up"), F.sum((big & (F.col("d") < 0)).cast("int")).alias("down"))
     n = F.col("up") + F.col("down")
-    told = told.withColumn("n_events", n).withColumn("coherence", F.when(n > 0, F.round(F.greatest("up", "down") / n, 6)).otherwise(F.lit(0.0)))
+    told = told.withColumn("n_events", n).withColumn("coherence", F.when(n >= 4, F.round(F.greatest("up", "down") / n, 6)).otherwise(F.lit(0.0)))
     coherent = (F.col("n_events") >= 4) & (F.greatest("up", "down") * 100 >= F.col("n_events") * 85)
     mode = (
         F.when((F.col("med_dy") > static) & (F.col("med_dy") >= F.col("med_dx")), "scroll_vertical")

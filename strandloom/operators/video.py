@@ -1,19 +1,31 @@
-"""Frame operators: pixel kernels as Arrow functions around DataFrame plans, partitioned by video, song or band."""
+"""Frame operators: pixel kernels as Arrow functions around DataFrame plans, partitioned by video, song or band.
+
+The frames of a video are numbered from 0 without gaps. Plans choose frames by number and join tables of one row a video
+(:func:`strandloom.stored.with_rows_of`); no window, sort or shuffle holds whole images.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import pixels as px
+from strandloom.functions.counts import PIXELS, Totals, counted
 from strandloom.operators import seq
+from strandloom.stored import ready, stored, with_rows_of
 
 BAND, LEAST = 200, 3
+#: Grey bytes that a task gathers before it counts and ships them.
+HELD = 32_000_000
+LOW_WIDTH = 800
 EDGES = ("x0", "y0", "x1", "y1")
-#: One box for all videos, or a table (video_id, x0, y0, x1, y1).
-Region = tuple[int, int, int, int] | DataFrame
+#: One box for all videos, a table (video_id, x0, y0, x1, y1), or none where frames have the edges as columns.
+Region = tuple[int, int, int, int] | DataFrame | None
 
 
 def array_of(height: int, width: int, data: bytes) -> np.ndarray:
@@ -22,11 +34,18 @@ def array_of(height: int, width: int, data: bytes) -> np.ndarray:
 
 def on_region(frames: DataFrame, region: Region) -> DataFrame:
     """Frames with the edges of their video's region; one row a video is joined, no frame is collected."""
+    if region is None:
+        return frames
     if isinstance(region, DataFrame):
-        return frames.join(region.select("video_id", *EDGES), "video_id")
+        return with_rows_of(frames, region.select("video_id", *EDGES))
     return frames.select("*", *(F.lit(int(v)).alias(e) for v, e in zip(region, EDGES, strict=True)))
 
 
+def frame_counts(frames: DataFrame) -> DataFrame:
+    """(video_id, n)."""
+    return frames.groupBy("video_id").agg(F.count("*").alias("n"))
+
+
 def _cut(row) -> np.ndarray:
     return array_of(row.height, row.width, row.data)[row.y0 : row.y1, row.x0 : row.x1]
 
@@ -43,6 +62,7 @@ def _per_frame(frames: DataFrame, schema: str, use) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([r for row in pdf.itertuples(index=False) for r in use(row)], columns=columns)
 
+    ready(frames.sparkSession)
     return frames.mapInPandas(run, schema)
 
 
@@ -56,54 +76,59 @@ def crops(frames: DataFrame, region: Region, keep: tuple[str, ...] = ()) -> Data
 
 def region_candidates(frames: DataFrame) -> DataFrame:
     """Region and line count of up to 40 evenly spaced frames of each video; frames without one are null."""
-    sample = seq.even_sample(frames, ["video_id"], ["frame_idx"], 40)
+    chosen = with_rows_of(frames, frame_counts(frames)).filter(seq.is_sample(F.col("frame_idx"), F.col("n"), 40))
 
     def one(row):
         found = px.region_candidate(array_of(row.height, row.width, row.data))
         box, lines = found if found else ((None,) * 4, None)
-        return [(row.video_id, row.frame_idx, row.width, *box, lines)]
+        return [(row.video_id, row.frame_idx, max(row.height, row.width), *box, lines)]
 
-    return _per_frame(sample, "video_id string, frame_idx int, width int, x0 double, y0 double, x1 double, y1 double, lines double", one)
+    return _per_frame(chosen, "video_id string, frame_idx int, side int, x0 double, y0 double, x1 double, y1 double, lines double", one)
 
 
 def detect_region(frames: DataFrame) -> DataFrame:
-    """One row a video: edge medians, confidence (agreement over all samples), modal line count, low resolution."""
-    every = region_candidates(frames)
-    samples = every.groupBy("video_id").agg(F.count("*").alias("samples"), F.max("width").alias("width"))
-    found = every.filter("x0 IS NOT NULL")
-    edges = ["x0", "y0", "x1", "y1"]
-    box = seq.median_box(found, ["video_id"], edges).select("video_id", *(F.col(e).cast("int").alias(e) for e in edges))
-    agree = seq.agreement(found, ["video_id"], edges, ("x0", "x1"), ("y0", "y1")).select("video_id", "confidence", "n")
-    lines = seq.modal_value(found, ["video_id"], ["frame_idx"], "lines").select("video_id", F.col("lines").cast("int").alias("n_lines"))
-    out = samples.join(box, "video_id", "left").join(agree, "video_id", "left").join(lines, "video_id", "left")
-    sure = F.round(F.col("confidence") * F.col("n") / F.col("samples"), 3)
+    """One row a video: edge medians, confidence (agreement over all samples), modal line count, low resolution (of the region).
+
+    Candidates are found once and stored. A video without any raises.
+    """
+    every = stored(region_candidates(frames), "candidates")
+    box = seq.median_box(every, ["video_id"], EDGES).select("video_id", *(F.col(e).cast("int").alias(e) for e in EDGES))
+    first = every.groupBy("video_id").agg(F.min_by("side", "frame_idx").alias("frame_side"))
+    agree = seq.agreement(every.join(first, "video_id"), ["video_id"], EDGES, "frame_side").select("video_id", "confidence")
+    lines = seq.modal_value(every.filter("x0 IS NOT NULL"), ["video_id"], ["frame_idx"], "lines").select("video_id", F.col("lines").cast("int").alias("n_lines"))
+    out = box.join(agree, "video_id").join(lines, "video_id", "left")
     none = F.raise_error(F.concat(F.lit("no region in "), "video_id")).cast("int")
     x0 = F.when(F.col("x0").isNull(), none).otherwise(F.col("x0"))
-    return out.select("video_id", x0.alias("x0"), "y0", "x1", "y1", sure.alias("confidence"), "n_lines", (F.col("width") < 800).alias("low_res_warning"))
+    return out.select("video_id", x0.alias("x0"), "y0", "x1", "y1", "confidence", "n_lines", (F.col("x1") - F.col("x0") < LOW_WIDTH).alias("low_res_warning"))
 
 
 def displacements(frames: DataFrame, region: Region, pairs: int = 200) -> DataFrame:
-    """(dx, dy) between evenly sampled neighbouring frames of each video, whose frame_idx count from 0; ``size`` is the region's height.
+    """(dx, dy) between evenly sampled neighbouring frames of each video; ``width`` and ``height`` are the region's.
 
     Pairs are chosen from frame numbers, so that only grey crops of chosen frames are shuffled.
     """
-    n = frames.groupBy("video_id").agg((F.count("*") - 1).alias("n_pairs"))
-    at = F.col("frame_idx")
-    chosen = lambda pos: seq.is_sample(pos, F.col("n_pairs"), pairs)
+    at, last = F.col("frame_idx"), F.col("n") - 1
+    chosen = lambda pos: seq.is_sample(pos, last, pairs)
     members = F.filter(F.array(F.when(chosen(at), at), F.when(chosen(at - 1), at - 1)), lambda p: p.isNotNull())
-    wanted = frames.join(n, "video_id").withColumn("members", members).filter(F.size("members") > 0)
+    wanted = with_rows_of(frames, frame_counts(frames)).withColumn("members", members).filter(F.size("members") > 0)
     both = crops(wanted, region, ("members",)).select("video_id", "frame_idx", *EDGES, "grey", F.explode("members").alias("pair"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf.sort_values("frame_idx").itertuples(index=False)
         shift = px.phase_shift(_grey(first), _grey(second))
-        return pd.DataFrame([(first.video_id, first.pair, *(round(v, 3) for v in shift), first.y1 - first.y0)], columns=["video_id", "frame_idx", "dx", "dy", "size"])
+        told = (first.video_id, first.pair, *(round(v, 3) for v in shift), first.x1 - first.x0, first.y1 - first.y0)
+        return pd.DataFrame([told], columns=["video_id", "frame_idx", "dx", "dy", "width", "height"])
 
-    return both.groupBy("video_id", "pair").applyInPandas(one, "video_id string, frame_idx int, dx double, dy double, size int")
+    return both.groupBy("video_id", "pair").applyInPandas(one, "video_id string, frame_idx int, dx double, dy double, width int, height int")
 
 
 def classify_advance(frames: DataFrame, region: Region) -> DataFrame:
-    return seq.advance_mode(displacements(frames, region), ["video_id"], "dx", "dy", "size")
+    """Kind of motion of each video; one of under two frames raises."""
+    moved = stored(displacements(frames, region), "displacements")
+    told = seq.advance_mode(moved, ["video_id"], "dx", "dy", "width", "height")
+    short = F.raise_error(F.concat(F.lit("at least two frames are needed to tell the motion of "), "video_id")).cast("string")
+    whole = frame_counts(frames).join(told, "video_id", "left")
+    return whole.withColumn("mode", F.when(F.col("n") < 2, short).otherwise(F.col("mode"))).drop("n")
 
 
 def cursor_track(frames: DataFrame, region: Region) -> DataFrame:
@@ -128,52 +153,107 @@ def page_starts(track: DataFrame, width: int | None = None) -> DataFrame:
     return seq.page_wraps(track, ["video_id"], ["frame_idx"], "x", drop).select("video_id", "frame_idx")
 
 
+def page_table(frames: DataFrame, starts: DataFrame) -> DataFrame:
+    """(video_id, n, starts): one row a video; without any start its frames are one page."""
+    listed = starts.groupBy("video_id").agg(F.array_sort(F.collect_list("frame_idx")).alias("starts"))
+    return frame_counts(frames).join(listed, "video_id", "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0))))
+
+
 def page_frames(frames: DataFrame, starts: DataFrame) -> DataFrame:
-    """Frames with their page, and whether they contribute. Without any start all frames are page 0;
-    frames before the first start belong to none. Windows run over frame numbers, not over images."""
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    numbers = frames.select("video_id", "frame_idx")
-    marked = numbers.join(starts.withColumn("start", F.lit(1)), ["video_id", "frame_idx"], "left")
-    page = (F.sum(F.coalesce("start", F.lit(0))).over(w) - 1).cast("int")
-    any_start = F.max("start").over(Window.partitionBy("video_id"))
-    paged = marked.withColumn("page", F.when(any_start.isNull(), 0).otherwise(page)).filter("page >= 0").drop("start")
-    each = Window.partitionBy("video_id", "page")
-    size, place = F.count("*").over(each), F.row_number().over(each.orderBy("frame_idx"))
-    paged = paged.withColumn("size", size).withColumn("place", place)
-    paged = paged.withColumn("contributes", F.when(F.col("size") >= LEAST + 2, (F.col("place") > 1) & (F.col("place") < F.col("size"))).otherwise(F.lit(True)))
-    return frames.join(paged, ["video_id", "frame_idx"])
+    """Frames with their page, its first frame and size, and whether they contribute; frames before the first start belong to none.
+
+    The page follows from the frame's number and the starts of its video, so frames stay where they are read.
+    """
+    paged = with_rows_of(frames, page_table(frames, starts))
+    paged = paged.withColumn("page", F.size(F.filter("starts", lambda s: s <= F.col("frame_idx"))) - 1).filter("page >= 0")
+    paged = paged.withColumn("first", F.get("starts", F.col("page")))
+    paged = paged.withColumn("size", (F.coalesce(F.get("starts", F.col("page") + 1), F.col("n")) - F.col("first")).cast("int"))
+    interior = (F.col("frame_idx") > F.col("first")) & (F.col("frame_idx") < F.col("first") + F.col("size") - 1)
+    return paged.withColumn("contributes", F.when(seq.few_inside(F.col("size"), LEAST), F.lit(True)).otherwise(interior)).drop("starts", "n")
+
+
+def _blended(frames: DataFrame, keys: str, pieces) -> DataFrame:
+    """(keys, chunk, across, n_all, n_inside, rows): images that ``pieces(row)`` yields as (key, width, inside, flat bytes) blended by
+    key: the median of the inside ones, or of under ``LEAST`` of them the brightest of all.
+
+    Tasks count the levels of their images and ship the counts, ``PIXELS`` pixels a row; counts are added up as they come. What
+    is held is bounded by pixels, not by images (:mod:`strandloom.functions.counts`).
+    """
+    names = [c.split()[0] for c in keys.split(", ")]
+    partial = [*names, "chunk", "across", "n_all", "n_inside", "levels", "counts", "top"]
+
+    def shipped(held: dict) -> pd.DataFrame:
+        rows = []
+        for key, (across, inside, others) in held.items():
+            every = np.stack(inside + others)
+            for c, at in enumerate(range(0, every.shape[1], PIXELS)):
+                part = every[:, at : at + PIXELS]
+                levels, counts = counted(part[: len(inside)]) if inside else (np.zeros(0, np.int32),) * 2
+                rows.append((*key, c, across, len(every), len(inside), levels.tobytes(), counts.tobytes(), part.max(axis=0).tobytes()))
+        return pd.DataFrame(rows, columns=partial)
+
+    def run(batches):
+        held, size = {}, 0
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                for key, across, inside, flat in pieces(row):
+                    held.setdefault(key, (across, [], []))[1 if inside else 2].append(flat)
+                    size += flat.size
+                if size >= HELD:
+                    yield shipped(held)
+                    held, size = {}, 0
+        if held:
+            yield shipped(held)
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, n_all, n_inside = None, 0, 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in partial[-6:]), strict=True):
+                across, most = row[0], np.frombuffer(row[5], np.uint8)
+                totals, top = (totals, np.maximum(top, most)) if top is not None else (Totals(len(most)), most)
+                totals.add(np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32))
+                n_all, n_inside = n_all + row[1], n_inside + row[2]
+        rows = totals.median(n_inside) if n_inside >= LEAST else top
+        told = [k.as_py() for k in key] + [across, n_all, n_inside, rows.tobytes()]
+        yield pa.RecordBatch.from_pylist([dict(zip(out, told, strict=True))], schema)
+
+    out = [*names, "chunk", "across", "n_all", "n_inside", "rows"]
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in keys.split(", ")] + [(c, pa.int32()) for c in out[len(names) : -1]] + [("rows", pa.binary())])
+    ready(frames.sparkSession)
+    counts = frames.mapInPandas(run, f"{keys}, chunk int, across int, n_all int, n_inside int, levels binary, counts binary, top binary")
+    return counts.groupBy(*names, "chunk").applyInArrow(add, f"{keys}, chunk int, across int, n_all int, n_inside int, rows binary")
+
+
+def _whole(chunks: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """Chunks of blended pixels put together by key."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "rows"))), lambda c: c["rows"])
+    whole = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
+    return chunks.groupBy(*keys).agg(F.max("n_all").alias("n_all"), F.max("n_inside").alias("n_inside"), F.max("across").alias("width"), whole.alias(name))
 
 
 def compose_pages(paged: DataFrame, region: Region) -> DataFrame:
-    """Median canvases of pages, and whether they are transitions (little paper) or of few frames.
+    """Canvases of pages, with their first and last frame, and whether they are transitions (little paper) or of few frames.
 
-    A page is cut to row chunks first, so that what one group holds is bounded by a chunk's pixels
-    times the page's frames.
+    A page's canvas is the median of its frames but the first and last; where these are under three, the brightest of all.
     """
 
-    def chunks(row):
+    def pieces(row):
         g = px.grey(_cut(row))
-        return [(row.video_id, row.page, row.frame_idx, c, row.x1 - row.x0, g[c : c + BAND].tobytes()) for c in range(0, row.y1 - row.y0, BAND)]
+        yield (row.video_id, row.page, row.first, row.size), g.shape[1], not row.few, g.ravel()
 
-    on = on_region(paged.filter("contributes"), region).select("video_id", "page", "frame_idx", "height", "width", "data", *EDGES)
-    cut = _per_frame(on, "video_id string, page int, frame_idx int, chunk int, across int, rows binary", chunks)
+    used = paged.filter("contributes").withColumn("few", seq.few_inside(F.col("size"), LEAST))
+    on = on_region(used, region).select("video_id", "page", "first", "size", "few", "height", "width", "data", *EDGES)
+    keys = ("video_id", "page", "first", "size")
+    pages = _whole(_blended(on, "video_id string, page int, first int, size int", pieces), keys, "canvas")
 
-    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        stack = np.stack([np.frombuffer(r, np.uint8) for r in pdf["rows"]]).reshape(len(pdf), -1, first.across)
-        canvas = px.composite(stack, LEAST)
-        told = (first.video_id, first.page, first.chunk, len(pdf), int((canvas > px.PAPER_GREY).sum()), *canvas.shape, canvas.tobytes())
-        return pd.DataFrame([told], columns=["video_id", "page", "chunk", "n", "paper", "height", "width", "rows"])
+    def told(row):
+        share = float((np.frombuffer(row.canvas, np.uint8) > px.PAPER_GREY).mean())
+        few = row.n_inside < LEAST
+        return [(row.video_id, row.page, row.n_all, row.canvas, len(row.canvas) // row.width, row.width, share < 0.5, few, row.first, row.first + row.size - 1)]
 
-    done = cut.groupBy("video_id", "page", "chunk").applyInPandas(middle, "video_id string, page int, chunk int, n int, paper long, height int, width int, rows binary")
-    joined = done.groupBy("video_id", "page").agg(
-        F.sum("height").cast("int").alias("height"), F.max("width").alias("width"), F.max("n").alias("contributors"), F.sum("paper").alias("paper"), F.transform(F.array_sort(F.collect_list(F.struct("chunk", "rows"))), lambda c: c["rows"]).alias("chunks")
-    )
-    share = F.col("paper") / (F.col("height") * F.col("width"))
-    return joined.select(
-        "video_id", "page", "contributors", F.aggregate("chunks", F.lit(b""), lambda a, b: F.concat(a, b)).alias("canvas"), "height", "width",
-        (share < 0.5).alias("transition"), (F.col("contributors") < LEAST).alias("low_confidence"),
-    )
+    schema = "video_id string, page int, contributors int, canvas binary, height int, width int, transition boolean, low_confidence boolean, start int, end int"
+    return _per_frame(pages, schema, told)
 
 
 def scroll_offsets(frames: DataFrame, region: Region, horizontal: bool = False) -> DataFrame:
@@ -205,35 +285,29 @@ def scroll_offsets(frames: DataFrame, region: Region, horizontal: bool = False)
 def compose_scroll(frames: DataFrame, offsets: DataFrame, region: Region, horizontal: bool = False) -> DataFrame:
     """Bands (video_id, band, rows, contributors, low_confidence) of the canvas of a scroll, BAND rows each.
 
-    Interval cover as an equi-join: each frame is cut to the bands it touches, white where it does
-    not reach. Frames that contain a band count; where they are too few, all that touch it do.
+    Interval cover by band numbers: each frame is cut to the bands it touches, white where it does not reach. The median of
+    frames that contain a band counts; where they are too few, the brightest of all that touch it.
     """
-    total = offsets.groupBy("video_id").agg(F.max(F.col("offset") + F.col("length")).alias("total"))
-    placed = crops(frames, region).join(offsets.select("video_id", "frame_idx", "offset"), ["video_id", "frame_idx"]).join(total, "video_id")
+    listed = offsets.groupBy("video_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "offset"))), lambda x: x["offset"]).alias("offsets"), F.max(F.col("offset") + F.col("length")).alias("total")
+    )
+    placed = with_rows_of(frames, listed).withColumn("offset", F.get("offsets", F.col("frame_idx")))
 
-    def cut(row):
-        g = _grey(row).T if horizontal else _grey(row)
-        out, length = [], g.shape[0]
+    def pieces(row):
+        g = px.grey(_cut(row))
+        g = g.T if horizontal else g
+        length = g.shape[0]
         for band in range(row.offset // BAND, (row.offset + length - 1) // BAND + 1):
             y0, y1 = band * BAND, min((band + 1) * BAND, row.total)
-            piece = np.full((y1 - y0, g.shape[1]), 255, np.uint8)
             a, b = max(y0, row.offset), min(y1, row.offset + length)
+            piece = np.full((y1 - y0, g.shape[1]), 255, np.uint8)
             piece[a - y0 : b - y0] = g[a - row.offset : b - row.offset]
-            out.append((row.video_id, band, row.frame_idx, a == y0 and b == y1, g.shape[1], piece.tobytes()))
-        return out
-
-    pieces = _per_frame(placed, "video_id string, band int, frame_idx int, inside boolean, width int, rows binary", cut)
-    whole = F.sum(F.col("inside").cast("int")).over(Window.partitionBy("video_id", "band"))
-    used = pieces.withColumn("n_inside", whole).filter((F.col("n_inside") < LEAST) | F.col("inside"))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        stack = np.stack([np.frombuffer(r, np.uint8) for r in pdf["rows"]])
-        few = bool(first.n_inside < LEAST)
-        canvas = stack.max(axis=0) if few else np.median(stack, axis=0).astype(np.uint8)
-        return pd.DataFrame([(first.video_id, first.band, len(pdf), few, first.width, canvas.tobytes())], columns=["video_id", "band", "contributors", "low_confidence", "width", "rows"])
+            yield (row.video_id, band), g.shape[1], a == y0 and b == y1, piece.ravel()
 
-    return used.groupBy("video_id", "band").applyInPandas(join, "video_id string, band int, contributors int, low_confidence boolean, width int, rows binary")
+    on = on_region(placed, region).select("video_id", "offset", "total", "height", "width", "data", *EDGES)
+    bands = _whole(_blended(on, "video_id string, band int", pieces), ("video_id", "band"), "rows")
+    few = F.col("n_inside") < LEAST
+    return bands.select("video_id", "band", F.when(few, F.col("n_all")).otherwise(F.col("n_inside")).alias("contributors"), few.alias("low_confidence"), "width", "rows")
 
 
 def page_systems(pages: DataFrame) -> DataFrame:
@@ -317,11 +391,8 @@ def number_readings(systems: DataFrame, reader=None) -> DataFrame:
         return systems.select("video_id", "pos", F.lit(None).cast("int").alias("number"))
 
     def one(row):
-        g = np.frombuffer(row.canvas, np.uint8).reshape(row.height, row.width)
-        found = px.staves(g)
-        top = found[0]["top"] if found else min(70, g.shape[0])
-        strip = g[max(0, top - 70) : top, :300]
-        box = px.first_number_box(strip) if strip.size else None
+        strip = px.number_strip(np.frombuffer(row.canvas, np.uint8).reshape(row.height, row.width))
+        box = px.first_number_box(strip) if strip is not None else None
         number = reader(strip[box[1] : box[3], box[0] : box[2]]) if box else None
         return [(row.video_id, row.pos, number)]
 
@@ -330,8 +401,7 @@ def number_readings(systems: DataFrame, reader=None) -> DataFrame:
 
 def clamp_frame(frames: DataFrame, index: int) -> DataFrame:
     """The frame of an index forced into range."""
-    last = F.max("frame_idx").over(Window.partitionBy("video_id"))
-    return frames.withColumn("__last", last).filter(F.col("frame_idx") == seq.clamp_index(F.lit(index), F.col("__last") + 1)).drop("__last")
+    return with_rows_of(frames, frame_counts(frames)).filter(F.col("frame_idx") == seq.clamp_index(F.lit(index), F.col("n"))).drop("n")
 
 
 def frame_seconds(index: Column, rate: float = 2.0) -> Column:

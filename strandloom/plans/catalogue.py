@@ -52,10 +52,13 @@ def page_groups(spark, d):
     return seq.page_groups(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).select("user_id", "event_id", "page", "size", "contributes")
 
 
-@query(_PAGED + "SELECT user_id, page::INT AS page, count(*) AS n, CASE WHEN count(*) >= 3 THEN floor(median(value)) ELSE floor(max(value)) END AS level FROM g WHERE contributes GROUP BY user_id, page")
+@query(_PAGED + """SELECT user_id, page::INT AS page, CASE WHEN s < 5 THEN s ELSE s - 2 END AS n, floor(CASE WHEN s < 5 THEN most ELSE middle END) AS level, s < 5 AS low_confidence
+FROM (SELECT user_id, page, max(size) AS s, max(value) AS most, median(value) FILTER (WHERE i > 1 AND i < size) AS middle FROM r GROUP BY user_id, page)""")
 def median_composite(spark, d):
+    """Pages of one to four rows have under three between their ends: their level is the largest of all rows."""
     g = seq.page_groups(table(spark, d, "events"), ["user_id"], EVENT, "value", F.lit(float(_DROP))).filter("contributes")
-    return g.groupBy("user_id", "page").agg(F.count("*").alias("n"), seq.composite_level("value").alias("level"))
+    few = seq.few_inside(F.col("size"))
+    return g.groupBy("user_id", "page").agg(F.count("*").alias("n"), seq.composite_level("value", few).alias("level"), F.max(few).alias("low_confidence"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -126,9 +129,9 @@ def gap_clusters(spark, d):
 
 @query(f"""WITH o AS (SELECT DISTINCT o_custkey, {_DAYS} AS day FROM orders),
 l AS (SELECT o_custkey, day, sum(f) OVER (PARTITION BY o_custkey ORDER BY day) AS line FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) <= 30 THEN 0 ELSE 1 END AS f FROM o)),
-c AS (SELECT o_custkey, line, round_even(avg(day), 0)::BIGINT AS center, min(day) AS top, max(day) AS bottom FROM l GROUP BY 1, 2),
+c AS (SELECT o_custkey, line, round_even(avg(day), 0)::BIGINT AS center FROM l GROUP BY 1, 2),
 s AS (SELECT *, sum(f) OVER (PARTITION BY o_custkey ORDER BY center, line) AS staff FROM (SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY o_custkey ORDER BY center, line) <= 200 THEN 0 ELSE 1 END AS f FROM c))
-SELECT o_custkey, staff::INT AS staff, min(top) AS top, max(bottom) AS bottom, count(*)::INT AS n_lines, string_agg(center::VARCHAR, ',' ORDER BY center) AS line_centers FROM s GROUP BY o_custkey, staff""")
+SELECT o_custkey, staff::INT AS staff, min(center) AS top, max(center) AS bottom, count(*)::INT AS n_lines, string_agg(center::VARCHAR, ',' ORDER BY center) AS line_centers FROM s GROUP BY o_custkey, staff""")
 def two_level_clusters(spark, d):
     days = _order_days(spark, d).select("o_custkey", F.col("day").cast("long").alias("day")).distinct()
     out = seq.two_level_clusters(days, ["o_custkey"], "day", 30, 200)
@@ -143,12 +146,16 @@ def median_box(spark, d):
     return seq.median_box(table(spark, d, "lineitem"), ["l_suppkey"], _EDGES).select("l_suppkey", *(F.col(e).cast("double").alias(e) for e in _EDGES))
 
 
-@query("""WITH m AS (SELECT l_suppkey AS k, round_even(median(l_linenumber), 0) AS a, round_even(median(l_quantity), 0) AS b, round_even(median(l_tax * 100), 0) AS c, round_even(median(l_discount * 100), 0) AS e FROM lineitem GROUP BY 1)
-SELECT l_suppkey, round(sum((abs(l_linenumber - a) <= s AND abs(l_quantity - b) <= s AND abs(l_tax * 100 - c) <= s AND abs(l_discount * 100 - e) <= s)::INT) / count(*), 3) AS confidence, count(*) AS n
-FROM lineitem JOIN (SELECT *, greatest(b - a, e - c) * 0.25 AS s FROM m) ON l_suppkey = k GROUP BY l_suppkey""")
+@query("""WITH b AS (SELECT l_suppkey AS k, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS x0, CASE WHEN l_linenumber < 7 THEN l_quantity END AS x1,
+CASE WHEN l_linenumber < 7 THEN l_tax * 100 END AS y0, CASE WHEN l_linenumber < 7 THEN l_discount * 100 END AS y1, CASE WHEN l_suppkey % 2 = 0 THEN 400 ELSE 500 END AS side FROM lineitem),
+m AS (SELECT k AS mk, median(x0) AS a, median(x1) AS b, median(y0) AS c, median(y1) AS e FROM b GROUP BY k)
+SELECT k AS l_suppkey, round_even(sum(CASE WHEN abs(x0 - a) <= t AND abs(x1 - b) <= t AND abs(y0 - c) <= t AND abs(y1 - e) <= t THEN 1 ELSE 0 END) / count(*), 3) AS confidence, count(*) AS n
+FROM (SELECT *, side * 0.03::DOUBLE AS t FROM b JOIN m ON k = mk) GROUP BY k""")
 def box_agreement(spark, d):
-    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("x0"), F.col("l_quantity").alias("x1"), (F.col("l_tax") * 100).alias("y0"), (F.col("l_discount") * 100).alias("y1"))
-    return seq.agreement(li, ["l_suppkey"], ["x0", "x1", "y0", "y1"], ("x0", "x1"), ("y0", "y1"), 0.25)
+    """Boxes in frames of 400 or 500: a supplier's line is a sample, the seventh line of an order has no box."""
+    box = {"x0": F.col("l_linenumber"), "x1": F.col("l_quantity"), "y0": F.col("l_tax") * 100, "y1": F.col("l_discount") * 100}
+    li = table(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_suppkey") % 2 == 0, 400).otherwise(500).alias("side"), *(F.when(F.col("l_linenumber") < 7, c).alias(e) for e, c in box.items()))
+    return seq.agreement(li, ["l_suppkey"], list(box), "side")
 
 
 @query("""WITH p AS (SELECT l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem),
@@ -180,12 +187,12 @@ FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events) WIND
 
 
 @query(_MOTION + """, s AS (SELECT user_id, CASE WHEN round(sum(abs(dx)), 3) >= round(sum(abs(dy)), 3) THEN 'x' ELSE 'y' END AS axis, median(abs(dx)) AS med_dx, median(abs(dy)) AS med_dy FROM m GROUP BY 1),
-c AS (SELECT s.user_id, axis, med_dx, med_dy, sum((d > 3)::INT) AS u, sum((d < -3)::INT) AS v FROM (SELECT m.user_id, CASE WHEN axis = 'x' THEN dx ELSE dy END AS d FROM m JOIN s ON m.user_id = s.user_id) q JOIN s ON q.user_id = s.user_id GROUP BY 1, 2, 3, 4)
-SELECT user_id, axis, (u + v)::BIGINT AS n_events, CASE WHEN u + v > 0 THEN round(greatest(u, v) / (u + v), 6) ELSE 0 END AS coherence, med_dx, med_dy,
+c AS (SELECT s.user_id, axis, med_dx, med_dy, sum((d > side)::INT) AS u, sum((d < -side)::INT) AS v FROM (SELECT m.user_id, CASE WHEN axis = 'x' THEN dx ELSE dy END AS d, CASE WHEN axis = 'x' THEN 3 ELSE 5 END AS side FROM m JOIN s ON m.user_id = s.user_id) q JOIN s ON q.user_id = s.user_id GROUP BY 1, 2, 3, 4)
+SELECT user_id, axis, (u + v)::BIGINT AS n_events, CASE WHEN u + v >= 4 THEN round(greatest(u, v) / (u + v), 6) ELSE 0 END AS coherence, med_dx, med_dy,
 CASE WHEN med_dy > 2 AND med_dy >= med_dx THEN 'scroll_vertical' WHEN med_dx > 2 AND med_dx > med_dy THEN 'scroll_horizontal'
 WHEN u + v >= 4 AND greatest(u, v) * 100 >= (u + v) * 85 THEN CASE WHEN axis = 'y' THEN 'scroll_vertical' ELSE 'scroll_horizontal' END ELSE 'paginated' END AS mode FROM c""")
 def advance_mode(spark, d):
-    return seq.advance_mode(_motion(spark, d), ["user_id"], "dx", "dy", 150.0)
+    return seq.advance_mode(_motion(spark, d), ["user_id"], "dx", "dy", 150.0, 250.0)
 
 
 @query(_MOTION + """, s AS (SELECT *, CASE WHEN abs(dx) > 20 THEN 'match' WHEN dy >= 0 AND dy < 50 THEN 'fallback' ELSE 'unresolved' END AS resolution FROM m)
@@ -262,7 +269,7 @@ def page_packing(spark, d):
     return seq.pack(table(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_size", 150, 3)
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = m OR l_quantity * 100 < 50 * 55 THEN 50.0 ELSE l_quantity + 1 END AS kept, l_linenumber = m AS last, l_linenumber <> m AND l_quantity * 100 < 50 * 55 AS guarded
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = m OR l_quantity * 100 < 50 * 55 THEN 50.0 ELSE l_quantity END AS kept, l_linenumber = m AS last, l_linenumber <> m AND l_quantity * 100 < 50 * 55 AS guarded
 FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)""")
 def trim_guard(spark, d):
     li = table(spark, d, "lineitem").withColumn("last", F.col("l_linenumber") == F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
@@ -392,7 +399,7 @@ def progress_tail(spark, d):
     return seq.last_rows(table(spark, d, "events"), ["user_id"], EVENT, 12).select("user_id", "event_id")
 
 
-@query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS probed, (value::BIGINT) AS dummy, CASE WHEN value >= 90 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS grade, printf('%d:%02d', floor(value * 7)::INT // 60, floor(value * 7)::INT % 60) AS clock FROM events".replace("(value::BIGINT) AS dummy, ", ""))
+@query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS probed, CASE WHEN value >= 90 THEN 'good' WHEN value >= 60 THEN 'fair' ELSE 'poor' END AS grade, printf('%d:%02d', floor(value * 7)::INT // 60, floor(value * 7)::INT % 60) AS clock FROM events")
 def display_values(spark, d):
     return table(spark, d, "events").select("event_id", tx.number_or_zero(F.col("event_type")).alias("probed"), tx.score_grade(F.col("value")).alias("grade"), tx.duration_text(F.col("value") * 7).alias("clock"))
 
@@ -451,7 +458,7 @@ def pixel_planes(spark, d):
 
 
 @query("""WITH c AS (SELECT l_suppkey, sum((l_partkey % 256 < 128)::INT) AS total, sum((l_partkey % 256 < 128 AND l_linenumber > 1)::INT) AS kept FROM lineitem GROUP BY 1)
-SELECT l_suppkey, total::BIGINT AS total, greatest(0, total - kept)::BIGINT AS discarded, CASE WHEN greatest(0, total - kept) > 3000 THEN 'error' WHEN greatest(0, total - kept) > 300 THEN 'warning' ELSE 'ok' END AS flag FROM c""")
+SELECT l_suppkey, total::BIGINT AS total, greatest(0, total - kept)::BIGINT AS discarded, CASE WHEN greatest(0, total - kept) > 3000 THEN 'error' WHEN greatest(0, total - kept) > 300 THEN 'warn' ELSE 'ok' END AS flag FROM c""")
 def ink_counts(spark, d):
     ink = pl.is_gap_ink(F.col("l_partkey") % 256)
     c = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(ink.cast("int")).alias("total"), F.sum((ink & (F.col("l_linenumber") > 1)).cast("int")).alias("kept"))
@@ -513,17 +520,17 @@ def profile_checks(spark, d):
 #: Queries over drawn frames: what they must find is known by construction.
 _N = "(SELECT n_nationkey AS n, 'v' || n_nationkey AS video_id FROM nation)"
 DRAWN = {
-    "frame_regions": (generated.regions, f"SELECT video_id, (20 + n)::INT AS x0, (16 + n)::INT AS y0, (140 + n)::INT AS x1, (106 + n)::INT AS y1, 1.0::DOUBLE AS confidence, (4 + n % 3)::INT AS n_lines, true AS low_res_warning FROM {_N}"),
+    "frame_regions": (generated.regions, f"SELECT video_id, (20 + n)::INT AS x0, (16 + n)::INT AS y0, (20 + n + CASE WHEN n % 5 = 0 THEN 820 ELSE 120 END)::INT AS x1, (106 + n)::INT AS y1, 0.8::DOUBLE AS confidence, (4 + n % 3)::INT AS n_lines, n % 5 <> 0 AS low_res_warning FROM {_N}"),
     "frame_cursors": (generated.cursors, f"SELECT video_id, k::INT AS frame_idx, (12 + n + 25 * k)::INT AS x FROM {_N}, range(0, 4) t(k)"),
     "frame_offsets": (generated.offsets, f"SELECT video_id, k::INT AS frame_idx, (k * (6 + n % 5))::INT AS \"offset\", 'match' AS resolution FROM {_N}, range(0, 6) t(k)"),
-    "frame_motions": (generated.motions, f"SELECT video_id, 'scroll_vertical' AS mode, 'y' AS axis, (6 + n % 5)::INT AS med_dy FROM {_N}"),
-    "frame_pages": (generated.pages, f"SELECT video_id, k::INT AS page, 4 AS contributors, k = 2 AS transition, false AS low_confidence, CASE WHEN k = 2 THEN 0 ELSE 8 + k END::INT AS top FROM {_N}, range(0, 3) t(k)"),
+    "frame_motions": (generated.motions, f"SELECT video_id, CASE n % 3 WHEN 0 THEN 'scroll_vertical' WHEN 1 THEN 'scroll_horizontal' ELSE 'paginated' END AS mode, CASE WHEN n % 3 = 0 THEN 'y' ELSE 'x' END AS axis, CASE WHEN n % 3 = 1 THEN 6 + n % 5 ELSE 0 END::INT AS med_dx, CASE WHEN n % 3 = 0 THEN 6 + n % 5 ELSE 0 END::INT AS med_dy, CASE WHEN n % 3 = 2 THEN 0 ELSE 5 END::BIGINT AS n_events FROM {_N}"),
+    "frame_pages": (generated.pages, f"SELECT video_id, k::INT AS page, CASE k WHEN 2 THEN 3 ELSE 4 END AS contributors, k = 3 AS transition, k IN (1, 2) AS low_confidence, CASE k WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 10 ELSE 13 END AS start, CASE k WHEN 0 THEN 5 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 18 END AS \"end\", CASE k WHEN 0 THEN 8 WHEN 3 THEN 0 ELSE 20 + k END::INT AS top FROM {_N}, range(0, 4) t(k)"),
     "system_blocks": (generated.blocks, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom FROM (SELECT n, 0 AS pos, 5 AS top, 120 + n // 2 AS bottom FROM {_N} UNION ALL SELECT n, 1, 120 + n // 2, 235 + n FROM {_N})"),
     "scroll_blocks": (generated.scroll_blocks, f"SELECT video_id, pos, height::INT AS height, 100 AS width, 0 AS cuts_on_ink, 0::BIGINT AS discarded_ink, (100 * height)::INT AS pixels FROM (SELECT video_id, 0 AS pos, CASE WHEN n % 2 = 1 THEN 230 + n ELSE 115 + n // 2 END AS height FROM {_N} UNION ALL SELECT video_id, 1, 115 + n - n // 2 FROM {_N} WHERE n % 2 = 0)"),
     "page_barlines": (generated.barlines, f"SELECT n::INT AS n, pos::INT AS pos, x::INT AS x FROM (SELECT n, 0 AS pos, 31 + n AS x FROM {_N} UNION ALL SELECT n, 1, 131 + 2 * n FROM {_N} UNION ALL SELECT n, 2, 251 + n FROM {_N})"),
-    "page_trims": (generated.trims, f"SELECT n::INT AS n, CASE WHEN n % 4 = 0 THEN 300 ELSE 252 + n END::INT AS width, false AS guarded FROM {_N}"),
+    "page_trims": (generated.trims, f"SELECT n::INT AS n, CASE WHEN n % 4 IN (0, 1) THEN 300 ELSE 251 + n END::INT AS width, n % 4 = 1 AS guarded FROM {_N}"),
     "number_boxes": (generated.numbers, f"SELECT n::INT AS n, (5 + n)::INT AS x0, 10 AS y0, (30 + n)::INT AS x1, 32 AS y1 FROM {_N}"),
-    "line_staves": (generated.staves, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom, n_lines FROM (SELECT n, 0 AS pos, 10 AS top, 47 AS bottom, 4 AS n_lines FROM {_N} UNION ALL SELECT n, 1, 130 + n, 191 + n, 6 FROM {_N})"),
+    "line_staves": (generated.staves, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom, n_lines FROM (SELECT n, 0 AS pos, 10 AS top, 46 AS bottom, 4 AS n_lines FROM {_N} UNION ALL SELECT n, 1, 130 + n + n % 2, 190 + n + n % 2, 6 FROM {_N})"),
     "sheet_layout": (generated.layout, f"""WITH RECURSIVE h AS (SELECT video_id, ((40 + n) * 4)::INT AS h FROM {_N}), f AS (SELECT video_id, h, 0 AS pos, 0 AS sheet, 0 AS y FROM h UNION ALL
 SELECT video_id, h, pos + 1, CASE WHEN y + 2 * h + 30 <= 900 THEN sheet ELSE sheet + 1 END, CASE WHEN y + 2 * h + 30 <= 900 THEN y + h + 30 ELSE 0 END FROM f WHERE pos < 7)
 SELECT video_id, pos, h AS height, 2240 AS width, sheet, y FROM f"""),
@@ -558,12 +565,12 @@ def handshake_lines(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(found["port"], F.lit(-1)).alias("port"), found["token"].alias("token"))
 
 
-@query("""SELECT user_id, event_id, max(round(CASE event_type WHEN 'view' THEN 0.5 * v WHEN 'click' THEN 0.5 + 0.1 * v ELSE 0.6 + 0.15 * v END, 6)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pct
+@query("""SELECT user_id, event_id, max(round(CASE event_type WHEN 'view' THEN 0.02 + 0.38 * v WHEN 'click' THEN 0.45 ELSE 0.05 + 0.9 * v END, 6)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pct
 FROM (SELECT *, greatest(0.0, least(1.0, value / 100))::DOUBLE AS v FROM events)""")
 def progress_bands(spark, d):
     """Share of the whole, which never goes back."""
     from strandloom.streaming import progress
 
-    stage = F.when(F.col("event_type") == "view", "sample").when(F.col("event_type") == "click", "region").otherwise("advance")
+    stage = F.when(F.col("event_type") == "view", "sampling").when(F.col("event_type") == "click", "region").otherwise("compose")
     e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("ts"), progress.overall(stage, F.col("value") / 100).alias("pct"))
     return progress.never_back(e).select(F.col("job_id").alias("user_id"), F.col("ts.event_id").alias("event_id"), "pct")

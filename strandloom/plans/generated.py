@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import pixels as px
 from strandloom.operators import folds, video
 from strandloom.sources.frames import SCHEMA
+from strandloom.stored import ready
 
 STRIP = (10, 10, 170, 70)
 
@@ -27,6 +28,7 @@ def frames(rows: DataFrame, draw) -> DataFrame:
             for n in batch["n"]:
                 yield pd.DataFrame([(f"v{n}", i, *m.shape[:2], np.ascontiguousarray(m).tobytes()) for i, m in enumerate(draw(int(n)))], columns=["video_id", "frame_idx", "height", "width", "data"])
 
+    ready(rows.sparkSession)
     return rows.mapInPandas(run, SCHEMA)
 
 
@@ -38,6 +40,7 @@ def canvases(rows: DataFrame, schema: str, look) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(int(n), *row) for n in batch["n"] for row in look(int(n))], columns=names)
 
+    ready(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 
@@ -55,8 +58,16 @@ def _on_dark(paper: np.ndarray, x0: int, y0: int, size: tuple[int, int]) -> np.n
 
 
 def papers(n: int) -> list[np.ndarray]:
-    """Three frames of one sheet of 120 x 90 with 4 to 6 lines."""
-    return [_on_dark(_lined(90, 120, 4 + n % 3, 12, 10), 20 + n, 16 + n, (150, 200))] * 3
+    """Five frames of a sheet of 90 rows with 4 to 6 light lines, a dark one and a short one, which count for nothing. The fourth
+    frame is off by less than 3 % of the frame's larger side, the last by more."""
+    wide = n % 5 == 0
+    width, size, near, far = (820, (150, 900), 20, 40) if wide else (120, (150, 200), 5, 10)
+    sheet = np.full((90, width), 255, np.uint8)
+    for k in range(4 + n % 3):
+        sheet[10 + k * 12 : 12 + k * 12] = 180
+    sheet[4:6, : width * 45 // 100] = 180
+    sheet[80:82] = 120
+    return [_on_dark(sheet, 20 + n + off, 16 + n, size) for off in (0, 0, 0, near, far)]
 
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,34 +99,49 @@ def offsets(spark: SparkSession, folder: str) -> DataFrame:
     return video.scroll_offsets(frames(keys(spark, folder), rolled), STRIP).select("video_id", "frame_idx", "offset", "resolution")
 
 
+def moved(n: int) -> list[np.ndarray]:
+    """Strips of 60 x 160 that go up, go left, or go left by 3 columns in every second pair: under 2 % of their width, over that of their height."""
+    r, step = np.random.default_rng(n), 6 + n % 5
+    if n % 3 == 0:
+        places = [(k * step, 0) for k in range(6)]
+    elif n % 3 == 1:
+        places = [(0, k * step) for k in range(6)]
+    else:
+        places = [(0, 3 * (k // 3)) for k in range(18)]
+    large = r.integers(0, 256, (60 + places[-1][0], 160 + places[-1][1])).astype(np.uint8)
+    return [_on_dark(large[y : y + 60, x : x + 160], 10, 10, (90, 190)) for y, x in places]
+
+
 def motions(spark: SparkSession, folder: str) -> DataFrame:
-    """Kind of motion of rolled strips, whose every pair moves alike."""
-    told = video.classify_advance(frames(keys(spark, folder), rolled), STRIP)
-    return told.select("video_id", "mode", "axis", F.round("med_dy", 0).cast("int").alias("med_dy"))
+    """Kind of motion of strips that go up, left, or left by too little."""
+    told = video.classify_advance(frames(keys(spark, folder), moved), STRIP)
+    return told.select("video_id", "mode", "axis", *(F.round(c, 0).cast("int").alias(c) for c in ("med_dx", "med_dy")), "n_events")
 
 
 def flipped(n: int) -> list[np.ndarray]:
-    """Three pages of six frames each, a bar going right over each, and a dark page at the end."""
+    """Pages of 6, 4 and 3 frames and a dark one of 6, a bar going right over each; the first frame of a page lacks its first line."""
     out = []
-    for page in range(3):
-        for k in range(6):
+    for page, size in enumerate((6, 4, 3, 6)):
+        for k in range(size):
             strip = np.repeat(_lined(60, 160, 4, 12, 8 + page)[..., None], 3, axis=2)
+            if k == 0:
+                strip[8 + page : 10 + page] = 255
             strip[5:55, 5 + n % 5 + 28 * k : 8 + n % 5 + 28 * k] = (255, 0, 0)
-            out.append(_on_dark(strip if page < 2 else (strip * 0.3).astype(np.uint8), 10, 10, (90, 190)))
+            out.append(_on_dark(strip if page < 3 else (strip * 0.3).astype(np.uint8), 10, 10, (90, 190)))
     return out
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of flipped strips: contributors, whether they are transitions, and the first inked row of the canvas."""
+    """Pages of flipped strips: contributors, whether they are transitions or of few frames, and the first inked row of the canvas."""
     data = frames(keys(spark, folder), flipped)
     composed = video.compose_pages(video.page_frames(data, video.page_starts(video.cursor_track(data, STRIP))), STRIP)
 
     def run(batches):
         for batch in batches:
             top = [int(np.argmax((np.frombuffer(r.canvas, np.uint8).reshape(r.height, r.width) < 150).mean(axis=1) > 0.9)) for r in batch.itertuples()]
-            yield batch.assign(top=top)[["video_id", "page", "contributors", "transition", "low_confidence", "top"]]
+            yield batch.assign(top=top)[["video_id", "page", "contributors", "transition", "low_confidence", "start", "end", "top"]]
 
-    return composed.mapInPandas(run, "video_id string, page int, contributors int, transition boolean, low_confidence boolean, top int")
+    return composed.mapInPandas(run, "video_id string, page int, contributors int, transition boolean, low_confidence boolean, start int, end int, top int")
 
 
 def systems(n: int) -> np.ndarray:
@@ -145,9 +171,9 @@ def scroll_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return video.scroll_systems(bands).select("video_id", "pos", "height", "width", "cuts_on_ink", "discarded_ink", F.length("canvas").alias("pixels"))
 
 
-def _barred(n: int) -> np.ndarray:
+def _barred(n: int, bars: int = 3) -> np.ndarray:
     g = _lined(120, 300, 4, 12, 40)
-    for x in (30 + n, 130 + 2 * n, 250 + n):
+    for x in (30 + n, 130 + 2 * n, 250 + n)[:bars]:
         g[40:78, x : x + 3] = 0
     return g
 
@@ -157,8 +183,8 @@ def barlines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trims(spark: SparkSession, folder: str) -> DataFrame:
-    """Width that is left of a page cut at its last barline, unless it is the last page."""
-    look = lambda n: [(g.shape[1], low) for g, low in (px.trim(_barred(n), n % 4 == 0),)]
+    """Width that is left of a page cut before its last barline, unless it is the last page or would lose too much."""
+    look = lambda n: [(g.shape[1], low) for g, low in (px.trim(_barred(n, 1 if n % 4 == 1 else 3), n % 4 == 0),)]
     return canvases(keys(spark, folder), "n int, width int, guarded boolean", look)
 
 

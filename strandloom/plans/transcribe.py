@@ -15,15 +15,21 @@ from strandloom.functions import planes as pl
 from strandloom.functions import text as tx
 from strandloom.operators import folds, seq, video
 from strandloom.sources import pdf
+from strandloom.stored import ready, stored, with_rows_of
 
 SONGS = "array<struct<index:int,start:int,end:int>>"
 
 
+#: Fixed value: the instrument of a video whose region comes from a profile.
+BY_PROFILE = "(perfil)"
+
+
 def analyse(frames: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """One row a video: region, confidence, mode, songs. A profile of the exact resolution skips detection of region and mode.
 
-    All videos go through each stage together; what a later stage needs of a video, its region, is
-    joined by video_id.
+    All videos go through each stage together; what a later stage needs of a video, its region, is joined by video_id. What
+    is read again (candidates, displacements, the result, all of few rows a video) is stored; the number of jobs does not
+    grow with videos.
     """
     sizes = frames.groupBy("video_id").agg(F.max("width").alias("video_width"), F.max("height").alias("video_height"), F.count("*").alias("frame_count"))
     if profiles is None:
@@ -31,17 +37,20 @@ def analyse(frames: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     else:
         listed = profiles.select("video_width", "video_height", "position", F.col("name").alias("profile"), F.col("mode").alias("p_mode"), F.col("region").alias("p_region"))
         known = seq.first_match(sizes, listed, ["video_width", "video_height"], "position").drop("position")
-    new = frames.join(known.filter("profile IS NULL").select("video_id"), "video_id", "left_semi")
-    found = video.detect_region(new)
+    known = stored(known, "videos")
+    new = with_rows_of(frames, known.filter("profile IS NULL").select("video_id"))
+    found = stored(video.detect_region(new), "regions")
     modes = video.classify_advance(new, found).select("video_id", "mode")
     box = F.coalesce("p_region", F.array(*video.EDGES))
     info = known.join(found.drop("low_res_warning"), "video_id", "left").join(modes, "video_id", "left").select(
         "video_id", "video_width", "frame_count", "profile", box.alias("region"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        (F.col("video_width") < 800).alias("low_res_warning"), F.coalesce("p_mode", "mode").alias("mode"),
+        F.coalesce("p_mode", "mode").alias("mode"),
     )
+    info = stored(info.withColumn("low_res_warning", F.get("region", F.lit(2)) - F.get("region", F.lit(0)) < video.LOW_WIDTH), "told-videos")
     songs = folds.segments(video.signatures(frames, regions(info)), ["video_id"], ["frame_idx"], "sig")
     listed = songs.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("index", "start", "end"))).cast(SONGS).alias("songs"))
-    return info.join(listed, "video_id").select("*", tx.instrument(F.col("n_lines")).alias("instrument"))
+    instrument = F.when(F.col("profile").isNotNull(), BY_PROFILE).otherwise(tx.instrument(F.col("n_lines")))
+    return stored(info.join(listed, "video_id").select("*", instrument.alias("instrument")), "analysis")
 
 
 def regions(info: DataFrame) -> DataFrame:
@@ -52,6 +61,7 @@ def regions(info: DataFrame) -> DataFrame:
 def _notes(row: dict[str, Column]) -> Column:
     """What a reader of a report should look at, in a fixed order."""
     number = lambda c: c.cast("string")
+    ranges = F.transform(row["left_out"], lambda r: F.format_string("%d-%d", r["start"], r["end"]))
     lines = F.array(
         F.when(F.exists(row["issues"], lambda i: i["kind"] == "gap"), "numbers jump without a reason: look at the pages around"),
         F.when(row["low"] > 0, F.concat(number(row["low"]), F.lit(" systems rest on too few frames"))),
@@ -59,7 +69,7 @@ def _notes(row: dict[str, Column]) -> Column:
         F.when(~row["overlap_ok"] & (row["max_jump"] >= row["window"]), F.concat(F.lit("a step of "), number(row["max_jump"]), F.lit(" rows leaves the window of "), number(row["window"]))),
         F.when(row["cuts_on_ink"] > 0, F.concat(number(row["cuts_on_ink"]), F.lit(" cuts touch ink"))),
         F.when(pl.ink_flag(row["discarded_ink"]) != "ok", F.concat(number(row["discarded_ink"]), F.lit(" inked pixels lie outside all systems"))),
-        F.when(row["transitions"] > 0, F.concat(number(row["transitions"]), F.lit(" pages were left out as transitions"))),
+        F.when(row["transitions"] > 0, F.concat(number(row["transitions"]), F.lit(" pages were left out as transitions (frames "), F.array_join(ranges, ", "), F.lit(")"))),
     )
     return F.filter(lines, lambda n: n.isNotNull())
 
@@ -68,21 +78,22 @@ def render(frames: DataFrame, region: video.Region, mode: str, reader=None) -> t
     """(placed systems, report) of the frames of each video, all of one mode."""
     none = lambda kind: F.lit(None).cast(kind)
     if mode == "paginated":
-        track = video.cursor_track(frames, region)
-        pages = video.compose_pages(video.page_frames(frames, video.page_starts(track)), region)
+        starts = video.page_starts(video.cursor_track(frames, region))
+        pages = stored(video.compose_pages(video.page_frames(frames, starts), region), "pages")
         systems = video.page_systems(pages)
-        dropped = pages.groupBy("video_id").agg(F.sum(F.col("transition").cast("int")).alias("transitions"))
+        dropped = pages.groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("transition"), F.struct("start", "end")))).alias("left_out"))
         checks = dropped.select(
             "video_id", F.lit(0).alias("cuts_on_ink"), F.lit(0).cast("long").alias("discarded_ink"), none("boolean").alias("overlap_ok"), none("int").alias("max_jump"),
-            F.lit(0).cast("long").alias("unresolved"), none("int").alias("window"), "transitions",
+            F.lit(0).cast("long").alias("unresolved"), none("int").alias("window"), F.size("left_out").alias("transitions"), "left_out",
         )
     else:
         across = mode == "scroll_horizontal"
-        offsets = video.scroll_offsets(frames, region, across)
-        systems = video.scroll_systems(video.compose_scroll(frames, offsets, region, across))
+        offsets = stored(video.scroll_offsets(frames, region, across), "offsets")
+        systems = video.scroll_systems(stored(video.compose_scroll(frames, offsets, region, across), "bands"))
         seen = video.offset_check(offsets)
         checks = systems.groupBy("video_id").agg(F.max("cuts_on_ink").alias("cuts_on_ink"), F.max("discarded_ink").alias("discarded_ink")).join(seen, "video_id")
-        checks = checks.select("video_id", "cuts_on_ink", "discarded_ink", F.col("ok").alias("overlap_ok"), "max_jump", "unresolved", "window", F.lit(0).cast("long").alias("transitions"))
+        checks = checks.select("video_id", "cuts_on_ink", "discarded_ink", F.col("ok").alias("overlap_ok"), "max_jump", "unresolved", "window", F.lit(0).alias("transitions"), none("array<struct<start:int,end:int>>").alias("left_out"))
+    systems = stored(systems, "systems")
     placed = video.layout(systems)
     audit = folds.continuity(video.number_readings(systems, reader), ["video_id"], ["pos"], "number")
     weak = F.sort_array(F.collect_list(F.when(F.col("low_confidence"), F.col("pos"))))
@@ -90,8 +101,8 @@ def render(frames: DataFrame, region: video.Region, mode: str, reader=None) -> t
     report = counts.join(checks, "video_id").join(audit, "video_id")
     bad = F.coalesce(~F.col("overlap_ok"), F.lit(False)).cast("int")
     score = folds.penalty_score(F.size("issues"), F.col("low"), bad, F.col("cuts_on_ink"), F.col("discarded_ink"))
-    row = F.struct("issues", "n_read", "n", "reliable", "first", "last")
-    names = ("issues", "low", "overlap_ok", "unresolved", "max_jump", "window", "cuts_on_ink", "discarded_ink", "transitions")
+    row = F.struct("issues", "n_read", "n", "n_kept", "reliable", "first", "last")
+    names = ("issues", "low", "overlap_ok", "unresolved", "max_jump", "window", "cuts_on_ink", "discarded_ink", "transitions", "left_out")
     return placed, report.select(
         "video_id", "n_systems", "low", "low_confidence_systems", "overlap_ok", "cuts_on_ink", "discarded_ink", pl.ink_flag(F.col("discarded_ink")).alias("discarded_ink_flag"), "issues",
         folds.continuity_text(row).alias("continuity"), _notes({n: F.col(n) for n in names}).alias("notes"), score.alias("score"),
@@ -113,15 +124,18 @@ def songs_of(info: DataFrame, boundaries: DataFrame | None = None, titles: DataF
 def render_songs(frames: DataFrame, info: DataFrame, songs: DataFrame, overrides: DataFrame | None = None, reader=None) -> tuple[DataFrame, DataFrame]:
     """(placed systems, report) of every song, by song_id. ``overrides`` (video_id, x0, y0, x1, y1) replace detected regions.
 
-    A frame's number counts from 0 in its song; the three kinds of motion are three plans over the songs of that kind.
+    A frame's number counts from 0 in its song; the three kinds of motion are three plans over the songs of that kind. A frame
+    finds its songs in the list of its video's, so frames are not shuffled.
     """
     box = regions(info)
     if overrides is not None:
         box = box.join(overrides.select("video_id"), "video_id", "left_anti").unionByName(overrides.select("video_id", *video.EDGES))
-    cut = frames.join(songs.select("video_id", "song_id", "start", "end"), "video_id").filter("frame_idx BETWEEN start AND end")
-    modes = songs.join(info.select("video_id", "mode"), "video_id").join(box, "video_id").select(F.col("song_id").alias("video_id"), "mode", *video.EDGES)
-    own = cut.select(F.col("song_id").alias("video_id"), (F.col("frame_idx") - F.col("start")).cast("int").alias("frame_idx"), "height", "width", "data")
-    parts = [render(own.join(modes.filter(F.col("mode") == m).select("video_id"), "video_id", "left_semi"), modes.filter(F.col("mode") == m), m, reader) for m in ("paginated", "scroll_vertical", "scroll_horizontal")]
+    told = songs.join(info.select("video_id", "mode"), "video_id").join(box, "video_id")
+    listed = told.groupBy("video_id").agg(F.collect_list(F.struct("song_id", "start", "end", "mode", *video.EDGES)).alias("songs"))
+    at = F.col("frame_idx")
+    own = with_rows_of(frames, listed).withColumn("s", F.explode(F.filter("songs", lambda s: (s["start"] <= at) & (at <= s["end"]))))
+    own = own.select(F.col("s.song_id").alias("video_id"), (at - F.col("s.start")).cast("int").alias("frame_idx"), "height", "width", "data", "s.mode", *(f"s.{e}" for e in video.EDGES))
+    parts = [render(own.filter(F.col("mode") == m), None, m, reader) for m in ("paginated", "scroll_vertical", "scroll_horizontal")]
     out = []
     for tables in zip(*parts, strict=True):
         whole = tables[0]

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Share of the whole at which each stage begins and ends; within one it grows with what is done.
-STAGES = {"sample": (0.0, 0.5), "region": (0.5, 0.6), "advance": (0.6, 0.75), "songs": (0.75, 1.0), "compose": (0.05, 0.95), "merge": (0.97, 0.97), "done": (1.0, 1.0)}
+# Share of the whole at which each stage begins and ends; sampling and composing grow with what is done.
+STAGES = {"sampling": (0.02, 0.40), "region": (0.45, 0.45), "advance": (0.7, 0.7), "songs": (0.85, 0.85), "compose": (0.05, 0.95), "merge": (0.97, 0.97), "done": (1.0, 1.0)}
 #: Messages that wait for a subscriber before newer ones are dropped.
 WAITING = 256
 

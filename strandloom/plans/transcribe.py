@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import planes as pl
 from strandloom.functions import text as tx
 from strandloom.operators import folds, seq, video
-from strandloom.sources import pdf
+from strandloom.sources import document_sink, pdf
 from strandloom.stored import ready, stored, with_rows_of
 
 SONGS = "array<struct<index:int,start:int,end:int>>"
@@ -193,22 +189,11 @@ def song_documents(placed: DataFrame, songs: DataFrame) -> tuple[DataFrame, Data
 
 
 def write_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) rows as files below a shared folder and return their paths. A file appears whole or not at all;
-    names must be free (:func:`free_names`)."""
-
-    def run(batches):
-        for rows in batches:
-            paths = []
-            for name, content in zip(rows["name"], rows["content"], strict=True):
-                Path(folder).mkdir(parents=True, exist_ok=True)
-                handle, draft = tempfile.mkstemp(dir=folder)
-                with os.fdopen(handle, "wb") as f:
-                    f.write(content)
-                os.replace(draft, f"{folder}/{name}")
-                paths.append(f"{folder}/{name}")
-            yield pd.DataFrame({"path": paths})
-
-    return docs.select("name", "content").mapInPandas(run, "path string")
+    """Write (name, content) rows as files below a shared folder and return their paths. All files appear or none does
+    (:mod:`strandloom.sources.document_sink`); names must be free (:func:`free_names`)."""
+    docs = stored(docs, "documents")
+    document_sink.write(docs, folder)
+    return docs.select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
 
 
 _NUMBERED = r"^(.*) \((\d+)\)(\.[^.]*)?$"

@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import VIDEO_SUFFIXES, has_video_suffix
+from strandloom.sources import frame_source
+from strandloom.sources.frame_source import SCHEMA
 
 # Field names of jobs and profiles, kinds of motion, statuses and their changes, preferences.
-SCHEMA = "video_id string, frame_idx int, height int, width int, data binary"
 JOB = "id string, source string, source_kind string, title string, status string, created_at double, updated_at double, error string, analysis string, render string, overrides string, output_dir string, local_path string"
 PROFILE = "name string, video_width int, video_height int, region array<int>, mode string, created_at double"
 MODES = ("paginated", "scroll_vertical", "scroll_horizontal")
@@ -28,14 +30,21 @@ TRANSITIONS = {
 }
 
 
-def read_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frames below ``folder/<video_id>/*.png`` in path order; an unreadable image fails the query."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
-    bad = F.raise_error(F.concat(F.lit("unreadable frame "), "origin")).cast("int")
-    video = F.element_at(F.split("origin", "/"), -2)
-    frames = image.select(video.alias("video_id"), "origin", F.when(F.col("mode") == -1, bad).otherwise(F.col("height")).alias("height"), "width", "data")
-    order = Window.partitionBy("video_id").orderBy("origin")
-    return frames.select("video_id", (F.row_number().over(order) - 1).cast("int").alias("frame_idx"), "height", "width", "data")
+def read_frames(spark: SparkSession, folder: str, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Frames below ``folder/<video_id>/*.png`` in path order; an unreadable image fails the query.
+
+    Numbers come from file names while the scan is planned: no row is shuffled. ``columns`` leaves out what is not needed
+    (without ``data`` no image is decoded); ``options`` are those of :mod:`strandloom.sources.frame_source`.
+    """
+    frame_source.register(spark)
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns or kinds)
+    return spark.read.format(frame_source.FORMAT).schema(schema).options(**options).load(folder)
+
+
+def read_frame(spark: SparkSession, folder: str, video: str, index: int) -> DataFrame:
+    """One frame of one video, its index forced into range; one file is read."""
+    return read_frames(spark, folder, video=video, frame=index)
 
 
 def write_png(path: Path, bgr: np.ndarray) -> None:
@@ -67,8 +76,10 @@ def with_existence(sources: DataFrame, path: str = "path", name: str = "exists")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a JSON list in file order; malformed content raises, a missing file is an empty list."""
-    if not Path(path).exists():
+    """Profiles of a JSON list in file order, from any store that Spark reads; malformed content raises, a missing file is an empty list."""
+    from strandloom.sources import store
+
+    if not store.exists(spark, path):
         return spark.createDataFrame([], f"{PROFILE}, position long")
     texts = spark.read.text(path, wholetext=True)
     listed = F.from_json("value", f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in PROFILE.split(', '))}>>", {"mode": "FAILFAST"})
@@ -76,11 +87,13 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
-    """Store a profile list in its order as one JSON list; the file is replaced as a whole. Profiles are few: one writer."""
+    """Store a profile list in its order as one JSON list; the file is replaced as a whole. For several writers: :class:`strandloom.sources.store.Profiles`."""
+    from strandloom.sources import store
+
     fields = [c for c in profiles.columns if c != "position"]
     one = profiles.groupBy().agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("p")))).alias("l"))
     text = one.select(F.to_json(F.transform("l", lambda x: x["p"]))).first()[0]
-    _replace_file(path, text or "[]")
+    store.write_text(profiles.sparkSession, path, text or "[]", replace=True)
 
 
 def save_profile(spark: SparkSession, path: str, profile: DataFrame) -> None:
@@ -181,6 +194,6 @@ def update_jobs(jobs: DataFrame, changes: DataFrame, now: float) -> DataFrame:
 
 
 __all__ = [
-    "VIDEO_SUFFIXES", "admitted", "create_jobs", "decoded", "delete_jobs", "encode_json", "import_profiles", "job", "preferences", "read_frames", "read_preferences", "read_profiles",
+    "SCHEMA", "VIDEO_SUFFIXES", "admitted", "create_jobs", "decoded", "delete_jobs", "encode_json", "import_profiles", "job", "preferences", "read_frame", "read_frames", "read_preferences", "read_profiles",
     "save_preferences", "save_profile", "update_jobs", "valid_profile", "with_existence", "write_png", "write_profiles",
 ]

@@ -150,7 +150,8 @@ def windows(told: DataFrame, window: int) -> DataFrame:
 def repeated(once: DataFrame, window: int) -> DataFrame:
     """Key and starts (array): the windows of each text that occur in a document of smaller place. ``once`` holds each text in its row of least place."""
     parsed = materialise(parse(once, window), "stretches")
-    several = parsed.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("anchor")
+    # stored, so that the join below may split a frequent anchor's rows
+    several = materialise(parsed.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("anchor"), "shared-anchors")
     hits = materialise(parsed.join(several, "anchor"), "shared-stretches")
     distinct = hits.groupBy("anchor", "stretch").agg(F.min(F.struct("place", *_KEY, "lo", "hi")).alias("first"))
     units = distinct.groupBy(F.col("first.r1").alias("u1"), F.col("first.r2").alias("u2")).agg(
@@ -164,7 +165,7 @@ def repeated(once: DataFrame, window: int) -> DataFrame:
     gone = F.transform(F.filter("keepers", lambda x: x["keeper"] < F.col("place")), lambda x: F.col("lo") + x["at"])
     marks = hits.join(keepers, ["anchor", "stretch"]).select(*_KEY, gone.alias("gone")).filter(F.size("gone") > 0)
     starts = materialise(marks.groupBy(F.col("r1").alias("s1"), F.col("r2").alias("s2")).agg(F.flatten(F.collect_list("gone")).alias("starts")), "starts")
-    discard(parsed, hits, counted, keepers)
+    discard(parsed, several, hits, counted, keepers)
     return starts
 
 

@@ -16,7 +16,7 @@ keep sharing it.
 
 Collision checks run over all distinct entities: a surrogate that equals another one, or an entity
 that really occurs, is drawn again until every entity has one of its own; formats with little room
-grow with the attempts. Of entities that want one surrogate the least canonical form keeps it. Only
+grow with the attempts, numbers last and by as few digits as needed. Of entities that want one surrogate the least canonical form keeps it. Only
 entities that were drawn again travel back to documents, by a join; all others are computed in place.
 
 Defined results: a null text stays null; a text without entities stays as it is; repeated rows get
@@ -27,6 +27,8 @@ postal addresses, national phone numbers in groups other than 3-3-4.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,11 @@ KEY = "strandloom demonstration key"
 KEY_SETTING = "spark.strandloom.pii.key"
 #: Redrawn entities up to this number are sent to all executors, more are joined by shuffle.
 SENT = 2_000
-ATTEMPTS = 60
-#: Attempts after which a format with little room grows.
+#: Attempts after which parts of addresses and names grow.
 ROOMY = 3
+#: Attempts after which a number grows: by one digit, and by one more every ``STEP`` attempts. A format can hold fewer numbers
+#: than a corpus has of it, so some of them must leave it to stay distinct.
+FULL, STEP = 8, 3
 
 #: Forms of address by gender.
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
@@ -68,7 +72,8 @@ PHONE = (
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
 _CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?![\p{L}\d])"
 _PARTICLES = r"(?:(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|das|do|du|la|le|las|los|bin|ibn|ter|ten) |d['’]){0,3}"
-NAME = rf"{_INITIAL}(?<!\p{{L}}){_ADDRESS} {_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
+_LETTERS = r"(?:\p{Lu}\.[ -]?){0,3}"
+NAME = rf"{_INITIAL}(?<!\p{{L}}){_ADDRESS} {_LETTERS}{_PARTICLES}(?:{_WORD}(?:(?:-| {_PARTICLES}){_WORD}){{0,2}}|{_CAPITALS}(?:[ -]{_CAPITALS}){{0,2}})"
 #: What to look for in a text that has an at sign, in one with colons as of version 6, and in one with a digit.
 MAIL, NUMBERS = f"{LOCAL}|{DOMAIN}", f"(?=[0-9A-Z(+])(?:{'|'.join((IP, IBAN, SSN, CARD, PHONE))})"
 COLONS = rf"::|(?:{_HEX}:){{7}}"
@@ -164,6 +169,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
 
     more = lambda h, after: F.when(attempt > after, F.substring(h, 1, 2)).otherwise("")
 
+    def extra(h: Column) -> Column:
+        """Digits that a full format lacks."""
+        n = F.floor((attempt - FULL) / STEP).cast("int") + 1
+        return F.when(attempt >= FULL, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _number(h, i * 5 + 2, 10).cast("string")), "")).otherwise("")
+
     def domain(h: Column) -> Column:
         end = F.substring_index(canon, ".", -1)
         host = F.substring(canon, F.lit(1), size - F.length(end) - 1)
@@ -172,16 +182,18 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     def digits(h: Column, kept: Column, lead: Column) -> Column:
         """Digits after the first ``kept`` are drawn; the one after them is ``lead`` or more."""
         one = lambda c, i: F.when((i < kept) | (c == "+"), c).when(i == kept, (lead + _number(h, i, 10) % (10 - lead)).cast("string")).otherwise(_number(h, i, 10).cast("string"))
-        return F.array_join(F.transform(_chars(canon), one), "")
+        return F.concat(F.array_join(F.transform(_chars(canon), one), ""), extra(h))
 
     def card(h: Column) -> Column:
         drawn = digits(h, F.lit(1), F.lit(0))
-        body = F.substring(drawn, F.lit(1), size - 1)
+        body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
         valid = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), _luhn), F.lit(0))
         return F.when(_luhn(canon), valid).otherwise(drawn)
 
     def ip(h: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i, 254) + 1).cast("string")), ".")
+        # numbers above 255 are in no real address
+        one = lambda i: F.when(attempt >= FULL, _number(h, i, 744) + 256).otherwise(_number(h, i, 254) + 1).cast("string")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), one), ".")
 
     def ip6(h: Column) -> Column:
         hexes = F.lit("0123456789abcdef")
@@ -206,7 +218,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             .when(kind == "domain", domain(h))
             .when(kind == "ip", ip(h))
             .when(kind == "ip6", ip6(h))
-            .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _scramble(F.substring(canon, F.lit(3), size), h)))
+            .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _scramble(F.substring(canon, F.lit(3), size), h), extra(h)))
             .when(kind == "ssn", digits(h, F.lit(0), F.lit(1)))
             .when(kind == "card", card(h))
             .when(kind == "phone", digits(h, F.greatest(F.when(canon.rlike(r"^\+[2-9]"), 3).otherwise(0), size - 10), F.lit(2)))
@@ -227,7 +239,7 @@ def written(kind: Column, entity: Column, made: Column) -> Column:
         .when(kind == "ip6", F.when(entity == F.upper(entity), F.upper(made)).otherwise(made))
         .when(kind.isin(*NAMES), F.when(entity == F.upper(entity), made).otherwise(F.initcap(made)))
         .when(kind.isin("ip", "iban"), made)
-        .otherwise(filled)
+        .otherwise(F.concat(filled, F.substring(figures, nth(F.length(entity)) + 1, F.length(figures))))
     )
 
 
@@ -268,7 +280,7 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
     entities = materialise(entities, "entities")
     real = entities.select("kind", F.col("canon").alias("made"))
     waiting, settled, again = entities, None, None
-    for attempt in range(ATTEMPTS):
+    for attempt in itertools.count():
         drawn = waiting.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key).alias("made"))
         free = drawn.join(real, ["kind", "made"], "left_anti")
         if settled is not None:
@@ -281,8 +293,6 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
         waiting = materialise(waiting.join(first, ["kind", "canon"], "left_anti"), "waiting")
         if waiting.isEmpty():
             break
-    else:
-        raise RuntimeError("a type of entity has more members than surrogates of its format")
     return (again if again is not None else settled.limit(0)).select("kind", "canon", "attempt")
 
 

@@ -40,31 +40,31 @@ def _groups(r: random.Random) -> str:
     return "-".join([*(_of(r, LOWER, 2, 6) for _ in range(r.randint(0, 1))), *parts, _of(r, letters, 8, 32)])
 
 
-#: Values that are secret by themselves.
+#: Families of values that are secret by themselves; a family that stands twice is drawn twice as often.
 BARE = (
-    lambda r: _of(r, LOWER + UPPER + DIGITS, 20, 64),
-    lambda r: _of(r, LOWER + UPPER + DIGITS + "+/", 24, 88) + "=" * r.randint(0, 2),
-    lambda r: _of(r, LOWER + UPPER + DIGITS + "_-", 24, 64),
-    lambda r: _of(r, UPPER[:6] + DIGITS, 24, 64),
-    lambda r: _of(r, LOWER + DIGITS, 24, 48),
-    lambda r: _of(r, UPPER + DIGITS, 20, 40),
-    _prefixed,
-    _prefixed,
-    lambda r: ".".join(_of(r, LOWER + UPPER + DIGITS + "_-", 10, 60) for _ in range(3)),
-    _groups,
-    _groups,
-    lambda r: f"{r.choice(('postgres', 'mysql', 'amqp', 'https'))}://{_syllables(r, 1, 3)}:{_of(r, LOWER + UPPER + DIGITS, 8, 20)}@{_syllables(r, 2, 3)}.{r.choice(('com', 'net', 'local'))}",
-    lambda r: "\n".join(_of(r, LOWER + UPPER + DIGITS + "+/", 48, 64) for _ in range(r.randint(2, 10))),
+    ("mixed", lambda r: _of(r, LOWER + UPPER + DIGITS, 20, 64)),
+    ("base64", lambda r: _of(r, LOWER + UPPER + DIGITS + "+/", 24, 88) + "=" * r.randint(0, 2)),
+    ("url_safe", lambda r: _of(r, LOWER + UPPER + DIGITS + "_-", 24, 64)),
+    ("hex_capitals", lambda r: _of(r, UPPER[:6] + DIGITS, 24, 64)),
+    ("small_digits", lambda r: _of(r, LOWER + DIGITS, 24, 48)),
+    ("capitals_digits", lambda r: _of(r, UPPER + DIGITS, 20, 40)),
+    ("prefixed", _prefixed),
+    ("prefixed", _prefixed),
+    ("dotted", lambda r: ".".join(_of(r, LOWER + UPPER + DIGITS + "_-", 10, 60) for _ in range(3))),
+    ("groups", _groups),
+    ("groups", _groups),
+    ("address", lambda r: f"{r.choice(('postgres', 'mysql', 'amqp', 'https'))}://{_syllables(r, 1, 3)}:{_of(r, LOWER + UPPER + DIGITS, 8, 20)}@{_syllables(r, 2, 3)}.{r.choice(('com', 'net', 'local'))}"),
+    ("lines", lambda r: "\n".join(_of(r, LOWER + UPPER + DIGITS + "+/", 48, 64) for _ in range(r.randint(2, 10)))),
 )
-#: Values that only a cue makes secret.
+#: Families of values that only a cue makes secret.
 CUED = (
-    lambda r: _of(r, LOWER + UPPER + DIGITS + "!#$%&*@^+?", 8, 24),
-    lambda r: _of(r, LOWER, 12, 24),
-    lambda r: _of(r, UPPER, 12, 24),
-    lambda r: _syllables(r, 5, 9),
-    lambda r: _of(r, LOWER + UPPER, 10, 24),
-    lambda r: _of(r, LOWER + DIGITS, 8, 20),
-    lambda r: _syllables(r, 2, 4) + _of(r, DIGITS, 2, 4) + r.choice(("", "!", "#")),
+    ("signs", lambda r: _of(r, LOWER + UPPER + DIGITS + "!#$%&*@^+?", 8, 24)),
+    ("small", lambda r: _of(r, LOWER, 12, 24)),
+    ("capitals", lambda r: _of(r, UPPER, 12, 24)),
+    ("syllables", lambda r: _syllables(r, 5, 9)),
+    ("letters", lambda r: _of(r, LOWER + UPPER, 10, 24)),
+    ("short_digits", lambda r: _of(r, LOWER + DIGITS, 8, 20)),
+    ("syllables_digits", lambda r: _syllables(r, 2, 4) + _of(r, DIGITS, 2, 4) + r.choice(("", "!", "#"))),
 )
 #: Look-alikes.
 PLAIN = (
@@ -96,13 +96,13 @@ PLAIN = (
 )
 
 
-def draw(r: random.Random) -> tuple[str, int, int]:
-    """A form and the part of it that is secret (empty for a look-alike)."""
+def draw(r: random.Random, without: frozenset[str] = frozenset()) -> tuple[str, int, int]:
+    """A form and the part of it that is secret (empty for a look-alike); no value is of a family in ``without``."""
     if r.random() < 0.5:
         form = r.choice(PLAIN)(r)
         return form, 0, 0
     cued = r.random() < 0.5
-    value = r.choice(CUED if cued else BARE)(r)
+    value = r.choice([f for name, f in (CUED if cued else BARE) if name not in without])(r)
     lead, tail = "", r.choice(("", "", "", ",", ".", ";"))
     if cued or r.random() < 0.5:
         separator = r.choice(SEPARATORS)
@@ -113,7 +113,7 @@ def draw(r: random.Random) -> tuple[str, int, int]:
     return lead + value + tail, len(lead), len(lead) + len(value)
 
 
-def sprinkle(text: str, r: random.Random) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+def sprinkle(text: str, r: random.Random, without: frozenset[str] = frozenset()) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
     """The text with drawn forms between its words; the byte spans of the secrets, and of all forms."""
     raw = text.encode()
     gaps = [m.start() for m in _SPACE.finditer(raw)]
@@ -124,7 +124,7 @@ def sprinkle(text: str, r: random.Random) -> tuple[str, list[tuple[int, int]], l
     for place in places:
         out += raw[at:place] + b" "
         at = place
-        form, a, b = draw(r)
+        form, a, b = draw(r, without)
         if b:
             secret.append((len(out) + a, len(out) + b))
         all_forms.append((len(out), len(out) + len(form)))

@@ -306,12 +306,12 @@ def _labels(tokens: Tokens, bounds: np.ndarray, spans: list[list[tuple[int, int]
     return label
 
 
-def _lessons(texts: list[str], draws: list[int]):
+def _lessons(texts: list[str], draws: list[int], without: frozenset[str] = frozenset()):
     """(draw, piece, codes, labels, plain) of the pieces of each text as it is, and of those that hold drawn forms."""
     natural = [_byte_spans(t, t.encode(), base_spans(t)) for t in texts]
     ways = [(texts, natural, None)]
     for way in range(1, WAYS):
-        mixed = [secret_forms.sprinkle(t, random.Random(d * WAYS + way)) for t, d in zip(texts, draws, strict=True)]
+        mixed = [secret_forms.sprinkle(t, random.Random(d * WAYS + way), without) for t, d in zip(texts, draws, strict=True)]
         ways.append(([m[0] for m in mixed], [_byte_spans(t, t.encode(), base_spans(t)) + spans for t, spans, _ in mixed], [m[2] for m in mixed]))
     for kind, (shown, spans, forms) in enumerate(ways):
         for start, end, _, bounds, tokens, codes in _rows(pa.array(shown, pa.string())):
@@ -328,20 +328,26 @@ def _lessons(texts: list[str], draws: list[int]):
                     yield draws[start + tokens.row[a]], WAYS * k + kind, codes[a:b].astype(np.int16).tobytes(), label[a:b].astype(np.int8).tobytes(), plain
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
-    """A field fitted to a bounded sample; None if the sample has no words."""
+def train(docs: DataFrame, most: int = TRAIN_DOCS, without: frozenset[str] = frozenset()) -> Field | None:
+    """A field fitted to a sample of at most ``most`` unlike rows; None if the sample has no words.
+
+    Rows are drawn by a hash of id and text. Where ids are null or repeat, rows that are equal count as one, so the bound holds
+    for any table; the threshold is the ``most``-th draw, found from numbers alone. Families of drawn forms in ``without``
+    (:mod:`strandloom.llm.secret_forms`) are held out, to measure what the field makes of forms that it has not met.
+    """
     total = docs.count()
-    share = min(1 << 30, (1 << 30) * most // max(total, 1) + 1)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(1 << 62, (1 << 62) * 2 * most // max(total, 1) + 1)
+    drawn = docs.select("text", F.shiftright(F.xxhash64("doc_id", "text"), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("draw")).filter(F.col("draw") < share)
+    last = drawn.select("draw").distinct().orderBy("draw").limit(most).agg(F.max("draw")).first()[0]
+    sample = drawn.filter(F.col("draw") <= (-1 if last is None else last)).groupBy("draw").agg(F.first("text").alias("text")).select("text", "draw")
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
 
     def run(batches):
         for batch in batches:
-            rows = list(_lessons([t or "" for t in batch.column("text").to_pylist()], batch.column("draw").to_pylist()))
+            rows = list(_lessons([t or "" for t in batch.column("text").to_pylist()], batch.column("draw").to_pylist(), without))
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["draw", "k", "codes", "labels", "plain"])
 
-    sample = docs.select("text", draw.alias("draw")).filter(F.col("draw") < share)
     runs = sample.mapInArrow(run, T.StructType.fromDDL("draw bigint, k bigint, codes binary, labels binary, plain boolean"))
     got = runs.orderBy("draw", "k", "codes").limit(TRAIN_RUNS).collect()
     codes = [np.frombuffer(x["codes"], np.int16).reshape(-1, len(SIZES)) for x in got]

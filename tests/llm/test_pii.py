@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, made string"
@@ -138,3 +140,43 @@ def test_planted_entities_against_brute_force(spark):
             assert table.setdefault(entity, made) == made and of.setdefault(made, entity) == entity
             assert made not in planted[kind] and len(made) == len(entity) or kind == "ip"
     assert len(table) > 300
+
+
+def test_a_full_format_grows_instead_of_failing(spark):
+    """Of 80 numbers that a format has room for, 60 are real: 60 surrogates that are none of them need more digits."""
+    texts = [f"call +4420794609{i:02d} or {i}" for i in range(60)] + [f"ssn {100 + i}-00-0001 card 4000 0000 0000 {i:04d} from 10.0.0.{i}" for i in range(60)]
+    docs = make(spark, texts)
+    entities = pii.detect(docs).select(F.explode("__p_found").alias("e")).select("e.kind", "e.canon").distinct()
+    full = entities.select("*", *(pii.surrogate(F.col("kind"), F.col("canon"), F.lit(a)).alias(f"a{a}") for a in (0, pii.FULL, pii.FULL + 3 * pii.STEP)))
+    for r in full.collect():
+        size = lambda x: len(re.sub(r"\D", "", x))
+        if r.kind == "ip":
+            assert all(256 <= int(o) <= 999 for o in r[f"a{pii.FULL}"].split("."))
+        else:
+            assert (size(r[f"a{pii.FULL}"]), size(r[f"a{pii.FULL + 3 * pii.STEP}"])) == (size(r.a0) + 1, size(r.a0) + 4)
+    shown = spark.createDataFrame([("phone", "+44 20-7946 0958", "+4455566677778")], "kind string, entity string, made string")
+    assert shown.select(pii.written(F.col("kind"), F.col("entity"), F.col("made"))).first()[0] == "+44 55-5666 77778"
+    new = [x.text for x in pii.pseudonymise(docs).collect()]
+    made = [re.search(r"\+\d+", t)[0] for t in new if t.startswith("call")]
+    assert len(set(made)) == 60
+
+
+def test_more_numbers_than_their_format_has(spark, monkeypatch):
+    drawn = pii.surrogate
+
+    def narrow(kind, canon, attempt, key=pii.KEY):
+        """A format with room for ten numbers, until numbers grow."""
+        return F.when(attempt < pii.FULL, F.concat(F.lit("+44207946000"), F.pmod(F.xxhash64(canon, attempt), F.lit(10)).cast("string"))).otherwise(drawn(kind, canon, attempt, key))
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    texts = [f"call +44207946{i:04d}" for i in range(100, 140)]
+    new = [x.text for x in pii.pseudonymise(make(spark, texts)).collect()]
+    assert len(set(new)) == 40 and not set(new) & set(texts)
+
+
+def test_initials_belong_to_a_name(spark):
+    texts = ["Mr. J. Smith and Smith", "Mrs J.R. Dupont left", "Herr K. von Berg kam"]
+    new = [x.text for x in pii.pseudonymise(make(spark, texts)).orderBy("doc_id").collect()]
+    assert not any(w in t for t, w in zip(new, ("Smith", "Dupont", "Berg")))
+    a, b = re.fullmatch(r"Mr\. J\. (\w+) and (\w+)", new[0]).groups()
+    assert a == b

@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from strandloom.llm import secret_forms
 from strandloom.llm import secret_scan as ss
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string"
@@ -169,6 +171,47 @@ def test_unseen_kinds_are_found_and_clean_texts_left_alone(spark):
     assert sum(bool(got[i]) for i in range(400)) <= 8
 
 
+#: Measured on 100 values each: recall 1.0, 1.0, 0.61, 0.41 and precision 1.0, 1.0, 1.0, 0.65; the floors lie below.
+@pytest.mark.parametrize("family, recall, precision", [("prefixed", 0.9, 0.9), ("dotted", 0.9, 0.9), ("groups", 0.5, 0.9), ("syllables_digits", 0.3, 0.5)])
+def test_families_that_are_held_out_of_training(spark, family, recall, precision):
+    """Recall and precision on drawn values of a family that the field has not met, in texts that it has not seen. Pass words of
+    syllables and digits look like plain words with a number; a field that never met them finds under half."""
+    r = random.Random(family)
+    learn = [prose(r) for _ in range(260)] + [f"{prose(r)} token = \"{r.randbytes(20).hex()}\" {prose(r)}" for _ in range(40)]
+    field = ss.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"), without=frozenset({family}))
+    families = dict(secret_forms.BARE) | dict(secret_forms.CUED)
+    cue = "pwd: " if family in dict(secret_forms.CUED) else ""
+    texts, truth = [], {}
+    for i in range(200):
+        before, value = prose(r), families[family](r)
+        texts.append(f"{before} {cue}{value} {prose(r)}" if i % 2 else f"{before} {r.choice(secret_forms.PLAIN)(r)} {prose(r)}")
+        if i % 2:
+            truth[i] = (len(before) + 1 + len(cue), len(before) + 1 + len(cue) + len(value))
+    got = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("crf")] for x in ss.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()}
+    hits = sum(truth[i] in got[i] for i in truth)
+    spans = sum(map(len, got.values()))
+    print(family, "recall", hits / len(truth), "precision", hits / max(spans, 1))
+    assert hits >= recall * len(truth) and hits >= precision * spans
+
+
+def test_the_sample_is_bounded_for_any_ids(spark):
+    seen = spark.sparkContext.accumulator(0)
+    whole = ss._lessons
+
+    def counted(texts, draws, without=frozenset()):
+        seen.add(len(texts))
+        return whole(texts, draws, without)
+
+    rows = [(None, f"row {i} password = abcdefghijkl{i}x") for i in range(900)] + [(7, f"other {i} of one id") for i in range(300)] + [(None, "one text")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ss._lessons = counted
+    try:
+        assert ss.train(docs, 50) is not None
+    finally:
+        ss._lessons = whole
+    assert 0 < seen.value <= 50
+
+
 def test_added_spans_of_long_and_non_ascii_texts(spark):
     r = random.Random(3)
     secrets = [planted("forge", r)[1] for _ in range(300)]

@@ -121,20 +121,27 @@ def strip_half(length: int) -> int:
 
 
 def strip_match(before: np.ndarray, after: np.ndarray) -> tuple[int, float]:
-    """Rows by which the bottom strip of ``before`` moved up in ``after``, and the normalised correlation."""
+    """Rows by which the bottom strip of ``before`` moved up in ``after``, and the normalised correlation.
+
+    The products of the strip with all windows come from one transform along the rows; they are whole numbers, so rounding
+    makes them exact. Sums and squares of windows come from running sums.
+    """
     size = min(2 * strip_half(before.shape[0]), before.shape[0])
-    base = before.shape[0] - size
-    strip = before[base:].astype(np.float64)
-    strip -= strip.mean()
-    best, score = 0, -1.0
-    for y in range(base + 1):
-        window = after[y : y + size].astype(np.float64)
-        window = window - window.mean()
-        scale = np.sqrt((strip**2).sum() * (window**2).sum())
-        r = float((strip * window).sum() / scale) if scale > 0 else 0.0
-        if r > score:
-            best, score = y, r
-    return base - best, score
+    base, n = before.shape[0] - size, size * before.shape[1]
+    strip, whole = before[base:].astype(np.int64), after[: before.shape[0]].astype(np.int64)
+    length = 1 << (len(whole) + size - 1).bit_length()
+    spectrum = (np.fft.rfft(strip, length, axis=0).conj() * np.fft.rfft(whole, length, axis=0)).sum(axis=1)
+    products = np.rint(np.fft.irfft(spectrum, length)[: base + 1]).astype(np.int64)
+    running = lambda rows: np.concatenate(([0], np.cumsum(rows)))
+    sums, squares = running(whole.sum(axis=1)), running((whole**2).sum(axis=1))
+    at = np.arange(base + 1)
+    total = sums[at + size] - sums[at]
+    spread = n * (squares[at + size] - squares[at]) - total**2
+    own = int(n * (strip**2).sum() - strip.sum() ** 2)
+    scale = np.sqrt(float(own)) * np.sqrt(spread.astype(np.float64))
+    score = np.where(scale > 0, (n * products - strip.sum() * total) / np.maximum(scale, 1e-300), 0.0)
+    best = int(np.argmax(score))
+    return base - best, float(score[best])
 
 
 def signature(bgr: np.ndarray, region: tuple[int, int, int, int] | None, size: tuple[int, int] = (36, 64)) -> np.ndarray:

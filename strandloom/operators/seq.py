@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.stored import stored, with_rows_of
+
 Names = Sequence[str]
 
 
@@ -137,10 +139,11 @@ def modal_value(df: DataFrame, key: Names, order: Names, value: str) -> DataFram
 
 
 def anomalies(df: DataFrame, key: Names, value: str, sigmas: float = 3.0, least: float = 25.0) -> DataFrame:
-    """Rows above median + max(sigmas * population deviation, least) of their sequence."""
-    whole = Window.partitionBy(*key)
-    limit = F.median(value).over(whole) + F.greatest(F.lit(sigmas) * (F.stddev_pop(value).over(whole) + 1e-6), F.lit(least))
-    return df.withColumn("anomalous", F.col(value) > limit)
+    """Rows above median + max(sigmas * population deviation, least) of their sequence; the limits are joined."""
+    limit = F.col("__median") + F.greatest(F.lit(sigmas) * (F.col("__spread") + 1e-6), F.lit(least))
+    spread = df.groupBy(*key).agg(F.stddev_pop(value).alias("__spread"))
+    limits = exact_median(df, key, value, "__median").join(spread, list(key)).select(*key, limit.alias("__limit"))
+    return with_rows_of(df, limits, list(key), "left").withColumn("anomalous", F.col(value) > F.col("__limit")).drop("__limit")
 
 
 def argmax_first(df: DataFrame, key: Names, position: str, value: str) -> DataFrame:
@@ -160,11 +163,38 @@ def composite_level(value: str, few: Column) -> Column:
     return F.floor(F.when(F.max(few), F.max(value)).otherwise(F.median(value))).cast("double")
 
 
+#: Rank error of the sketch that brackets a median is 1 / ACCURACY of the rows.
+ACCURACY = 5000
+
+
+def exact_median(df: DataFrame, key: Names, value: str, name: str = "median") -> DataFrame:
+    """(key, median) of few keys with any number of rows: no task holds the rows of a key.
+
+    A mergeable sketch gives two values between which the middle ranks must lie. Rows below are counted, values between are
+    counted by value, and only these, a thousandth of a key's distinct values, are ranked. All three steps combine on the
+    map side. Null values are left out; a key with nothing else has a null median.
+    """
+    near = [0.5 - 2.0 / ACCURACY, 0.5 + 2.0 / ACCURACY]
+    ends = df.groupBy(*key).agg(F.percentile_approx(value, F.array(*map(F.lit, near)), F.lit(ACCURACY)).alias("__ends"), F.count(value).alias("__n"))
+    ends = stored(ends.select(*key, F.get("__ends", F.lit(0)).alias("__low"), F.get("__ends", F.lit(1)).alias("__high"), "__n"), "brackets")
+    rows = with_rows_of(df.select(*key, value), ends, list(key))
+    below = F.col(value) < F.col("__low")
+    place = F.when(below, F.lit(None)).otherwise(F.col(value))
+    counted = rows.filter(F.col(value) <= F.col("__high")).groupBy(*key, "__n", place.alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*key).orderBy(F.col("__v").asc_nulls_first())
+    ranked = counted.withColumn("__end", F.sum("__c").over(w))
+    holds = lambda rank: F.max(F.when((F.col("__end") - F.col("__c") <= rank) & (rank < F.col("__end")), F.col("__v")))
+    middle = ranked.groupBy(*key).agg(holds(F.expr("(__n - 1) div 2")).alias("__a"), holds(F.expr("__n div 2")).alias("__b"))
+    lost = F.raise_error(F.lit("a middle rank lies outside its bracket")).cast("double")
+    told = middle.select(*key, F.when(F.col("__a").isNull() | F.col("__b").isNull(), lost).otherwise((F.col("__a") + F.col("__b")) / 2).alias(name))
+    return ends.select(*key).join(told, list(key), "left")
+
+
 def mad_z(df: DataFrame, key: Names, value: str, name: str = "z") -> DataFrame:
-    """Absolute robust z-score: |v - median| / (1.4826 * (MAD + 1e-6))."""
-    whole = Window.partitionBy(*key)
-    off = df.withColumn("__off", F.abs(F.col(value) - F.median(value).over(whole)))
-    return off.withColumn(name, F.col("__off") / (1.4826 * (F.median("__off").over(whole) + 1e-6))).drop("__off")
+    """Absolute robust z-score: |v - median| / (1.4826 * (MAD + 1e-6)); medians are joined, rows of a key stay spread."""
+    off = with_rows_of(df, exact_median(df, key, value, "__median"), list(key), "left").withColumn("__off", F.abs(F.col(value) - F.col("__median"))).drop("__median")
+    told = with_rows_of(off, exact_median(off, key, "__off", "__mad"), list(key), "left")
+    return told.withColumn(name, F.col("__off") / (1.4826 * (F.col("__mad") + 1e-6))).drop("__off", "__mad")
 
 
 def outlier_events(df: DataFrame, key: Names, position: str, z: str, limit: float, max_gap: int) -> DataFrame:
@@ -241,13 +271,14 @@ def otsu(df: DataFrame, key: Names, value: str) -> DataFrame:
 def band_cover(frames: DataFrame, bands: DataFrame, length: int, band: int, least: int = 3) -> DataFrame:
     """Frames (f, off) that contribute to bands (b, y0, y1): those that contain it, or where fewer than ``least`` do, that touch it.
 
-    The interval join becomes an equi-join: a frame is exploded to the fixed-height bands it touches.
+    The interval join becomes an equi-join: a frame is exploded to the fixed-height bands it touches. Containing frames are
+    counted on the map side; the counts, one row a band, are joined, so that no task holds a band.
     """
     touched = F.sequence(F.expr(f"off div {band}"), F.expr(f"(off + {length} - 1) div {band}"))
-    pairs = frames.select("f", "off", F.explode(touched).alias("b")).join(bands, "b")
+    pairs = with_rows_of(frames.select("f", "off", F.explode(touched).alias("b")), bands, "b")
     pairs = pairs.filter(f"off < y1 AND off + {length} > y0").withColumn("inside", F.expr(f"off <= y0 AND off + {length} >= y1"))
-    whole = F.sum(F.col("inside").cast("int")).over(Window.partitionBy("b"))
-    return pairs.withColumn("n_inside", whole).filter((F.col("n_inside") < least) | F.col("inside")).withColumn("fallback", F.col("n_inside") < least)
+    whole = pairs.groupBy("b").agg(F.sum(F.col("inside").cast("int")).alias("n_inside"))
+    return with_rows_of(pairs, whole, "b").filter((F.col("n_inside") < least) | F.col("inside")).withColumn("fallback", F.col("n_inside") < least)
 
 
 def pack(df: DataFrame, key: Names, order: Names, height: str, capacity: int, gap: int) -> DataFrame:

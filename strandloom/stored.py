@@ -53,7 +53,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def with_rows_of(frames: DataFrame, table: DataFrame, key: str = "video_id", how: str = "inner") -> DataFrame:
+def with_rows_of(frames: DataFrame, table: DataFrame, key: str | list[str] = "video_id", how: str = "inner") -> DataFrame:
     """Frames with the columns of a table of few rows a key. The table is stored first; its size decides whether it is
     broadcast, so that images stay where they are read."""
     table = stored(table, "by-key")

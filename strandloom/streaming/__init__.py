@@ -1 +1 @@
-"""Stateful streams: the ordered operators over rows that arrive in order for each key."""
+"""Stateful streams: ordered operators over rows in order (``wraps``) and out of order within a bound (``ordered``), and progress."""

@@ -1,5 +1,7 @@
 import math
 import os
+import random
+import statistics
 
 import duckdb
 import pandas as pd
@@ -63,3 +65,25 @@ def test_every_line_counts_and_every_customer_is_kept(spark, duck):
     kept = catalogue.QUERIES["history_upsert_all"](spark, DATA).toPandas()
     assert sorted(kept.c_custkey) == [k for k, in duck.sql("SELECT c_custkey FROM customer ORDER BY 1").fetchall()]
     assert kept.late.any() and not kept.late.all()
+
+
+def test_medians_of_few_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import seq
+
+    r = random.Random(3)
+    sets = {"one": [5.0], "two": [1.0, 4.0], "ties": [7.0] * 501 + [8.0] * 499, "even": [float(i) for i in range(1000)], "odd": [r.gauss(0, 1e6) for _ in range(9999)], "far": [r.random() ** 40 * 1e12 for _ in range(8000)], "none": [None, None], "some": [None, 3.0, None, 9.0, 4.0]}
+    rows = [(k, v) for k, vs in sets.items() for v in vs]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    want = {k: statistics.median([v for v in vs if v is not None]) if any(v is not None for v in vs) else None for k, vs in sets.items()}
+    for accuracy in (5000, 100):
+        monkeypatch.setattr(seq, "ACCURACY", accuracy)
+        assert {x.k: x["median"] for x in seq.exact_median(df, ["k"], "v").collect()} == want
+    z = {(x.k, x.v): x.z for x in seq.mad_z(df, ["k"], "v").collect()}
+    odd = [abs(v - want["odd"]) for v in sets["odd"]]
+    assert abs(z["odd", sets["odd"][7]] - odd[7] / (1.4826 * (statistics.median(odd) + 1e-6))) < 1e-9 and len(z) == len(set(rows))
+    plan = seq.mad_z(df, ["k"], "v")._jdf.queryExecution().toString()
+    assert "Window" not in plan.split("== Physical Plan ==")[1]  # rows of a key are never brought together
+    assert seq.mad_z(df.filter(F.lit(False)), ["k"], "v").count() == 0

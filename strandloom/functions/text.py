@@ -59,14 +59,15 @@ def digits_to_int(text: Column) -> Column:
 
 
 def checksum_of(listing: Column, name: Column) -> Column:
-    """The hash before two spaces and a name in a checksum listing, in lower case."""
-    line = F.get(F.filter(F.split(listing, "\n"), lambda s: F.get(F.split(s, "  "), F.lit(1)) == name), F.lit(0))
-    return F.lower(F.get(F.split(line, "  "), F.lit(0)))
+    """The hash before two spaces and a name in a checksum listing, in lower case; blanks around lines do not count. Null if absent."""
+    parts = F.transform(F.split(listing, "\n"), lambda s: F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), "  ", 2))
+    line = F.get(F.filter(parts, lambda p: F.get(p, F.lit(1)) == name), F.lit(0))
+    return F.lower(F.get(line, F.lit(0)))
 
 
 def progress_fields(line: Column) -> Column:
-    """(key, value) of a key=value line."""
-    parts = F.split(line, "=", 2)
+    """(key, value) of a key=value line; blanks around it do not count."""
+    parts = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), "=", 2)
     return F.struct(F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(1)).alias("value"))
 
 

@@ -42,8 +42,8 @@ def on_region(frames: DataFrame, region: Region) -> DataFrame:
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:
-    """(video_id, n)."""
-    return frames.groupBy("video_id").agg(F.count("*").alias("n"))
+    """(video_id, n), from the numbers of the frames where their source can tell them without images."""
+    return getattr(frames, "numbers", frames).groupBy("video_id").agg(F.count("*").alias("n"))
 
 
 def _cut(row) -> np.ndarray:
@@ -74,9 +74,12 @@ def crops(frames: DataFrame, region: Region, keep: tuple[str, ...] = ()) -> Data
     return _per_frame(on, schema, lambda row: [(row.video_id, row.frame_idx, row.x0, row.y0, row.x1, row.y1, px.grey(_cut(row)).tobytes(), *(getattr(row, c) for c in keep))])
 
 
-def region_candidates(frames: DataFrame) -> DataFrame:
-    """Region and line count of up to 40 evenly spaced frames of each video; frames without one are null."""
-    chosen = with_rows_of(frames, frame_counts(frames)).filter(seq.is_sample(F.col("frame_idx"), F.col("n"), 40))
+def region_candidates(frames: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Region and line count of up to 40 evenly spaced frames of each video; frames without one are null.
+
+    ``counts`` (video_id, n), here and below, saves a scan where the frames of a video are counted already.
+    """
+    chosen = with_rows_of(frames, frame_counts(frames) if counts is None else counts).filter(seq.is_sample(F.col("frame_idx"), F.col("n"), 40))
 
     def one(row):
         found = px.region_candidate(array_of(row.height, row.width, row.data))
@@ -86,12 +89,12 @@ def region_candidates(frames: DataFrame) -> DataFrame:
     return _per_frame(chosen, "video_id string, frame_idx int, side int, x0 double, y0 double, x1 double, y1 double, lines double", one)
 
 
-def detect_region(frames: DataFrame) -> DataFrame:
+def detect_region(frames: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row a video: edge medians, confidence (agreement over all samples), modal line count, low resolution (of the region).
 
     Candidates are found once and stored. A video without any raises.
     """
-    every = stored(region_candidates(frames), "candidates")
+    every = stored(region_candidates(frames, counts), "candidates")
     box = seq.median_box(every, ["video_id"], EDGES).select("video_id", *(F.col(e).cast("int").alias(e) for e in EDGES))
     first = every.groupBy("video_id").agg(F.min_by("side", "frame_idx").alias("frame_side"))
     agree = seq.agreement(every.join(first, "video_id"), ["video_id"], EDGES, "frame_side").select("video_id", "confidence")
@@ -102,7 +105,7 @@ def detect_region(frames: DataFrame) -> DataFrame:
     return out.select("video_id", x0.alias("x0"), "y0", "x1", "y1", "confidence", "n_lines", (F.col("x1") - F.col("x0") < LOW_WIDTH).alias("low_res_warning"))
 
 
-def displacements(frames: DataFrame, region: Region, pairs: int = 200) -> DataFrame:
+def displacements(frames: DataFrame, region: Region, pairs: int = 200, counts: DataFrame | None = None) -> DataFrame:
     """(dx, dy) between evenly sampled neighbouring frames of each video; ``width`` and ``height`` are the region's.
 
     Pairs are chosen from frame numbers, so that only grey crops of chosen frames are shuffled.
@@ -110,7 +113,7 @@ def displacements(frames: DataFrame, region: Region, pairs: int = 200) -> DataFr
     at, last = F.col("frame_idx"), F.col("n") - 1
     chosen = lambda pos: seq.is_sample(pos, last, pairs)
     members = F.filter(F.array(F.when(chosen(at), at), F.when(chosen(at - 1), at - 1)), lambda p: p.isNotNull())
-    wanted = with_rows_of(frames, frame_counts(frames)).withColumn("members", members).filter(F.size("members") > 0)
+    wanted = with_rows_of(frames, frame_counts(frames) if counts is None else counts).withColumn("members", members).filter(F.size("members") > 0)
     both = crops(wanted, region, ("members",)).select("video_id", "frame_idx", *EDGES, "grey", F.explode("members").alias("pair"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,12 +125,13 @@ def displacements(frames: DataFrame, region: Region, pairs: int = 200) -> DataFr
     return both.groupBy("video_id", "pair").applyInPandas(one, "video_id string, frame_idx int, dx double, dy double, width int, height int")
 
 
-def classify_advance(frames: DataFrame, region: Region) -> DataFrame:
+def classify_advance(frames: DataFrame, region: Region, counts: DataFrame | None = None) -> DataFrame:
     """Kind of motion of each video; one of under two frames raises."""
-    moved = stored(displacements(frames, region), "displacements")
+    counts = stored(frame_counts(frames) if counts is None else counts, "frame-counts")
+    moved = stored(displacements(frames, region, counts=counts), "displacements")
     told = seq.advance_mode(moved, ["video_id"], "dx", "dy", "width", "height")
     short = F.raise_error(F.concat(F.lit("at least two frames are needed to tell the motion of "), "video_id")).cast("string")
-    whole = frame_counts(frames).join(told, "video_id", "left")
+    whole = counts.join(told, "video_id", "left")
     return whole.withColumn("mode", F.when(F.col("n") < 2, short).otherwise(F.col("mode"))).drop("n")
 
 
@@ -153,18 +157,18 @@ def page_starts(track: DataFrame, width: int | None = None) -> DataFrame:
     return seq.page_wraps(track, ["video_id"], ["frame_idx"], "x", drop).select("video_id", "frame_idx")
 
 
-def page_table(frames: DataFrame, starts: DataFrame) -> DataFrame:
+def page_table(frames: DataFrame, starts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(video_id, n, starts): one row a video; without any start its frames are one page."""
     listed = starts.groupBy("video_id").agg(F.array_sort(F.collect_list("frame_idx")).alias("starts"))
-    return frame_counts(frames).join(listed, "video_id", "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0))))
+    return (frame_counts(frames) if counts is None else counts).join(listed, "video_id", "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0))))
 
 
-def page_frames(frames: DataFrame, starts: DataFrame) -> DataFrame:
+def page_frames(frames: DataFrame, starts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Frames with their page, its first frame and size, and whether they contribute; frames before the first start belong to none.
 
     The page follows from the frame's number and the starts of its video, so frames stay where they are read.
     """
-    paged = with_rows_of(frames, page_table(frames, starts))
+    paged = with_rows_of(frames, page_table(frames, starts, counts))
     paged = paged.withColumn("page", F.size(F.filter("starts", lambda s: s <= F.col("frame_idx"))) - 1).filter("page >= 0")
     paged = paged.withColumn("first", F.get("starts", F.col("page")))
     paged = paged.withColumn("size", (F.coalesce(F.get("starts", F.col("page") + 1), F.col("n")) - F.col("first")).cast("int"))

@@ -13,6 +13,7 @@ from strandloom.operators import folds, seq
 from strandloom.plans import generated, transcribe
 from strandloom.sources import decode
 from strandloom.sources import frames as src
+from strandloom.stored import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -574,3 +575,74 @@ def progress_bands(spark, d):
     stage = F.when(F.col("event_type") == "view", "sampling").when(F.col("event_type") == "click", "region").otherwise("compose")
     e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("ts"), progress.overall(stage, F.col("value") / 100).alias("pct"))
     return progress.never_back(e).select(F.col("job_id").alias("user_id"), F.col("ts.event_id").alias("event_id"), "pct")
+
+
+@query(r"""WITH t AS (SELECT p_partkey, p_size, '. ' || p_name || '/' || p_type || '½.' AS raw, CASE WHEN p_partkey % 4 = 0 THEN ['banner 1', 'banner 2'] ELSE ['banner 1', p_name, p_type] END AS lines FROM part),
+c AS (SELECT *, left(trim(regexp_replace(raw, '[^\p{L}\p{N} ._-]', '_', 'g'), ' .'), 80) AS name FROM t)
+SELECT p_partkey, name AS folder, try_cast(p_partkey || '' || p_size AS INTEGER) AS digits, CASE WHEN p_partkey % 3 <> 0 THEN 'ab' || p_partkey END AS checksum, 'out_time_us' AS key, p_partkey || '=' || p_size AS value,
+CASE WHEN p_partkey % 4 = 0 THEN 'banner 1 / banner 2' ELSE lines[2] || ' / ' || lines[3] END AS tail, p_partkey / 2.0::DOUBLE AS seconds, p_size % 6 IN (0, 1, 2, 3, 4) AS is_video FROM c""")
+def text_helpers(spark, d):
+    """Folder names, digits, checksum listings, progress lines, tails without banners, frame times and video suffixes."""
+    from strandloom.operators import video
+
+    c, key = F.col, F.col("p_partkey").cast("string")
+    tool = F.when(c("p_partkey") % 3 != 0, "tool.exe").otherwise("tool.bin")
+    listing = F.concat(F.lit("CD"), key, F.lit("  other\n  AB"), key, F.lit("  "), tool, F.lit(" \nEF  third"))
+    fields = tx.progress_fields(F.concat(F.lit(" out_time_us="), key, F.lit("="), c("p_size").cast("string"), F.lit(" \n")))
+    said = F.when(c("p_partkey") % 4 == 0, F.lit("banner 1\n\nbanner 2\n")).otherwise(F.concat(F.lit("banner 1\n "), c("p_name"), F.lit(" \n\n"), c("p_type")))
+    suffix = F.get(F.array(*map(F.lit, ("mp4", "MKV", "webm", "mov", "Avi", "mp3"))), c("p_size") % 6)
+    return table(spark, d, "part").select(
+        "p_partkey", tx.safe_folder_name(F.concat(F.lit(". "), "p_name", F.lit("/"), "p_type", F.lit("½."))).alias("folder"),
+        tx.digits_to_int(F.concat(F.lit("No. "), key, F.lit("x"), c("p_size").cast("string"))).alias("digits"), tx.checksum_of(listing, F.lit("tool.exe")).alias("checksum"),
+        fields["key"].alias("key"), fields["value"].alias("value"), tx.tail_lines(said, unwanted="^banner").alias("tail"), video.frame_seconds(c("p_partkey")).alias("seconds"),
+        tx.has_video_suffix(F.concat(F.lit("/x.d/"), c("p_name"), F.lit("."), suffix)).alias("is_video"),
+    )
+
+
+_SAID = ["Private Video", "please CONFIRM your age", "Age-Restricted", "age restricted", "Video unavailable", "removed by the uploader", "it does not exist", "Sign in to confirm", "nsig extraction failed", "Unable to extract", "HTTP Error 403", "no player response", "timed out", "private video unavailable"]
+
+
+@query("""SELECT event_id, CASE WHEN m = 0 OR m = 13 THEN 'private' WHEN m <= 3 THEN 'age_restricted' WHEN m <= 6 THEN 'unavailable' WHEN m <= 11 THEN 'outdated' ELSE 'unknown' END AS kind,
+CASE event_type WHEN 'view' THEN 'analysing' WHEN 'click' THEN 'queued' ELSE event_type END AS label FROM (SELECT *, event_id % 14 AS m FROM events)""")
+def error_rules(spark, d):
+    """Kinds of downloader messages by the library's own rules, and labels of statuses, of which some are unknown."""
+    message = F.concat(F.lit("ERROR: "), F.col("event_type"), F.lit(": "), F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 14).cast("int")))
+    status = F.when(F.col("event_type") == "view", "analyzing").when(F.col("event_type") == "click", "queued_render").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", tx.first_rule(message, tx.ERROR_RULES, "unknown").alias("kind"), tx.mapped(status, tx.STATUS_LABELS, status).alias("label"))
+
+
+@query("""WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding FROM embeddings),
+p AS (SELECT *, sum(CASE WHEN n % 7 = 0 OR (n % 7 = 3 AND label % 2 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY n) - 1 AS page FROM f),
+s AS (SELECT *, count(*) OVER (PARTITION BY label, page) AS size, min(n) OVER (PARTITION BY label, page) AS first FROM p),
+x AS (SELECT label, page, size, first, n, i, floor((embedding[i]::DOUBLE + 1) * 100)::INT AS v FROM s, range(3, 63) t(i)),
+m AS (SELECT label, page, size, first, i, CASE WHEN size < 5 THEN max(v) ELSE floor(median(v) FILTER (WHERE n > first AND n < first + size - 1)) END::INT AS v FROM x GROUP BY label, page, size, first, i)
+SELECT label::VARCHAR AS video_id, page::INT AS page, CASE WHEN size < 5 THEN size ELSE size - 2 END::INT AS contributors, size < 5 AS low_confidence, first::INT AS start, (first + size - 1)::INT AS "end", string_agg(printf('%02X', v), '' ORDER BY i) AS canvas
+FROM m GROUP BY label, page, size, first""")
+def vector_pages(spark, d):
+    """Vectors as images of one row: the frames of a label, cut to pages of 3, 4 and 7, blended by counts that merge."""
+    from strandloom.operators import video
+
+    levels = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 100).cast("int"))
+    data = F.unhex(F.array_join(F.transform(levels, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), ""))
+    numbered = seq.number(table(spark, d, "embeddings").select("label", "vec_id", data.alias("data")), ["label"], ["vec_id"], "frame_idx")
+    frames = numbered.select(F.col("label").cast("string").alias("video_id"), "frame_idx", F.lit(1).alias("height"), F.lit(64).alias("width"), "data")
+    starts = frames.filter((F.col("frame_idx") % 7 == 0) | ((F.col("frame_idx") % 7 == 3) & (F.col("video_id").cast("int") % 2 == 0))).select("video_id", "frame_idx")
+    pages = video.compose_pages(video.page_frames(frames, starts), (2, 0, 62, 1))
+    return pages.select("video_id", "page", "contributors", "low_confidence", "start", "end", F.hex("canvas").alias("canvas"))
+
+
+@query("""SELECT user_id::VARCHAR AS job_id, event_id, pct FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+round(CASE event_type WHEN 'view' THEN 0.02 + 0.38 * v WHEN 'click' THEN 0.7 ELSE 0.85 END, 6) AS pct FROM (SELECT *, greatest(0.0, least(1.0, value / 100))::DOUBLE AS v FROM events)) WHERE k <= 8""")
+def progress_delivery(spark, d):
+    """The events table as a stream of progress; of each job the first eight messages of a micro-batch are delivered, newer ones dropped."""
+    import uuid
+
+    from strandloom.streaming import progress
+
+    stage = F.when(F.col("event_type") == "view", "sampling").when(F.col("event_type") == "click", "advance").otherwise("songs")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, since the table may be one file
+    events = stream.select(F.col("user_id").cast("string").alias("job_id"), "event_id", F.struct("ts", "event_id").alias("ts"), progress.overall(stage, F.col("value") / 100).alias("pct"))
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    deliver = lambda batch, n: batch.select("job_id", "event_id", "pct").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    progress.publish(events, deliver, f"{folder}/checkpoint", most=8).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("job_id", "event_id", "pct")

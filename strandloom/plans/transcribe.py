@@ -27,7 +27,7 @@ def analyse(frames: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     is read again (candidates, displacements, the result, all of few rows a video) is stored; the number of jobs does not
     grow with videos.
     """
-    sizes = frames.groupBy("video_id").agg(F.max("width").alias("video_width"), F.max("height").alias("video_height"), F.count("*").alias("frame_count"))
+    sizes = getattr(frames, "headers", frames).groupBy("video_id").agg(F.max("width").alias("video_width"), F.max("height").alias("video_height"), F.count("*").alias("frame_count"))
     if profiles is None:
         known = sizes.select("*", F.lit(None).cast("string").alias("profile"), F.lit(None).cast("string").alias("p_mode"), F.lit(None).cast("array<int>").alias("p_region"))
     else:
@@ -35,8 +35,9 @@ def analyse(frames: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         known = seq.first_match(sizes, listed, ["video_width", "video_height"], "position").drop("position")
     known = stored(known, "videos")
     new = with_rows_of(frames, known.filter("profile IS NULL").select("video_id"))
-    found = stored(video.detect_region(new), "regions")
-    modes = video.classify_advance(new, found).select("video_id", "mode")
+    counts = stored(known.filter("profile IS NULL").select("video_id", F.col("frame_count").alias("n")), "frame-counts")
+    found = stored(video.detect_region(new, counts), "regions")
+    modes = video.classify_advance(new, found, counts).select("video_id", "mode")
     box = F.coalesce("p_region", F.array(*video.EDGES))
     info = known.join(found.drop("low_res_warning"), "video_id", "left").join(modes, "video_id", "left").select(
         "video_id", "video_width", "frame_count", "profile", box.alias("region"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
@@ -70,12 +71,12 @@ def _notes(row: dict[str, Column]) -> Column:
     return F.filter(lines, lambda n: n.isNotNull())
 
 
-def render(frames: DataFrame, region: video.Region, mode: str, reader=None) -> tuple[DataFrame, DataFrame]:
-    """(placed systems, report) of the frames of each video, all of one mode."""
+def render(frames: DataFrame, region: video.Region, mode: str, reader=None, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed systems, report) of the frames of each video, all of one mode. ``counts`` (video_id, n) saves a scan."""
     none = lambda kind: F.lit(None).cast(kind)
     if mode == "paginated":
         starts = video.page_starts(video.cursor_track(frames, region))
-        pages = stored(video.compose_pages(video.page_frames(frames, starts), region), "pages")
+        pages = stored(video.compose_pages(video.page_frames(frames, starts, counts), region), "pages")
         systems = video.page_systems(pages)
         dropped = pages.groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("transition"), F.struct("start", "end")))).alias("left_out"))
         checks = dropped.select(
@@ -131,7 +132,11 @@ def render_songs(frames: DataFrame, info: DataFrame, songs: DataFrame, overrides
     at = F.col("frame_idx")
     own = with_rows_of(frames, listed).withColumn("s", F.explode(F.filter("songs", lambda s: (s["start"] <= at) & (at <= s["end"]))))
     own = own.select(F.col("s.song_id").alias("video_id"), (at - F.col("s.start")).cast("int").alias("frame_idx"), "height", "width", "data", "s.mode", *(f"s.{e}" for e in video.EDGES))
-    parts = [render(own.filter(F.col("mode") == m), None, m, reader) for m in ("paginated", "scroll_vertical", "scroll_horizontal")]
+    # a song may say that it ends after its video does
+    known = songs.join(info.select("video_id", "frame_count"), "video_id")
+    n = F.least(F.col("end") + 1, F.col("frame_count")) - F.col("start")
+    counts = stored(known.select(F.col("song_id").alias("video_id"), n.alias("n")), "song-counts")
+    parts = [render(own.filter(F.col("mode") == m), None, m, reader, counts) for m in ("paginated", "scroll_vertical", "scroll_horizontal")]
     out = []
     for tables in zip(*parts, strict=True):
         whole = tables[0]

@@ -34,12 +34,19 @@ def read_frames(spark: SparkSession, folder: str, columns: Sequence[str] | None
     """Frames below ``folder/<video_id>/*.png`` in path order; an unreadable image fails the query.
 
     Numbers come from file names while the scan is planned: no row is shuffled. ``columns`` leaves out what is not needed
-    (without ``data`` no image is decoded); ``options`` are those of :mod:`strandloom.sources.frame_source`.
+    (without ``data`` no image is decoded); ``options`` are those of :mod:`strandloom.sources.frame_source`. The result also has
+    ``numbers`` (video_id, frame_idx) and ``headers`` (with height and width), readers of the same frames that decode nothing.
     """
     frame_source.register(spark)
     kinds = dict(c.split() for c in SCHEMA.split(", "))
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns or kinds)
-    return spark.read.format(frame_source.FORMAT).schema(schema).options(**options).load(folder)
+
+    def read(names: Sequence[str]) -> DataFrame:
+        schema = ", ".join(f"{c} {kinds[c]}" for c in names)
+        return spark.read.format(frame_source.FORMAT).schema(schema).options(**options).load(folder)
+
+    frames = read(columns or list(kinds))
+    frames.numbers, frames.headers = read(["video_id", "frame_idx"]), read(["video_id", "frame_idx", "height", "width"])
+    return frames
 
 
 def read_frame(spark: SparkSession, folder: str, video: str, index: int) -> DataFrame:

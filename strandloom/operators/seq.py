@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.stored import stored, with_rows_of
+from strandloom.stored import ready, stored, with_rows_of
 
 Names = Sequence[str]
 
@@ -281,25 +283,95 @@ def band_cover(frames: DataFrame, bands: DataFrame, length: int, band: int, leas
     return with_rows_of(pairs, whole, "b").filter((F.col("n_inside") < least) | F.col("inside")).withColumn("fallback", F.col("n_inside") < least)
 
 
+def placed(df: DataFrame, key: Names, order: Names, name: str = "pos") -> DataFrame:
+    """Positions from 0 in each sequence, of any length: rows are sorted by ranges and stored, and a range's first position is
+    the sum of the counts before it. Keys must not be null."""
+    rows = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select("*", F.monotonically_increasing_id().alias("__at"))
+    rows = stored(rows, "order").withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy(*key, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*key).orderBy("__part")) - F.col("__n")
+    parts = parts.select(*key, "__part", "__first", before.alias("__before"))
+    return with_rows_of(rows, parts, [*key, "__part"]).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__at", "__part", "__first", "__before")
+
+
+#: Items of a sequence that one task packs.
+PACKED = 50_000
+
+
+def _starts(heights: np.ndarray, own: int, capacity: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first ``own`` items, the item that starts the sheet after one that it starts; and the height before each item."""
+    steps = np.concatenate(([0], np.cumsum(heights + gap)))
+    after = np.searchsorted(steps[:-1] + heights, steps[:own] + capacity, side="right")
+    return np.maximum(after, np.arange(1, own + 1)), steps
+
+
 def pack(df: DataFrame, key: Names, order: Names, height: str, capacity: int, gap: int) -> DataFrame:
     """Greedy packing in order: a band that does not fit under the ones above, with gaps, starts a new sheet.
 
-    A fold over each sequence; a band taller than the sheet is still placed, alone at its top.
+    A band taller than the sheet is still placed, alone at its top. Heights are 1 at least.
+
+    The start after each start is a jump function over positions. A sequence is cut to blocks of ``PACKED`` items, each with as many
+    items of the next one as a sheet can hold. A block tells, for each place where the first sheet that starts in it may start,
+    where the first one after it starts and how many sheets lie between; these few rows a block are followed from block to block,
+    and then each block places its own items. So a task holds a block, whatever the length of a sequence.
     """
-    item = F.struct(*order, F.col(height).cast("int").alias("h"))
-    items = df.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    place = "array<struct<sheet:int,y:int>>"
-    start = F.struct(F.lit(0).alias("sheet"), F.lit(0).alias("used"), F.array().cast(place).alias("placed"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] == 0) | (s["used"] + gap + x["h"] <= capacity)
-        y = F.when(s["used"] == 0, 0).when(fits, s["used"] + gap).otherwise(0)
-        sheet = s["sheet"] + F.when(fits, 0).otherwise(1)
-        return F.struct(sheet.alias("sheet"), (y + x["h"]).alias("used"), F.concat(s["placed"], F.array(F.struct(sheet.alias("sheet"), y.alias("y")))).alias("placed"))
-
-    placed = items.withColumn("placed", F.aggregate("items", start, step, lambda s: s["placed"]))
-    both = placed.select(*key, F.explode(F.arrays_zip("items", "placed")).alias("z"))
-    return both.select(*key, *(F.col(f"z.items.{c}") for c in order), F.col("z.items.h").alias(height), F.col("z.placed.sheet").alias("sheet"), F.col("z.placed.y").alias("y"))
+    reach = capacity // max(gap + 1, 1) + 2
+    block = max(PACKED, reach + 1)
+    ready(df.sparkSession)
+    kinds = dict(df.dtypes)
+    items = placed(df.select(*key, *order, F.col(height).cast("int").alias("__h")), key, order, "__pos")
+    items = stored(items.withColumn("__block", F.expr(f"__pos div {block}")), "bands")
+    ahead = items.filter(f"__block > 0 AND __pos % {block} < {reach}").withColumn("__block", F.col("__block") - 1)
+    with_next = items.select(*key, "__block", "__pos", "__h").unionByName(ahead.select(*key, "__block", "__pos", "__h"))
+    keys = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+
+    def jumps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__pos")
+        b, heights = int(pdf["__block"].iloc[0]), pdf["__h"].to_numpy(np.int64)
+        own = int((pdf["__pos"] < (b + 1) * block).sum())
+        after, steps = _starts(heights, own, capacity, gap)
+        # jumps compose by doubling; places beyond the block stay
+        to = np.concatenate((after, np.arange(own, len(heights) + 2)))
+        last, sheets = np.arange(len(to)), np.concatenate((np.ones(own, np.int64), np.zeros(len(to) - own, np.int64)))
+        while (to[:own] < own).any():
+            last = np.where(to < own, last[to], last)
+            sheets, to = sheets + sheets[to], to[to]
+        entries = np.arange(min(reach, own))
+        out = pd.DataFrame({"entry": entries, "exit": to[entries] - own, "sheets": sheets[entries], "hang": steps[own] - steps[last[entries]]})
+        return out.assign(__block=b, **{k: pdf[k].iloc[0] for k in key})[[*key, "__block", "entry", "exit", "sheets", "hang"]]
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        told = {(r.block, r.entry): r for r in pdf.rename(columns={"__block": "block"}).itertuples(index=False)}
+        entry, sheet, hang, out = 0, 0, 0, []
+        for b in range(int(pdf["__block"].max()) + 1):
+            out.append((b, entry, sheet, hang))
+            here = told[b, entry]
+            entry, sheet, hang = here.exit, sheet + here.sheets, here.hang
+        out = pd.DataFrame(out, columns=["__block", "entry", "sheet", "hang"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in key})[[*key, "__block", "entry", "sheet", "hang"]]
+
+    if items.filter("__block > 0").isEmpty():
+        begins = items.select(*key).distinct().select(*key, F.lit(0).cast("long").alias("__block"), *(F.lit(0).cast("long").alias(c) for c in ("entry", "sheet", "hang")))
+    else:
+        told = with_next.groupBy(*key, "__block").applyInPandas(jumps, f"{keys}, __block long, entry long, exit long, sheets long, hang long")
+        begins = told.groupBy(*key).applyInPandas(follow, f"{keys}, __block long, entry long, sheet long, hang long")
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__pos")
+        heights, entry, sheet, hang = pdf["__h"].to_numpy(np.int64), *(int(pdf[c].iloc[0]) for c in ("entry", "sheet", "hang"))
+        after, steps = _starts(heights, len(heights), capacity, gap)
+        firsts, at = [], entry
+        while at < len(heights):
+            firsts.append(at)
+            at = int(after[at])
+        which = np.searchsorted(np.array(firsts, np.int64), np.arange(len(heights)), side="right") - 1
+        top = np.where(which < 0, -hang, steps[np.array(firsts or [0])][which])
+        return pdf.assign(sheet=sheet + which, y=steps[:-1] - top)[columns]
+
+    columns = [*key, *order, "__h", "sheet", "y"]
+    schema = f"{keys}, " + ", ".join(f"`{c}` {kinds[c]}" for c in order) + ", __h int, sheet int, y int"
+    done = with_rows_of(items, begins, [*key, "__block"]).groupBy(*key, "__block").applyInPandas(place, schema)
+    return done.withColumnRenamed("__h", height)
 
 
 def recent(df: DataFrame, created: str, tie: str, n: int) -> DataFrame:

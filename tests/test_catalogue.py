@@ -87,3 +87,25 @@ def test_medians_of_few_keys(spark, monkeypatch):
     plan = seq.mad_z(df, ["k"], "v")._jdf.queryExecution().toString()
     assert "Window" not in plan.split("== Physical Plan ==")[1]  # rows of a key are never brought together
     assert seq.mad_z(df.filter(F.lit(False)), ["k"], "v").count() == 0
+
+
+@pytest.mark.parametrize("most", [50_000, 1, 64])
+def test_packing_over_blocks(spark, monkeypatch, most):
+    from strandloom.operators import seq
+
+    monkeypatch.setattr(seq, "PACKED", most)
+    r = random.Random(most)
+    for capacity, gap, tall in ((100, 3, 130), (17, 0, 6), (40, 7, 40)):
+        rows = [(k, i, r.randint(1, tall)) for k, n in (("a", 400), ("b", 1), ("c", 63), ("d", 200)) for i in range(n)]
+        want = {}
+        for k in "abcd":
+            sheet = used = 0
+            for _, i, h in (x for x in rows if x[0] == k):
+                fits = used == 0 or used + gap + h <= capacity
+                sheet, y = (sheet, used + gap if used else 0) if fits else (sheet + 1, 0)
+                used = y + h
+                want[k, i] = (h, sheet, y)
+        mixed = r.sample(rows, len(rows))
+        out = seq.pack(spark.createDataFrame(mixed, "k string, i int, h long").repartition(5), ["k"], ["i"], "h", capacity, gap)
+        assert {(x.k, x.i): (x.h, x.sheet, x.y) for x in out.collect()} == want
+    assert seq.pack(spark.createDataFrame([], "k string, i int, h int"), ["k"], ["i"], "h", 10, 1).count() == 0

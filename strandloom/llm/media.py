@@ -5,8 +5,10 @@ samples are resampled by a rational factor, cut into overlapping windows, turned
 bands, packed into tensors of a fixed shape with their time spans, and segmented by energy with
 hysteresis. Every document is computed by itself, so equal payloads have equal features.
 
+Files and tensors are stored as a Parquet table of one row a document, from which the query reads both.
+
 Defined results: a null or empty text is a payload of padding only; very long texts are computed
-window block by window block; repeated rows are computed alike; other columns are ignored.
+window block by window block; repeated rows are computed alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strandloom.llm.common import blocks, documents, utf8_view
+from strandloom.llm.common import blocks, documents, materialise, utf8_view
 
 UNIT, PAD = 192, 32
 RATE, UP, DOWN = 16_000, 2, 5
@@ -215,32 +217,66 @@ def tensors(media: DataFrame) -> DataFrame:
 
 
 def fixed_shape(column: pa.Array) -> pa.Array:
-    """The tensor column as Arrow's fixed-shape tensor type."""
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), SPAN * BANDS)
+    """The tensor column as Arrow's fixed-shape tensor type; values are copied, as the type's view ignores where a slice begins."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(column.flatten().to_numpy().copy()), SPAN * BANDS)
     return pa.ExtensionArray.from_storage(TENSOR, flat)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Digests of payload and stored file of each whole text, and of the features that its fixed-shape tensors hold."""
+_STORED = (
+    "doc_id bigint, n_bytes bigint, media binary, tensor array<smallint>, frames array<int>, start_s array<double>, end_s array<double>, segments array<array<int>>"
+)
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """A row a document: the audio file of its whole text, and the file's features as tensors of SPAN x BANDS quarter-dB values,
+    one after the other, with the frames and the time span of each; segments are runs of frames.
+
+    Files and tensors are made block by block; this is the table that a corpus keeps.
+    """
+    names = [c.split()[0] for c in _STORED.split(", ")]
+    lists = lambda values, bounds, kind: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
     def run(batches):
         for batch in batches:
             for a, b in blocks(utf8_view(batch.column("text"))[1], TOGETHER):
+                part = batch.slice(a, b - a)
+                sizes, payloads = zip(*_payloads(part.column("text")), strict=True)
+                media = [store(p) for p in payloads]
+                rows, runs = tensor_rows(media, part.column("doc_id"))
+                at = np.searchsorted(rows.column("row").to_numpy(), np.arange(len(media) + 1))
+                flat = rows.column("tensor").storage.flatten()
+                spans = (lists(rows.column(c), at, k) for c, k in (("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())))
+                tensor = pa.ListArray.from_arrays(pa.array((at * SPAN * BANDS).astype(np.int32)), flat)
+                found = pa.array([[list(run) for run in r] for r in runs], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), tensor, *spans, found], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType.fromDDL(_STORED))
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """Digests of payload and file of each row of a stored :func:`media_table`, read back, and of the features that its tensors hold."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [len(m) for m in batch.column("media").to_pylist()]
+            for a, b in blocks(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), TOGETHER):
                 yield described(batch.slice(a, b - a))
 
     def described(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, media = [], []
-        for n, payload in _payloads(batch.column("text")):
-            media.append(store(payload))
-            _, back = read_back(media[-1])
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media[-1]), hashlib.sha256(media[-1]).hexdigest()))
-        columns = [*zip(*rows, strict=True), feature_texts(*tensor_rows(media, batch.column("doc_id")))]
+        rows = []
+        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
+            _, back = read_back(media)
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+        file = np.repeat(np.arange(len(batch), dtype=np.int32), [len(f) for f in batch.column("frames").to_pylist()])
+        parts = [pa.array(file), *(batch.column(c).flatten() for c in ("frames", "end_s")), fixed_shape(batch.column("tensor"))]
+        runs = [[tuple(run) for run in r] for r in batch.column("segments").to_pylist()]
+        columns = [*zip(*rows, strict=True), feature_texts(pa.RecordBatch.from_arrays(parts, ["row", "frames", "end_s", "tensor"]), runs)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
     schema = T.StructType.fromDDL(
         "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     )
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return stored.mapInArrow(run, schema)
 
 
 _ARROW = [
@@ -251,4 +287,5 @@ _ARROW = pa.schema(_ARROW)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(documents(spark, sf_dir))
+    """The media table is written as Parquet; what the query returns is computed from the stored bytes and tensors."""
+    return describe(materialise(media_table(documents(spark, sf_dir)), "media"))

@@ -15,7 +15,7 @@ TEXTS = [None, "", "a", "x" * 192, "é😀" * 77, "lorem ipsum " * 9000, "x" * 1
 def test_digests_and_round_trip(spark):
     rows = [(i, t, "en", "s", 1, "clash") for i, t in enumerate(TEXTS)] + [(99, TEXTS[4], "en", "s", 1, "")] * 2
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = media.describe(docs).collect()
+    out = media.describe(media.media_table(docs)).collect()
     assert len(out) == len(rows)
     text = {r[0]: (r[1] or "").encode() for r in rows}
     stored = {x.doc_id: bytes(x.media) for x in media.to_audio(docs).collect()}
@@ -30,7 +30,7 @@ def test_digests_and_round_trip(spark):
         assert x.media_sha256 == hashlib.sha256(stored[x.doc_id]).hexdigest()
     assert len({x.feature for x in out if text[x.doc_id] == TEXTS[4].encode()}) == 1
     assert len({x.feature for x in out}) >= 4
-    assert media.describe(docs.limit(0)).count() == 0
+    assert media.describe(media.media_table(docs.limit(0))).count() == 0
 
 
 def test_tone_is_resampled_and_found_in_its_band():
@@ -61,3 +61,23 @@ def test_tensors_have_one_shape(spark):
     assert rows[0].start_s == 0 and all(a.start_s < a.end_s for a in rows) and [r.part for r in rows if r.doc_id == 2] == [0]
     array = media.fixed_shape(pa.array([r.tensor for r in rows], pa.list_(pa.int16())))
     assert array.type.shape == [media.SPAN, media.BANDS]
+
+
+def test_features_of_the_query_are_those_of_the_stored_files(spark, tmp_path, monkeypatch):
+    """From each stored file by itself: its frames, a digest of them, the end of the last window, and its segments."""
+    monkeypatch.setattr(media, "TOGETHER", 2000)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in enumerate(TEXTS)] + [(None, "ab " * 700, None, None, None, None)] * 2, SCHEMA)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    table = media.media_table(docs).collect()
+    out = {(x.doc_id, x.media_sha256): x.feature for x in media.op8_media_columns(spark, str(tmp_path)).collect()}
+    assert len(out) == len(TEXTS) + 1
+    for row in table:
+        mel, found = media.analyse(bytes(row.media))
+        parts = -(-len(mel) // media.SPAN)
+        values = np.array(row.tensor, np.int16).reshape(parts, media.SPAN, media.BANDS)
+        assert (values.reshape(-1, media.BANDS)[: len(mel)] == mel).all() and not values.reshape(-1, media.BANDS)[len(mel) :].any()
+        assert sum(row.frames) == len(mel) and [tuple(s) for s in row.segments] == found
+        assert row.start_s == [k * media.SPAN * media.HOP / media.OUT_RATE for k in range(parts)]
+        end = ((len(mel) - 1) * media.HOP + media.WINDOW) / media.OUT_RATE
+        want = f"mel={len(mel)}x{media.BANDS}:{hashlib.sha256(mel.tobytes()).hexdigest()[:32]};tensors={parts}x{media.SPAN}x{media.BANDS};end={end:.4f};segments={len(found)}:{sum(b - a for a, b in found)}"
+        assert out[row.doc_id, hashlib.sha256(bytes(row.media)).hexdigest()] == want and abs(row.end_s[-1] - end) < 1e-9

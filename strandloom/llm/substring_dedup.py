@@ -10,14 +10,15 @@ that a corpus need not ship a row a word, counting goes in three exact steps, ea
    equal anchors. Stretches of neighbouring windows of one anchor, at most ``STRETCH`` of them, are one row; an anchor
    that occurs in one document only counts all of its windows as single.
 2. Stretches. Equal stretches of equal anchors are counted as one: a passage that a third of all documents share, or a
-   group of near copies, leaves one row for each of its stretches, combined on the map side.
-3. Windows. Each window of the distinct stretches that are left is hashed to 128 bits and grouped; the least doc_id goes
-   back to the stretches and from there to all documents that hold them.
+   group of near copies, leaves one row for each of its stretches, combined on the map side. Where all stretches of an
+   anchor are equal, their windows are counted with them.
+3. Windows. Where they differ, each window of the distinct stretches is hashed and grouped; the least doc_id goes back to the
+   stretches and from there to all documents that hold them.
 
 Removed windows of a document merge into maximal intervals of words. A text that occurs in several rows is counted in
 its row of least id; the other rows lose every window.
 
-Windows are equal if their 128 bits of hash are; stretches, if anchor and stretch hash are (64 bits each).
+Windows are equal if anchor and window hash are, stretches if anchor and stretch hash are (64 bits each).
 
 Defined results: a null or empty text has no words; texts under ``WINDOW`` words lose nothing; very long texts are hashed in
 whole; a null doc_id counts as larger than any other; rows of one doc_id do not remove each other's windows, nor does a
@@ -35,14 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import WORD_BREAK, blocks, discard, documents, materialise, mix64, utf8_view
-from strandloom.llm.shingles import _BYTE, _powers, word_hashes
+from strandloom.llm.shingles import _powers, word_hashes
 
 WINDOW = 50
 GRAM = 8
 STRETCH = 64
 BLOCK_BYTES = 1_000_000
 _AS_IS = np.arange(256, dtype=np.uint8)
-_TABLES = (_BYTE, mix64(_BYTE))
 #: Place of a null doc_id among the others.
 _LAST = 2**63 - 1
 _KEY = ["r1", "r2"]
@@ -125,8 +125,8 @@ def parse(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def windows(told: DataFrame, window: int) -> DataFrame:
-    """h1, h2, anchor, stretch, at, place: the Rabin-Karp hashes of every window of the listed stretches."""
-    schema = T.StructType.fromDDL("h1 bigint, h2 bigint, anchor bigint, stretch bigint, at int, place bigint")
+    """anchor, hash, stretch, at, place: the Rabin-Karp hash of every window of the listed stretches."""
+    schema = T.StructType.fromDDL("anchor bigint, hash bigint, stretch bigint, at int, place bigint")
 
     def run(batches):
         for batch in batches:
@@ -137,10 +137,9 @@ def windows(told: DataFrame, window: int) -> DataFrame:
                 size = hi - lo + 1
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = np.repeat(lo, size) + at
-                edges = np.array([0, len(own)])
-                one, two = (Rolling(word_hashes(own, edges, _AS_IS, t)[0]).of(start, start + window).view(np.int64) for t in _TABLES)
+                hashes = Rolling(word_hashes(own, np.array([0, len(own)]), _AS_IS)[0]).of(start, start + window)
                 yield pa.RecordBatch.from_pydict({
-                    "h1": pa.array(one), "h2": pa.array(two), "anchor": pa.array(np.repeat(anchor, size)), "stretch": pa.array(np.repeat(stretch, size)),
+                    "anchor": pa.array(np.repeat(anchor, size)), "hash": pa.array(hashes.view(np.int64)), "stretch": pa.array(np.repeat(stretch, size)),
                     "at": pa.array(at.astype(np.int32)), "place": pa.array(np.repeat(place, size)),
                 })
 
@@ -148,24 +147,34 @@ def windows(told: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(once: DataFrame, window: int) -> DataFrame:
-    """Key and starts (array): the windows of each text that occur in a document of smaller place. ``once`` holds each text in its row of least place."""
+    """Key and starts (array): the windows of each text that occur in a document of smaller place. ``once`` holds each text in its row of least place.
+
+    Tables that a join below reads are stored, so that the rows of a frequent anchor may be split.
+    """
     parsed = materialise(parse(once, window), "stretches")
-    # stored, so that the join below may split a frequent anchor's rows
-    several = materialise(parsed.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("anchor"), "shared-anchors")
+    several = parsed.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("anchor")
+    several = materialise(several, "shared-anchors")
     hits = materialise(parsed.join(several, "anchor"), "shared-stretches")
-    distinct = hits.groupBy("anchor", "stretch").agg(F.min(F.struct("place", *_KEY, "lo", "hi")).alias("first"))
-    units = distinct.groupBy(F.col("first.r1").alias("u1"), F.col("first.r2").alias("u2")).agg(
-        F.collect_list(F.struct("first.lo", "first.hi", "first.place", "anchor", "stretch")).alias("units")
+    discard(parsed, several)
+    firsts = hits.groupBy("anchor", "stretch").agg(F.min(F.struct("place", *_KEY, "lo", "hi")).alias("first"))
+    firsts = materialise(firsts.select("anchor", "stretch", "first.*"), "first-stretches")
+    # where all stretches of an anchor are equal, so are their windows, and there are no others
+    forked = materialise(firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), "forked-anchors")
+    units = firsts.join(forked, "anchor").groupBy(F.col("r1").alias("u1"), F.col("r2").alias("u2")).agg(
+        F.collect_list(F.struct("lo", "hi", "place", "anchor", "stretch")).alias("units")
     )
     listed = once.join(units, (F.col("r1") == F.col("u1")) & (F.col("r2") == F.col("u2")))
     counted = materialise(windows(listed, window), "windows")
-    least = counted.groupBy("h1", "h2").agg(F.min("place").alias("keeper"))
-    keepers = counted.join(least, ["h1", "h2"]).groupBy("anchor", "stretch").agg(F.collect_list(F.struct("at", "keeper")).alias("keepers"))
-    keepers = materialise(keepers, "keepers")
-    gone = F.transform(F.filter("keepers", lambda x: x["keeper"] < F.col("place")), lambda x: F.col("lo") + x["at"])
-    marks = hits.join(keepers, ["anchor", "stretch"]).select(*_KEY, gone.alias("gone")).filter(F.size("gone") > 0)
+    least = counted.groupBy("anchor", "hash").agg(F.min("place").alias("keeper"), F.max("place").alias("most")).filter("keeper < most").drop("most")
+    least = materialise(least, "repeated-windows")
+    earlier = counted.join(least, ["anchor", "hash"]).filter("keeper < place").groupBy("anchor", "stretch").agg(F.collect_list(F.struct("at", "keeper")).alias("earlier"))
+    known = firsts.select("anchor", "stretch", F.col("place").alias("own")).join(earlier, ["anchor", "stretch"], "left")
+    known = materialise(known, "keepers")
+    single = F.transform(F.filter("earlier", lambda x: x["keeper"] < F.col("place")), lambda x: F.col("lo") + x["at"])
+    gone = F.when(F.col("own") < F.col("place"), F.sequence("lo", "hi")).otherwise(single)
+    marks = hits.join(known, ["anchor", "stretch"]).select(*_KEY, gone.alias("gone")).filter(F.size("gone") > 0)
     starts = materialise(marks.groupBy(F.col("r1").alias("s1"), F.col("r2").alias("s2")).agg(F.flatten(F.collect_list("gone")).alias("starts")), "starts")
-    discard(parsed, several, hits, counted, keepers)
+    discard(hits, firsts, forked, counted, least, known)
     return starts
 
 

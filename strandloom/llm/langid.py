@@ -9,7 +9,8 @@ languages and chosen by hash of doc_id. The driver gets their fixed-width n-gram
 texts. Prediction reads whole texts and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
-nothing is labelled. Repeated rows are predicted alike; other columns are ignored.
+nothing is labelled. Very long texts are read in whole, as counts of hashed features; languages that tie go to the first in
+order and are flagged by a low score; repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

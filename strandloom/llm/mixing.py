@@ -12,7 +12,8 @@ Random draws are hashes of document ids, so reruns agree whatever the partitioni
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own,
 the last; repeated rows (same doc_id, source and size) are separate documents told apart by a
-running number; other columns are ignored by :func:`plan` and kept by :func:`apply`.
+running number; very long texts count with all their words; ties are drawn by the seed; an empty table gives no rows; other
+columns are ignored by :func:`plan` and kept by :func:`apply`.
 """
 
 from __future__ import annotations

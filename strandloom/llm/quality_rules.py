@@ -1,14 +1,14 @@
 """Quality rules: a threshold table compiled into Spark projections, without user functions.
 
 Every metric is an integer built from whole texts with built-in expressions, every rule is an
-integer comparison, so the verdict is exact and the same in any engine.
+integer comparison, so the verdict is the same in any engine. Windows of three words are compared by 64 bits of hash.
 
 The stop-word rule reads the document's language from its column ``lang`` and has lists for English,
 German, French and Spanish; documents of other languages, of none, and tables without the column get
 no verdict from it, all other rules hold for them.
 
 Defined results: a null or blank text has no words and fails ``min_words``; repeated rows are
-judged one by one; columns of the input whose names start with ``__q_`` are not supported, any
+judged one by one; very long texts are judged in whole; an empty table gives no rows; columns of the input whose names start with ``__q_`` are not supported, any
 other extra column passes through untouched.
 """
 

@@ -16,8 +16,9 @@ many changes) without a label teach nothing: it may be a secret. Of pieces of pl
 counts ``PLAIN`` times. Spans of the field are added where no pattern matched; a span of one token
 leaves out a name before a separator, quotes, and closing punctuation.
 
-Defined results: a null text is empty and has no spans; repeated rows are scanned alike; an
-untrained field (a table without words) adds nothing; other columns are ignored.
+Defined results: a null text is empty and has no spans; very long texts are scanned in whole; labels that tie take the one that
+the decoder meets first, spans of one start are listed in the order of kinds; repeated rows are scanned alike; an untrained
+field (a table without words) adds nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

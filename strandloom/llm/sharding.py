@@ -7,7 +7,8 @@ The law is ``rows``: shard s holds the global ranks from ceil(s * N / shards) on
 by one at most. Equal texts of equal metadata are adjacent in the order.
 
 Defined results: a null text has no bytes, its CRC is 0; null metadata quantise to 0; repeated rows
-take separate slots; an empty table gives no rows; other columns are ignored.
+take separate slots; very long texts count with all their bytes; ties of curve and text are ordered by doc_id and size; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -54,3 +54,15 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert x.ids == ids and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "minhash_near_dedup", "pii_surrogates", "mix_sources", "bpe_encode"]
     assert quality_rules.RULES and pii.TYPES
+
+
+def test_empty_table_repeats_and_null_ids(spark, tmp_path):
+    rows, docs = table(spark)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+    good = [r for r in rows if r[0] < 100][:12]
+    odd = good + [good[0]] * 3 + [(None, good[1][1] + " and more words", None, None, None)] + [(good[2][0], good[5][1].upper() + " unlike", "en", "s1", 1)]
+    spark.createDataFrame(odd, docs.schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    kept = cp.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "odd" / "documents.parquet")), "")
+    assert Counter(x.doc_id for x in kept.collect())[good[0][0]] == 1
+    assert cp.run(spark, str(tmp_path / "odd")).count() > 0

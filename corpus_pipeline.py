@@ -3,6 +3,11 @@
 Each stage takes the documents that its predecessor kept, as Parquet, and its decisions take
 effect: rejected documents and further copies go, personal data are replaced, sources are mixed
 (a document taken n times has n rows), and the last stage returns token ids of what is left.
+
+Defined results: a null, empty or blank text fails the first stage; very long texts pass through every stage in whole; rows of one
+doc_id with unlike texts are documents of their own, repeated rows are near duplicates of each other, of which one stays; null
+languages get no verdict from the stop-word rule, null sources are mixed as one source; an empty table gives no rows; extra
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.stored import ready
+
 
 def penalty_score(issues: Column, low: Column, overlap: Column, cuts: Column, ink: Column) -> Column:
     """100 less the penalties of a report, not below 0, to one decimal."""
@@ -116,13 +118,14 @@ def segments(df: DataFrame, key: Sequence[str], order: Sequence[str], vector: st
     kinds = {f.name: f.dataType for f in df.schema}
     schema = T.StructType([*(T.StructField(k, kinds[k]) for k in key), *(T.StructField(c, T.IntegerType()) for c in ("index", "start", "end"))])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        vectors = np.array(pdf[vector].tolist(), np.float64)
+    def run(table: pa.Table) -> pa.Table:
+        sorted_rows = table.select(list(order)).append_column("__at", pa.array(np.arange(len(table)))).sort_by([(c, "ascending") for c in (*order, "__at")])
+        flat = table[vector].combine_chunks().flatten().to_numpy()  # one array of numbers, no list of Python floats
+        vectors = flat.reshape(len(table), -1)[sorted_rows["__at"].to_numpy()].astype(np.float64)
         starts = _segment(vectors, z_limit, floor, merge, near, least)
-        out = pd.DataFrame({"index": range(len(starts)), "start": starts, "end": [*(s - 1 for s in starts[1:]), len(pdf) - 1]})
-        for k in key:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in schema]]
+        ends = [*(s - 1 for s in starts[1:]), len(table) - 1]
+        keys = [pa.repeat(table[k][0], len(starts)) for k in key]
+        return pa.Table.from_arrays([*keys, *(pa.array(x, pa.int32()) for x in (range(len(starts)), starts, ends))], [f.name for f in schema])
 
-    return df.select(*key, *order, vector).groupBy(*key).applyInPandas(run, schema)
+    ready(df.sparkSession)
+    return df.select(*key, *order, vector).groupBy(*key).applyInArrow(run, schema)

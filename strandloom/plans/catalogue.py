@@ -523,11 +523,11 @@ _N = "(SELECT n_nationkey AS n, 'v' || n_nationkey AS video_id FROM nation)"
 DRAWN = {
     "frame_regions": (generated.regions, f"SELECT video_id, (20 + n)::INT AS x0, (16 + n)::INT AS y0, (20 + n + CASE WHEN n % 5 = 0 THEN 820 ELSE 120 END)::INT AS x1, (106 + n)::INT AS y1, 0.8::DOUBLE AS confidence, (4 + n % 3)::INT AS n_lines, n % 5 <> 0 AS low_res_warning FROM {_N}"),
     "frame_cursors": (generated.cursors, f"SELECT video_id, k::INT AS frame_idx, (12 + n + 25 * k)::INT AS x FROM {_N}, range(0, 4) t(k)"),
-    "frame_offsets": (generated.offsets, f"SELECT video_id, k::INT AS frame_idx, (k * (6 + n % 5))::INT AS \"offset\", 'match' AS resolution FROM {_N}, range(0, 6) t(k)"),
+    "frame_offsets": (generated.offsets, f"SELECT video_id, k::INT AS frame_idx, (k * (6 + n % 5))::INT AS \"offset\", CASE WHEN n % 3 = 1 AND k > 0 THEN 'fallback' ELSE 'match' END AS resolution FROM {_N}, range(0, 6) t(k)"),
     "frame_motions": (generated.motions, f"SELECT video_id, CASE n % 3 WHEN 0 THEN 'scroll_vertical' WHEN 1 THEN 'scroll_horizontal' ELSE 'paginated' END AS mode, CASE WHEN n % 3 = 0 THEN 'y' ELSE 'x' END AS axis, CASE WHEN n % 3 = 1 THEN 6 + n % 5 ELSE 0 END::INT AS med_dx, CASE WHEN n % 3 = 0 THEN 6 + n % 5 ELSE 0 END::INT AS med_dy, CASE WHEN n % 3 = 2 THEN 0 ELSE 5 END::BIGINT AS n_events FROM {_N}"),
     "frame_pages": (generated.pages, f"SELECT video_id, k::INT AS page, CASE k WHEN 2 THEN 3 ELSE 4 END AS contributors, k = 3 AS transition, k IN (1, 2) AS low_confidence, CASE k WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 10 ELSE 13 END AS start, CASE k WHEN 0 THEN 5 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 18 END AS \"end\", CASE k WHEN 0 THEN 8 WHEN 3 THEN 0 ELSE 20 + k END::INT AS top FROM {_N}, range(0, 4) t(k)"),
     "system_blocks": (generated.blocks, f"SELECT n::INT AS n, pos, top::INT AS top, bottom::INT AS bottom FROM (SELECT n, 0 AS pos, 5 AS top, 120 + n // 2 AS bottom FROM {_N} UNION ALL SELECT n, 1, 120 + n // 2, 235 + n FROM {_N})"),
-    "scroll_blocks": (generated.scroll_blocks, f"SELECT video_id, pos, height::INT AS height, 100 AS width, 0 AS cuts_on_ink, 0::BIGINT AS discarded_ink, (100 * height)::INT AS pixels FROM (SELECT video_id, 0 AS pos, CASE WHEN n % 2 = 1 THEN 230 + n ELSE 115 + n // 2 END AS height FROM {_N} UNION ALL SELECT video_id, 1, 115 + n - n // 2 FROM {_N} WHERE n % 2 = 0)"),
+    "scroll_blocks": (generated.scroll_blocks, f"SELECT video_id, pos, height::INT AS height, 100 AS width, CASE WHEN n % 4 = 2 THEN 1 ELSE 0 END AS cuts_on_ink, CASE WHEN n % 4 = 2 THEN 120 ELSE 0 END::BIGINT AS discarded_ink, (100 * height)::INT AS pixels FROM (SELECT n, video_id, 0 AS pos, CASE WHEN n % 2 = 1 THEN 230 + n ELSE 115 + n // 2 END AS height FROM {_N} UNION ALL SELECT n, video_id, 1, CASE WHEN n % 4 = 2 THEN 150 + n ELSE 115 + n - n // 2 END FROM {_N} WHERE n % 2 = 0)"),
     "page_barlines": (generated.barlines, f"SELECT n::INT AS n, pos::INT AS pos, x::INT AS x FROM (SELECT n, 0 AS pos, 31 + n AS x FROM {_N} UNION ALL SELECT n, 1, 131 + 2 * n FROM {_N} UNION ALL SELECT n, 2, 251 + n FROM {_N})"),
     "page_trims": (generated.trims, f"SELECT n::INT AS n, CASE WHEN n % 4 IN (0, 1) THEN 300 ELSE 251 + n END::INT AS width, n % 4 = 1 AS guarded FROM {_N}"),
     "number_boxes": (generated.numbers, f"SELECT n::INT AS n, (5 + n)::INT AS x0, 10 AS y0, (30 + n)::INT AS x1, 32 AS y1 FROM {_N}"),

@@ -90,9 +90,13 @@ def cursors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rolled(n: int) -> list[np.ndarray]:
-    """Six frames of a strip that goes up by 6 to 10 rows each."""
-    tall = np.random.default_rng(n).integers(0, 256, (60 + 5 * (6 + n % 5), 160)).astype(np.uint8)
-    return [_on_dark(tall[k * (6 + n % 5) :][:60], 10, 10, (90, 190)) for k in range(6)]
+    """Six frames of a strip that goes up by 6 to 10 rows each; where n is 1 more than a multiple of 3, so noisy that no strip matches
+    well, though the whole picture still tells the shift."""
+    r = np.random.default_rng(n)
+    tall = r.integers(64, 192, (60 + 5 * (6 + n % 5), 160)).astype(np.float64)
+    blur = 35.0 if n % 3 == 1 else 0.0
+    cut = lambda k: np.clip(tall[k * (6 + n % 5) :][:60] + blur * r.normal(0, 1, (60, 160)), 0, 255).astype(np.uint8)
+    return [_on_dark(cut(k), 10, 10, (90, 190)) for k in range(6)]
 
 
 def offsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,12 +163,18 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scroll_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The same canvases as bands, cut without any task that holds a canvas; bridged where n is odd."""
+    """The same canvases as bands, cut without any task that holds a canvas; bridged where n is odd. Where n is 2 more than a
+    multiple of 4, two short strokes cross the cut, and a mark of 120 pixels follows that is no system."""
 
     def look(n):
         g = systems(n)
         if n % 2:
             g[70 : 170 + n, [30, 60]] = 0
+        if n % 4 == 2:
+            g[110 + n // 2 : 130 + n // 2, [40, 70]] = 0
+            more = np.full((92 + n, 100), 255, np.uint8)
+            more[70 + n : 82 + n, 20:30] = 0
+            g = np.vstack((g, more))
         return [(f"v{n}", i // video.BAND, 3, False, g.shape[1], g[i : i + video.BAND].tobytes()) for i in range(0, len(g), video.BAND)]
 
     bands = canvases(keys(spark, folder), "n int, video_id string, band int, contributors int, low_confidence boolean, width int, rows binary", look).drop("n")

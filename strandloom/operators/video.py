@@ -158,9 +158,11 @@ def page_starts(track: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def page_table(frames: DataFrame, starts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(video_id, n, starts): one row a video; without any start its frames are one page."""
+    """(video_id, n, starts, doubled): one row a video; without any start its frames are one page."""
     listed = starts.groupBy("video_id").agg(F.array_sort(F.collect_list("frame_idx")).alias("starts"))
-    return (frame_counts(frames) if counts is None else counts).join(listed, "video_id", "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0))))
+    return (frame_counts(frames) if counts is None else counts).join(listed, "video_id", "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0)))).withColumn(
+        "doubled", F.transform("starts", lambda s: 2 * s)
+    )
 
 
 def page_frames(frames: DataFrame, starts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -169,11 +171,15 @@ def page_frames(frames: DataFrame, starts: DataFrame, counts: DataFrame | None =
     The page follows from the frame's number and the starts of its video, so frames stay where they are read.
     """
     paged = with_rows_of(frames, page_table(frames, starts, counts))
-    paged = paged.withColumn("page", F.size(F.filter("starts", lambda s: s <= F.col("frame_idx"))) - 1).filter("page >= 0")
+    # how many starts are not after the frame: its place among the doubled starts. (A lambda that reads a column of the other side
+    # of a join is pushed to the wrong side with the filter.)
+    own = 2 * F.col("frame_idx") + 1
+    place = F.array_position(F.sort_array(F.concat("doubled", F.array(own))), own).cast("int")
+    paged = paged.withColumn("page", place - 2).filter("page >= 0")
     paged = paged.withColumn("first", F.get("starts", F.col("page")))
     paged = paged.withColumn("size", (F.coalesce(F.get("starts", F.col("page") + 1), F.col("n")) - F.col("first")).cast("int"))
     interior = (F.col("frame_idx") > F.col("first")) & (F.col("frame_idx") < F.col("first") + F.col("size") - 1)
-    return paged.withColumn("contributes", F.when(seq.few_inside(F.col("size"), LEAST), F.lit(True)).otherwise(interior)).drop("starts", "n")
+    return paged.withColumn("contributes", F.when(seq.few_inside(F.col("size"), LEAST), F.lit(True)).otherwise(interior)).drop("starts", "doubled", "n")
 
 
 def _blended(frames: DataFrame, keys: str, pieces) -> DataFrame:

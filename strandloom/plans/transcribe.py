@@ -130,7 +130,7 @@ def render_songs(frames: DataFrame, info: DataFrame, songs: DataFrame, overrides
     told = songs.join(info.select("video_id", "mode"), "video_id").join(box, "video_id")
     listed = told.groupBy("video_id").agg(F.collect_list(F.struct("song_id", "start", "end", "mode", *video.EDGES)).alias("songs"))
     at = F.col("frame_idx")
-    own = with_rows_of(frames, listed).withColumn("s", F.explode(F.filter("songs", lambda s: (s["start"] <= at) & (at <= s["end"]))))
+    own = with_rows_of(frames, listed).withColumn("s", F.explode_outer(F.filter("songs", lambda s: (s["start"] <= at) & (at <= s["end"])))).filter("s IS NOT NULL")
     own = own.select(F.col("s.song_id").alias("video_id"), (at - F.col("s.start")).cast("int").alias("frame_idx"), "height", "width", "data", "s.mode", *(f"s.{e}" for e in video.EDGES))
     # a song may say that it ends after its video does
     known = songs.join(info.select("video_id", "frame_count"), "video_id")
@@ -155,6 +155,7 @@ def sheets(placed: DataFrame, key: str = "video_id") -> DataFrame:
         first = rows.iloc[0]
         return pd.DataFrame([(first[key], first["sheet"], *pdf.packed(pdf.sheet(bands)))], columns=[key, "sheet", "height", "width", "bits"])
 
+    ready(placed.sparkSession)
     return placed.groupBy(key, "sheet").applyInPandas(one, f"{key} string, sheet int, height int, width int, bits binary")
 
 
@@ -166,6 +167,7 @@ def _bound(pages: DataFrame, key: str) -> DataFrame:
         content = pdf.document([(int(r.height), int(r.width), r.bits, r.caption) for r in rows.itertuples()])
         return pd.DataFrame([(rows[key].iloc[0], rows["name"].iloc[0], len(rows), content)], columns=[key, "name", "pages", "content"])
 
+    ready(pages.sparkSession)
     return pages.groupBy(key).applyInPandas(one, f"{key} string, name string, pages int, content binary")
 
 

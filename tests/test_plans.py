@@ -86,3 +86,13 @@ def test_frames_stay_where_they_are_read(spark, folder, kept):
 
 def test_a_moved_image_is_noticed(spark, folder):
     assert moved_images(formatted(src.read_frames(spark, folder).repartition(3, "video_id")))
+
+
+def test_pages_of_frames_as_they_are_read(spark, folder):
+    """A filter on pages over a join with frames of the data source must see the frame's number."""
+    frames = src.read_frames(spark, folder)
+    none = spark.createDataFrame([], "video_id string, frame_idx int")
+    some = spark.createDataFrame([("flip", 2), ("flip", 7)], "video_id string, frame_idx int")
+    for starts, want in ((none, {("flip", 0, 0, 12): 12, ("roll", 0, 0, 18): 18}), (some, {("flip", 0, 2, 5): 5, ("flip", 1, 7, 5): 5, ("roll", 0, 0, 18): 18})):
+        got = video.page_frames(frames, starts).groupBy("video_id", "page", "first", "size").count().collect()
+        assert {tuple(r)[:4]: r["count"] for r in got} == want
